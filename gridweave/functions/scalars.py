@@ -23,15 +23,30 @@ PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
+# Arguments of type `Column | str`: a string is SQL text (a column name is the simplest case). Functions
+# with long word lists then build one parsed expression instead of one object per word.
+
+
 def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+    return F.expr(value) if isinstance(value, str) else value
+
+
+def sql_text(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _lower(text: Column | str) -> Column | str:
+    return f"lower({text})" if isinstance(text, str) else F.lower(text)
+
+
+def sql_list(words: Sequence[str]) -> str:
+    return ", ".join(sql_text(w) for w in words)
 
 
 def string_array(values: Sequence[str]) -> Column:
     """A literal array of strings; empty lists keep their type."""
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({sql_list(values)})" if values else "cast(array() as array<string>)")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,15 +102,25 @@ def exact_sum(value: Column | str, scale: int = 4) -> Column:
 
 def norm_token(text: Column | str) -> Column:
     """Lower case, letters and digits of any script only."""
-    return F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}]", "")
+    if isinstance(text, str):
+        return F.expr(norm_token_sql(text))
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def norm_token_sql(text: str) -> str:
+    return rf"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]', '')"
 
 
-def lookup(mapping: Mapping[str, str], key: Column) -> Column:
+def lookup(mapping: Mapping[str, str], key: Column | str) -> Column:
     """Value of a small literal map, NULL for other keys."""
-    pairs: list[Column] = []
-    for name, value in mapping.items():
-        pairs += [F.lit(name), F.lit(value)]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = sql_list([part for pair in mapping.items() for part in pair])
+    if isinstance(key, str):
+        return F.expr(f"try_element_at(map({pairs}), {key})")
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def in_words(text: Column | str, words: Sequence[str]) -> Column:
+    return F.expr(f"{text} IN ({sql_list(words)})") if isinstance(text, str) else text.isin(list(words))
 
 
 def header_alias(header: Column | str, aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -145,18 +170,27 @@ def validation_equal(left: Column | str, right: Column | str) -> Column:
 
 def a1_encode(row: Column | str, column: Column | str) -> Column:
     """A1 address for columns 1 to 18278 (three letters)."""
-    n = _col(column).cast("int") - 1
+    if isinstance(row, Column) or isinstance(column, Column):
+        place = F.struct(_col(row).cast("bigint").alias("r"), _col(column).cast("int").alias("c"))
+        return let(place, lambda p: F.concat(_letters(p["c"] - 1), p["r"].cast("string")))
+    n = f"(cast({column} as int) - 1)"
+    two, three = f"({n} - 26)", f"({n} - 702)"
+    return F.expr(
+        f"concat(CASE WHEN {n} < 26 THEN char(65 + {n}) WHEN {n} < 702 THEN concat(char(65 + {two} div 26), char(65 + {two} % 26)) "
+        f"ELSE concat(char(65 + {three} div 676), char(65 + ({three} div 26) % 26), char(65 + {three} % 26)) END, cast({row} as string))"
+    )
 
+
+def _letters(n: Column) -> Column:
     def letter(value: Column) -> Column:
         return F.char(F.lit(65) + value)
 
     two, three = n - 26, n - 702
-    name = (
+    return (
         F.when(n < 26, letter(n))
         .when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
         .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
     )
-    return F.concat(name, _col(row).cast("string"))
 
 
 def is_a1(ref: Column | str) -> Column:
@@ -257,9 +291,11 @@ def ordered_distinct(values: Column | str, limit: int | None = None) -> Column:
 # --- keywords in text -------------------------------------------------------------------------
 
 
-def contains_any(text_lower: Column, words: Sequence[str], word: bool = False) -> Column:
+def contains_any(text_lower: Column | str, words: Sequence[str], word: bool = False) -> Column:
     """Does a lower-cased text hold one of a few words (as substrings, or as whole words)?"""
-    hit = F.lit(False)
+    if isinstance(text_lower, str) and not word:
+        return F.expr(contains_any_sql(text_lower, words))
+    text_lower, hit = _col(text_lower), F.lit(False)
     for item in words:
         if word:
             hit = hit | F.rlike(text_lower, F.lit(r"\b\Q" + item.lower() + r"\E\b"))
@@ -268,6 +304,10 @@ def contains_any(text_lower: Column, words: Sequence[str], word: bool = False) -
     return hit
 
 
+def contains_any_sql(text_lower: str, words: Sequence[str]) -> str:
+    return "(" + " OR ".join([f"contains({text_lower}, {sql_text(w.lower())})" for w in words] or ["false"]) + ")"
+
+
 def keywords_found(text_lower: Column, words: Sequence[str]) -> Column:
     """The words that occur, in the order of the list."""
     return F.filter(string_array([w.lower() for w in words]), lambda k: F.contains(text_lower, k))
@@ -279,8 +319,12 @@ def occurrences(text_lower: Column, keyword: Column) -> Column:
     return (removed / F.length(keyword)).cast("int")
 
 
-def labels_found(text_lower: Column, table: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
+def labels_found(text_lower: Column | str, table: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
     """Names of a keyword table whose words occur, in table order; `[default]` when none does."""
+    if isinstance(text_lower, str):
+        cases = ", ".join(f"CASE WHEN {contains_any_sql(text_lower, ws)} THEN {sql_text(n)} END" for n, ws in table.items())
+        found = f"array_compact(array({cases}))"
+        return F.expr(found if default is None else f"coalesce(nullif({found}, cast(array() as array<string>)), array({sql_text(default)}))")
     found = F.array_compact(F.array(*[F.when(contains_any(text_lower, words), F.lit(n)) for n, words in table.items()]))
     return found if default is None else F.when(F.size(found) == 0, string_array([default])).otherwise(found)
 
@@ -304,13 +348,13 @@ def time_tokens(text: Column | str, tokens: Sequence[str] | None = None, longest
 
 def operations_requested(text: Column | str) -> Column:
     """Operations named in a request; sum and count when none is."""
-    found = labels_found(F.lower(_col(text)), fixed.OPERATION_KEYWORDS)
+    found = labels_found(_lower(text), fixed.OPERATION_KEYWORDS)
     return F.when(F.size(found) == 0, string_array(fixed.DEFAULT_OPERATIONS)).otherwise(found)
 
 
 def message_labels(text: Column | str) -> Column:
     """Labels of a message in fixed order, `general` when none applies."""
-    lowered = F.lower(_col(text))
+    lowered = _lower(text)
     found = labels_found(lowered, fixed.MESSAGE_LABELS)
     counted = F.when(
         ~F.array_contains(found, "count") & contains_any(lowered, fixed.CALCULATION_WORDS),
@@ -344,7 +388,7 @@ def required_kinds(text: Column | str) -> Column:
 
 def request_flags(text: Column | str) -> dict[str, Column]:
     """What a request asks for, as boolean columns by name."""
-    lowered = F.lower(_col(text))
+    lowered = _lower(text)
     topic = contains_any(lowered, fixed.TOPIC_REQUEST_WORDS)
     report = contains_any(lowered, fixed.REPORT_WORDS)
     outline = contains_any(lowered, fixed.OUTLINE_WORDS)

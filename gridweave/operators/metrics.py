@@ -68,7 +68,7 @@ def _named(columns: DataFrame) -> DataFrame:
     by_alias = F.lit(False)
     canonical = S.header_alias("header")
     for name, words in fixed.CALC_HEADER_ALIASES.items():
-        by_alias = by_alias | ((canonical == name) & S.contains_any(request, words))
+        by_alias = by_alias | ((canonical == name) & S.contains_any("lower(request)", words))
     return columns.withColumn("named", ((header != "") & F.contains(request, header)) | by_alias)
 
 

@@ -29,31 +29,35 @@ def attach(
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, name: str, rows_per_task: str = ""
+def running_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
 ) -> DataFrame:
-    """`row_number() over (partition by group order by order)` with bounded tasks.
+    """`sum(value) over (partition by group order by order)` with bounded tasks.
 
-    `block` cuts the order into consecutive pieces: it must not decrease along `order`. Rows are
-    counted per block, the counts are summed up along the blocks (few rows), and the rows are numbered
-    inside their block. A group of any size is spread over its blocks.
+    `block` cuts the order into consecutive pieces: it must not decrease along `order`. Values are
+    summed per block, the block sums are summed along the blocks (few rows), and the running sum is
+    taken inside each block. A group of any size is spread over its blocks.
     """
-    blocked = df.withColumn("__block", block)
+    blocked = df.select("*", block.alias("__block"), value.cast("bigint").alias("__value"))
     before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*group, "__block")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*group, "__block", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+        .agg(F.sum("__value").alias("__sum"))
+        .select(*group, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     )
-    inside = Window.partitionBy(*group, "__block").orderBy(*order)
+    inside = Window.partitionBy(*group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocked.withColumn("__inside", F.row_number().over(inside))
+        blocked.withColumn("__inside", F.sum("__value").over(inside))
         .join(offsets, [*group, "__block"])
-        .withColumn(name, F.col("__offset") + F.col("__inside"))
-        .drop("__block", "__inside", "__offset")
+        .select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(name))
     )
 
 
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, name: str) -> DataFrame:
+    """`row_number() over (partition by group order by order)` with bounded tasks."""
+    return running_total(df, group, order, block, F.lit(1), name)
+
+
 def row_block(order: Column | str, rows: int = BLOCK_ROWS) -> Column:
     """Block for `number_rows` from an integer order column."""
     column = F.col(order) if isinstance(order, str) else order
