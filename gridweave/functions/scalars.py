@@ -54,6 +54,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def record(**fields: Column) -> Column:
+    """A struct with the given names (they survive inside nested lambdas, where aliases are dropped)."""
+    parts: list[Column] = []
+    for name, value in fields.items():
+        parts += [F.lit(name), value]
+    return F.named_struct(*parts)
+
+
 def strip(text: Column | str) -> Column:
     return F.btrim(_col(text), F.lit(SPACE_CHARS))
 

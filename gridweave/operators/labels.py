@@ -111,6 +111,19 @@ def named_values(labels: DataFrame, rows: DataFrame) -> DataFrame:
     return find_tokens(labels.select(*LABEL, "token"), "token", vocabulary, "word", ["job_id"]).select(*LABEL, "field", "field_value").distinct()
 
 
+def _extend(values: Column, weight: int):
+    """Each option once without and once with each of the values of a field."""
+
+    def extended(base: Column) -> Column:
+        def with_value(value: Column) -> Column:
+            entry = F.when(base["entry"] == "", value).otherwise(F.concat(base["entry"], F.lit("\x01"), value))
+            return F.named_struct(F.lit("entry"), entry, F.lit("weight"), base["weight"] + weight)
+
+        return F.array_append(F.transform(values, with_value), base)
+
+    return extended
+
+
 def match_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
     """The result row of each label, if there is exactly one with the best score.
 
@@ -124,18 +137,7 @@ def match_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
     joined = labels.select(*LABEL, F.col("value_str").alias("label"), "hits").join(named, LABEL, "left")
     options = F.array(F.struct(F.lit("").alias("entry"), F.lit(0).alias("weight")))
     for f in FIELDS:
-        values = F.coalesce(F.col(f"__{f}"), S.string_array([]))
-        weight = fixed.LABEL_CONTEXT_WEIGHTS[f]
-
-        def extended(base: Column, values: Column = values, weight: int = weight) -> Column:
-            return F.array_append(
-                F.transform(values, lambda v: F.struct(
-                    F.when(base["entry"] == "", v).otherwise(F.concat(base["entry"], F.lit("\x01"), v)).alias("entry"), (base["weight"] + weight).alias("weight")
-                )),
-                base,
-            )
-
-        options = F.flatten(F.transform(options, extended))
+        options = F.flatten(F.transform(options, _extend(F.coalesce(F.col(f"__{f}"), S.string_array([])), fixed.LABEL_CONTEXT_WEIGHTS[f])))
     lookups = (
         joined.select(*LABEL, "label", F.explode("hits").alias("h"), options.alias("__options"))
         .select(*LABEL, "label", "h.*", F.explode("__options").alias("o"))
