@@ -48,8 +48,9 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     if left == right:
         return True, f"{len(left)} rows"
-    only_left = [r for r in left if r not in set(right)][:2]
-    only_right = [r for r in right if r not in set(left)][:2]
+    in_left, in_right = set(left), set(right)
+    only_left = [r for r in left if r not in in_right][:2]
+    only_right = [r for r in right if r not in in_left][:2]
     return False, f"{len(left)} / {len(right)} rows, spark only {only_left}, sql only {only_right}"
 
 

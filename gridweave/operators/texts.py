@@ -132,17 +132,20 @@ def score_documents(documents: DataFrame, keywords: Column) -> DataFrame:
 
         return S.let(place, body)
 
-    scored = documents.select("*", keywords.alias("__keywords"), about.alias("__about")).withColumn("__scored", F.transform("segments", score))
-    any_hit = F.exists("__scored", lambda s: F.size(s["matched"]) > 0)
-    kept = F.when(any_hit, F.filter("__scored", lambda s: F.size(s["matched"]) > 0)).otherwise(F.col("__scored"))
-    best_first = F.transform(
-        F.array_sort(F.transform(kept, lambda s: S.record(o=-s["points"], i=s["seg_idx"], s=s))), lambda x: x["s"]
-    )
+    def best_first(every: Column) -> Column:
+        matching = F.filter(every, lambda s: F.size(s["matched"]) > 0)
+        keyed = S.let(
+            matching, lambda hits: F.transform(F.when(F.size(hits) > 0, hits).otherwise(every), lambda s: S.record(o=-s["points"], i=s["seg_idx"], s=s))
+        )
+        return F.transform(F.array_sort(keyed), lambda x: x["s"])
+
+    # One expression from the segments to the sorted list, so that nothing is computed twice.
+    prepared = documents.select("*", keywords.alias("__keywords"), about.alias("__about"))
     return (
-        scored.withColumn("scored", best_first)
+        prepared.withColumn("scored", S.let(F.transform("segments", score), best_first))
         .withColumn("matched", F.array_distinct(F.flatten(F.transform("scored", lambda s: s["matched"]))))
         .withColumn("points", F.coalesce(F.try_element_at("scored", F.lit(1))["points"], F.lit(0)))
-        .drop("__keywords", "__about", "__scored")
+        .drop("__keywords", "__about")
     )
 
 

@@ -1,2 +1,261 @@
-def register(catalog):
-    pass
+"""Coverage queries: segments of the documents and sentences made from lineitem, per company (source).
+
+The default topic words do not occur in the test documents, so the queries use a demonstration rule set
+whose words do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridweave.functions import scalars as S
+from gridweave.operators import coverage as C
+from gridweave.operators import texts as T
+from gridweave.plans import sql as Q
+from gridweave.plans.catalog import Catalog, table
+from gridweave.plans.scalars import NUMBERED_LINE_SQL, numbered_line
+from gridweave.rules import fixed
+from gridweave.rules.sets import Kpi, RuleSet, Topic
+
+PILLARS = {"legal": "法务", "contact": "联系", "lang": "语言"}
+PILLAR_WORDS = {"legal": ["license", "apache"], "contact": ["@", "+1"], "lang": ["the", "ing"]}
+TOPICS = (
+    Topic("t_license", "License", "legal", ("license",), ("contract",), ("version",), 3),
+    Topic("t_apache", "Apache", "legal", ("apache",), ("contract", "report"), (), 2),
+    Topic("t_mail", "Mail", "contact", ("@",), ("report",), (), 1),
+    Topic("t_price", "Price", "contact", ("price 1,00",), (), ("price",), 2),
+    Topic("t_none", "Nothing", "lang", ("no such words",), ("statement",), (), 2),
+)
+KPIS = (
+    Kpi("discount rate", "legal", ("discount 1", "discount 2"), ("%",)),
+    Kpi("price weight", "contact", ("price 1,00",), ("吨",)),
+    Kpi("license number", "legal", ("license",), ()),
+    Kpi("discount rate", "legal", ("discount",), ("次",)),
+)
+
+
+def rules() -> RuleSet:
+    return RuleSet(PILLARS, PILLAR_WORDS, TOPICS, KPIS, {"legal": "Legal"})
+
+
+def segments(spark, folder):
+    """Segments of documents, and line items as segments of one more document per order."""
+    docs = T.with_segments(table(spark, folder, "documents").select("doc_id", F.col("source").alias("company"), "text"))
+    long = T.explode_segments(docs, ["company", "doc_id"])
+    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").select(
+        F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"), (F.col("l_orderkey") + 1000000).alias("doc_id"),
+        (F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000).cast("int").alias("seg_idx"), numbered_line().alias("text"),
+        F.concat(F.lit("row_"), "l_linenumber").alias("segment_id"), F.concat(F.lit("第 "), "l_linenumber", F.lit(" 行")).alias("location"),
+        F.concat(F.lit("l"), "l_linenumber").alias("label"),
+    )
+    # Line numbers repeat in the test data; a segment is unique in its document.
+    lines = lines.groupBy("company", "doc_id", "seg_idx", "segment_id", "location", "label").agg(F.max("text").alias("text"))
+    both = long.unionByName(lines)
+    return both.select("company", "doc_id", F.col("doc_id").alias("doc_idx"), F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), "seg_idx", "segment_id", "location", "text")
+
+
+SEGMENTS = f"""{Q.segments('documents', 'doc_id', 'text', extra='source')},
+  segs AS (SELECT source AS company, doc_id, 'doc_' || doc_id AS doc_name, seg_idx, 'paragraph_' || (seg_idx + 1) AS segment_id, '正文片段 ' || (seg_idx + 1) AS location, text FROM segments
+    UNION ALL SELECT 'src' || (l_suppkey % 20), l_orderkey + 1000000, 'doc_' || (l_orderkey + 1000000), CAST(l_linenumber * 10000 + l_partkey % 10000 AS INTEGER), 'row_' || l_linenumber, '第 ' || l_linenumber || ' 行', max({NUMBERED_LINE_SQL})
+      FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+  low AS (SELECT *, lower(text) AS t FROM segs)"""
+
+
+def _cases(table_: dict) -> str:
+    return " UNION ALL ".join(
+        f"SELECT company, doc_id, doc_name, seg_idx, location, text, '{name}' AS rule FROM low WHERE {Q.contains_any('t', words)}" for name, words in table_.items()
+    )
+
+
+TOPIC_HITS = f"thits AS ({_cases({t.topic: t.keywords for t in TOPICS})})"
+COVERAGE = f"""{TOPIC_HITS},
+  cov AS (SELECT company, rule AS topic, count(DISTINCT doc_id) AS documents, count(*) AS evidence,
+     arg_min({{'sample': substr(text, 1, 180), 'loc': location, 'doc': doc_name}}, {{'d': doc_id, 's': seg_idx}}) AS first FROM thits GROUP BY company, rule)"""
+RULES = f"""rules AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t.topic}', '{t.label}', '{t.pillar}', {t.weak_threshold}, {'[' + ', '.join(Q.quote(k) for k in t.required_kinds) + ']::VARCHAR[]'})" for i, t in enumerate(TOPICS))}) AS r(rule_idx, topic, label, pillar, threshold, kinds)),
+  comps AS (SELECT DISTINCT company FROM segs)"""
+MATRIX = f"""{COVERAGE}, {RULES},
+  matrix AS (SELECT c.company, r.topic, rule_idx, label, pillar, kinds, coalesce(documents, 0) AS documents, coalesce(evidence, 0) AS evidence, first.sample AS sample, first.loc AS sample_location, first.doc AS sample_document,
+     CASE WHEN documents IS NULL THEN 'missing' WHEN evidence < threshold THEN 'weak' ELSE 'covered' END AS status FROM comps c CROSS JOIN rules r LEFT JOIN cov v ON v.company = c.company AND v.topic = r.topic)"""
+pattern = Q.quote(S.number_pattern())
+TOPIC_OF = "CASE " + " ".join(f"WHEN {Q.contains_any('t', [*t.keywords, *t.kpi_patterns])} THEN '{t.topic}'" for t in TOPICS) + " END"
+
+
+def _kpi_rows() -> str:
+    parts = []
+    for i, k in enumerate(KPIS):
+        earlier = [o for o in KPIS[:i] if o.metric == k.metric]
+        no_earlier = "".join(f" AND NOT {Q.contains_any('t', o.keywords)}" for o in earlier)
+        liked = f"unit IN ({', '.join(Q.quote(u) for u in k.preferred_units)})" if k.preferred_units else "false"
+        parts.append(
+            f"SELECT company, doc_id, doc_name, seg_idx, segment_id, location, text, t, '{k.metric}' AS metric, '{k.pillar}' AS pillar, v AS value, unit, "
+            f"row_number() OVER (PARTITION BY company, doc_id, seg_idx ORDER BY CASE WHEN {liked} THEN 4 ELSE 0 END + CASE WHEN unit <> '' THEN 1 ELSE 0 END DESC, v, i) AS rn "
+            f"FROM nums WHERE {Q.contains_any('t', k.keywords)}{no_earlier}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+KPI_SQL = f"""
+  raw AS (SELECT *, unnest(regexp_extract_all(text, {pattern}, 1)) AS n, unnest(regexp_extract_all(text, {pattern}, 2)) AS u, generate_subscripts(regexp_extract_all(text, {pattern}, 1), 1) AS i FROM low
+     WHERE {Q.contains_any('t', [w for k in KPIS for w in k.keywords])}),
+  nums AS (SELECT * EXCLUDE (n, u), CAST(replace(n, ',', '') AS DOUBLE) AS v, CASE WHEN lower(coalesce(u, '')) IN ('times', 'time', 'meeting', 'meetings') THEN '次' ELSE lower(coalesce(u, '')) END AS unit FROM raw
+     WHERE CAST(replace(n, ',', '') AS DOUBLE) NOT BETWEEN 1900 AND 2100),
+  kpis AS (SELECT * EXCLUDE (rn, text, t), substr(text, 1, 220) AS evidence, {TOPIC_OF} AS topic FROM ({_kpi_rows()}) WHERE rn = 1)"""
+STANDARD_WORDS = {c: w for c, _, _, w in fixed.STANDARDS}
+STANDARDS_SQL = f"""
+  prev AS (SELECT source AS company, lower({Q.clip('text', 180)}) AS p FROM documents),
+  stds AS (SELECT DISTINCT company, unnest(['GRI', 'ISSB']) AS code FROM prev
+     {' '.join(f"UNION SELECT company, '{c}' FROM prev WHERE {Q.contains_any('p', w)}" for c, w in STANDARD_WORDS.items() if w)})"""
+DISCLOSURE = f"""{MATRIX}, {KPI_SQL}, {STANDARDS_SQL},
+  kt AS (SELECT DISTINCT company, topic FROM kpis WHERE topic IS NOT NULL),
+  codes AS (SELECT company, list(code) AS codes FROM stds GROUP BY company),
+  items AS (SELECT m.*, kt.topic IS NOT NULL AS has_kpi, list_concat(kinds, CASE WHEN status = 'missing' THEN [label || '的政策、管理措施或年度进展'] ELSE [] END, CASE WHEN kt.topic IS NULL THEN [label || '相关 KPI、单位、期间和统计边界'] ELSE [] END) AS required,
+     list_filter(['ESRS', 'HKEX', 'CN_EXCHANGE'], lambda c: list_contains(codes, c)) AS related FROM matrix m LEFT JOIN kt USING (company, topic) LEFT JOIN codes USING (company)),
+  acts AS (SELECT *, CASE WHEN status = 'missing' THEN '补充' || label || '的披露材料和量化数据。' WHEN status = 'weak' THEN '增强' || label || '的证据数量、数据口径和管理措施说明。'
+     WHEN len(required) > 0 THEN '补齐' || label || '的 KPI 口径或数据来源。' ELSE '当前披露证据较完整，可进入正文撰写和一致性检查。' END AS next_action FROM items)"""
+
+
+def matrix(spark, folder):
+    return C.topic_matrix(segments(spark, folder), rules())
+
+
+def kpis(spark, folder):
+    return C.extract_kpis(segments(spark, folder), rules())
+
+
+def chosen(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("source").alias("company"), S.clip("text", fixed.PREVIEW_CHARS).alias("preview"))
+    return C.standards(docs, "climate report")
+
+
+def disclosure(spark, folder):
+    return C.disclosure_matrix(matrix(spark, folder), kpis(spark, folder), chosen(spark, folder))
+
+
+def register(catalog: Catalog) -> None:
+    @catalog.add(
+        f"""WITH {SEGMENTS}, phits AS ({_cases(PILLAR_WORDS)}), p AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, label)),
+        n AS (SELECT company, rule AS pillar, count(DISTINCT doc_id) AS documents, count(*) AS evidence FROM phits GROUP BY ALL)
+        SELECT company, pillar_idx, pillar, label, coalesce(documents, 0) AS documents, coalesce(evidence, 0) AS evidence FROM (SELECT DISTINCT company FROM segs) CROSS JOIN p LEFT JOIN n USING (company, pillar)"""
+    )
+    def pillar_coverage(spark, folder):
+        """Documents and segments of every pillar per company."""
+        return C.pillar_coverage(segments(spark, folder), rules())
+
+    @catalog.add(f"WITH {SEGMENTS}, phits AS ({_cases(PILLAR_WORDS)}) SELECT DISTINCT company, rule AS pillar, doc_name FROM phits")
+    def pillar_documents(spark, folder):
+        """Documents of every pillar per company."""
+        return C.pillar_documents(segments(spark, folder), rules())
+
+    @catalog.add(f"WITH {SEGMENTS}, {COVERAGE} SELECT company, topic, documents, evidence, first.sample AS sample, first.loc AS sample_location, first.doc AS sample_document FROM cov")
+    def topic_coverage(spark, folder):
+        """Documents, segments and first sample of each topic per company."""
+        return C.topic_coverage(segments(spark, folder), rules()).drop("sample_doc_id")
+
+    @catalog.add(
+        f"WITH {SEGMENTS}, {MATRIX} SELECT company, topic, rule_idx, label, pillar, status, documents, evidence, sample_document, array_to_string(kinds, ',') AS required_kinds FROM matrix"
+    )
+    def topic_matrix(spark, folder):
+        """Status of every topic per company."""
+        return matrix(spark, folder).select(
+            "company", "topic", "rule_idx", "label", "pillar", "status", "documents", "evidence", "sample_document", F.array_join("required_kinds", ",").alias("required_kinds")
+        )
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {MATRIX}, k AS (SELECT DISTINCT company, unnest(kinds) AS kind FROM matrix WHERE status <> 'covered'), ks AS (SELECT company, string_agg(kind, ',' ORDER BY kind) AS recommended FROM k GROUP BY company)
+        SELECT company, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'missing') AS missing, count(*) AS total, max(recommended) AS recommended
+        FROM matrix LEFT JOIN ks USING (company) GROUP BY company"""
+    )
+    def coverage_stats(spark, folder):
+        """Topics by status and wanted document kinds per company."""
+        m = matrix(spark, folder)
+        return C.coverage_stats(m).join(C.recommended_kinds(m).select("company", F.array_join("recommended_kinds", ",").alias("recommended")), "company", "left")
+
+    @catalog.add(f"WITH {STANDARDS_SQL} SELECT company, code, CASE code {' '.join(f'WHEN {Q.quote(c)} THEN {Q.quote(n)}' for c, n, _, _ in fixed.STANDARDS)} END AS name, CASE code {' '.join(f'WHEN {Q.quote(c)} THEN {p}' for c, _, p, _ in fixed.STANDARDS)} END AS priority FROM stds")
+    def standards(spark, folder):
+        """Reporting standards of each company."""
+        return chosen(spark, folder)
+
+    @catalog.add(f"WITH {SEGMENTS}, {KPI_SQL} SELECT company, doc_id, seg_idx, segment_id, metric, pillar, value, unit, location, evidence FROM kpis")
+    def kpi_extract(spark, folder):
+        """KPIs of each segment."""
+        return kpis(spark, folder).select("company", "doc_id", "seg_idx", "segment_id", "metric", "pillar", "value", "unit", "location", "evidence")
+
+    @catalog.add(f"WITH {SEGMENTS}, {KPI_SQL} SELECT company, topic, metric, count(*) AS n FROM kpis GROUP BY ALL")
+    def kpi_topic(spark, folder):
+        """KPIs by topic per company."""
+        return kpis(spark, folder).groupBy("company", "topic", "metric").agg(F.count(F.lit(1)).alias("n"))
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {DISCLOSURE} SELECT company, topic, status, CASE WHEN has_kpi THEN 'available' ELSE 'missing' END AS kpi_status, array_to_string(required, '；') AS required_data,
+            array_to_string(related, ',') AS related_standards, next_action FROM acts"""
+    )
+    def disclosure_matrix(spark, folder):
+        """Topic matrix with KPI status, required data, related standards and next action."""
+        return disclosure(spark, folder).select(
+            "company", "topic", "status", "kpi_status", F.array_join("required_data", "；").alias("required_data"), F.array_join("related_standards", ",").alias("related_standards"), "next_action"
+        )
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {DISCLOSURE}, o AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY rule_idx) AS n FROM acts WHERE NOT (status = 'covered' AND has_kpi))
+        SELECT company, 'req_' || n AS request_id, topic, CASE WHEN pillar = 'legal' THEN 'Legal' ELSE 'ESG 工作组' END AS owner, CASE WHEN status = 'missing' THEN 'high' ELSE 'medium' END AS priority, next_action AS reason FROM o"""
+    )
+    def data_requests(spark, folder):
+        """Numbered data requests per company."""
+        return C.data_requests(disclosure(spark, folder), rules()).select("company", "request_id", "topic", "owner", "priority", "reason")
+
+    links_sql = f"""
+      lk AS (SELECT company, 0 AS o1, '' AS o2, '' AS o3, rule_idx AS o4, 0 AS o5, 'topic' AS type, label || '：' || CASE status WHEN 'covered' THEN '已覆盖' WHEN 'weak' THEN '证据偏弱' ELSE '缺失' END AS claim, topic AS disclosure_id, sample_document AS document, sample_location AS location,
+           CASE WHEN status = 'covered' THEN 'supported' ELSE 'weak' END AS support_level FROM matrix WHERE sample_document IS NOT NULL
+         UNION ALL SELECT company, 1, pillar, metric, doc_id, seg_idx, 'kpi', metric || '=' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || unit, topic, doc_name, location, 'supported' FROM kpis),
+      links AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY o1, o2, o3, o4, o5) AS n FROM lk)"""
+
+    @catalog.add(f"WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, {links_sql} SELECT company, 'link_' || n AS link_id, type, claim, disclosure_id, document, location, support_level FROM links")
+    def evidence_links(spark, folder):
+        """Numbered claims with their evidence per company."""
+        return C.evidence_links(matrix(spark, folder), kpis(spark, folder)).select("company", "link_id", "type", "claim", "disclosure_id", "document", "location", "support_level")
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {MATRIX}, phits AS ({_cases(PILLAR_WORDS)}), pl AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, plabel)),
+        n AS (SELECT company, rule AS pillar, count(DISTINCT doc_id) AS documents FROM phits GROUP BY ALL),
+        pc AS (SELECT company, pillar_idx, plabel, coalesce(documents, 0) AS d FROM comps CROSS JOIN pl LEFT JOIN n USING (company, pillar)),
+        a AS (SELECT company, string_agg(plabel || ' ' || d || ' 份', '；' ORDER BY pillar_idx) AS parts, coalesce(string_agg(plabel, '、' ORDER BY pillar_idx) FILTER (d = 0), '') AS lost FROM pc GROUP BY company),
+        s AS (SELECT company, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'missing') AS missing, count(*) AS total FROM matrix GROUP BY company)
+        SELECT company, covered, weak, missing, total, 'ESG 材料覆盖：' || parts || '。GRI 主题矩阵：covered ' || covered || ' / weak ' || weak || ' / missing ' || missing || '。' || CASE WHEN lost <> '' THEN '待补齐：' || lost || '。' ELSE '' END AS summary FROM a JOIN s USING (company)"""
+    )
+    def material_summary(spark, folder):
+        """Summary text per company."""
+        segs = segments(spark, folder)
+        return C.material_summary(C.pillar_coverage(segs, rules()), C.topic_matrix(segs, rules()), rules())
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, kn AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY pillar, metric, doc_name, doc_id, seg_idx) AS n FROM kpis),
+        lines AS (SELECT company, s, n, x FROM comps, (VALUES (0, 0, '# ESG 报告建议大纲'), (0, 1, '## 1. 报告说明'), (0, 2, '- 披露范围、边界、统计口径与时间区间'), (0, 3, '- 关键假设、数据来源与第三方鉴证情况'),
+             (1, -1, '## 法务'), (2, -1, '## 联系'), (3, -1, '## 语言')) AS f(s, n, x)
+          UNION ALL SELECT company, CASE pillar WHEN 'legal' THEN 1 WHEN 'contact' THEN 2 ELSE 3 END, rule_idx, '- ' || label || '（' || CASE status WHEN 'covered' THEN '已覆盖' WHEN 'weak' THEN '证据偏弱' ELSE '缺失' END || '）' FROM matrix
+          UNION ALL SELECT company, 4, 0, '## 关键指标附表' FROM kn WHERE n = 1
+          UNION ALL SELECT company, 4, n, '- ' || metric || '：' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || unit || ' (' || doc_name || ')' FROM kn WHERE n <= 8)
+        SELECT company, string_agg(x, chr(10) ORDER BY s, n) AS markdown FROM lines GROUP BY company"""
+    )
+    def report_outline(spark, folder):
+        """Report outline per company."""
+        return C.outline(matrix(spark, folder), kpis(spark, folder), rules())
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, phits AS ({_cases(PILLAR_WORDS)}), pl AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, plabel)),
+        lost AS (SELECT company, string_agg(plabel, '、' ORDER BY pillar_idx) AS lost FROM comps CROSS JOIN pl WHERE NOT EXISTS (SELECT 1 FROM phits h WHERE h.company = comps.company AND h.rule = pl.pillar) GROUP BY company),
+        k AS (SELECT company, string_agg(kind, '、' ORDER BY kind) AS kinds FROM (SELECT DISTINCT company, unnest(kinds) AS kind FROM matrix WHERE status <> 'covered') GROUP BY company),
+        r AS (SELECT company, list_filter(['补充这些 ESG 支柱的材料：' || lost, '建议优先补充这些文档类型：' || kinds, CASE WHEN company NOT IN (SELECT company FROM kpis) THEN '当前材料中缺少清晰可提取的 ESG 指标，建议补充 KPI 表或量化段落。' END], lambda x: x IS NOT NULL) AS a
+              FROM comps LEFT JOIN lost USING (company) LEFT JOIN k USING (company))
+        SELECT company, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS number, unnest(a) AS recommendation FROM r"""
+    )
+    def recommendations(spark, folder):
+        """Recommendations per company."""
+        segs = segments(spark, folder)
+        return C.recommendations(C.pillar_coverage(segs, rules()), C.topic_matrix(segs, rules()), C.extract_kpis(segs, rules()))
+
+    @catalog.add()
+    def report_draft(spark, folder):
+        """Report draft with word count per company."""
+        m, k = matrix(spark, folder), kpis(spark, folder)
+        items = C.disclosure_matrix(m, k, chosen(spark, folder))
+        return C.report_draft(items, k, C.evidence_links(m, k), chosen(spark, folder), rules())
