@@ -13,10 +13,9 @@ from gridweave.functions.scalars import CJK, LINE_BREAK, SPACE, let, string_arra
 from gridweave.rules import fixed
 
 PARAGRAPH_BREAK = rf"\n{SPACE}*\n+"
-# A run without end mark plus one mark, or a lone mark: the same pieces as a split behind every mark,
-# and no backtracking over long runs.
+# Two forms of one rule: the pieces themselves, for engines without lookbehind, and the place to split at.
 SENTENCE = rf"[^{fixed.SENTENCE_ENDS}]+[{fixed.SENTENCE_ENDS}]?|[{fixed.SENTENCE_ENDS}]"
-SEGMENT_TYPE = "array<struct<seg_idx:int,segment_id:string,label:string,text:string>>"
+SENTENCE_END = rf"(?<=[{fixed.SENTENCE_ENDS}])"
 
 
 def _pieces(parts: Column) -> Column:
@@ -25,7 +24,7 @@ def _pieces(parts: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences, cut behind the CJK and Latin end marks (a full stop is none of them)."""
-    return _pieces(F.regexp_extract_all(text, F.lit(SENTENCE), 0))
+    return _pieces(F.split(text, SENTENCE_END))
 
 
 def split_blocks(text: Column) -> Column:

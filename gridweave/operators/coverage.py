@@ -27,9 +27,9 @@ def document_hits(segments: DataFrame, table: dict[str, Sequence[str]], name: st
     """One row per document and rule with hits: number of segments and the first of them."""
     names = S.labels_found("lower(text)", table)
     hits = segments.select(
-        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "location", F.substring("text", 1, fixed.TOPIC_SAMPLE_CHARS).alias("sample"), F.explode(names).alias(name)
+        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "location", F.substring("text", 1, fixed.TOPIC_SAMPLE_CHARS).alias("sample"), F.explode_outer(names).alias(name)
     )
-    return hits.groupBy("company", name, "doc_id", "doc_idx", "doc_name").agg(
+    return hits.where(F.col(name).isNotNull()).groupBy("company", name, "doc_id", "doc_idx", "doc_name").agg(
         F.count(F.lit(1)).alias("evidence"), F.min_by(F.struct("sample", "location"), "seg_idx").alias("first")
     )
 
@@ -106,7 +106,7 @@ def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
     always, *others = fixed.STANDARDS
     found = S.labels_found(preview, {code: words for code, _, _, words in others})
     asked = [code for code, _, _, words in others if any(w in (request or "").lower() for w in words)]
-    hits = documents.select("company", F.explode(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
+    hits = documents.select("company", F.explode_outer(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
     return hits.select(
         "company", "code", S.lookup({c: n for c, n, _, _ in fixed.STANDARDS}, "code").alias("name"),
         S.lookup({c: str(p) for c, _, p, _ in fixed.STANDARDS}, "code").cast("int").alias("priority"),
@@ -151,7 +151,7 @@ def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, comp
     any_hit = S.contains_any(lowered, [w for k in rules.kpis for w in k.keywords])
     hits = segments.where(any_hit).select(
         "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.substring("text", 1, fixed.KPI_EVIDENCE_CHARS).alias("evidence"),
-        topic.alias("topic"), F.explode(F.array_compact(F.array(*found))).alias("k"),
+        topic.alias("topic"), F.explode_outer(F.array_compact(F.array(*found))).alias("k"),
     )
     return hits.where("k.best IS NOT NULL").select(
         *[c for c in hits.columns if c != "k"], "k.metric", "k.pillar", F.col("k.best.value").alias("value"), F.col("k.best.unit").alias("unit")
@@ -302,7 +302,7 @@ def recommendations(pillars: DataFrame, matrix: DataFrame, kpis: DataFrame) -> D
         F.when(F.size("recommended_kinds") > 0, F.concat(F.lit("建议优先补充这些文档类型："), F.array_join("recommended_kinds", "、"))),
         F.when(F.col("__k").isNull(), "当前材料中缺少清晰可提取的 ESG 指标，建议补充 KPI 表或量化段落。"),
     ))
-    return joined.select("company", F.posexplode(texts).alias("number", "recommendation"))
+    return joined.select("company", F.posexplode_outer(texts).alias("number", "recommendation")).where("number IS NOT NULL")
 
 
 def report_draft(items: DataFrame, kpis: DataFrame, links: DataFrame, chosen: DataFrame, rules: RuleSet, request: Column | None = None) -> DataFrame:
@@ -354,7 +354,7 @@ def report_draft(items: DataFrame, kpis: DataFrame, links: DataFrame, chosen: Da
         F.when(F.col("weak") + F.col("missing") == 0, _line(gap_section, 0, F.lit("当前矩阵未识别出明显缺口。正式发布前仍建议进行数据口径、边界和审批记录复核。"))),
         _line(link_section, -2, F.lit("")), _line(link_section, -1, F.lit("## 证据索引")),
     ]
-    lines = facts.select("company", F.explode(F.array_compact(F.array(*head))).alias("l"))
+    lines = facts.select("company", F.explode_outer(F.array_compact(F.array(*head))).alias("l"))
 
     rank = F.row_number().over(Window.partitionBy("company", "pillar").orderBy("rule_idx"))
     numbers = F.create_map(*[x for p, n in section.items() for x in (F.lit(p), F.lit(n))])

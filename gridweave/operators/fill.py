@@ -64,7 +64,7 @@ def match_headers(pairs: DataFrame) -> DataFrame:
 
     keys = [c for c in pairs.columns if c not in ("source_headers", "target_headers")]
     prepared = pairs.select(*keys, sources.alias("__sources"), targets.alias("__targets"))
-    picked = prepared.select(*keys, F.explode(F.aggregate("__targets", start, pick)["picks"]).alias("m"))
+    picked = prepared.select(*keys, F.explode_outer(F.aggregate("__targets", start, pick)["picks"]).alias("m")).where("m IS NOT NULL")
     return picked.select(*keys, "m.*")
 
 
@@ -139,7 +139,7 @@ def in_merged_range(targets: DataFrame, merged: DataFrame, keys: Sequence[str] =
     its own block, and the rest is a filter.
     """
     ranges = merged.withColumn(
-        "__block", F.explode(F.sequence(F.floor(F.col("min_row") / block), F.floor(F.col("max_row") / block)))
+        "__block", F.explode_outer(F.sequence(F.floor(F.col("min_row") / block), F.floor(F.col("max_row") / block)))
     )
     cells = targets.select(*keys, "row_idx", "col_idx", F.floor(F.col("row_idx") / block).alias("__block")).distinct()
     inside = F.expr("row_idx BETWEEN min_row AND max_row AND col_idx BETWEEN min_col AND max_col")

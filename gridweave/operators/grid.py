@@ -122,7 +122,7 @@ def repaired_names(names: Column, width: Column) -> Column:
 
 def unique_headers(heads: DataFrame) -> DataFrame:
     """Header of every column of a sheet, one row each, from `sheet_heads`."""
-    return heads.select(*SHEET, F.posexplode("headers").alias("p", "header")).select(
+    return heads.select(*SHEET, F.posexplode_outer("headers").alias("p", "header")).where("p IS NOT NULL").select(
         *SHEET, (F.col("p") + 1).alias("col_idx"), "header"
     )
 

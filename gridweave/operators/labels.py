@@ -93,7 +93,7 @@ def row_index(rows: DataFrame) -> DataFrame:
             key = _entry_key([F.concat(F.lit(f + "="), F.col(_row_field(f))) for f in subset]) if subset else F.lit("")
             keys.append(F.when(present, key))
     return (
-        rows.select("job_id", "metric", "mapping_id", "map_idx", F.explode(F.array_compact(F.array(*keys))).alias("entry"))
+        rows.select("job_id", "metric", "mapping_id", "map_idx", F.explode_outer(F.array_compact(F.array(*keys))).alias("entry"))
         .groupBy("job_id", "metric", "entry")
         .agg(F.count(F.lit(1)).alias("row_count"), F.min_by("mapping_id", "map_idx").alias("mapping_id"))
     )
@@ -107,7 +107,7 @@ def named_values(labels: DataFrame, rows: DataFrame) -> DataFrame:
     """Context field values that a label names (label keys, field, field_value)."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(_row_field(f)).alias("field_value")) for f in FIELDS])
     values = rows.select("job_id", F.explode(fields).alias("v")).select("job_id", "v.*").where("field_value IS NOT NULL AND field_value <> ''").distinct()
-    vocabulary = values.withColumn("word", F.explode(context_tokens("field_value")))
+    vocabulary = values.withColumn("word", F.explode_outer(context_tokens("field_value")))
     return find_tokens(labels.select(*LABEL, "token"), "token", vocabulary, "word", ["job_id"]).select(*LABEL, "field", "field_value").distinct()
 
 
@@ -139,8 +139,8 @@ def match_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
     for f in FIELDS:
         options = F.flatten(F.transform(options, _extend(F.coalesce(F.col(f"__{f}"), S.string_array([])), fixed.LABEL_CONTEXT_WEIGHTS[f])))
     lookups = (
-        joined.select(*LABEL, "label", F.explode("hits").alias("h"), options.alias("__options"))
-        .select(*LABEL, "label", "h.*", F.explode("__options").alias("o"))
+        joined.select(*LABEL, "label", F.explode_outer("hits").alias("h"), options.alias("__options"))
+        .select(*LABEL, "label", "h.*", F.explode_outer("__options").alias("o"))
         .where("exact OR o.weight > 0")
         .select(*LABEL, "label", "metric", "o.entry", (F.col("points") + F.col("o.weight")).alias("score"))
     )

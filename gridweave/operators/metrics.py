@@ -266,7 +266,7 @@ def plan_calculations(sheet_columns: DataFrame, requests: DataFrame) -> DataFram
     operations = S.operations_requested("request")
     specs = grouped.select(
         "request_id", "doc_id", "sheet", "col_idx", F.col("header").alias("column"), "group_col",
-        S.time_tokens("request").alias("time_tokens"), F.posexplode(operations).alias("op_idx", "operation"),
+        S.time_tokens("request").alias("time_tokens"), F.posexplode_outer(operations).alias("op_idx", "operation"),
     )
     label = F.concat(F.col("column"), F.coalesce(S.lookup(fixed.OPERATION_LABELS, F.col("operation")), F.col("operation")))
     order = Window.partitionBy("request_id").orderBy("doc_id", "sheet", "col_idx", "op_idx")

@@ -93,7 +93,7 @@ def find_tokens(
             ),
         )
     )
-    exploded = texts.withColumn("__piece", F.explode(F.array_distinct(pieces)))
+    exploded = texts.withColumn("__piece", F.explode_outer(F.array_distinct(pieces)))
     keyed = vocabulary.where(F.length(token) >= min_length).withColumn("__piece", F.substring(token, 1, max_length))
     return (
         exploded.join(keyed, [*keys, "__piece"])
@@ -116,13 +116,13 @@ def find_keywords(
     positions = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)))
     windows = texts.select(key, lowered.alias("__text")).select(
         key,
-        F.posexplode(F.transform(positions, lambda i: F.substring(F.col("__text"), i, F.lit(longest)))).alias(
+        F.posexplode_outer(F.transform(positions, lambda i: F.substring(F.col("__text"), i, F.lit(longest)))).alias(
             "__at", "__window"
         ),
     )
     grams = windows.select(
         key, "__at", "__window",
-        F.explode(F.array_distinct(F.array(*[F.substring("__window", 1, n) for n in (1, 2, 3)]))).alias("__gram"),
+        F.explode_outer(F.array_distinct(F.array(*[F.substring("__window", 1, n) for n in (1, 2, 3)]))).alias("__gram"),
     )
     words = vocabulary.withColumn("__gram", F.substring(F.lower(F.col(keyword)), 1, 3))
     size = F.length(keyword)

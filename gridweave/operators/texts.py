@@ -3,6 +3,9 @@
 A document is one row. Its segments are an array inside that row until the very end, so segmentation,
 scoring and the choice of the best segments need no shuffle and no window: only numbers per document
 are exchanged.
+
+Arrays that are computed are unnested with the outer generators: the plain ones make the optimizer add a
+filter on the size of the array, which computes the array a second and a third time.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def explode_segments(
     documents: DataFrame, keys: Sequence[str], kind: str = "paragraph", label_prefix: str = "正文片段", page: str | None = None
 ) -> DataFrame:
     """Segments in long form with number, id, label and location."""
-    long = documents.select(*keys, *([page] if page and page not in keys else []), F.posexplode("segments").alias("seg_idx", "text"))
+    long = documents.select(*keys, *([page] if page and page not in keys else []), F.posexplode_outer("segments").alias("seg_idx", "text")).where("seg_idx IS NOT NULL")
     number = (F.col("seg_idx") + 1).cast("string")
     if page is None:
         segment_id, label, place = F.concat(F.lit(kind + "_"), number), F.concat(F.lit(label_prefix + " "), number), None
@@ -77,7 +80,7 @@ def line_sections(documents: DataFrame, key: str, text: str = "text") -> DataFra
         key, "__lines", F.aggregate("__lines", start, step, lambda acc: acc["sections"]).alias("__sections")
     )
     pairs = F.arrays_zip(F.col("__lines").alias("line"), F.col("__sections").alias("section"))
-    return folded.select(key, F.posexplode(pairs).alias("line_idx", "p")).select(key, "line_idx", "p.line", "p.section")
+    return folded.select(key, F.posexplode_outer(pairs).alias("line_idx", "p")).where("line_idx IS NOT NULL").select(key, "line_idx", "p.line", "p.section")
 
 
 # --- pages ------------------------------------------------------------------------------------
@@ -217,7 +220,7 @@ def document_counts(documents: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("type").alias("dimension"), F.col("doc_type").alias("name"))),
         F.transform("kinds", lambda k: F.struct(F.lit("kind").alias("dimension"), k.alias("name"))),
     )
-    return documents.select(F.explode(tags).alias("t")).groupBy("t.dimension", "t.name").agg(F.count(F.lit(1)).alias("documents"))
+    return documents.select(F.explode_outer(tags).alias("t")).groupBy("t.dimension", "t.name").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def completeness(documents: DataFrame, required: DataFrame, case: str) -> DataFrame:
@@ -225,7 +228,7 @@ def completeness(documents: DataFrame, required: DataFrame, case: str) -> DataFr
 
     `required`: case, kind. Kinds come from a fixed list, so the arrays per case are short.
     """
-    present = documents.withColumn("k", F.explode("kinds")).groupBy(case).agg(F.sort_array(F.collect_set("k")).alias("present"))
+    present = documents.withColumn("k", F.explode_outer("kinds")).groupBy(case).agg(F.sort_array(F.collect_set("k")).alias("present"))
     facts = documents.groupBy(case).agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("readable")).alias("unreadable"))
     wanted = required.groupBy(case).agg(F.sort_array(F.collect_set("kind")).alias("required"))
     joined = wanted.join(present, case, "left").join(facts, case, "left").na.fill(0, ["documents", "unreadable"])

@@ -40,9 +40,9 @@ def rules() -> RuleSet:
 
 def segments(spark, folder):
     """Segments of documents, and line items as segments of one more document per order."""
-    docs = T.with_segments(table(spark, folder, "documents").select("doc_id", F.col("source").alias("company"), "text"))
+    docs = T.with_segments(table(spark, folder, "documents", "doc_id").select("doc_id", F.col("source").alias("company"), "text"))
     long = T.explode_segments(docs, ["company", "doc_id"])
-    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").select(
+    lines = table(spark, folder, "lineitem", "l_orderkey").where("l_linenumber <= 2").select(
         F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"), (F.col("l_orderkey") + 1000000).alias("doc_id"),
         (F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000).cast("int").alias("seg_idx"), numbered_line().alias("text"),
         F.concat(F.lit("row_"), "l_linenumber").alias("segment_id"), F.concat(F.lit("第 "), "l_linenumber", F.lit(" 行")).alias("location"),
@@ -123,7 +123,7 @@ def kpis(spark, folder):
 
 
 def chosen(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("source").alias("company"), S.clip("text", fixed.PREVIEW_CHARS).alias("preview"))
+    docs = table(spark, folder, "documents", "doc_id").select(F.col("source").alias("company"), S.clip("text", fixed.PREVIEW_CHARS).alias("preview"))
     return C.standards(docs, "climate report")
 
 

@@ -35,14 +35,14 @@ def customer_cells(spark, folder):
     values = F.when(template, F.array(label, F.when(F.col("c_custkey") % 7 == 0, F.col("c_acctbal").cast("string")))).otherwise(
         F.array("c_name", F.col("c_acctbal").cast("string"), F.concat(F.lit("¥"), F.col("c_custkey").cast("string")), F.lit(" "), F.lit("元"))
     )
-    data = base.select("doc_id", "doc_name", "sheet", "row_idx", F.posexplode(values).alias("p", "raw"))
+    data = base.select("doc_id", "doc_name", "sheet", "row_idx", F.posexplode_outer(values).alias("p", "raw"))
     heads = base.select("doc_id", "doc_name", "sheet").distinct()
     titles = heads.select(
         "doc_id", "doc_name", "sheet", F.lit(1).cast("bigint").alias("row_idx"), F.lit(0).alias("p"), F.lit("客户数据汇总").alias("raw")
     )
     names = heads.select(
         "doc_id", "doc_name", "sheet", F.lit(3).cast("bigint").alias("row_idx"),
-        F.posexplode(F.when(template, S.string_array(TEMPLATE_HEADERS)).otherwise(S.string_array(SOURCE_HEADERS))).alias("p", "raw"),
+        F.posexplode_outer(F.when(template, S.string_array(TEMPLATE_HEADERS)).otherwise(S.string_array(SOURCE_HEADERS))).alias("p", "raw"),
     )
     value = S.blank_to_null("raw")
     return data.unionByName(titles).unionByName(names).select(

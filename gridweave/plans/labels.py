@@ -34,7 +34,7 @@ def part_cells(spark, folder):
     titles = part.select(F.col("p_type").alias("job_id")).distinct().select(
         "job_id", F.lit("模板").alias("sheet"), F.lit(1).cast("bigint").alias("row_idx"), F.array(F.lit("费用汇总")).alias("v")
     )
-    cells = row.unionByName(titles).select("job_id", "sheet", "row_idx", F.posexplode("v").alias("p", "value_str"))
+    cells = row.unionByName(titles).select("job_id", "sheet", "row_idx", F.posexplode_outer("v").alias("p", "value_str"))
     return cells.where("value_str IS NOT NULL").select("job_id", "sheet", "row_idx", (F.col("p") + 1).alias("col_idx"), "value_str")
 
 

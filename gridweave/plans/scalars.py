@@ -66,7 +66,7 @@ def register(catalog: Catalog) -> None:
     )
     def parse_numeric(spark, folder):
         """Words of each document that are numbers."""
-        words = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+        words = table(spark, folder, "documents", "doc_id").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
         return words.withColumn("v", S.parse_numeric("w")).groupBy("doc_id").agg(
             F.count(F.lit(1)).alias("words"), F.count("v").alias("numbers"), F.max("v").alias("largest"), F.min("v").alias("smallest")
         )
@@ -102,7 +102,7 @@ def register(catalog: Catalog) -> None:
     def norm_token(spark, folder):
         """Normalized token of whole texts."""
         token = S.norm_token("text")
-        df = table(spark, folder, "documents").select("doc_id", token.alias("t"))
+        df = table(spark, folder, "documents", "doc_id").select("doc_id", token.alias("t"))
         return df.select("doc_id", F.length("t").alias("token_chars"), F.md5("t").alias("token_md5"))
 
     @catalog.add(
@@ -127,7 +127,7 @@ def register(catalog: Catalog) -> None:
     def clip_preview(spark, folder):
         """Preview and excerpt of each document, and the flag of an upload limit."""
         body, too_long = S.flag_long_text("text", 5000)
-        return table(spark, folder, "documents").select(
+        return table(spark, folder, "documents", "doc_id").select(
             "doc_id", S.clip("text", fixed.PREVIEW_CHARS).alias("preview"), S.clip("text").alias("excerpt"),
             too_long.alias("too_long"), (body == S.strip("text")).alias("unchanged"),
         )
@@ -140,7 +140,7 @@ def register(catalog: Catalog) -> None:
     )
     def word_count(spark, folder):
         """Words of each document, CJK characters counted one by one."""
-        return table(spark, folder, "documents").select("doc_id", S.word_count("text").alias("words"))
+        return table(spark, folder, "documents", "doc_id").select("doc_id", S.word_count("text").alias("words"))
 
     pattern = S.number_pattern()
 
@@ -155,11 +155,11 @@ def register(catalog: Catalog) -> None:
     )
     def number_units(spark, folder):
         """All numbers with units in the documents and in sentences made from lineitem."""
-        texts = table(spark, folder, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("text").alias("t"))
-        lines = table(spark, folder, "lineitem").select(
+        texts = table(spark, folder, "documents", "doc_id").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.col("text").alias("t"))
+        lines = table(spark, folder, "lineitem", "l_orderkey").select(
             F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), numbered_line().alias("t")
         )
-        return texts.unionByName(lines).select("id", F.posexplode(S.number_units("t")).alias("position", "n")).select(
+        return texts.unionByName(lines).select("id", F.posexplode_outer(S.number_units("t")).alias("position", "n")).where("position IS NOT NULL").select(
             "id", (F.col("position") + 1).alias("position"), "n.value", "n.unit"
         )
 
@@ -170,8 +170,8 @@ def register(catalog: Catalog) -> None:
     )
     def keyword_hits(spark, folder):
         """Which of a few keywords occur in which document, and how often."""
-        df = table(spark, folder, "documents").select("doc_id", F.lower("text").alias("t"))
-        found = df.select("doc_id", "t", F.explode(S.keywords_found(F.col("t"), DEMO_WORDS)).alias("keyword"))
+        df = table(spark, folder, "documents", "doc_id").select("doc_id", F.lower("text").alias("t"))
+        found = df.select("doc_id", "t", F.explode_outer(S.keywords_found(F.col("t"), DEMO_WORDS)).alias("keyword")).where("keyword IS NOT NULL")
         return found.select("doc_id", "keyword", S.occurrences(F.col("t"), F.col("keyword")).alias("hits"))
 
     @catalog.add(
@@ -255,12 +255,12 @@ def register(catalog: Catalog) -> None:
             F.regexp_replace("url", "[?#].*$", ""), F.element_at(S.string_array(endings), (F.col("page_id") % 8 + 1).cast("int"))
         )
         mime = F.when(F.col("page_id") % 16 == 7, "application/msword").when(F.col("page_id") % 16 == 15, "application/ld+json")
-        return table(spark, folder, "pages").select("page_id", S.document_type(name, mime).alias("doc_type"))
+        return table(spark, folder, "pages", "page_id").select("page_id", S.document_type(name, mime).alias("doc_type"))
 
     @catalog.add()
     def html_text(spark, folder):
         """Text of the pages: once as it is, once without script and style bodies."""
-        pages = table(spark, folder, "pages")
+        pages = table(spark, folder, "pages", "page_id")
         every = files.html_text(pages, "page_id", "html")
         return every.select("page_id", F.length("text").alias("chars"), S.clip("text", 220).alias("excerpt"))
 
@@ -287,7 +287,7 @@ def register(catalog: Catalog) -> None:
     )
     def manifest(spark, folder):
         """Size and hash of each document as a file."""
-        df = table(spark, folder, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")).alias("file"), "text")
+        df = table(spark, folder, "documents", "doc_id").select(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".md")).alias("file"), "text")
         return sinks.manifest(df, "file", "text")
 
     part_columns = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -404,7 +404,7 @@ def register(catalog: Catalog) -> None:
     )
     def required_kinds(spark, folder):
         """Document kinds each request needs."""
-        return requests(spark, folder).select("conv_id", "turn", F.explode(S.required_kinds("request")).alias("kind"))
+        return requests(spark, folder).select("conv_id", "turn", F.explode_outer(S.required_kinds("request")).alias("kind")).where("kind IS NOT NULL")
 
     stop_words = sql_array(fixed.REQUEST_STOP_WORDS)
     cjk = r"[\x{4e00}-\x{9fff}]"
@@ -444,7 +444,7 @@ def register(catalog: Catalog) -> None:
         )
         # Two expected pages at least, so that a text without markers is not taken as one page.
         split = S.split_pages(F.col("text"), F.lit(1), F.greatest(F.col("pages"), F.lit(1)))
-        return books.where("NOT (pages = 1 AND conv_id % 5 = 0)").select("conv_id", F.explode(split).alias("page", "raw")).select(
+        return books.where("NOT (pages = 1 AND conv_id % 5 = 0)").select("conv_id", F.explode_outer(split).alias("page", "raw")).where("page IS NOT NULL").select(
             "conv_id", "page", F.when(F.startswith("raw", F.lit("[page")), S.strip(F.regexp_replace("raw", r"^\[page 1\]\n", ""))).otherwise(F.col("raw")).alias("text")
         )
 
@@ -480,5 +480,5 @@ def register(catalog: Catalog) -> None:
     def ordered_distinct(spark, folder):
         """First six different words of each document in order."""
         words = F.filter(F.split("text", " "), lambda w: ~F.contains(w, F.lit("\n")))
-        df = table(spark, folder, "documents").withColumn("w", S.ordered_distinct(words, 6)).where(F.size("w") > 0)
+        df = table(spark, folder, "documents", "doc_id").withColumn("w", S.ordered_distinct(words, 6)).where(F.size("w") > 0)
         return df.select("doc_id", F.array_join("w", " ").alias("words"))

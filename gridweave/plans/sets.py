@@ -1,2 +1,37 @@
-def register(catalog):
-    pass
+"""Set queries over events: newest per key, stale keys, runs to resume."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridweave.operators import sets as A
+from gridweave.plans.catalog import Catalog, table
+
+
+def register(catalog: Catalog) -> None:
+    @catalog.add(
+        """WITH e AS (SELECT *, row_number() OVER (PARTITION BY coalesce(CAST(CASE WHEN user_id % 10 <> 0 THEN user_id END AS VARCHAR), ''), event_type ORDER BY event_id DESC) AS n,
+             min(event_id) OVER (PARTITION BY coalesce(CAST(CASE WHEN user_id % 10 <> 0 THEN user_id END AS VARCHAR), ''), event_type) AS position FROM events)
+        SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, event_type, value, position FROM e WHERE n = 1"""
+    )
+    def latest_per_key(spark, folder):
+        """Newest event per user and type in the place of the first one; some users have no id."""
+        events = table(spark, folder, "events").select("event_id", F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_type", "value")
+        return A.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+
+    @catalog.add("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-29 00:00:00'")
+    def stale_keys(spark, folder):
+        """Users without an event since a cutoff."""
+        return A.stale_keys(table(spark, folder, "events"), "user_id", "ts", F.lit("2024-01-29 00:00:00").cast("timestamp"))
+
+    @catalog.add(
+        """SELECT DISTINCT user_id AS job_id FROM events WHERE event_type = 'view' OR (event_type = 'click' AND (event_id % 9 = 0 OR ts < TIMESTAMP '2024-01-02 00:00:00'))"""
+    )
+    def stale_union(spark, folder):
+        """Jobs to resume: queued ones, and running ones with an old heartbeat or none."""
+        kind = F.col("event_type")
+        jobs = table(spark, folder, "events").select(
+            F.col("user_id").alias("job_id"), F.when(kind == "view", "queued").when(kind == "click", "running").otherwise("done").alias("status"),
+            F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("heartbeat"),
+        )
+        return A.resumable(jobs, F.lit("2024-01-02 00:00:00").cast("timestamp"))

@@ -19,7 +19,7 @@ KEYWORDS = ["find", "the", "license", "apache", "and", "src1/docs"]
 
 def documents(spark, folder):
     """Documents with name, type, kinds and segments."""
-    df = table(spark, folder, "documents").select(
+    df = table(spark, folder, "documents", "doc_id").select(
         "doc_id", F.col("doc_id").alias("doc_idx"), F.col("source").alias("company"), "text", F.concat("lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("doc_name"),
         F.lit("text").alias("doc_type"),
     )
@@ -28,7 +28,7 @@ def documents(spark, folder):
 
 def marked(spark, folder):
     """Documents with full stops as exclamation marks, so that sentences can be cut."""
-    return table(spark, folder, "documents").select("doc_id", F.translate("text", ".", "!").alias("text"))
+    return table(spark, folder, "documents", "doc_id").select("doc_id", F.translate("text", ".", "!").alias("text"))
 
 
 MARKED = "(SELECT doc_id, replace(text, '.', '!') AS text FROM documents)"
@@ -72,18 +72,18 @@ def register(catalog: Catalog) -> None:
     )
     def split_blocks(spark, folder):
         """Blocks of each document."""
-        return marked(spark, folder).select("doc_id", F.posexplode(G.split_blocks(F.col("text"))).alias("block", "text"))
+        return marked(spark, folder).select("doc_id", F.posexplode_outer(G.split_blocks(F.col("text"))).alias("block", "text")).where("block IS NOT NULL")
 
     @catalog.add(f"WITH {Q.segments(MARKED, 'doc_id', 'text', 300)} SELECT doc_id, seg_idx, text FROM segments")
     def chunk_blocks(spark, folder):
         """Documents with sentence marks as chunks of at most 300 characters."""
-        return marked(spark, folder).select("doc_id", F.posexplode(G.segment_texts(F.col("text"), 300)).alias("seg_idx", "text"))
+        return marked(spark, folder).select("doc_id", F.posexplode_outer(G.segment_texts(F.col("text"), 300)).alias("seg_idx", "text")).where("seg_idx IS NOT NULL")
 
     @catalog.add(f"WITH s AS (SELECT doc_id, {Q.strip('text')} AS t FROM documents), o AS (SELECT doc_id, {Q.slices('t', 900, 120)} AS a FROM s) SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS slice, unnest(a) AS text FROM o")
     def overlap_slices(spark, folder):
         """Whole texts as overlapping windows."""
         text = S.strip("text")
-        return table(spark, folder, "documents").select("doc_id", F.posexplode(G.overlap_slices(text)).alias("slice", "text"))
+        return table(spark, folder, "documents", "doc_id").select("doc_id", F.posexplode_outer(G.overlap_slices(text)).alias("slice", "text")).where("slice IS NOT NULL")
 
     @catalog.add(
         f"WITH {SEGMENTS} SELECT doc_id, seg_idx, text, 'paragraph_' || (seg_idx + 1) AS segment_id, '正文片段 ' || (seg_idx + 1) AS label, '正文片段 ' || (seg_idx + 1) AS location FROM segments"
@@ -99,7 +99,7 @@ def register(catalog: Catalog) -> None:
     )
     def page_segments(spark, folder):
         """Segments inside each page (a turn of a conversation is a page)."""
-        pages = T.with_segments(table(spark, folder, "conversations"))
+        pages = T.with_segments(table(spark, folder, "conversations", "conv_id"))
         return T.explode_segments(pages, ["conv_id", "turn"], kind="page", page="turn")
 
     @catalog.add(
@@ -109,7 +109,7 @@ def register(catalog: Catalog) -> None:
     )
     def page_merge(spark, folder):
         """Two versions of the pages of a conversation, each with gaps, as one."""
-        talk = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+        talk = table(spark, folder, "conversations", "conv_id").select("conv_id", "turn", "text")
         second = talk.where("turn % 3 <> 1").withColumn("text", F.concat("text", F.lit("\nmore")))
         return T.merge_pages(talk.where("turn % 3 <> 0"), second, ["conv_id", "turn"])
 
@@ -121,7 +121,7 @@ def register(catalog: Catalog) -> None:
     )
     def sparse_docs(spark, folder):
         """Conversations to read again: pages without text or too little text."""
-        talk = table(spark, folder, "conversations")
+        talk = table(spark, folder, "conversations", "conv_id")
         expected = talk.groupBy("conv_id").agg((F.max("turn") + 1).alias("page_count"))
         return T.needs_second_pass(talk.where("role <> 'system'").select("conv_id", "text"), expected, "conv_id")
 
@@ -132,12 +132,12 @@ def register(catalog: Catalog) -> None:
     )
     def section_ffill(spark, folder):
         """Lines of each document with the section they belong to."""
-        return T.line_sections(table(spark, folder, "documents"), "doc_id")
+        return T.line_sections(table(spark, folder, "documents", "doc_id"), "doc_id")
 
     @catalog.add(f"WITH {DOCS}, {SEGMENTS}, {SCORES} SELECT doc_id, seg_idx, points, array_to_string(matched, ',') AS matched FROM kept")
     def segment_score(spark, folder):
         """Score and matched keywords of the segments that count for a request."""
-        long = scored(spark, folder).select("doc_id", F.explode("scored").alias("s"))
+        long = scored(spark, folder).select("doc_id", F.explode_outer("scored").alias("s")).where("s IS NOT NULL")
         return long.select("doc_id", "s.seg_idx", "s.points", F.array_join("s.matched", ",").alias("matched"))
 
     @catalog.add(f"WITH {DOCS}, {SEGMENTS}, {SCORES} SELECT doc_id, company, hits, points, segs AS segments_kept FROM doc_scores")
@@ -156,7 +156,7 @@ def register(catalog: Catalog) -> None:
     def budget_select(spark, folder):
         """Segments chosen per company: six documents, two segments each, ten in all."""
         chosen = T.spend_budget(T.top_documents(scored(spark, folder), ["company"], 6), ["company"], 2, 10)
-        return chosen.select("company", "doc_rank", "doc_id", F.posexplode("selected").alias("p", "s")).select(
+        return chosen.select("company", "doc_rank", "doc_id", F.posexplode_outer("selected").alias("p", "s")).where("s IS NOT NULL").select(
             "company", "doc_rank", "doc_id", "s.seg_idx", "s.points", (F.col("p") + 1).alias("seg_rank")
         )
 
@@ -220,7 +220,7 @@ def register(catalog: Catalog) -> None:
     @catalog.add(f"WITH {DOCS} SELECT doc_id, unnest(kinds) AS kind FROM kinds")
     def doc_kinds(spark, folder):
         """Kinds of each document."""
-        return documents(spark, folder).select("doc_id", F.explode("kinds").alias("kind"))
+        return documents(spark, folder).select("doc_id", F.explode_outer("kinds").alias("kind"))
 
     @catalog.add(f"WITH {DOCS} SELECT 'type' AS dimension, 'text' AS name, count(*) AS documents FROM kinds UNION ALL SELECT 'kind', k, count(*) FROM (SELECT unnest(kinds) AS k FROM kinds) GROUP BY k")
     def doc_counts(spark, folder):
@@ -252,6 +252,6 @@ def register(catalog: Catalog) -> None:
         """Text of documents that have a content, a second version, both or only a summary."""
         kind = F.col("doc_id") % 4
         content, second = F.when(kind < 2, F.col("text")), F.when(kind.isin(1, 2), F.concat("text", F.lit("\nzz")))
-        return table(spark, folder, "documents").select(
+        return table(spark, folder, "documents", "doc_id").select(
             "doc_id", T.normalized_text(content, second, F.lit("summary")).alias("text"), T.segment_kind(content, second, F.lit("summary")).alias("kind")
         )
