@@ -46,5 +46,5 @@ def table(spark: SparkSession, folder: str, name: str, spread: str | None = None
     if spread is None:
         return df
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores, spread) if size < cores * SMALL_SHARE else df

@@ -19,10 +19,10 @@ def register(catalog: Catalog) -> None:
         events = table(spark, folder, "events").select("event_id", F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_type", "value")
         return A.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
-    @catalog.add("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-29 00:00:00'")
+    @catalog.add("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 18:00:00'")
     def stale_keys(spark, folder):
         """Users without an event since a cutoff."""
-        return A.stale_keys(table(spark, folder, "events"), "user_id", "ts", F.lit("2024-01-29 00:00:00").cast("timestamp"))
+        return A.stale_keys(table(spark, folder, "events"), "user_id", "ts", F.lit("2024-01-30 18:00:00").cast("timestamp"))
 
     @catalog.add(
         """SELECT DISTINCT user_id AS job_id FROM events WHERE event_type = 'view' OR (event_type = 'click' AND (event_id % 9 = 0 OR ts < TIMESTAMP '2024-01-02 00:00:00'))"""
