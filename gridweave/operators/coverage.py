@@ -38,12 +38,15 @@ def companies(documents: DataFrame) -> DataFrame:
     return documents.select("company").distinct()
 
 
-def pillar_coverage(segments: DataFrame, rules: RuleSet) -> DataFrame:
-    """Documents and segments per company and pillar; every pillar has a row."""
+def pillar_coverage(segments: DataFrame, rules: RuleSet, owners: DataFrame | None = None) -> DataFrame:
+    """Documents and segments per company and pillar; every pillar has a row.
+
+    `owners` (company) spares reading the segments a second time for the list of companies.
+    """
     counts = document_hits(segments, rules.pillar_keywords, "pillar").groupBy("company", "pillar").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("evidence").alias("evidence")
     )
-    return every_rule(companies(segments), "pillar", list(rules.pillars), "pillar_idx").join(counts, ["company", "pillar"], "left").na.fill(0, ["documents", "evidence"]).withColumn(
+    return every_rule(companies(segments if owners is None else owners), "pillar", list(rules.pillars), "pillar_idx").join(counts, ["company", "pillar"], "left").na.fill(0, ["documents", "evidence"]).withColumn(
         "label", S.lookup(rules.pillars, "pillar")
     )
 
@@ -71,14 +74,14 @@ def topic_coverage(segments: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
-def topic_matrix(segments: DataFrame, rules: RuleSet) -> DataFrame:
-    """Every topic of every company as covered, weak or missing."""
+def topic_matrix(segments: DataFrame, rules: RuleSet, owners: DataFrame | None = None) -> DataFrame:
+    """Every topic of every company as covered, weak or missing (`owners` as in `pillar_coverage`)."""
     facts = [
         F.create_map(*[x for t in rules.topics for x in (F.lit(t.topic), value(t))])
         for value in (lambda t: F.lit(t.label), lambda t: F.lit(t.pillar), lambda t: F.lit(t.weak_threshold), lambda t: S.string_array(list(t.required_kinds)))
     ]
     label, pillar, threshold, kinds = (F.try_element_at(m, F.col("topic")) for m in facts)
-    joined = every_rule(companies(segments), "topic", [t.topic for t in rules.topics], "rule_idx").join(topic_coverage(segments, rules), ["company", "topic"], "left")
+    joined = every_rule(companies(segments if owners is None else owners), "topic", [t.topic for t in rules.topics], "rule_idx").join(topic_coverage(segments, rules), ["company", "topic"], "left")
     status = F.when(F.col("documents").isNull(), "missing").when(F.col("evidence") < F.col("weak_threshold"), "weak").otherwise("covered")
     return (
         joined.withColumns({"label": label, "pillar": pillar, "weak_threshold": threshold, "required_kinds": kinds})

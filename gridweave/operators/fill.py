@@ -132,23 +132,23 @@ def write_status(value: Column, existing: Column, policy: Column | None = None,
     )
 
 
-def in_merged_range(targets: DataFrame, merged: DataFrame, keys: Sequence[str] = ("doc_id", "sheet"), block: int = 64) -> DataFrame:
+def in_merged_range(
+    targets: DataFrame, merged: DataFrame, keys: Sequence[str] = ("doc_id", "sheet"), spread: Sequence[str] = ("row_idx", "col_idx"), block: int = 64
+) -> DataFrame:
     """Adds `blocked`: the target cell lies in a merged range and is not its first cell.
 
-    The range join runs on blocks of rows: a range is listed under every block it touches, a cell under
-    its own block, and the rest is a filter.
+    Ranges are listed under every block of rows they touch. As merged ranges do not overlap, a block has
+    only as many as fit into its rows; they come to the targets of the block as one array.
     """
-    ranges = merged.withColumn(
-        "__block", F.explode_outer(F.sequence(F.floor(F.col("min_row") / block), F.floor(F.col("max_row") / block)))
-    )
-    cells = targets.select(*keys, "row_idx", "col_idx", F.floor(F.col("row_idx") / block).alias("__block")).distinct()
-    inside = F.expr("row_idx BETWEEN min_row AND max_row AND col_idx BETWEEN min_col AND max_col")
-    first = F.expr("row_idx = min_row AND col_idx = min_col")
-    hits = (
-        cells.join(ranges, [*keys, "__block"]).where(inside).groupBy(*keys, "row_idx", "col_idx")
-        .agg((~F.bool_or(first)).alias("blocked"))
+    touched = F.explode_outer(F.sequence(F.floor(F.col("min_row") / block), F.floor(F.col("max_row") / block)))
+    ranges = merged.select(*keys, touched.alias("__block"), F.struct("min_row", "max_row", "min_col", "max_col").alias("r")).groupBy(*keys, "__block").agg(
+        F.sort_array(F.collect_list("r")).alias("__ranges")
     )
-    return targets.join(hits, [*keys, "row_idx", "col_idx"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    placed = targets.withColumn("__block", F.floor(F.col("row_idx") / block))
+    inside = "filter(__ranges, r -> row_idx BETWEEN r.min_row AND r.max_row AND col_idx BETWEEN r.min_col AND r.max_col)"
+    joined = attach(placed, ranges, [*keys, "__block"], spread).withColumn("__hit", F.expr(f"try_element_at({inside}, 1)"))
+    blocked = F.expr("__hit IS NOT NULL AND NOT (row_idx = __hit.min_row AND col_idx = __hit.min_col)")
+    return joined.select(*targets.columns, F.coalesce(blocked, F.lit(False)).alias("blocked"))
 
 
 # --- keyed fill -------------------------------------------------------------------------------
@@ -368,7 +368,7 @@ def apply_overrides(candidates: DataFrame, overrides: DataFrame, sheets: DataFra
     )
     top = F.element_at("options", 1)
     manual = F.col("decision") == "manual"
-    return checked.withColumn("decision", decision).withColumn("target_valid", valid).withColumns({
+    return checked.withColumns({"decision": decision, "target_valid": valid, "overridden": touched}).withColumns({
         "write_policy": F.when(manual, F.col("__policy")).otherwise("only_empty"),
         "target_sheet": F.when(manual | (F.col("decision") == "auto"), F.col("target_sheet")).otherwise(top["sheet"]),
         "target_cell": F.when(manual | (F.col("decision") == "auto"), F.col("target_cell")).otherwise(F.upper(top["cell"])),
@@ -381,7 +381,8 @@ def gate_candidates(decisions: DataFrame) -> DataFrame:
     One unconfirmed candidate of a job holds back all its automatic writes. Manual targets are written
     in any case.
     """
-    waits = F.col("requires_confirmation") & (F.col("decision") == "auto")
+    # `overridden` tells the same as `decision` here and spares the lookup of sheets in the facts.
+    waits = F.col("requires_confirmation") & ~F.col("overridden")
     jobs = decisions.groupBy("job_id").agg(F.bool_or(waits).alias("__pending"))
     known = attach(decisions, jobs, ["job_id"], ["mapping_id"], "inner")
     action = (
@@ -402,24 +403,30 @@ def write_candidates(actions: DataFrame, cells: DataFrame, merged: DataFrame, la
     document, sheet, group and metric columns of its row. Of several values for one cell the first real
     one counts, in map_idx order.
     """
-    base = actions.where("action = 'write'").select(
+    side_values = F.map_from_arrays(
+        S.string_array(SIDE_FIELDS), F.array(*[F.col(f).cast("string") if f in actions.columns else F.lit(None).cast("string") for f in SIDE_FIELDS])
+    )
+    writes = actions.where("action = 'write'").select(
         "job_id", "mapping_id", "map_idx", F.col("target_sheet").alias("sheet"), S.a1_row("target_cell").cast("bigint").alias("row_idx"),
-        S.a1_column("target_cell").alias("col_idx"), "write_policy", "decision", F.lit("result").alias("field"), F.col("value").cast("string").alias("value"),
-        F.map_from_arrays(
-            S.string_array(SIDE_FIELDS), F.array(*[F.col(f).cast("string") if f in actions.columns else F.lit(None).cast("string") for f in SIDE_FIELDS])
-        ).alias("__row"),
+        S.a1_column("target_cell").alias("col_idx"), "write_policy", "decision", F.lit("result").alias("field"), F.col("value").cast("string").alias("value"), side_values.alias("__row"),
     )
-    writes = base
     if layouts is not None:
-        side = base.drop("field", "value").withColumnRenamed("col_idx", "__result_col").join(layouts, ["job_id", "sheet"]).where("col_idx <> __result_col")
-        side = side.withColumn("value", F.try_element_at("__row", F.col("field"))).where("field <> 'result'").drop("__result_col")
-        writes = base.unionByName(side.select(*base.columns))
+        # The known headers of a sheet are few, so they travel as one array per sheet.
+        known = layouts.groupBy("job_id", "sheet").agg(F.collect_list(F.struct("field", F.col("col_idx").cast("int").alias("col_idx"))).alias("__side"))
+        sided = attach(writes, known, ["job_id", "sheet"], ["mapping_id"])
+        own = F.array(F.struct(F.col("field").alias("field"), F.col("col_idx").alias("col_idx"), F.col("value").alias("value")))
+        others = F.expr(
+            "transform(filter(coalesce(__side, array()), s -> s.col_idx <> col_idx AND s.field <> 'result'), s -> struct(s.field AS field, s.col_idx AS col_idx, try_element_at(__row, s.field) AS value))"
+        )
+        spread_out = sided.select("job_id", "mapping_id", "map_idx", "sheet", "row_idx", "write_policy", "decision", F.explode_outer(F.concat(own, others)).alias("w"))
+        writes = spread_out.select("job_id", "mapping_id", "map_idx", "sheet", "row_idx", F.col("w.col_idx").alias("col_idx"), "write_policy", "decision", "w.field", "w.value")
+    else:
+        writes = writes.drop("__row")
     target = ["job_id", "sheet", "row_idx", "col_idx"]
     first = writes.where(~S.is_empty_like("value")).groupBy(*target).agg(F.min_by(F.struct("map_idx", "value"), "map_idx").alias("__first"))
     grid = cells.select(*target[:2], F.col("row_idx").cast("bigint").alias("row_idx"), "col_idx", F.col("value_str").alias("__before"))
-    facts = first.join(grid, target, "full_outer")
-    known = attach(writes.drop("__row"), facts, target, ["mapping_id", "field"])
-    guarded = in_merged_range(known, merged, ["job_id", "sheet"])
+    known = attach(attach(writes, first, target, ["mapping_id", "field"]), grid, target, ["mapping_id", "field"])
+    guarded = in_merged_range(known, merged, ["job_id", "sheet"], ["mapping_id", "field"])
     later = S.is_empty_like("__before") & (F.col("__first.map_idx") < F.col("map_idx"))
     existing = F.when(later, F.col("__first.value")).otherwise(F.col("__before"))
     return guarded.withColumn("existing_value", existing).select(

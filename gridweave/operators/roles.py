@@ -92,17 +92,22 @@ def select_roles(scores: DataFrame) -> DataFrame:
     source, template = F.col("source_score"), F.col("template_score")
     named_source, named_template = F.col("mentioned") & (source >= 5), F.col("mentioned") & (template >= 5)
     fit_source, fit_template = (source > 0) & (source >= template), (template > 0) & (template >= source)
-    facts = scores.groupBy("request_id").agg(
-        F.max(source).alias("top_source"), F.count(F.lit(1)).alias("documents"),
-        F.bool_or(named_source).alias("any_named_source"), F.bool_or(named_template).alias("any_named_template"),
-        F.bool_or(fit_source).alias("any_fit_source"), F.bool_or(fit_template).alias("any_fit_template"),
-        F.max_by("doc_id", F.struct(source, (-F.col("doc_idx")).alias("x"))).alias("best_source"),
+    # First per source score (there are few), then per request: the best template below the top source
+    # needs the top source, and this way the scores are read once for all facts.
+    late = (-F.col("doc_idx")).alias("late")
+    levels = scores.groupBy("request_id", "source_score").agg(
+        F.count(F.lit(1)).alias("documents"), F.max(F.struct(template, late, "doc_id")).alias("best_template"), F.max(F.struct(late, "doc_id")).alias("first"),
+        F.bool_or(named_source).alias("ns"), F.bool_or(named_template).alias("nt"), F.bool_or(fit_source).alias("fs"), F.bool_or(fit_template).alias("ft"),
     )
-    known = attach(scores, facts, ["request_id"], ["doc_id"], "inner")
-    fallback = known.groupBy("request_id").agg(
-        F.max_by("doc_id", F.struct((source < F.col("top_source")).alias("b"), template, (-F.col("doc_idx")).alias("x"))).alias("best_template")
+    facts = levels.groupBy("request_id").agg(
+        F.sum("documents").alias("documents"), F.bool_or("ns").alias("any_named_source"), F.bool_or("nt").alias("any_named_template"),
+        F.bool_or("fs").alias("any_fit_source"), F.bool_or("ft").alias("any_fit_template"),
+        F.max_by("first.doc_id", "source_score").alias("best_source"),
+        F.sort_array(F.collect_list(F.struct("source_score", "best_template"))).alias("ranks"),
     )
-    full = attach(known, fallback, ["request_id"], ["doc_id"], "inner")
+    below = F.expr("CASE WHEN size(ranks) > 1 THEN array_max(transform(slice(ranks, 1, size(ranks) - 1), r -> r.best_template)) ELSE ranks[0].best_template END")
+    facts = facts.withColumn("best_template", below["doc_id"]).drop("ranks")
+    full = attach(scores, facts, ["request_id"], ["doc_id"], "inner")
 
     def chosen(kind: str, named: Column, fit: Column) -> Column:
         rule = F.when(F.col(f"any_named_{kind}"), named).when(F.col(f"any_fit_{kind}"), fit)

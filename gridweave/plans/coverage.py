@@ -54,6 +54,13 @@ def segments(spark, folder):
     return both.select("company", "doc_id", F.col("doc_id").alias("doc_idx"), F.concat(F.lit("doc_"), "doc_id").alias("doc_name"), "seg_idx", "segment_id", "location", "text")
 
 
+def owners(spark, folder):
+    """Companies of the documents and line items, without cutting any text."""
+    docs = table(spark, folder, "documents").where("trim(text) <> ''").select(F.col("source").alias("company"))
+    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").select(F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"))
+    return docs.unionByName(lines).distinct()
+
+
 SEGMENTS = f"""{Q.segments('documents', 'doc_id', 'text', extra='source')},
   segs AS (SELECT source AS company, doc_id, 'doc_' || doc_id AS doc_name, seg_idx, 'paragraph_' || (seg_idx + 1) AS segment_id, '正文片段 ' || (seg_idx + 1) AS location, text FROM segments
     UNION ALL SELECT 'src' || (l_suppkey % 20), l_orderkey + 1000000, 'doc_' || (l_orderkey + 1000000), CAST(l_linenumber * 10000 + l_partkey % 10000 AS INTEGER), 'row_' || l_linenumber, '第 ' || l_linenumber || ' 行', max({NUMBERED_LINE_SQL})
@@ -115,7 +122,7 @@ DISCLOSURE = f"""{MATRIX}, {KPI_SQL}, {STANDARDS_SQL},
 
 
 def matrix(spark, folder):
-    return C.topic_matrix(segments(spark, folder), rules())
+    return C.topic_matrix(segments(spark, folder), rules(), owners(spark, folder))
 
 
 def kpis(spark, folder):
@@ -139,7 +146,7 @@ def register(catalog: Catalog) -> None:
     )
     def pillar_coverage(spark, folder):
         """Documents and segments of every pillar per company."""
-        return C.pillar_coverage(segments(spark, folder), rules())
+        return C.pillar_coverage(segments(spark, folder), rules(), owners(spark, folder))
 
     @catalog.add(f"WITH {SEGMENTS}, phits AS ({_cases(PILLAR_WORDS)}) SELECT DISTINCT company, rule AS pillar, doc_name FROM phits")
     def pillar_documents(spark, folder):
@@ -225,7 +232,7 @@ def register(catalog: Catalog) -> None:
     def material_summary(spark, folder):
         """Summary text per company."""
         segs = segments(spark, folder)
-        return C.material_summary(C.pillar_coverage(segs, rules()), C.topic_matrix(segs, rules()), rules())
+        return C.material_summary(C.pillar_coverage(segs, rules(), owners(spark, folder)), C.topic_matrix(segs, rules(), owners(spark, folder)), rules())
 
     @catalog.add(
         f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, kn AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY pillar, metric, doc_name, doc_id, seg_idx) AS n FROM kpis),
@@ -251,7 +258,7 @@ def register(catalog: Catalog) -> None:
     def recommendations(spark, folder):
         """Recommendations per company."""
         segs = segments(spark, folder)
-        return C.recommendations(C.pillar_coverage(segs, rules()), C.topic_matrix(segs, rules()), C.extract_kpis(segs, rules()))
+        return C.recommendations(C.pillar_coverage(segs, rules(), owners(spark, folder)), C.topic_matrix(segs, rules(), owners(spark, folder)), C.extract_kpis(segs, rules()))
 
     @catalog.add()
     def report_draft(spark, folder):
