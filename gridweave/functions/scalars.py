@@ -101,8 +101,13 @@ def number_text(value: Column | str) -> Column:
 
 
 def exact_sum(value: Column | str, scale: int = 4) -> Column:
-    """Sum that does not depend on the order of rows: fixed-point inside, double outside."""
-    return F.sum(_col(value).cast(f"decimal(18,{scale})")).cast("double")
+    """Sum that does not depend on the order of rows: whole units of 10^-scale inside, double outside.
+
+    The units are built without the text form a cast from double to decimal goes through, and summed as
+    decimals, which do not overflow.
+    """
+    units = F.rint(_col(value).cast("double") * float(10**scale)).cast("bigint").cast("decimal(19,0)")
+    return (F.sum(units) / F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("double")
 
 
 # --- tokens, headers, equality ----------------------------------------------------------------

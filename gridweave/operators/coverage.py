@@ -121,7 +121,14 @@ def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
 
 def best_number(text: str, preferred: Sequence[str], compat: bool = False) -> Column:
     """The number a KPI takes from a text: preferred unit first, then any unit, then the lowest; years do not count."""
-    numbers = F.filter(S.number_units(text, compat), lambda n: ~n["value"].between(*fixed.YEAR_RANGE))
+    return _best_of(_kpi_numbers(text, compat), preferred)
+
+
+def _kpi_numbers(text: str, compat: bool) -> Column:
+    return F.filter(S.number_units(text, compat), lambda n: ~n["value"].between(*fixed.YEAR_RANGE))
+
+
+def _best_of(numbers: Column, preferred: Sequence[str]) -> Column:
     units = list(preferred)
 
     def rank(n: Column, i: Column) -> Column:
@@ -141,7 +148,7 @@ def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, comp
     lowered = "lower(text)"
     found: list[Column] = []
     for i, kpi in enumerate(rules.kpis):
-        best = best_number("text", kpi.preferred_units, compat)
+        best = _best_of(F.col("__numbers"), kpi.preferred_units)
         earlier = F.lit(False)
         for other in rules.kpis[:i]:
             if other.metric == kpi.metric:
@@ -152,7 +159,8 @@ def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, comp
     table = {t.topic: [*t.keywords, *t.kpi_patterns] for t in rules.topics}
     topic = first_topic if compat_first else F.try_element_at(S.labels_found(lowered, table), F.lit(1))
     any_hit = S.contains_any(lowered, [w for k in rules.kpis for w in k.keywords])
-    hits = segments.where(any_hit).select(
+    # The numbers of a segment are read once for all KPIs.
+    hits = segments.where(any_hit).withColumn("__numbers", _kpi_numbers("text", compat)).select(
         "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.substring("text", 1, fixed.KPI_EVIDENCE_CHARS).alias("evidence"),
         topic.alias("topic"), F.explode_outer(F.array_compact(F.array(*found))).alias("k"),
     )
