@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import sharding
+from gridweave.llm import fingerprints, secrets, sharding
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
 CATALOG = Catalog()
 
-JUMP_SQL = """
-WITH RECURSIVE walk AS (
-  SELECT row_id, n, doc_id::HUGEINT & 18446744073709551615::HUGEINT AS k, -1::BIGINT AS at, 0::BIGINT AS nxt
-  FROM (SELECT row_number() OVER () AS row_id, coalesce(doc_id, 0) AS doc_id FROM (SELECT DISTINCT doc_id FROM documents)), (VALUES (16), (17)) s(n)
-  UNION ALL
-  SELECT row_id, n, k2, nxt, floor((nxt + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k2 >> 33) + 1)::DOUBLE))::BIGINT
-  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM walk WHERE nxt < n)
-)
-SELECT 1
-"""
-
-
 @CATALOG.add()
 def op6_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in 16 shards by jump consistent hashing, with gapless slots and the shard among 17."""
     return sharding.shard_rows(documents(spark, folder))
+
+
+@CATALOG.add()
+def op7_paragraph_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents and their edited texts as sums of paragraph vectors."""
+    return fingerprints.fingerprint_edits(documents(spark, folder))
+
+
+@CATALOG.add()
+def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, each content scanned once."""
+    return secrets.secret_digest(documents(spark, folder))
