@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import fingerprints, secrets, sharding
+from gridweave.llm import fingerprints, mixing, secrets, sharding
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -26,3 +26,9 @@ def op7_paragraph_sums(spark: SparkSession, folder: str) -> DataFrame:
 def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, each content scanned once."""
     return secrets.secret_digest(documents(spark, folder))
+
+
+@CATALOG.add()
+def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken of every document in a mix of 150 % of all words at source weights 3, 1, 2."""
+    return mixing.mix_sources(documents(spark, folder)).drop("copies")
