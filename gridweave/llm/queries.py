@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import fingerprints, mixing, secrets, sharding
+from gridweave.llm import bpe_codec, fingerprints, mixing, secrets, sharding, token_counts
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
 CATALOG = Catalog()
 
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 @CATALOG.add()
 def op6_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in 16 shards by jump consistent hashing, with gapless slots and the shard among 17."""
@@ -32,3 +39,15 @@ def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def op4_sainte_lague_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of every document in a mix of 150 % of all words at source weights 3, 1, 2."""
     return mixing.mix_sources(documents(spark, folder)).drop("copies")
+
+
+@CATALOG.add()
+def op1_pretoken_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, each distinct pre-token encoded once."""
+    return token_counts.count_tokens(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
+
+
+@CATALOG.add()
+def op9_rank_array_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded with a vocabulary of words."""
+    return bpe_codec.codec_digest(documents(spark, folder), vocabulary("word_bpe_49k.json"))
