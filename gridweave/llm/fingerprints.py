@@ -6,8 +6,8 @@ modulo 2**20; three lanes share one long, each with a guard bit, so a sum of lon
 All of it is column arithmetic.
 
 A vector has three parts: a count of sentences, lanes hashed from the whole paragraph (two texts with the
-same lanes have the same paragraphs, up to chance of 2**-240), and lanes that count one hash bit of each
-sentence of the paragraph. Taken as signs, the latter are projections of the multiset of sentences: their
+same lanes have the same paragraphs, up to chance of 2**-240), and lanes that each count one hash bit
+of the sentences of the paragraph. Taken as signs, the latter are projections of the multiset of sentences: their
 normalised product estimates how much two documents share.
 """
 
@@ -22,25 +22,25 @@ LANE = 21
 MASK = sum(((1 << 20) - 1) << (LANE * i) for i in range(3))
 BITS = sum(1 << (LANE * i) for i in range(3))
 EXACT = 4
-SIGNS = 24
+SIGNS = LANE
 
 
 def _sum_lanes(hashes: Column, hashed) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: (acc + hashed(h)).bitwiseAND(F.lit(MASK)))
 
 
-def vector(text: Column) -> Column:
-    """The fingerprint vector of a text, as longs: count, EXACT longs of whole paragraphs, SIGNS longs of sentences.
+def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the fingerprint vector of a text, as longs: count, EXACT longs of whole paragraphs, SIGNS longs of sentences.
 
     A paragraph is a line with a non-space character; a sentence is what lies between full stops, exclamation
-    and question marks in it. The empty text has the zero vector.
+    and question marks in it. The empty text has the zero vector. Texts are cut and hashed in a projection of
+    their own, once for all lanes.
     """
     filled = lambda parts: F.filter(parts, lambda p: F.trim(p) != "")
-    paragraphs = filled(F.split(text, "\n"))
-    sentences = F.transform(filled(F.split(text, "[\n.!?]+")), lambda s: F.xxhash64(F.trim(s)))
-    exact = F.transform(F.sequence(F.lit(1), F.lit(EXACT)), lambda i: _sum_lanes(paragraphs, lambda p: F.xxhash64(i, p).bitwiseAND(F.lit(MASK))))
-    signs = F.transform(F.sequence(F.lit(1), F.lit(SIGNS)), lambda i: _sum_lanes(sentences, lambda h: F.xxhash64(i, h).bitwiseAND(F.lit(BITS))))
-    return F.concat(F.array(F.size(sentences).cast("bigint")), exact, signs)
+    cut = df.withColumn("__paragraphs", filled(F.split(text, "\n"))).withColumn("__sentences", F.transform(filled(F.split(text, "[\n.!?]+")), lambda s: F.xxhash64(F.trim(s))))
+    exact = [_sum_lanes(F.col("__paragraphs"), lambda p, i=i: F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(MASK))) for i in range(EXACT)]
+    signs = [_sum_lanes(F.col("__sentences"), lambda h, i=i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(BITS))) for i in range(SIGNS)]
+    return cut.withColumn(name, F.array(F.size("__sentences").cast("bigint"), *exact, *signs)).drop("__paragraphs", "__sentences")
 
 
 def add_vectors(a: Column, b: Column, sign: int = 1) -> Column:
@@ -98,12 +98,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     count = places.agg(F.max("place")).first()[0] or 1
     following = places.select(F.col("name").alias("before"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"), (F.col("place") % count + 1).alias("place"))
     takes = places.select("name", "place").join(following, "place").select("name", "before", "half")
-    sent = rows.join(takes.hint("shuffle_hash"), "name").select(
-        F.col("before").alias("name"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, half)").alias("tail"), vector(F.col("text")).alias("next_vector")
-    ).dropDuplicates(["name"])
+    giving = with_vector(rows.join(takes.hint("shuffle_hash"), "name"), "text", "next_vector")
+    sent = giving.select(F.col("before").alias("name"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, half)").alias("tail"), "next_vector").dropDuplicates(["name"])
     met = rows.join(sent.hint("shuffle_hash"), "name").withColumn("n_chars", F.length("text").cast("bigint"))
     edited = met.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), "tail"))
-    vectors = edited.withColumn("v", vector(F.col("text"))).withColumn("ev", vector(F.col("edited")))
+    vectors = with_vector(with_vector(edited, "text", "v"), "edited", "ev")
     return vectors.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("v")).alias("fingerprint"), as_text(F.col("ev")).alias("edited_fingerprint"),
         likeness(F.col("v"), F.col("ev")).alias("near_edited"), likeness(F.col("v"), F.col("next_vector")).alias("near_next"), "next_doc_id",
