@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, secrets, sharding, token_counts
+from gridweave.llm import bpe_codec, fingerprints, mixing, repetition, secrets, sharding, token_counts
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -51,3 +51,9 @@ def op1_pretoken_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op9_rank_array_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with a vocabulary of words."""
     return bpe_codec.codec_digest(documents(spark, folder), vocabulary("word_bpe_49k.json"))
+
+
+@CATALOG.add()
+def op3_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Repetition counts and verdict of every document."""
+    return repetition.judge_repetition(repetition.repetition(documents(spark, folder)))
