@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, repetition, secrets, sharding, token_counts
+from gridweave.llm import bpe_codec, fingerprints, mixing, repetition, secrets, sharding, token_counts, toxicity
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -57,3 +57,11 @@ def op9_rank_array_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op3_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
     return repetition.judge_repetition(repetition.repetition(documents(spark, folder)))
+
+
+@CATALOG.add()
+def op5_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document after its disguised words are restored."""
+    docs = documents(spark, folder)
+    scorer = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.score_texts(docs, scorer)
