@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, repetition, secrets, sharding, token_counts, toxicity
+from gridweave.llm import bpe_codec, fingerprints, mixing, private_data, repetition, secrets, sharding, token_counts, toxicity
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -65,3 +65,10 @@ def op5_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     scorer = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return toxicity.score_texts(docs, scorer)
+
+
+@CATALOG.add()
+def op2_bilstm_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, by patterns and by a character tagger."""
+    docs = documents(spark, folder)
+    return private_data.private_digest(private_data.find_private(docs, private_data.train_tagger(docs)))
