@@ -46,8 +46,11 @@ def running_total(
         .select(*group, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     )
     inside = Window.partitionBy(*group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # The rows are dealt and sorted by the join keys already; the hint keeps them from being broadcast where
+    # their number is underestimated (rows unnested from a few).
     return (
         blocked.withColumn("__inside", F.sum("__value").over(inside))
+        .hint("merge")
         .join(offsets, [*group, "__block"])
         .select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(name))
     )
