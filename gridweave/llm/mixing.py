@@ -53,16 +53,16 @@ def seat_quotas(targets: DataFrame, block_words: int, shards: int = 16) -> DataF
     """Whole blocks per source and shard of the mix: source, shard, quota.
 
     As many seats as blocks in all targets. The quotient of seat k (from 0) of a source is target / (2 k + 1);
-    a source cannot get more than target / block + number of sources seats, so that many are listed. Seats
-    are ranked by quotient (ties by source), block by block of the inverse quotient, on which they lie
+    a source cannot get more than its part of the seats, half its part of the number of sources, and one more,
+    so that many are listed. Seats are ranked by quotient (ties by source), block by block of the inverse quotient, on which they lie
     evenly, so no task ranks all of them.
     """
     total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wanted = targets.where(F.col("target") > 0).select(
         F.coalesce("source", F.lit("")).alias("__name"), F.col("source").isNull().alias("__null"), "target",
-        F.round(F.sum("target").over(total) / block_words).cast("bigint").alias("__seats"), F.count(F.lit(1)).over(total).alias("__sources"),
+        F.sum("target").over(total).alias("__total"), F.round(F.sum("target").over(total) / block_words).cast("bigint").alias("__seats"), F.count(F.lit(1)).over(total).alias("__sources"),
     )
-    seats = wanted.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("target") / block_words) + F.least("__sources", F.lit(4)))))
+    seats = _listed(wanted, ["__null", "__name"], F.ceil(F.col("target") / F.col("__total") * (F.col("__seats") + F.col("__sources") / 2)) + 1, "__k")
     inverse = (2 * F.col("__k") + 1) / F.col("target")
     ranked = number_rows(
         seats.withColumn("__inverse", inverse), [], [F.col("__inverse"), F.col("__null"), F.col("__name")],
@@ -76,6 +76,14 @@ def seat_quotas(targets: DataFrame, block_words: int, shards: int = 16) -> DataF
     )
 
 
+def _listed(df: DataFrame, keys: Sequence[str], count, name: str) -> DataFrame:
+    """One row per number from 0 below `count`; few rows may list many numbers, so chunks of them are dealt to tasks first."""
+    chunked = df.withColumn("__count", count.cast("bigint")).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__count") - 1) / SEATS_PER_BLOCK))))
+    first = F.col("__chunk") * SEATS_PER_BLOCK
+    last = F.least(first + SEATS_PER_BLOCK, F.col("__count")) - 1
+    return chunked.repartition(*keys, "__chunk").withColumn(name, F.explode(F.sequence(first, last))).drop("__count", "__chunk")
+
+
 def _bucket(hashed: str):
     """Blocks of a 64-bit hash in its own order."""
     return F.shiftright(hashed, 64 - ORDER_BLOCKS.bit_length() + 1)
@@ -110,7 +118,7 @@ def mix_sources(
     facts = settle(facts.withColumn("__name", F.coalesce("source", F.lit(""))).withColumn("__null", F.col("source").isNull()).drop("source", "__seats"))
 
     # Blocks beyond the full rounds: those that come first in the second seeded order.
-    listed = facts.where(F.col("__blocks") > 0).select("__name", "__null", "__more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1)).alias("__piece"))
+    listed = _listed(facts.where(F.col("__blocks") > 0).select("__name", "__null", "__more", "__blocks"), ["__null", "__name"], F.col("__blocks"), "__piece")
     listed = listed.withColumn("__draw", F.xxhash64(F.lit(seed), "__null", "__name", "__piece"))
     drawn = number_rows(listed, ["__null", "__name"], [F.col("__draw"), F.col("__piece")], _bucket("__draw"), "__place")
     extra = drawn.where(F.col("__place") <= F.col("__more")).select("__null", "__name", "__piece", F.lit(True).alias("__extra"))
@@ -123,10 +131,10 @@ def mix_sources(
     pieces = placed.where(F.col("size") > 0).withColumn("__piece", F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__end") - 1) / block))))
     low = F.greatest(F.col("__piece") * block - F.col("__start"), F.lit(0))
     high = F.least((F.col("__piece") + 1) * block - F.col("__start"), F.col("size"))
-    chosen = pieces.join(extra, ["__null", "__name", "__piece"]).select("__null", "__name", "__start", low.alias("low"), high.alias("high"))
+    chosen = pieces.hint("merge").join(extra, ["__null", "__name", "__piece"]).select("__null", "__name", "__start", low.alias("low"), high.alias("high"))
     chosen = chosen.groupBy("__null", "__name", "__start").agg(F.sum(F.col("high") - F.col("low")).alias("__drawn"), F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__ranges"))
     # A document without words has the start of its neighbour, but is never drawn.
-    met = placed.join(chosen, ["__null", "__name", "__start"], "left").join(facts, ["__null", "__name"])
+    met = placed.hint("merge").join(chosen, ["__null", "__name", "__start"], "left").join(facts, ["__null", "__name"])
     drawn_here = (F.col("size") > 0) & F.col("__drawn").isNotNull()
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("low"), F.col("size").alias("high")))
     rounds = F.when(F.col("size") > 0, F.array_repeat(whole, F.col("__rounds").cast("int"))).otherwise(F.array())
