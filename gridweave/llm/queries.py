@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, private_data, repetition, secrets, sharding, token_counts, toxicity
+from gridweave.llm import bpe_codec, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, token_counts, toxicity
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -32,7 +32,7 @@ def op7_paragraph_sums(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.add()
 def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, each content scanned once."""
-    return secrets.secret_digest(documents(spark, folder))
+    return secret_scan.secret_digest(documents(spark, folder))
 
 
 @CATALOG.add()
@@ -72,3 +72,9 @@ def op2_bilstm_crf(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, by patterns and by a character tagger."""
     docs = documents(spark, folder)
     return private_data.private_digest(private_data.find_private(docs, private_data.train_tagger(docs)))
+
+
+@CATALOG.add()
+def op8_prefix_orders_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are at least 85 % similar."""
+    return ngram_join.link_documents(documents(spark, folder), words=4, percent=85)
