@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import settle, word_count
+from gridweave.llm.common import WORD, settle, word_count
 from gridweave.operators.scaling import number_rows, running_total
 
 BLOCK_WORDS = 64
@@ -143,3 +143,18 @@ def mix_sources(
         (F.col("size") * F.col("__rounds") + F.when(drawn_here, F.col("__drawn")).otherwise(0)).cast("bigint").alias("taken"),
         F.concat(rounds, F.when(drawn_here, F.array("__ranges")).otherwise(F.array())).alias("copies"),
     )
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The mix as documents: a row for each copy of a document, with the words that the copy holds.
+
+    A copy of the whole text keeps it as it is; a part has its words one space apart. Rows without a key
+    cannot be told apart and stay as they are; keys are expected once. Other columns are repeated.
+    """
+    taken = mix_sources(docs, key=key, text=text, **settings).select(F.col("doc_id").alias("__key"), "size", F.explode("copies").alias("__ranges")).where(F.col("__key").isNotNull())
+    met = docs.join(taken, F.col(key) == F.col("__key"))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    parts = F.transform("__ranges", lambda r: F.array_join(F.slice(words, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")), " "))
+    whole = F.aggregate("__ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["high"] - r["low"]) == F.col("size")
+    mixed = met.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(parts, " "))).select(*docs.columns)
+    return mixed.unionByName(docs.where(F.col(key).isNull()))

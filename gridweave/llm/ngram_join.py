@@ -256,3 +256,15 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     result = summary.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return result.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, linked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that name their component: one document of each group stays, the one with the least doc_id.
+
+    Rows without doc_id stay. Where a doc_id is repeated, one of its rows stays; only then are whole rows
+    grouped, as that sorts the texts.
+    """
+    kept = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    rows = docs.join(kept.hint("shuffle_hash"), key, "left_semi")
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count() > 0
+    return (rows.dropDuplicates([key]) if repeated else rows).unionByName(docs.where(F.col(key).isNull()))

@@ -115,6 +115,26 @@ def findings_by_path(versions: DataFrame, found: DataFrame, path: str = "doc_id"
     return rows.join(per_blob, "blob", "left").select(path, "blob", F.coalesce("found", nothing).alias("found"))
 
 
+def redact_secrets(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with each finding in their texts replaced by its kind in brackets; overlapping findings become the first one.
+
+    Only contents with findings are joined; the other texts, and nulls, stay as they are.
+    """
+    per_blob = found.groupBy(F.col("blob").alias("__blob")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("__found"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, e: Column) -> Column:
+        gap = F.substring(F.col(text), (state["at"] + 1).cast("int"), (e["start"] - state["at"]).cast("int"))
+        inside = e["start"] < state["at"]
+        return F.struct(F.greatest(state["at"], e["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("["), e["kind"], F.lit("]"))).alias("out"))
+
+    def finish(state: Column) -> Column:
+        return F.concat(state["out"], F.substring(F.col(text), (state["at"] + 1).cast("int"), F.length(text)))
+
+    met = docs.withColumn("__blob", blob_of(text)).join(per_blob, "__blob", "left")
+    return met.withColumn(text, F.when(F.col("__found").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.aggregate("__found", start, step, finish))).select(*docs.columns)
+
+
 def secret_digest(docs: DataFrame) -> DataFrame:
     """Counts and spans per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob."""
     found, _ = scan_history(docs)

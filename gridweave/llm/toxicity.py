@@ -254,25 +254,42 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Scorer:
     return Scorer(model, weights, base)
 
 
+def _scores(texts: list[str | None], scorer: Scorer, known: dict[str, tuple[str, ...]]) -> list[float]:
+    """Scores of texts; `known` keeps the features of words between calls, up to CACHE_WORDS of them."""
+    scores = []
+    for text in texts:
+        text = clean(text or "")
+        words = set(text.split())
+        new = words.difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = words
+        for word in new:
+            known[word] = scorer.features(word)
+        found = {f for features in filter(None, map(known.__getitem__, words)) for f in features}
+        found.update(f for word in set(spaced_words(text)) for f in scorer.features(word))
+        scores.append(scorer.score(found))
+    return scores
+
+
 def _score(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple[str, ...]] = {}
     for batch in batches:
-        scores = []
-        for text in batch.column("text").to_pylist():
-            text = clean(text)
-            words = set(text.split())
-            new = words.difference(known)
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = words
-            for word in new:
-                known[word] = scorer.features(word)
-            found = {f for features in filter(None, map(known.__getitem__, words)) for f in features}
-            found.update(f for word in set(spaced_words(text)) for f in scorer.features(word))
-            scores.append(scorer.score(found))
+        scores = _scores(batch.column("text").to_pylist(), scorer, known)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
 
+def _keep_harmless(batches: Iterator[pa.RecordBatch], scorer: Scorer, threshold: float, text: str) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[str, ...]] = {}
+    for batch in batches:
+        yield batch.filter(pa.array([s < threshold for s in _scores(batch.column(text).to_pylist(), scorer, known)], pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores below `threshold`."""
+    return docs.mapInArrow(partial(_keep_harmless, scorer=scorer, threshold=threshold, text=text), docs.schema)
+
+
 def score_texts(docs: DataFrame, scorer: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted for each text.
 
