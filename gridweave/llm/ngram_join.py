@@ -31,6 +31,7 @@ from gridweave.llm.components import components
 SLICE_CHARS = 1 << 20
 BLOCK_TOKENS = 1 << 22
 HOT_TOKENS = 1 << 22
+SENT_IDS = 1 << 18
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -68,7 +69,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     lo, chars = 0, 0
-    lengths = pc.utf8_length(batch.column("text")).to_pylist()
+    lengths = pc.utf8_length(batch.column("text" if "text" in batch.schema.names else "text_a")).to_pylist()
     for i, n in enumerate(lengths):
         chars += n
         if chars >= SLICE_CHARS or i == len(lengths) - 1:
@@ -164,47 +165,40 @@ def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot:
             )
 
 
-def _own_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Set of the first document of a pair, from its text; a row whose text is another one's with the same doc_id goes."""
-    for batch in batches:
-        for part in _slices(batch):
-            texts, digests = part.column("text").to_pylist(), part.column("digest_a").to_pylist()
-            distinct = list(dict.fromkeys(texts))
-            sets = dict(zip(distinct, shingle_sets(distinct, words), strict=True))
-            good = [hashlib.blake2b(sets[t].tobytes(), digest_size=16).digest() == d for t, d in zip(texts, digests, strict=True)]
-            kept = part.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column("a"), kept.column("b"), kept.column("digest_b"), pa.array([sets[t].tobytes() for t, g in zip(texts, good, strict=True) if g], pa.binary())], names=["a", "b", "digest_b", "set_a"]
-            )
-
-
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix token under every order and then are as similar as asked."""
+    """Pairs that share a prefix token under every order and then are as similar as asked.
+
+    A row whose text is another one's with the same doc_id does not have the digest of its node, and goes.
+    """
     for batch in batches:
         for part in _slices(batch):
-            texts = part.column("text").to_pylist()
-            distinct = list(dict.fromkeys(texts))
+            columns = [(part.column(f"text_{c}").to_pylist(), part.column(f"digest_{c}").to_pylist()) for c in "ab"]
+            distinct = list(dict.fromkeys([*columns[0][0], *columns[1][0]]))
             sets = dict(zip(distinct, shingle_sets(distinct, words), strict=True))
+            digests = {t: hashlib.blake2b(s.tobytes(), digest_size=16).digest() for t, s in sets.items()}
             firsts: dict[tuple[str, int], np.ndarray] = {}
+
+            def first(text: str, order: int) -> np.ndarray:
+                if (text, order) not in firsts:
+                    firsts[text, order] = prefix(sets[text], hot, order, percent)
+                return firsts[text, order]
+
             linked = []
-            for text, digest, packed in zip(texts, part.column("digest_b").to_pylist(), part.column("set_a").to_pylist(), strict=True):
-                b, a = sets[text], np.frombuffer(packed, np.uint64)
-                good = hashlib.blake2b(b.tobytes(), digest_size=16).digest() == digest
-                for order in range(1, len(ORDERS)):
-                    if good:
-                        if (text, order) not in firsts:
-                            firsts[text, order] = prefix(b, hot, order, percent)
-                        good = bool(np.isin(prefix(a, hot, order, percent), firsts[text, order], assume_unique=True).any())
+            for a, digest_a, b, digest_b in zip(*columns[0], *columns[1], strict=True):
+                good = digests[a] == digest_a and digests[b] == digest_b
+                good = good and all(np.isin(first(a, k), first(b, k), assume_unique=True).any() for k in range(1, len(ORDERS)))
                 if good:
-                    shared = len(a) + len(b) - len(np.union1d(a, b))
-                    good = 100 * shared >= percent * (len(a) + len(b) - shared)
+                    both = len(sets[a]) + len(sets[b])
+                    shared = both - len(np.union1d(sets[a], sets[b]))
+                    good = 100 * shared >= percent * (both - shared)
                 linked.append(good)
-            kept = part.filter(pa.array(linked))
+            kept = part.filter(pa.array(linked, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
 
 def _near_size(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+    a, b = (f"cast({c} as bigint)" for c in (a, b))
+    return (100 * F.expr(a) >= percent * F.expr(b)) & (100 * F.expr(b) >= percent * F.expr(a))
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,31 +207,32 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     Two documents link when the sets of their word n-grams are at least `percent` similar (Jaccard). Null
     text is empty; texts without words link with nothing. A row without doc_id cannot name a component: its
     component is null and it links nothing. Rows that repeat a doc_id stand for one node if their texts have
-    one set, else for one node each, named alike. An empty table gives an empty result.
+    one set; texts that differ share the node's name and links. An empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     hot = frequent_tokens(rows, words)
     summary = settle(rows.mapInArrow(partial(_summaries, words=words, percent=percent, hot=hot), "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>"))
     named = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", "digest", "n", F.explode("prefix").alias("token"))
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     by_token = Window.partitionBy("token")
     index = settle(entries.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df"))
+    digests = nodes.select("node", "digest")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(rows.select(F.col("doc_id").alias("a"), "text"), "a")
-        sets = first.mapInArrow(partial(_own_set, words=words), "a bigint, b bigint, digest_b binary, set_a binary")
-        second = sets.join(rows.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "digest_b", "set_a", "text")
-        return second.mapInArrow(partial(_verify, words=words, percent=percent, hot=hot), "u bigint, v bigint")
+        """The linked ones of settled pairs (a, b)."""
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        # Only texts of the pairs need to move; their ids are sent around where they are few, else met by a shuffle.
+        few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+        texts = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        named_pairs = pairs.join(digests.select(F.col("node").alias("a"), F.col("digest").alias("digest_a")), "a").join(digests.select(F.col("node").alias("b"), F.col("digest").alias("digest_b")), "b")
+        both = named_pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return both.select("a", "b", "digest_a", "digest_b", "text_a", "text_b").mapInArrow(partial(_verify, words=words, percent=percent, hot=hot), "u bigint, v bigint")
 
     # First the chain of each token: neighbours in size, in an order that differs from token to token.
     along = by_token.orderBy("n", F.xxhash64("token", "node"), "node")
-    chain = index.select("token", "n", "node", "digest", *[F.lead(c).over(along).alias(f"next_{c}") for c in ("n", "node", "digest")]).where(F.col("next_node").isNotNull() & _near_size("n", "next_n", percent))
-    swap = F.col("node") > F.col("next_node")
-    pick = lambda c, other, name: F.when(swap, F.col(other)).otherwise(F.col(c)).alias(name)
-    near = settle(
-        chain.select(pick("node", "next_node", "a"), pick("next_node", "node", "b"), pick("digest", "next_digest", "digest_a"), pick("next_digest", "digest", "digest_b")).where("a <> b").dropDuplicates(["a", "b", "digest_a", "digest_b"])
-    )
+    chain = index.select("n", "node", *[F.lead(c).over(along).alias(f"next_{c}") for c in ("n", "node")]).where(F.col("next_node").isNotNull() & _near_size("n", "next_n", percent))
+    near = settle(chain.select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).where("a <> b").distinct())
     edges = settle(verified(near))
     grouped = components(edges)
 
@@ -245,11 +240,11 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     placed = settle(index.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
     met = placed.select("token", "component").distinct()
     apart = met.withColumnRenamed("component", "ca").join(met.withColumnRenamed("component", "cb"), "token").where("ca < cb")
-    left = placed.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("digest").alias("digest_a"), F.col("n").alias("na"))
-    right = placed.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("digest").alias("digest_b"), F.col("n").alias("nb"))
-    pairs = apart.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(_near_size("na", "nb", percent)).select("a", "b", "digest_a", "digest_b").where("a <> b").distinct()
-    known = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(settle(pairs.join(known, ["a", "b"], "left_anti")))
+    left = placed.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
+    right = placed.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    pairs = apart.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(_near_size("na", "nb", percent))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    more = verified(settle(pairs.join(near, ["a", "b"], "left_anti")))
     final = components(edges.unionByName(more))
 
     classes = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
