@@ -100,14 +100,28 @@ def number_text(value: Column | str) -> Column:
     return F.when(whole & (F.abs(number) < 1e15), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
 
 
-def exact_sum(value: Column | str, scale: int = 4) -> Column:
-    """Sum that does not depend on the order of rows: whole units of 10^-scale inside, double outside.
+def unit_sum(value: Column | str, scale: int) -> Column:
+    """Sum in whole units of 10^-scale as decimal. A value with more decimals, or of 9e15 units and more, is an error, never rounded."""
+    number = _col(value).cast("double")
+    raw = number * float(10**scale)
+    whole = F.rint(raw)
+    fits = (F.abs(raw) < 9e15) & (F.abs(raw - whole) <= 1e-9 * F.greatest(F.abs(raw), F.lit(1.0)))
+    wrong = F.raise_error(F.concat(F.lit(f"not a number of {scale} decimals: "), number.cast("string"))).cast("double")
+    return F.sum(F.when(number.isNull() | fits, whole).otherwise(wrong).cast("bigint").cast("decimal(19,0)"))
 
-    The units are built without the text form a cast from double to decimal goes through, and summed as
-    decimals, which do not overflow.
+
+def from_units(units: Column, scale: int) -> Column:
+    return (units / F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("double")
+
+
+def exact_sum(value: Column | str, scale: int | None = None) -> Column:
+    """Sum of numbers as double.
+
+    Without `scale` it is the plain sum of doubles, for values of any size, NaN and infinity included. With
+    the `scale` of a column whose values have that many decimals at most it is exact and does not depend on
+    the order of rows.
     """
-    units = F.rint(_col(value).cast("double") * float(10**scale)).cast("bigint").cast("decimal(19,0)")
-    return (F.sum(units) / F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("double")
+    return F.sum(_col(value).cast("double")) if scale is None else from_units(unit_sum(value, scale), scale)
 
 
 # --- tokens, headers, equality ----------------------------------------------------------------

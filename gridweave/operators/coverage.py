@@ -104,10 +104,10 @@ def coverage_stats(matrix: DataFrame) -> DataFrame:
 
 
 def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
-    """Reporting standards of each company, from its previews and the request; the first one always applies."""
-    preview = "lower(preview)"
+    """Reporting standards of each company, from its whole texts (or from `text` cut to a preview by the caller) and the request; the first one always applies."""
+    lowered = "lower(text)"
     always, *others = fixed.STANDARDS
-    found = S.labels_found(preview, {code: words for code, _, _, words in others})
+    found = S.labels_found(lowered, {code: words for code, _, _, words in others})
     asked = [code for code, _, _, words in others if any(w in (request or "").lower() for w in words)]
     hits = documents.select("company", F.explode_outer(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
     return hits.select(

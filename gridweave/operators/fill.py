@@ -146,7 +146,7 @@ def in_merged_range(
     )
     placed = targets.withColumn("__block", F.floor(F.col("row_idx") / block))
     inside = "filter(__ranges, r -> row_idx BETWEEN r.min_row AND r.max_row AND col_idx BETWEEN r.min_col AND r.max_col)"
-    joined = attach(placed, ranges, [*keys, "__block"], spread).withColumn("__hit", F.expr(f"try_element_at({inside}, 1)"))
+    joined = attach(placed, ranges, [*keys, "__block"]).withColumn("__hit", F.expr(f"try_element_at({inside}, 1)"))
     blocked = F.expr("__hit IS NOT NULL AND NOT (row_idx = __hit.min_row AND col_idx = __hit.min_col)")
     return joined.select(*targets.columns, F.coalesce(blocked, F.lit(False)).alias("blocked"))
 
@@ -160,7 +160,7 @@ class KeyedFill:
     `columns` lists (source column, target column, header score); `source_row` and `target_row` name the
     order columns. Keys are compared as tokens, empty keys never match, and of several target rows with
     one key the first takes all. Hot keys: the target has one row per key after an aggregation, the
-    source rows are spread by salt.
+    AQE splits the source rows of a hot key.
     """
 
     def __init__(
@@ -201,7 +201,7 @@ class KeyedFill:
 
     def audit(self, first_column: int = 1) -> DataFrame:
         """One row per source row with a matched key and fillable column: cell, status, value, existing value, risk."""
-        joined = attach(self.attempts, self.matched, ["__key"], ["source_row"], "inner")
+        joined = attach(self.attempts, self.matched, ["__key"], "inner")
         entries = []
         for i, (source, target, score) in enumerate(self.columns):
             value, before, first = F.col(f"__v{i}"), F.col(f"__x{i}"), F.col(f"__first{i}")
@@ -261,7 +261,7 @@ def append_rows(
     wanted = number_rows(
         source.select(*pair, F.col(source_row).alias("source_row"), *values), pair, [F.col("source_row")], row_block("source_row"), "__n"
     )
-    placed = attach(wanted.join(free, [*pair, "__n"], "left"), facts, pair, ["source_row"], "inner").withColumn(
+    placed = attach(wanted.join(free, [*pair, "__n"], "left"), facts, pair, "inner").withColumn(
         "target_row", F.coalesce("target_row", F.col("__last") + F.col("__n") - F.col("__free"))
     )
     cells = F.array(*[
@@ -289,9 +289,9 @@ def match_metric_rows(rows: DataFrame, template_rows: DataFrame, sheets: DataFra
     known = template_rows.where("metric IS NOT NULL AND metric <> ''").groupBy("job_id", "metric").agg(F.max("row_idx").alias("metric_row"))
     once = rows.groupBy("job_id", "metric").agg(F.count(F.lit(1)).alias("times")).where("times = 1")
     reusable = known.join(once, ["job_id", "metric"]).select("job_id", "metric", "metric_row")
-    found = attach(rows, reusable, ["job_id", "metric"], ["map_idx"]).withColumn("__new", F.col("metric_row").isNull())
+    found = attach(rows, reusable, ["job_id", "metric"]).withColumn("__new", F.col("metric_row").isNull())
     numbered = running_total(found, ["job_id"], [F.col("map_idx")], row_block("map_idx"), F.col("__new").cast("int"), "__added")
-    placed = attach(numbered, sheets, ["job_id"], ["map_idx"], "inner")
+    placed = attach(numbered, sheets, ["job_id"], "inner")
     last = F.greatest(F.col("max_row"), F.col("header_row"))
     target = F.coalesce("metric_row", last + F.col("__added"))
     return placed.withColumn("target_row", target).select(
@@ -359,7 +359,7 @@ def apply_overrides(candidates: DataFrame, overrides: DataFrame, sheets: DataFra
         "target_sheet": F.coalesce("__sheet", "option.sheet"), "target_cell": F.coalesce("__cell", F.upper("option.cell")),
     })
     real = sheets.select("job_id", F.col("sheet").alias("target_sheet")).distinct().withColumn("__real", F.lit(True))
-    checked = attach(targeted, real, ["job_id", "target_sheet"], list(keys))
+    checked = attach(targeted, real, ["job_id", "target_sheet"])
     valid = F.coalesce("__real", F.lit(False)) & S.is_a1("target_cell")
     touched = F.col("__on").isNotNull()
     decision = (
@@ -384,7 +384,7 @@ def gate_candidates(decisions: DataFrame) -> DataFrame:
     # `overridden` tells the same as `decision` here and spares the lookup of sheets in the facts.
     waits = F.col("requires_confirmation") & ~F.col("overridden")
     jobs = decisions.groupBy("job_id").agg(F.bool_or(waits).alias("__pending"))
-    known = attach(decisions, jobs, ["job_id"], ["mapping_id"], "inner")
+    known = attach(decisions, jobs, ["job_id"], "inner")
     action = (
         F.when(F.col("decision") == "manual_mapping_skipped", "skipped").when(F.col("decision") == "manual", "write")
         .when(waits, "requires_confirmation").when(F.col("__pending"), "held_back")
@@ -413,7 +413,7 @@ def write_candidates(actions: DataFrame, cells: DataFrame, merged: DataFrame, la
     if layouts is not None:
         # The known headers of a sheet are few, so they travel as one array per sheet.
         known = layouts.groupBy("job_id", "sheet").agg(F.collect_list(F.struct("field", F.col("col_idx").cast("int").alias("col_idx"))).alias("__side"))
-        sided = attach(writes, known, ["job_id", "sheet"], ["mapping_id"])
+        sided = attach(writes, known, ["job_id", "sheet"])
         own = F.array(F.struct(F.col("field").alias("field"), F.col("col_idx").alias("col_idx"), F.col("value").alias("value")))
         others = F.expr(
             "transform(filter(coalesce(__side, array()), s -> s.col_idx <> col_idx AND s.field <> 'result'), s -> struct(s.field AS field, s.col_idx AS col_idx, try_element_at(__row, s.field) AS value))"
@@ -425,7 +425,7 @@ def write_candidates(actions: DataFrame, cells: DataFrame, merged: DataFrame, la
     target = ["job_id", "sheet", "row_idx", "col_idx"]
     first = writes.where(~S.is_empty_like("value")).groupBy(*target).agg(F.min_by(F.struct("map_idx", "value"), "map_idx").alias("__first"))
     grid = cells.select(*target[:2], F.col("row_idx").cast("bigint").alias("row_idx"), "col_idx", F.col("value_str").alias("__before"))
-    known = attach(attach(writes, first, target, ["mapping_id", "field"]), grid, target, ["mapping_id", "field"])
+    known = attach(attach(writes, first, target), grid, target)
     guarded = in_merged_range(known, merged, ["job_id", "sheet"], ["mapping_id", "field"])
     later = S.is_empty_like("__before") & (F.col("__first.map_idx") < F.col("map_idx"))
     existing = F.when(later, F.col("__first.value")).otherwise(F.col("__before"))
@@ -507,7 +507,7 @@ def fill_report(audit: DataFrame, rows: DataFrame) -> DataFrame:
     created = audit.where("status = 'result_sheet_created'").groupBy("job_id").agg(F.max("sheet").alias("__sheet"))
     seen = audit.select("job_id").distinct()
     numbered = number_rows(rows, ["job_id"], [F.col("map_idx")], row_block("map_idx"), "__n")
-    listed = attach(numbered, created, ["job_id"], ["map_idx"], "inner").select(
+    listed = attach(numbered, created, ["job_id"], "inner").select(
         "job_id", F.lit("").alias("mapping_id"), F.lit("result_sheet_written").alias("status"), F.col("__sheet").alias("target_sheet"),
         S.a1_encode("__n + 1", "result_col").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
     )
@@ -516,7 +516,3 @@ def fill_report(audit: DataFrame, rows: DataFrame) -> DataFrame:
         F.lit("").alias("target_sheet"), F.lit("").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
     )
     return plain.unionByName(listed).unionByName(lost)
-
-
-def latest_window(keys: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

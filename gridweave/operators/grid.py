@@ -129,7 +129,7 @@ def unique_headers(heads: DataFrame) -> DataFrame:
 
 def records(cells: DataFrame, heads: DataFrame) -> DataFrame:
     """Cells below the header row with the header of their column; blank rows are not there."""
-    data = attach(cells, heads.select(*SHEET, "header_row", "headers"), SHEET, ["row_idx"], "inner").where("row_idx > header_row")
+    data = attach(cells, heads.select(*SHEET, "header_row", "headers"), SHEET, "inner").where("row_idx > header_row")
     return data.withColumn("header", F.element_at("headers", F.col("col_idx").cast("int"))).drop("headers")
 
 
@@ -143,9 +143,10 @@ def numeric_columns(data: DataFrame) -> DataFrame:
 # --- labels and value zones -------------------------------------------------------------------
 
 
-def label_anchors(cells: DataFrame, heads: DataFrame) -> DataFrame:
-    """Metric labels in the scanned area, except in a confident header row with two cells or more."""
-    area = cells.where((F.col("row_idx") <= fixed.LAYOUT_SCAN_ROWS) & (F.col("col_idx") <= fixed.LAYOUT_SCAN_COLUMNS))
+def label_anchors(cells: DataFrame, heads: DataFrame, area: tuple[int, int] | None = None) -> DataFrame:
+    """Metric labels of the whole sheet, or of its first rows and columns if an `area` is given, except in a
+    confident header row with two cells or more."""
+    area = cells if area is None else cells.where((F.col("row_idx") <= area[0]) & (F.col("col_idx") <= area[1]))
     labelled = area.withColumn("metric", metric_of_label("value_str")).where("metric IS NOT NULL")
     placed = labelled.join(heads.select(*SHEET, "header_row", "header_confidence", "header_cells"), SHEET)
     in_header = (F.col("row_idx") == F.col("header_row")) & F.col("header_confidence").isin("high", "medium") & (F.col("header_cells") >= 2)
@@ -173,10 +174,7 @@ def value_zones(cells: DataFrame, anchors: DataFrame) -> DataFrame:
         (F.col("row_idx") + F.col("p.dr")).alias("row_idx"), (F.col("col_idx") + F.col("p.dc")).alias("col_idx"),
     )
     text = "value_str"
-    taken = cells.where(
-        (F.col("row_idx") <= fixed.LAYOUT_SCAN_ROWS + 2) & (F.col("col_idx") <= fixed.LAYOUT_SCAN_COLUMNS + 3)
-        & (looks_like_header(text) | looks_like_title(text) | metric_of_label(text).isNotNull())
-    ).select(*SHEET, "row_idx", "col_idx")
+    taken = cells.where(looks_like_header(text) | looks_like_title(text) | metric_of_label(text).isNotNull()).select(*SHEET, "row_idx", "col_idx")
     free = wanted.join(taken, [*SHEET, "row_idx", "col_idx"], "left_anti")
     nearest = Window.partitionBy(*SHEET, "anchor_cell").orderBy("o")
     return free.withColumn("n", F.row_number().over(nearest)).where("n <= 3").select(

@@ -64,18 +64,17 @@ def label_cells(cells: DataFrame) -> DataFrame:
     return named.join(top, ["job_id", "sheet", "row_idx"], "left").where(~F.coalesce(is_title_label(cells), F.lit(False))).drop("row_filled")
 
 
-def within_scan_bounds(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """Optional: only cells in the area a single-machine scan would visit, which grows with the result rows."""
+def within_scan_bounds(cells: DataFrame, rows: DataFrame, most_rows: int | None = None, most_columns: int | None = None) -> DataFrame:
+    """Optional: only cells in the area a scan sized by the result rows would visit; `most_rows` and `most_columns` bound it further."""
+    capped = lambda value, most: value if most is None else F.least(value, F.lit(most))
     size = cells.groupBy("job_id", "sheet").agg(F.max("row_idx").alias("__r"), F.max("col_idx").alias("__c"))
     count = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("__n"))
     bounds = size.join(count, "job_id", "left").na.fill(0, ["__n"]).select(
         "job_id", "sheet",
-        F.least(F.col("__r") + 3, F.greatest(F.lit(fixed.SCAN_ROW_BASE), F.col("__n") * 2 + 10), F.lit(fixed.SCAN_ROW_MAX)).alias("__rows"),
-        F.least(
-            F.col("__c") + 3, F.greatest(F.lit(fixed.SCAN_COLUMN_BASE), F.least(F.col("__c") + 3, F.lit(fixed.SCAN_COLUMN_MAX))), F.lit(fixed.SCAN_COLUMN_MAX)
-        ).alias("__cols"),
+        capped(F.least(F.col("__r") + 3, F.greatest(F.lit(fixed.SCAN_ROW_BASE), F.col("__n") * 2 + 10)), most_rows).alias("__rows"),
+        capped(F.col("__c") + 3, most_columns).alias("__cols"),
     )
-    return attach(cells, bounds, ["job_id", "sheet"], ["row_idx", "col_idx"], "inner").where("row_idx <= __rows AND col_idx <= __cols").drop("__rows", "__cols")
+    return attach(cells, bounds, ["job_id", "sheet"], "inner").where("row_idx <= __rows AND col_idx <= __cols").drop("__rows", "__cols")
 
 
 def _entry_key(parts: Sequence[Column]) -> Column:
@@ -144,7 +143,7 @@ def match_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
         .where("exact OR o.weight > 0")
         .select(*LABEL, "label", "metric", "o.entry", (F.col("points") + F.col("o.weight")).alias("score"))
     )
-    found = attach(lookups, row_index(rows), ["job_id", "metric", "entry"], ["row_idx", "col_idx"], "inner")
+    found = attach(lookups, row_index(rows), ["job_id", "metric", "entry"], "inner")
     levels = found.groupBy(*LABEL, "label", "score").agg(F.sum("row_count").alias("rows"), F.min("mapping_id").alias("mapping_id"))
     best = levels.groupBy(*LABEL, "label").agg(F.max_by(F.struct("score", "rows", "mapping_id"), "score").alias("b"))
     return best.where("b.rows = 1").select(*LABEL, "label", "b.mapping_id", "b.score")
@@ -178,7 +177,7 @@ def value_positions(matches: DataFrame, cells: DataFrame) -> DataFrame:
         )
         for d, r, c, n, blank, used, conf in fixed.VALUE_POSITIONS
     ])
-    spread = attach(matches, size, ["job_id", "sheet"], ["row_idx", "col_idx"], "inner").select(
+    spread = attach(matches, size, ["job_id", "sheet"], "inner").select(
         "job_id", "sheet", "label", "mapping_id", F.col("score").alias("match_score"), F.col("row_idx").alias("label_row"), F.col("col_idx").alias("label_col"),
         F.explode(places).alias("p"), "__rows", "__cols",
     )

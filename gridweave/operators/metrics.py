@@ -40,7 +40,7 @@ def time_filter(df: DataFrame, sheet_keys: Sequence[str], row_key: str, hit: Col
     """Rows that hit; a sheet without any hit keeps all its rows."""
     marked = df.withColumn("__hit", hit)
     sheets = marked.groupBy(*sheet_keys).agg(F.max("__hit").alias("__any_hit"))
-    return attach(marked, sheets, sheet_keys, [row_key]).where("__hit OR NOT __any_hit").drop("__hit", "__any_hit")
+    return attach(marked, sheets, sheet_keys).where("__hit OR NOT __any_hit").drop("__hit", "__any_hit")
 
 
 def select_columns(sheet_columns: DataFrame, requests: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _named(columns: DataFrame) -> DataFrame:
 # --- wide metrics -----------------------------------------------------------------------------
 
 
-def _basic(value: Column, scale: int, when: Column | None = None) -> dict[str, Column]:
+def _basic(value: Column, scale: int | None, when: Column | None = None) -> dict[str, Column]:
     chosen = value if when is None else F.when(when, value)
     return {
         "sum": S.exact_sum(chosen, scale),
@@ -92,7 +92,7 @@ def wide_metrics(
     operations: Sequence[str],
     hit: Column | None = None,
     denominators: Sequence[str] | None = None,
-    scale: int = 4,
+    scale: int | None = None,
 ) -> DataFrame:
     """Basic metrics, ratio and intensity of several columns per key, as long rows (keys, column, metric, value).
 
@@ -201,19 +201,19 @@ def cell_values(cells: DataFrame, headers: DataFrame, header_rows: DataFrame, gr
     `headers`: doc_id, sheet, col_idx, header. `header_rows`: doc_id, sheet, header_row.
     `group_cols`: doc_id, sheet, group_col (header name), optional.
     """
-    data = attach(cells, header_rows, ["doc_id", "sheet"], ["row_idx"], "inner").where("row_idx > header_row")
-    named = attach(data, headers, ["doc_id", "sheet", "col_idx"], ["row_idx"], "inner")
+    data = attach(cells, header_rows, ["doc_id", "sheet"], "inner").where("row_idx > header_row")
+    named = attach(data, headers, ["doc_id", "sheet", "col_idx"], "inner")
     numbers = named.where("value_num IS NOT NULL").select(
         "doc_id", "doc_name", "sheet", "row_idx", "col_idx", F.col("header").alias("column"), F.col("value_num").alias("value")
     )
     if group_cols is None:
         return numbers.withColumn("group_value", F.lit(None).cast("string"))
-    groups = attach(named, group_cols, ["doc_id", "sheet"], ["row_idx"], "inner").where("header = group_col")
+    groups = attach(named, group_cols, ["doc_id", "sheet"], "inner").where("header = group_col")
     groups = groups.select("doc_id", "sheet", "row_idx", F.col("value_str").alias("__g"))
     return numbers.join(groups, ["doc_id", "sheet", "row_idx"], "left").withColumn("group_value", group_label("__g")).drop("__g")
 
 
-def value_metrics(values: DataFrame, keys: Sequence[str], scale: int = 4) -> DataFrame:
+def value_metrics(values: DataFrame, keys: Sequence[str], scale: int | None = None) -> DataFrame:
     """One row per key with sum, avg, max, min, count and the row range of the values used."""
     return (
         values.groupBy(*keys)
@@ -230,13 +230,15 @@ def value_metrics(values: DataFrame, keys: Sequence[str], scale: int = 4) -> Dat
     )
 
 
-def cross_sheet(values: DataFrame, scale: int = 4) -> DataFrame:
+def cross_sheet(values: DataFrame, scale: int | None = None) -> DataFrame:
     """Metrics per document and column over all its sheets, share of the document total, sheet names.
 
     Values are combined per sheet first, so the list of names is built from one row per sheet.
     """
+    number = F.sum(F.col("value").cast("double")) if scale is None else S.unit_sum("value", scale)
+    as_double = (lambda c: F.col(c)) if scale is None else (lambda c: S.from_units(F.col(c), scale))
     per_sheet = values.groupBy("doc_id", "column", "sheet").agg(
-        F.sum(F.col("value").cast(f"decimal(18,{scale})")).alias("__sum"),
+        number.alias("__sum"),
         F.max("value").alias("__max"),
         F.min("value").alias("__min"),
         F.count("value").alias("__count"),
@@ -249,13 +251,13 @@ def cross_sheet(values: DataFrame, scale: int = 4) -> DataFrame:
         F.array_join(F.sort_array(F.collect_list("sheet")), ", ").alias("source_sheets"),
     )
     # One row per column by now, so the window of a document is small.
-    total = F.sum("__exact").over(Window.partitionBy("doc_id")).cast("double")
+    totals = per_column.withColumn("__total", F.sum("__exact").over(Window.partitionBy("doc_id")))
     return (
-        per_column.where("count > 0")
-        .withColumn("sum", F.col("__exact").cast("double"))
+        totals.where("count > 0")
+        .withColumn("sum", as_double("__exact"))
         .withColumn("avg", F.col("sum") / F.col("count"))
-        .withColumn("ratio", F.when(total != 0, F.col("sum") / total))
-        .drop("__exact")
+        .withColumn("ratio", F.when(as_double("__total") != 0, F.col("sum") / as_double("__total")))
+        .drop("__exact", "__total")
     )
 
 
@@ -269,16 +271,22 @@ def plan_calculations(sheet_columns: DataFrame, requests: DataFrame) -> DataFram
         S.time_tokens("request").alias("time_tokens"), F.posexplode_outer(operations).alias("op_idx", "operation"),
     )
     label = F.concat(F.col("column"), F.coalesce(S.lookup(fixed.OPERATION_LABELS, F.col("operation")), F.col("operation")))
-    order = Window.partitionBy("request_id").orderBy("doc_id", "sheet", "col_idx", "op_idx")
-    return specs.select(
+    # Numbered per document and sheet first, then along them: a request with many sheets is no one task's.
+    place = [F.col(c) for c in ("doc_id", "sheet", "col_idx", "op_idx")]
+    sheets = specs.groupBy("request_id", "doc_id", "sheet").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("request_id").orderBy("doc_id", "sheet").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sheets.select("request_id", "doc_id", "sheet", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("request_id", "doc_id", "sheet").orderBy(*place)
+    numbered = specs.withColumn("__inside", F.row_number().over(inside)).join(offsets, ["request_id", "doc_id", "sheet"])
+    return numbered.select(
         "request_id",
-        F.concat(F.lit("calc_"), F.row_number().over(order).cast("string")).alias("calculation_id"),
+        F.concat(F.lit("calc_"), (F.col("__before") + F.col("__inside")).cast("string")).alias("calculation_id"),
         "doc_id", "sheet", "column", "operation", "group_col", "time_tokens",
         F.when(F.col("group_col").isNotNull(), F.concat(F.lit("按"), "group_col", label)).otherwise(label).alias("label"),
     )
 
 
-def spec_metrics(values: DataFrame, specs: DataFrame, scale: int = 4) -> DataFrame:
+def spec_metrics(values: DataFrame, specs: DataFrame, scale: int | None = None) -> DataFrame:
     """Results of many specs (spec_id, doc_id, sheet, column, operation): values are aggregated once, then looked up.
 
     Specs never multiply the values: the join is between specs and one row per sheet and column. A spec

@@ -107,7 +107,7 @@ def select_roles(scores: DataFrame) -> DataFrame:
     )
     below = F.expr("CASE WHEN size(ranks) > 1 THEN array_max(transform(slice(ranks, 1, size(ranks) - 1), r -> r.best_template)) ELSE ranks[0].best_template END")
     facts = facts.withColumn("best_template", below["doc_id"]).drop("ranks")
-    full = attach(scores, facts, ["request_id"], ["doc_id"], "inner")
+    full = attach(scores, facts, ["request_id"], "inner")
 
     def chosen(kind: str, named: Column, fit: Column) -> Column:
         rule = F.when(F.col(f"any_named_{kind}"), named).when(F.col(f"any_fit_{kind}"), fit)
@@ -177,7 +177,7 @@ def calculation_sources(requests: DataFrame, profile: DataFrame) -> DataFrame:
         (F.col("tp") + 3 * hint_count("lower(doc_name)", fixed.CALC_TEMPLATE_HINTS)).cast("int").alias("template_score"),
     )
     any_named = attach(
-        scored, scored.groupBy("request_id").agg(F.bool_or("mentioned").alias("any_named")), ["request_id"], ["doc_id"], "inner"
+        scored, scored.groupBy("request_id").agg(F.bool_or("mentioned").alias("any_named")), ["request_id"], "inner"
     ).where("mentioned OR NOT any_named")
     better = F.col("source_score") > F.col("template_score")
     not_template = (F.col("template_score") == 0) | (F.col("source_score") >= F.col("template_score"))
@@ -185,7 +185,7 @@ def calculation_sources(requests: DataFrame, profile: DataFrame) -> DataFrame:
         F.bool_or(better).alias("any_better"), F.bool_or(not_template).alias("any_plain"), F.count(F.lit(1)).alias("n")
     )
     keep = F.when(F.col("any_better"), better).when((F.col("n") > 1) & F.col("any_plain"), not_template).otherwise(True)
-    return attach(any_named, facts, ["request_id"], ["doc_id"], "inner").where(keep).drop("any_named", "any_better", "any_plain", "n")
+    return attach(any_named, facts, ["request_id"], "inner").where(keep).drop("any_named", "any_better", "any_plain", "n")
 
 
 def best_source_table(requests: DataFrame, profile: DataFrame) -> DataFrame:

@@ -11,22 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
 BLOCK_ROWS = 65536
 
 
-def attach(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join per-key facts (one row per key) to rows, with the rows of a hot key in several tasks.
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-key facts (one row per key) to rows.
 
-    The salt comes from the `spread` columns, so a task that runs again gives the same result. The
-    facts are repeated once per salt. With small facts AQE turns the join into a broadcast at run time,
-    by measured size.
+    A plain equi-join: the facts of a key are one row, so a hot key is skewed on the side of the rows only,
+    and AQE splits such a partition by its measured size. Small facts become a broadcast at run time.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+    return rows.join(facts, list(keys), how)
 
 
 def running_total(
@@ -106,20 +100,21 @@ def find_tokens(
 
 
 def find_keywords(
-    texts: DataFrame, text: str, vocabulary: DataFrame, keyword: str, key: str, longest: int = 64
+    texts: DataFrame, text: str, vocabulary: DataFrame, keyword: str, key: str, carried: int = 64
 ) -> DataFrame:
     """Occurrences of a keyword table of any size in long texts, without a nested loop over it.
 
     Each keyword joins on its first three characters (or on itself if shorter) with the positions of
-    the text that start so, and is verified there. Only `longest` characters per position are carried
-    along, not the text; keywords longer than that have to be cut by the caller. `hits` counts
+    the text that start so, and is verified there. Only `carried` characters per position travel along, not
+    the text; places of a longer keyword that agree so far are verified in the text, joined by its key.
+    `hits` counts
     occurrences that do not overlap, as a left-to-right search does.
     """
     lowered = F.lower(F.col(text))
     positions = F.sequence(F.lit(1), F.greatest(F.length("__text"), F.lit(1)))
     windows = texts.select(key, lowered.alias("__text")).select(
         key,
-        F.posexplode_outer(F.transform(positions, lambda i: F.substring(F.col("__text"), i, F.lit(longest)))).alias(
+        F.posexplode_outer(F.transform(positions, lambda i: F.substring(F.col("__text"), i, F.lit(carried)))).alias(
             "__at", "__window"
         ),
     )
@@ -138,9 +133,11 @@ def find_keywords(
         )
 
     start = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("free"), F.col("__size").alias("size"))
+    begun = grams.join(words, "__gram").where(F.startswith(F.col("__window"), F.substring(F.lower(F.col(keyword)), 1, carried)))
+    whole = texts.select(key, lowered.alias("__text"))
+    long = begun.where(size > carried).join(whole, key).where(F.substring(F.col("__text"), F.col("__at") + 1, size) == F.lower(F.col(keyword))).drop("__text")
     return (
-        grams.join(words, "__gram")
-        .where(F.startswith(F.col("__window"), F.lower(F.col(keyword))))
+        begun.where(size <= carried).unionByName(long)
         .groupBy(key, *vocabulary.columns)
         .agg(F.sort_array(F.collect_list("__at")).alias("__all"), F.max(size).alias("__size"))
         .select(key, *vocabulary.columns, F.aggregate("__all", start, next_hit, lambda acc: acc["hits"]).alias("hits"))

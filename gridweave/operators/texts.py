@@ -155,7 +155,7 @@ def score_documents(documents: DataFrame, keywords: Column) -> DataFrame:
 def relevant_documents(scored: DataFrame, request: Sequence[str], spread: str = "doc_idx") -> DataFrame:
     """If any document of a request matched a keyword, only those that did."""
     facts = scored.groupBy(*request).agg(F.bool_or(F.size("matched") > 0).alias("__any"))
-    return attach(scored, facts, request, [spread], "inner").where((F.size("matched") > 0) | ~F.col("__any")).drop("__any")
+    return attach(scored, facts, request, "inner").where((F.size("matched") > 0) | ~F.col("__any")).drop("__any")
 
 
 def top_documents(scored: DataFrame, request: Sequence[str], max_documents: int) -> DataFrame:

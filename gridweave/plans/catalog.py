@@ -32,19 +32,7 @@ class Catalog:
         return [(name, (query.__doc__ or "").strip().split("\n")[0]) for name, query in self.queries.items()]
 
 
-SMALL_SHARE = 64 * 1024 * 1024
-
-
 def table(spark: SparkSession, folder: str, name: str, spread: str | None = None) -> DataFrame:
-    """A table of the folder. With `spread`, a small table is hashed by that column over all cores.
-
-    A small table comes in one row group, so work on its texts would run in one task. Once every core
-    has a row group of its own to read (64 MB and more per core) the scan is parallel enough and the
-    table is taken as it is, without a shuffle.
-    """
+    """A table of the folder; with `spread` its rows are dealt by that column, as one row group may hold all of them."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    if spread is None:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, spread) if size < cores * SMALL_SHARE else df
+    return df if spread is None else df.repartition(spread)

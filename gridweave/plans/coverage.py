@@ -42,9 +42,9 @@ def segments(spark, folder):
     """Segments of documents, and line items as segments of one more document per order."""
     docs = T.with_segments(table(spark, folder, "documents", "doc_id").select("doc_id", F.col("source").alias("company"), "text"))
     long = T.explode_segments(docs, ["company", "doc_id"])
-    lines = table(spark, folder, "lineitem", "l_orderkey").where("l_linenumber <= 2").select(
+    lines = table(spark, folder, "lineitem", "l_orderkey").select(
         F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"), (F.col("l_orderkey") + 1000000).alias("doc_id"),
-        (F.col("l_linenumber") * 10000 + F.col("l_partkey") % 10000).cast("int").alias("seg_idx"), numbered_line().alias("text"),
+        (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).cast("int").alias("seg_idx"), numbered_line().alias("text"),
         F.concat(F.lit("row_"), "l_linenumber").alias("segment_id"), F.concat(F.lit("第 "), "l_linenumber", F.lit(" 行")).alias("location"),
         F.concat(F.lit("l"), "l_linenumber").alias("label"),
     )
@@ -57,14 +57,14 @@ def segments(spark, folder):
 def owners(spark, folder):
     """Companies of the documents and line items, without cutting any text."""
     docs = table(spark, folder, "documents").where("trim(text) <> ''").select(F.col("source").alias("company"))
-    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").select(F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"))
+    lines = table(spark, folder, "lineitem").select(F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"))
     return docs.unionByName(lines).distinct()
 
 
 SEGMENTS = f"""{Q.segments('documents', 'doc_id', 'text', extra='source')},
   segs AS (SELECT source AS company, doc_id, 'doc_' || doc_id AS doc_name, seg_idx, 'paragraph_' || (seg_idx + 1) AS segment_id, '正文片段 ' || (seg_idx + 1) AS location, text FROM segments
-    UNION ALL SELECT 'src' || (l_suppkey % 20), l_orderkey + 1000000, 'doc_' || (l_orderkey + 1000000), CAST(l_linenumber * 10000 + l_partkey % 10000 AS INTEGER), 'row_' || l_linenumber, '第 ' || l_linenumber || ' 行', max({NUMBERED_LINE_SQL})
-      FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+    UNION ALL SELECT 'src' || (l_suppkey % 20), l_orderkey + 1000000, 'doc_' || (l_orderkey + 1000000), CAST(l_linenumber * 10000000 + l_partkey AS INTEGER), 'row_' || l_linenumber, '第 ' || l_linenumber || ' 行', max({NUMBERED_LINE_SQL})
+      FROM lineitem GROUP BY ALL),
   low AS (SELECT *, lower(text) AS t FROM segs)"""
 
 
@@ -109,7 +109,7 @@ KPI_SQL = f"""
   kpis AS (SELECT * EXCLUDE (rn, text, t), substr(text, 1, 220) AS evidence, {TOPIC_OF} AS topic FROM ({_kpi_rows()}) WHERE rn = 1)"""
 STANDARD_WORDS = {c: w for c, _, _, w in fixed.STANDARDS}
 STANDARDS_SQL = f"""
-  prev AS (SELECT source AS company, lower({Q.clip('text', 180)}) AS p FROM documents),
+  prev AS (SELECT source AS company, lower(text) AS p FROM documents),
   stds AS (SELECT DISTINCT company, unnest(['GRI', 'ISSB']) AS code FROM prev
      {' '.join(f"UNION SELECT company, '{c}' FROM prev WHERE {Q.contains_any('p', w)}" for c, w in STANDARD_WORDS.items() if w)})"""
 DISCLOSURE = f"""{MATRIX}, {KPI_SQL}, {STANDARDS_SQL},
@@ -130,7 +130,7 @@ def kpis(spark, folder):
 
 
 def chosen(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id").select(F.col("source").alias("company"), S.clip("text", fixed.PREVIEW_CHARS).alias("preview"))
+    docs = table(spark, folder, "documents", "doc_id").select(F.col("source").alias("company"), "text")
     return C.standards(docs, "climate report")
 
 

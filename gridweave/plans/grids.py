@@ -89,7 +89,7 @@ NAMES = """
 ANCHORS = f"""
   anchors AS (SELECT * FROM (SELECT c.doc_id, c.sheet, c.row_idx, c.col_idx, {Q.a1('c.row_idx', 'c.col_idx')} AS cell, value_str AS label, {metric_label} AS metric,
         c.row_idx = header_row AND header_confidence <> 'low' AND header_cells >= 2 AS in_header
-     FROM cells c JOIN headers h USING (doc_id, sheet) WHERE c.row_idx <= 300 AND c.col_idx <= 20) WHERE metric IS NOT NULL AND NOT in_header)"""
+     FROM cells c JOIN headers h USING (doc_id, sheet)) WHERE metric IS NOT NULL AND NOT in_header)"""
 ZONES = f"""
   offs AS (SELECT * FROM (VALUES (0, 'right', 0, 1, 1), (1, 'right', 0, 2, 2), (2, 'right', 0, 3, 3), (3, 'down', 1, 0, 1), (4, 'down', 2, 0, 2)) AS o(o, direction, dr, dc, distance)),
   spots AS (SELECT doc_id, sheet, cell AS anchor_cell, metric, o, direction, distance, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM anchors, offs),

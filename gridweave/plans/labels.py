@@ -150,7 +150,7 @@ def register(catalog: Catalog) -> None:
     )
     def scan_bounds(spark, folder):
         """Cells in the area a bounded scan would visit."""
-        return L.within_scan_bounds(part_cells(spark, folder), part_rows(spark, folder))
+        return L.within_scan_bounds(part_cells(spark, folder), part_rows(spark, folder), fixed.SCAN_ROW_MAX, fixed.SCAN_COLUMN_MAX)
 
     hint = Q.contains_any("lower(sheet)", fixed.ROLE_TEMPLATE_SHEET_HINTS)
 

@@ -27,6 +27,8 @@ LINE_LONG = " UNION ALL ".join(
     f"SELECT l_linestatus AS doc_id, l_returnflag AS sheet, l_orderkey*16+l_linenumber AS row_idx, '{c}' AS col, {c} AS v FROM lineitem"
     for c in LINE_COLUMNS
 )
+# Decimals of the number columns of the test tables.
+SCALE = 4
 EXACT = "CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE)"
 LINE_STATS = f"""
   SELECT doc_id, sheet, col, {EXACT} AS s, max(v) AS mx, min(v) AS mn, count(v) AS n,
@@ -43,7 +45,7 @@ def register(catalog: Catalog) -> None:
     )
     def calc_basic(spark, folder):
         """Sum, average, extremes, count and row range of every number column of every sheet."""
-        return M.value_metrics(line_values(table(spark, folder, "lineitem")), ["doc_id", "sheet", "column"])
+        return M.value_metrics(line_values(table(spark, folder, "lineitem")), ["doc_id", "sheet", "column"], scale=SCALE)
 
     def grouped(spark, folder):
         df = table(spark, folder, "lineitem")
@@ -53,7 +55,7 @@ def register(catalog: Catalog) -> None:
             *LINE_COLUMNS,
         )
         values = {c: F.col(c) for c in LINE_COLUMNS}
-        return M.wide_metrics(keyed, ["sheet", "group_value"], values, ["sum", "avg", "max", "min", "count"])
+        return M.wide_metrics(keyed, ["sheet", "group_value"], values, ["sum", "avg", "max", "min", "count"], scale=SCALE)
 
     grouped_sql = f"""
         WITH long AS (
@@ -80,7 +82,7 @@ def register(catalog: Catalog) -> None:
     def calc_ratio(spark, folder):
         """Share of every number column in the total of its sheet."""
         df = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("sheet"), *LINE_COLUMNS)
-        return M.wide_metrics(df, ["sheet"], {c: F.col(c) for c in LINE_COLUMNS}, ["ratio"])
+        return M.wide_metrics(df, ["sheet"], {c: F.col(c) for c in LINE_COLUMNS}, ["ratio"], scale=SCALE)
 
     @catalog.add(
         """
@@ -97,7 +99,7 @@ def register(catalog: Catalog) -> None:
             F.col("l_returnflag").alias("sheet"), "l_quantity", "l_extendedprice", "l_tax"
         )
         values = {"产量": F.col("l_quantity"), "金额": F.col("l_extendedprice"), "tax": F.col("l_tax")}
-        return M.wide_metrics(df, ["sheet"], values, ["intensity"])
+        return M.wide_metrics(df, ["sheet"], values, ["intensity"], scale=SCALE)
 
     @catalog.add(
         """
@@ -117,7 +119,7 @@ def register(catalog: Catalog) -> None:
         months = (
             table(spark, folder, "orders")
             .groupBy(F.col("o_orderpriority").alias("sheet"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-            .agg(S.exact_sum("o_totalprice").alias("total"), F.count(F.lit(1)).cast("double").alias("orders"))
+            .agg(S.exact_sum("o_totalprice", SCALE).alias("total"), F.count(F.lit(1)).cast("double").alias("orders"))
         )
         values = {"total": F.col("total"), "orders": F.col("orders")}
         return M.trend(months, ["sheet"], values, "month", F.col("month"), ["yoy", "mom"])
@@ -132,7 +134,7 @@ def register(catalog: Catalog) -> None:
     )
     def calc_cross_sheet(spark, folder):
         """Metrics per document and column over all sheets, with the share of the document total."""
-        return M.cross_sheet(line_values(table(spark, folder, "lineitem")))
+        return M.cross_sheet(line_values(table(spark, folder, "lineitem")), scale=SCALE)
 
     ops = ["sum", "avg", "max", "min", "count"]
 
@@ -159,7 +161,7 @@ def register(catalog: Catalog) -> None:
             .withColumn("operation", F.explode(S.string_array(ops)))
             .withColumn("spec_id", F.concat_ws("/", "doc_id", "sheet", "column", "operation"))
         )
-        return M.spec_metrics(line_values(df), specs).select(
+        return M.spec_metrics(line_values(df), specs, SCALE).select(
             "spec_id", "doc_id", "sheet", "column", "operation", "value", "row_start", "row_end"
         )
 
@@ -176,7 +178,7 @@ def register(catalog: Catalog) -> None:
         """Result rows: grouped metrics for two columns, overall metrics for the columns without groups."""
         rows = grouped(spark, folder).where("column IN ('l_quantity', 'l_discount') AND metric = 'sum'")
         df = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("sheet"), *LINE_COLUMNS)
-        overall = M.wide_metrics(df, ["sheet"], {c: F.col(c) for c in LINE_COLUMNS}, ["sum"])
+        overall = M.wide_metrics(df, ["sheet"], {c: F.col(c) for c in LINE_COLUMNS}, ["sum"], scale=SCALE)
         return M.result_rows(overall, rows.withColumn("group_col", F.lit("l_linenumber")), ["sheet", "column"])
 
     @catalog.add(
@@ -189,7 +191,7 @@ def register(catalog: Catalog) -> None:
     )
     def metric_evidence(spark, folder):
         """One evidence row per calculated column: rows used, operations, place, row range."""
-        metrics = M.value_metrics(line_values(table(spark, folder, "lineitem")), ["doc_id", "sheet", "column"])
+        metrics = M.value_metrics(line_values(table(spark, folder, "lineitem")), ["doc_id", "sheet", "column"], scale=SCALE)
         done = metrics.withColumn("metric", F.explode(S.string_array(["sum", "max"])))
         return M.metric_evidence(done, ["doc_id", "sheet", "column"])
 
@@ -228,4 +230,4 @@ def register(catalog: Catalog) -> None:
             F.year("o_orderdate").cast("string").alias("sheet"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice"
         )
         hit = M.row_hit([F.col("day")], ["1998-12"])
-        return M.wide_metrics(df, ["sheet"], {"o_totalprice": F.col("o_totalprice")}, ["sum", "avg", "count"], hit=hit)
+        return M.wide_metrics(df, ["sheet"], {"o_totalprice": F.col("o_totalprice")}, ["sum", "avg", "count"], hit=hit, scale=SCALE)

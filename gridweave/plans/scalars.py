@@ -472,13 +472,13 @@ def register(catalog: Catalog) -> None:
 
     @catalog.add(
         """
-        WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
-        d AS (SELECT doc_id, trim(w) AS w, min(i) AS i FROM w WHERE trim(w) <> '' AND NOT contains(w, chr(10)) GROUP BY ALL),
+        WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS w, generate_subscripts(regexp_split_to_array(text, '[ \\n]'), 1) AS i FROM documents),
+        d AS (SELECT doc_id, trim(w) AS w, min(i) AS i FROM w WHERE trim(w) <> '' GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM d)
         SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM r WHERE n <= 6 GROUP BY doc_id"""
     )
     def ordered_distinct(spark, folder):
         """First six different words of each document in order."""
-        words = F.filter(F.split("text", " "), lambda w: ~F.contains(w, F.lit("\n")))
+        words = F.split("text", "[ \\n]")
         df = table(spark, folder, "documents", "doc_id").withColumn("w", S.ordered_distinct(words, 6)).where(F.size("w") > 0)
         return df.select("doc_id", F.array_join("w", " ").alias("words"))

@@ -6,9 +6,6 @@ from dataclasses import dataclass, field
 
 from gridweave.rules import fixed
 
-# Rules become part of the plan. Beyond this many keywords use `scaling.find_keywords` with a keyword table.
-MAX_KEYWORDS = 2000
-
 
 @dataclass(frozen=True)
 class Topic:
@@ -39,11 +36,6 @@ class RuleSet:
     kpis: tuple[Kpi, ...]
     owners: dict[str, str] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        words = sum(map(len, self.pillar_keywords.values())) + sum(len(t.keywords) + len(t.kpi_patterns) for t in self.topics) + sum(len(k.keywords) for k in self.kpis)
-        if words > MAX_KEYWORDS:
-            raise ValueError(f"{words} keywords: use a keyword table and scaling.find_keywords")
-
 
 def default_rules() -> RuleSet:
     return RuleSet(

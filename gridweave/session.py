@@ -1,10 +1,8 @@
-"""Session settings for local runs and the checkpoint folder."""
+"""Session settings for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings of the library, valid on a cluster as well: time zone for oracle parity, AQE for runtime
 # re-planning, Arrow for the few codecs that need Python.
@@ -32,17 +30,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder of the cluster and go on from the written copy.
-
-    The folder is the one in `spark.checkpoint.dir`. Only where that is unset (local tests) a new
-    temporary folder is used. The copy survives the loss of executors.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
