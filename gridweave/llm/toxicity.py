@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -19,10 +19,10 @@ from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import whole_text
+from gridweave.llm.common import settle, whole_text
 
 # What a sign may stand for. A letter stands for itself.
 SIGNS = {
@@ -176,52 +176,41 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + sum(sorted(self.weights[f] for f in found))))))
 
 
-def copies_weight(texts: list[set[str]]) -> np.ndarray:
-    """Weight of each text: texts that look like copies of one another (equal three least word checksums) share a weight of 1."""
-    marks = [tuple(sorted(zlib.crc32(w.encode()) for w in t)[:3]) for t in texts]
-    sizes = Counter(marks)
-    return np.array([1 / sizes[m] for m in marks])
+def fit_features(
+    names: list[str], marks: list[str], labels: list[int], features: list[np.ndarray], least: float = 3.0, precision: float = 0.6, ridge: float = 0.01, steps: int = 400, sure: float = 8.0
+) -> tuple[dict[str, float], float]:
+    """Weights of features and the intercept, from texts as places of their features in `names`, with labels.
 
-
-def fit_features(samples: list[tuple[set[str], int]], least: float = 3.0, precision: float = 0.6, ridge: float = 0.01, steps: int = 400, sure: float = 8.0) -> tuple[dict[str, float], float]:
-    """Weights of features and the intercept, from texts as sets of readings with labels.
-
-    Copies of a text share one vote, so the words of a text that was copied often do not look toxic because it
-    was. Features that `least` toxic votes have, and that are right at least `precision` of the time, enter a
-    logistic regression with a ridge, fitted by gradient steps over all of them. As toxic words keep company,
-    the ridge splits their weight; a feature with `sure` toxic votes and less than one in 32 against it gets at
-    least the weight that it deserves alone.
+    Texts with equal marks are copies and share one vote, so the words of a text that was copied often do not
+    look toxic because it was. Features that `least` toxic votes have, and that are right at least `precision`
+    of the time, enter a logistic regression with a ridge, fitted by gradient steps over all of them. As toxic
+    words keep company, the ridge splits their weight; a feature with `sure` toxic votes and less than one in
+    32 against it gets at least the weight that it deserves alone.
     """
-    if len({y for _, y in samples}) < 2:
-        return {}, (math.log(99.0) if samples and samples[0][1] else -math.log(99.0))
-    votes = copies_weight([words for words, _ in samples])
-    texts = [{f for w in words for f in features_of(w)} for words, _ in samples]
-    y = np.array([label for _, label in samples], float)
-    toxic, harmless = defaultdict(float), defaultdict(float)
-    for features, label, vote in zip(texts, y, votes, strict=True):
-        if label:
-            for f in features:
-                toxic[f] += vote
-    for features, label, vote in zip(texts, y, votes, strict=True):
-        if not label:
-            for f in features:
-                if f in toxic:
-                    harmless[f] += vote
-    names = sorted(f for f, n in toxic.items() if n >= least and n >= precision * (n + harmless[f]))
-    place = {f: i for i, f in enumerate(names)}
-    pairs = [(i, place[f]) for i, features in enumerate(texts) for f in features if f in place]
-    row, column = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    w, b = np.zeros(len(names)), math.log((votes @ y + 0.5) / (votes @ (1 - y) + 0.5))
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    if len(set(labels)) < 2:
+        return {}, (math.log(99.0) if labels and labels[0] else -math.log(99.0))
+    y, sizes = np.array(labels, float), Counter(marks)
+    votes = np.array([1 / sizes[m] for m in marks])
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    column = np.concatenate(features).astype(np.int64)
+    toxic = np.bincount(column, (votes * y)[row], len(names))
+    harmless = np.bincount(column, (votes * (1 - y))[row], len(names))
+    used = np.flatnonzero((toxic >= least) & (toxic >= precision * (toxic + harmless)))
+    place = np.full(len(names), -1)
+    place[used] = np.arange(len(used))
+    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
+    toxic, harmless = toxic[used], harmless[used]
+    w, b = np.zeros(len(used)), math.log((votes @ y + 0.5) / (votes @ (1 - y) + 0.5))
+    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(b + np.bincount(row, w[column], len(texts)))))
+        p = 1 / (1 + np.exp(-(b + np.bincount(row, w[column], len(y)))))
         error = votes * (p - y)
-        slope = np.r_[np.bincount(column, error[row], len(names)) + ridge * w, error.sum()]
+        slope = np.r_[np.bincount(column, error[row], len(used)) + ridge * w, error.sum()]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    alone = {f: math.log((toxic[f] + 0.5) / (harmless[f] + 0.5)) - b for f in names if toxic[f] >= sure and 32 * harmless[f] < toxic[f]}
-    return {f: max(float(x), float(alone.get(f, x))) for f, x in zip(names, w, strict=True)}, float(b)
+    alone = np.where((toxic >= sure) & (32 * harmless < toxic), np.log((toxic + 0.5) / (harmless + 0.5)) - b, -np.inf)
+    return {names[f]: float(x) for f, x in zip(used, np.maximum(w, alone), strict=True)}, float(b)
 
 
 def held_out(key: Column) -> Column:
@@ -229,28 +218,41 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
-def _readings(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sample_features(batches: Iterator[pa.RecordBatch], model: np.ndarray, names: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
+    """Label, mark (the three least word checksums) and features of sampled texts: all of them as strings, or the places of those in `names`."""
     for batch in batches:
-        words = []
+        marks, features = [], []
         for text in batch.column("text").to_pylist():
             text = clean(text)
-            words.append(sorted({r for t in {*text.split(), *spaced_words(text)} for r in readings_of(t, model)}))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column("toxic")], names=["words", "toxic"])
+            words = {r for t in {*text.split(), *spaced_words(text)} for r in readings_of(t, model)}
+            marks.append(",".join(map(str, sorted(zlib.crc32(w.encode()) for w in words)[:3])))
+            found = {f for w in words for f in features_of(w)}
+            features.append(sorted(found) if names is None else sorted(names[f] for f in found if f in names))
+        kind = pa.list_(pa.string() if names is None else pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(marks), pa.array(features, kind)], names=["toxic", "mark", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: float = 3.0) -> Scorer:
     """A scorer from the labels that are not held out.
 
     The language model is counted over all texts. The features are fitted to at most `sample` labelled rows,
-    those with the least checksum of their doc_id; labels of 0 and 1 in any proportion. Without both labels
-    every text gets the same score.
+    those with the least checksum of their doc_id; labels of 0 and 1 in any proportion. Features that occur in
+    toxic texts of the sample often enough are gathered first; then the driver gets of each text which of
+    them it has. Without both labels every text gets the same score.
     """
     model = character_model(docs)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = usable.orderBy(F.crc32(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string"))), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    samples = [(set(r["words"]), int(r["toxic"])) for r in rows.mapInArrow(partial(_readings, model=model), "words array<string>, toxic int").toLocalIterator()]
-    weights, base = fit_features(samples)
+    rows = settle(docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    listed = rows.where("toxic = 1").mapInArrow(partial(_sample_features, model=model, names=None), "toxic int, mark string, features array<string>")
+    voted = listed.withColumn("vote", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("mark"))).select("vote", F.explode("features").alias("feature"))
+    names = sorted(voted.groupBy("feature").agg(F.sum("vote").alias("votes")).where(F.col("votes") >= least - 1e-9).select("feature").toPandas()["feature"])
+    places = {f: i for i, f in enumerate(names)}
+    found = rows.mapInArrow(partial(_sample_features, model=model, names=places), "toxic int, mark string, features array<int>")
+    given = found.select("mark", "toxic", "features").toPandas()
+    given["order"] = [f.tobytes() for f in given["features"]]
+    given = given.sort_values(["mark", "toxic", "order"])
+    weights, base = fit_features(names, given["mark"].tolist(), given["toxic"].tolist(), given["features"].tolist(), least)
     return Scorer(model, weights, base)
 
 
