@@ -257,12 +257,23 @@ def register(catalog: Catalog) -> None:
         mime = F.when(F.col("page_id") % 16 == 7, "application/msword").when(F.col("page_id") % 16 == 15, "application/ld+json")
         return table(spark, folder, "pages", "page_id").select("page_id", S.document_type(name, mime).alias("doc_type"))
 
-    @catalog.add()
+    def page_text_sql(html: str) -> str:
+        nodes = f"array_to_string(list_filter(list_transform(regexp_split_to_array({html}, '(?s)<!--.*?-->|<!?/?[a-zA-Z][^>]*>'), lambda n: {Q.strip('n')}), lambda n: n <> ''), ' ')"
+        for name, char in files.ENTITIES.items():
+            nodes = f"replace({nodes}, '&{name};', {Q.quote(char)})"
+        return f"replace({nodes}, '&amp;', '&')"
+
+    @catalog.add(
+        f"""
+        WITH t AS (SELECT page_id, {page_text_sql("html")} AS t, {page_text_sql("regexp_replace(html, '(?is)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '' || chr(92) || '1' || chr(92) || '2', 'g')")} AS shown FROM pages)
+        SELECT page_id, length(t) AS chars, md5(t) AS text_md5, length(shown) AS shown_chars, md5(shown) AS shown_md5, {Q.clip('shown', 220)} AS excerpt FROM t"""
+    )
     def html_text(spark, folder):
         """Text of the pages: once as it is, once without script and style bodies."""
-        pages = table(spark, folder, "pages", "page_id")
-        every = files.html_text(pages, "page_id", "html")
-        return every.select("page_id", F.length("text").alias("chars"), S.clip("text", 220).alias("excerpt"))
+        pages = table(spark, folder, "pages", "page_id").select("page_id", files.html_to_text(F.col("html")).alias("t"), files.html_to_text(F.col("html"), drop_script=True).alias("shown"))
+        return pages.select(
+            "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"), F.length("shown").alias("shown_chars"), F.md5("shown").alias("shown_md5"), S.clip("shown", 220).alias("excerpt")
+        )
 
     @catalog.add(
         f"""

@@ -373,6 +373,7 @@ TEXT_SUFFIXES = [
     "txt", "md", "markdown", "csv", "json", "jsonl", "xml", "html", "htm", "yaml", "yml", "ini", "cfg", "log", "sql",
     "py", "js", "ts", "tsx", "jsx", "css", "sh", "eml", "rst",
 ]
+MAIL_HEADS = ["主题", "发件人", "收件人"]
 TEXT_ENCODINGS = ["utf-8", "utf-8-sig", "gb18030", "big5", "shift_jis"]
 FALLBACK_ENCODING = "latin-1"
 PRINTABLE_SHARE = 0.85

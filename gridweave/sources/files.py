@@ -1,167 +1,159 @@
-"""File sources. Text codecs run per file inside `mapInPandas`; files are spread over the executors by Spark.
+"""File sources: whole files as rows, and their texts, cells and mail parts.
 
-Spark's own decoder knows the ISO and UTF charsets only, and no SQL function reads HTML or mail, so
-these three small helpers are the only Python in the data path.
+HTML and CSV are column expressions. Spark decodes only some charsets and has no mail reader, so two small
+helpers for one file run inside `mapInPandas`: the choice of a charset and the standard library's mail parser.
+A file is named by its whole path, and a file that cannot be read gives a row that says so.
 """
 
 from __future__ import annotations
 
-import csv
 import email
 import email.policy
-import io
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as S
 from gridweave.rules import fixed
 
 
-def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files as rows: doc_name, size, content."""
+    """Files as rows: doc_id (the path), doc_name (its last part), size, content."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.url_decode(file_name(F.col("path"))).alias("doc_name"), F.col("length").alias("size"), "content")
+    place = F.url_decode(F.col("path"))
+    return raw.select(place.alias("doc_id"), F.element_at(F.split(place, "/"), -1).alias("doc_name"), F.col("length").alias("size"), "content")
 
 
-# --- helpers for one file ---------------------------------------------------------------------
+# --- text -------------------------------------------------------------------------------------
 
 
-def decode_bytes(data: bytes) -> str | None:
-    """First encoding that decodes to mostly printable text."""
-    for encoding in [*fixed.TEXT_ENCODINGS, fixed.FALLBACK_ENCODING]:
-        try:
-            text = bytes(data).decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        visible = sum(ch.isprintable() or ch in "\n\r\t" for ch in text)
-        if not text or visible >= fixed.PRINTABLE_SHARE * len(text):
-            return text
-    return None
+def clarity(data: bytes, charset: str) -> float:
+    """Share of characters a reader could see when `data` is read as `charset`; -1 if it cannot be read so."""
+    text = data.decode(charset, "replace")
+    if text.encode(charset, "replace") != data and "�" in text:
+        return -1.0
+    seen = pd.Series(list(text)).map(lambda c: c.isprintable() or c.isspace()) if text else pd.Series([True])
+    return float(seen.mean())
 
 
-class _Text(HTMLParser):
-    """Collects text nodes; bodies of script and style only if wanted."""
+def charset_of(data: bytes) -> str | None:
+    """The preferred charset among those that read `data` clearly, or None."""
+    candidates = pd.Series({c: clarity(data, c) for c in [*fixed.TEXT_ENCODINGS, fixed.FALLBACK_ENCODING]})
+    clear = candidates[candidates >= fixed.PRINTABLE_SHARE]
+    return clear.index[0] if len(clear) else None
 
-    def __init__(self, drop_script: bool) -> None:
-        super().__init__()
-        self.drop_script = drop_script
-        self.hidden = 0
-        self.found: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += self.drop_script and tag in ("script", "style")
+def text_files(files: DataFrame) -> DataFrame:
+    """Files to documents: doc_id, doc_name, size, text, error, doc_type, decoded.
 
-    def handle_endtag(self, tag):
-        if self.drop_script and tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
+    Valid UTF-8 is decoded in the JVM; other files go through the choice of a charset. A file that no charset
+    reads has a null text and an error.
+    """
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    plain = files.where(utf8).select("doc_id", "doc_name", "size", F.decode("content", "UTF-8").alias("text"))
 
-    def handle_data(self, data):
-        if not self.hidden and data.strip():
-            self.found.append(data.strip())
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            charsets = [charset_of(bytes(data)) for data in batch["content"]]
+            texts = [None if c is None else bytes(data).decode(c) for data, c in zip(batch["content"], charsets, strict=True)]
+            yield batch[["doc_id", "doc_name", "size"]].assign(text=texts)
 
+    other = files.where(~utf8).mapInPandas(decode, "doc_id string, doc_name string, size long, text string")
+    read = F.col("text").isNotNull()
+    return plain.unionByName(other).withColumns({"error": F.when(~read, "no charset reads this file"), "doc_type": S.document_type("doc_name"), "decoded": read})
 
-def html_to_text(html: str | None, drop_script: bool = False) -> str:
-    reader = _Text(drop_script)
-    reader.feed(html or "")
-    return " ".join(reader.found)
 
+# --- HTML -------------------------------------------------------------------------------------
 
-def mail_parts(data: bytes) -> tuple[str, str]:
-    """Header lines and body: the first plain part, else the text of the first HTML part."""
-    message = email.message_from_bytes(bytes(data), policy=email.policy.default)
-    heads = [("主题", "subject"), ("发件人", "from"), ("收件人", "to")]
-    header = "\n".join(f"{label}：{message[field]}" for label, field in heads if message.get(field))
-    leaves = [part for part in message.walk() if part.get_content_maintype() != "multipart"]
-    if not message.is_multipart():
-        body = message.get_content()
-        return header, html_to_text(body) if message.get_content_type() == "text/html" else body
-    for kind, read in (("text/plain", str), ("text/html", html_to_text)):
-        for part in leaves:
-            if part.get_content_type() == kind:
-                return header, read(part.get_content())
-    return header, ""
+# Named characters that pages use in running text; numeric ones are turned by rule.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€"}
+HIDDEN_BODIES = "(?is)(<(script|style)\\b[^>]*>).*?(</\\2\\s*>|$)"
 
 
-# --- sources ----------------------------------------------------------------------------------
+def html_to_text(html: Column, drop_script: bool = False) -> Column:
+    """Text nodes of a page, trimmed, one space between them; as column expression.
 
+    Bodies of script and style are text unless dropped. Comments, declarations and tags part text nodes.
+    """
+    page = F.coalesce(html, F.lit(""))
+    if drop_script:
+        page = F.regexp_replace(page, HIDDEN_BODIES, "$1$3")
+    nodes = F.split(page, "(?s)<!--.*?-->|<!?/?[a-zA-Z][^>]*>")
+    kept = F.filter(F.transform(nodes, lambda n: S.strip(n)), lambda n: n != "")
+    text = F.array_join(kept, " ")
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+    text = F.aggregate(codes, text, lambda done, code: F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), _character(code.cast("int"))))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
-def text_files(files: DataFrame) -> DataFrame:
-    """Files to documents: valid UTF-8 is decoded in the JVM, only the rest goes through Python."""
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    plain = files.where(utf8).select("doc_name", "size", F.decode("content", "UTF-8").alias("text"))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"doc_name": batch["doc_name"], "size": batch["size"], "text": batch["content"].map(decode_bytes)}
-            )
-
-    other = files.where(~utf8).mapInPandas(decode, "doc_name string, size long, text string")
-    documents = plain.unionByName(other)
-    return documents.withColumn("doc_type", S.document_type("doc_name")).withColumn(
-        "decoded", F.col("text").isNotNull()
-    )
+def _character(code: Column) -> Column:
+    """The character of a code point, through its UTF-32 bytes; beyond Unicode the replacement character."""
+    known = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
 
 
 def html_text(pages: DataFrame, key: str, html: str, drop_script: bool = False) -> DataFrame:
-    """Text of HTML pages: text nodes joined by spaces."""
-    kind = pages.schema[key].dataType.simpleString()
+    """Text of HTML pages by key."""
+    return pages.select(key, html_to_text(F.col(html), drop_script).alias("text"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "text": [html_to_text(h, drop_script) for h in batch[html]]})
 
-    return pages.select(key, html).mapInPandas(extract, f"`{key}` {kind}, text string")
+# --- mail -------------------------------------------------------------------------------------
 
 
 def mail_files(files: DataFrame) -> DataFrame:
-    """Mail files to header lines and body; segments come from the body column like any other text."""
+    """Mail files: doc_id, doc_name, header (subject, sender, receiver), body (the plain one, else the HTML one as text)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [mail_parts(data) for data in batch["content"]]
-            yield pd.DataFrame(
-                {"doc_name": batch["doc_name"], "header": [p[0] for p in parts], "body": [p[1] for p in parts]}
+            mails = [email.message_from_bytes(bytes(data), policy=email.policy.default) for data in batch["content"]]
+            bodies = [m.get_body(preferencelist=("plain", "html")) for m in mails]
+            yield batch[["doc_id", "doc_name"]].assign(
+                heads=[[str(m[name] or "") for name in ("subject", "from", "to")] for m in mails],
+                body=["" if b is None else b.get_content() for b in bodies], is_html=[b is not None and b.get_content_subtype() == "html" for b in bodies],
             )
 
-    return files.select("doc_name", "content").mapInPandas(split, "doc_name string, header string, body string")
+    read = files.select("doc_id", "doc_name", "content").mapInPandas(split, "doc_id string, doc_name string, heads array<string>, body string, is_html boolean")
+    names = S.string_array(fixed.MAIL_HEADS)
+    lines = F.filter(F.zip_with(names, "heads", lambda name, value: F.when(value != "", F.concat(name, F.lit("："), value))), lambda x: x.isNotNull())
+    return read.select("doc_id", "doc_name", F.array_join(lines, "\n").alias("header"), F.when(F.col("is_html"), html_to_text(F.col("body"))).otherwise(F.col("body")).alias("body"))
 
 
-def csv_cells(files: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
-    """CSV files to cells; the sheet is named after the file. The caps are upload limits, off by default."""
+# --- CSV --------------------------------------------------------------------------------------
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["doc_name"], batch["content"], strict=True):
-                text = decode_bytes(data)
-                if text is None:
-                    continue
-                rows: list[tuple[str, int, int, str]] = []
-                for r, row in enumerate(csv.reader(io.StringIO(text)), start=1):
-                    rows += [(name, r, c, value) for c, value in enumerate(row, start=1)]
-                    if len(rows) >= 50000:  # one batch of cells at a time, files of any length
-                        yield pd.DataFrame(rows, columns=["doc_name", "row_idx", "col_idx", "raw"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_name", "row_idx", "col_idx", "raw"])
-
-    cells = files.select("doc_name", "content").mapInPandas(parse, "doc_name string, row_idx int, col_idx int, raw string")
+FIELD = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'
+
+
+def csv_cells(files: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """CSV files to cells: doc_id, doc_name, sheet (the name without ending), row_idx, col_idx, value_str, value_num, value_kind, error.
+
+    A record goes on over line ends while its quotes are open. A file that no charset reads gives one row with
+    an error and no cell. The caps are upload limits, off by default.
+    """
+    texts = text_files(files).select("doc_id", "doc_name", "text", "error")
+    lines = texts.where("text IS NOT NULL").select("doc_id", "doc_name", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "part"))
+    quotes = F.length("part") - F.length(F.replace(F.col("part"), F.lit('"'), F.lit("")))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumn("open", F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1)
+    through = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.withColumn("row_idx", F.sum((~F.col("open")).cast("int")).over(through).cast("int"))
+    records = numbered.groupBy("doc_id", "doc_name", "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), "\n").alias("record"))
+    fields = records.where("record <> ''").select("doc_id", "doc_name", "row_idx", F.posexplode(F.regexp_extract_all("record", F.lit(FIELD), F.lit(1))).alias("c", "field"))
+    quoted = F.regexp_extract("field", r'(?s)^"(.*)"', 1)
+    raw = F.when(F.startswith("field", F.lit('"')), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.col("field"))
+    cells = fields.select("doc_id", "doc_name", "row_idx", (F.col("c") + 1).alias("col_idx"), raw.alias("raw"))
     if max_rows is not None:
         cells = cells.where(F.col("row_idx") <= max_rows)
     if max_columns is not None:
         cells = cells.where(F.col("col_idx") <= max_columns)
-    stem = F.regexp_replace("doc_name", r"\.[^.]*$", "")
+    stem = F.coalesce(F.nullif(F.regexp_replace("doc_name", r"\.[^.]*$", ""), F.lit("")), F.lit("CSV"))
     value = S.blank_to_null("raw")
-    return cells.select(
-        F.col("doc_name").alias("doc_id"), "doc_name", F.coalesce(F.nullif(stem, F.lit("")), F.lit("CSV")).alias("sheet"),
-        "row_idx", "col_idx", value.alias("value_str"), S.parse_numeric("raw").alias("value_num"),
-        F.when(value.isNotNull(), F.lit("text")).alias("value_kind"),
+    good = cells.select(
+        "doc_id", "doc_name", stem.alias("sheet"), "row_idx", "col_idx", value.alias("value_str"), S.parse_numeric("raw").alias("value_num"),
+        F.when(value.isNotNull(), F.lit("text")).alias("value_kind"), F.lit(None).cast("string").alias("error"),
     )
+    bad = texts.where("error IS NOT NULL").select("doc_id", "doc_name", stem.alias("sheet"), "error")
+    return good.unionByName(bad, allowMissingColumns=True)

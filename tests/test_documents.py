@@ -98,6 +98,13 @@ def test_files(spark, tmp_path):
     path = str(tmp_path)
     cells = files.csv_cells(files.read_files(spark, path, "*.csv"))
     assert as_set(cells.where("col_idx = 2"), "sheet", "row_idx", "value_num") == {("a", 1, None), ("a", 2, 128.0), ("a", 3, 523.6)}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.csv").write_bytes(b'x,"two\nlines, ""quoted""",\r\n\r\n1')
+    (tmp_path / "bad.csv").write_bytes(bytes([0x81, 0x01, 0x02, 0xFF]) * 8)
+    both = files.csv_cells(files.read_files(spark, path, "*.csv"))
+    assert both.where("error IS NULL").select("doc_id").distinct().count() == 2 and both.where("error IS NOT NULL").select("doc_name").first()[0] == "bad.csv"
+    nested = both.where("doc_id LIKE '%/sub/a.csv'")
+    assert as_set(nested, "row_idx", "col_idx", "value_str") == {(1, 1, "x"), (1, 2, 'two\nlines, "quoted"'), (1, 3, None), (3, 1, "1")}
     assert as_set(files.text_files(files.read_files(spark, path, "*.txt")), "doc_name", "text", "doc_type") == {("g.txt", "环境报告：排放", "text"), ("u.txt", "plain ünïcode", "text")}
     mail = files.mail_files(files.read_files(spark, path, "*.eml")).first()
     assert mail.header == "主题：Board\n发件人：a@b.c\n收件人：d@e.f" and mail.body.strip() == "Facts: 4 meetings."
@@ -107,6 +114,8 @@ def test_html(make):
     pages = make([(1, "<h1>Code</h1><script>var x;</script><p>of <b>conduct</b> &amp; more</p>")], "id int, html string")
     assert files.html_text(pages, "id", "html").first().text == "Code var x; of conduct & more"
     assert files.html_text(pages, "id", "html", drop_script=True).first().text == "Code of conduct & more"
+    odd = make([(1, "a<!-- x > y --> b&#8364;&#65;&amp;lt; <br/>c < d"), (2, None)], "id int, html string")
+    assert as_set(files.html_text(odd, "id", "html"), "id", "text") == {(1, "a b€A&lt; c < d"), (2, "")}
 
 
 def test_cells_and_sinks(spark, make, tmp_path):
