@@ -184,8 +184,122 @@ def disclosure_matrix(matrix: DataFrame, kpis: DataFrame, chosen: DataFrame) ->
     no_kpi = F.col("__k").isNull()
     required = F.array_distinct(F.concat(
         "required_kinds",
-        F.when(status == "missing", F.array(F.concat(label, F.lit("的政策、管理措施或年度进展")))).otherwise(S.string_array([])),
-        F.when(no_kpi, F.array(F.concat(label, F.lit("相关 KPI、单位、期间和统计边界")))).otherwise(S.string_array([])),
+        F.when(status == "missing", F.array(F.concat(label, F.lit(fixed.REQUIRED_POLICY)))).otherwise(S.string_array([])),
+        F.when(no_kpi, F.array(F.concat(label, F.lit(fixed.REQUIRED_KPI)))).otherwise(S.string_array([])),
+    ))
+    related = F.array_compact(F.array(*[
+        F.when(
+            F.array_contains(F.coalesce("__codes", S.string_array([])), code) & (F.lit(True) if pillar is None else F.col("pillar") == pillar), F.lit(code)
+        )
+        for code, pillar in fixed.RELATED_STANDARDS.items()
+    ]))
+    state = F.when(status.isin("missing", "weak"), status).when(F.size("required_data") > 0, "incomplete")
+    action = F.coalesce(
+        *[F.when(state == name, F.concat(F.lit(verb), label, F.lit(rest))) for name, (verb, rest) in fixed.NEXT_ACTION.items()], F.lit(fixed.NEXT_ACTION_NONE)
+    )
+    return (
+        joined.withColumns({"label": label, "pillar": pillar, "weak_threshold": threshold, "required_kinds": kinds})
+        .withColumn("status", status).na.fill(0, ["documents", "evidence"]).drop("weak_threshold")
+    )
+
+
+def recommended_kinds(matrix: DataFrame) -> DataFrame:
+    """Kinds required by the weak and missing topics of each company (kinds come from the rules)."""
+    return matrix.where("status <> 'covered'").groupBy("company").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("required_kinds")))).alias("recommended_kinds")
+    )
+
+
+def coverage_stats(matrix: DataFrame) -> DataFrame:
+    """Topics by status per company."""
+    return matrix.groupBy("company").agg(
+        *[F.count_if(F.col("status") == s).alias(s) for s in fixed.STATUS_LABELS], F.count(F.lit(1)).alias("total")
+    )
+
+
+def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
+    """Reporting standards of each company, from its whole texts (or from `text` cut to a preview by the caller) and the request; the first one always applies."""
+    lowered = "lower(text)"
+    always, *others = fixed.STANDARDS
+    found = S.labels_found(lowered, {code: words for code, _, _, words in others})
+    asked = [code for code, _, _, words in others if any(w in (request or "").lower() for w in words)]
+    hits = documents.select("company", F.explode_outer(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
+    return hits.select(
+        "company", "code", S.lookup({c: n for c, n, _, _ in fixed.STANDARDS}, "code").alias("name"),
+        S.lookup({c: str(p) for c, _, p, _ in fixed.STANDARDS}, "code").cast("int").alias("priority"),
+    )
+
+
+# --- KPIs -------------------------------------------------------------------------------------
+
+
+def best_number(text: str, preferred: Sequence[str], compat: bool = False) -> Column:
+    """The number a KPI takes from a text: preferred unit first, then any unit, then the lowest; years do not count."""
+    return _best_of(_kpi_numbers(text, compat), preferred)
+
+
+def _kpi_numbers(text: str, compat: bool) -> Column:
+    return F.filter(S.number_units(text, compat), lambda n: ~n["value"].between(*fixed.YEAR_RANGE))
+
+
+def _best_of(numbers: Column, preferred: Sequence[str]) -> Column:
+    units = list(preferred)
+
+    def rank(n: Column, i: Column) -> Column:
+        liked = n["unit"].isin(units) if units else F.lit(False)
+        cost = -(F.when(liked, 4).otherwise(0) + F.when(n["unit"] != "", 1).otherwise(0))
+        return S.record(cost=cost, value=n["value"], place=i, unit=n["unit"])
+
+    return F.array_min(F.transform(numbers, rank))
+
+
+def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, compat_first: bool = False) -> DataFrame:
+    """KPIs of each segment: metric, value, unit, source, evidence and topic.
+
+    Numbers are looked for only in segments with a keyword of the KPI. `compat` reads numbers without
+    thousands separators; `compat_first` always gives the first topic.
+    """
+    lowered = "lower(text)"
+    found: list[Column] = []
+    for i, kpi in enumerate(rules.kpis):
+        best = _best_of(F.col("__numbers"), kpi.preferred_units)
+        earlier = F.lit(False)
+        for other in rules.kpis[:i]:
+            if other.metric == kpi.metric:
+                earlier = earlier | S.contains_any(lowered, other.keywords)
+        hit = S.contains_any(lowered, kpi.keywords) & ~earlier
+        found.append(F.when(hit, S.record(metric=F.lit(kpi.metric), pillar=F.lit(kpi.pillar), best=best)))
+    first_topic = F.lit(rules.topics[0].topic if rules.topics else None)
+    table = {t.topic: [*t.keywords, *t.kpi_patterns] for t in rules.topics}
+    topic = first_topic if compat_first else F.try_element_at(S.labels_found(lowered, table), F.lit(1))
+    any_hit = S.contains_any(lowered, [w for k in rules.kpis for w in k.keywords])
+    # The numbers of a segment are read once for all KPIs.
+    hits = segments.where(any_hit).withColumn("__numbers", _kpi_numbers("text", compat)).select(
+        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.substring("text", 1, fixed.KPI_EVIDENCE_CHARS).alias("evidence"),
+        topic.alias("topic"), F.explode_outer(F.array_compact(F.array(*found))).alias("k"),
+    )
+    return hits.where("k.best IS NOT NULL").select(
+        *[c for c in hits.columns if c != "k"], "k.metric", "k.pillar", F.col("k.best.value").alias("value"), F.col("k.best.unit").alias("unit")
+    )
+
+
+# --- gaps -------------------------------------------------------------------------------------
+
+
+def disclosure_matrix(matrix: DataFrame, kpis: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Topic matrix with KPI status, required data, related standards and the next action.
+
+    `chosen`: output of `standards`; a company has five at most.
+    """
+    with_kpi = kpis.where("topic IS NOT NULL").select("company", "topic").distinct().withColumn("__k", F.lit(True))
+    codes = chosen.groupBy("company").agg(F.sort_array(F.collect_set("code")).alias("__codes"))
+    joined = matrix.join(with_kpi, ["company", "topic"], "left").join(codes, "company", "left")
+    label, status = F.col("label"), F.col("status")
+    no_kpi = F.col("__k").isNull()
+    required = F.array_distinct(F.concat(
+        "required_kinds",
+        F.when(status == "missing", F.array(F.concat(label, F.lit(fixed.REQUIRED_POLICY)))).otherwise(S.string_array([])),
+        F.when(no_kpi, F.array(F.concat(label, F.lit(fixed.REQUIRED_KPI)))).otherwise(S.string_array([])),
     ))
     related = F.array_compact(F.array(*[
         F.when(
@@ -244,26 +358,27 @@ def evidence_links(matrix: DataFrame, kpis: DataFrame) -> DataFrame:
 def material_summary(pillars: DataFrame, matrix: DataFrame, rules: RuleSet) -> DataFrame:
     """One summary text per company: documents per pillar, topics by status, missing pillars."""
     parts = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("pillar_idx", F.concat("label", F.lit(" "), F.col("documents").cast("string"), F.lit(" 份")).alias("t")))), lambda x: x["t"]), "；"
+        F.transform(F.array_sort(F.collect_list(F.struct("pillar_idx", F.concat("label", F.lit(" "), F.col("documents").cast("string"), F.lit(fixed.SUMMARY_PILLAR_UNIT)).alias("t")))), lambda x: x["t"]), "；"
     )
     lost = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("documents") == 0, F.struct("pillar_idx", "label")))), lambda x: x["label"]), "、")
     base = pillars.groupBy("company").agg(parts.alias("parts"), lost.alias("lost")).join(coverage_stats(matrix), "company")
     counts = F.concat(*[
         x for s in fixed.STATUS_LABELS for x in (F.lit(f"{'' if s == 'covered' else ' / '}{s} "), F.col(s).cast("string"))
     ])
-    tail = F.when(F.col("lost") != "", F.concat(F.lit("待补齐："), "lost", F.lit("。"))).otherwise("")
+    tail = F.when(F.col("lost") != "", F.concat(F.lit(fixed.SUMMARY_LOST), "lost", F.lit("。"))).otherwise("")
     return base.select(
-        "company", *fixed.STATUS_LABELS, "total", F.concat(F.lit("ESG 材料覆盖："), "parts", F.lit("。GRI 主题矩阵："), counts, F.lit("。"), tail).alias("summary")
+        "company", *fixed.STATUS_LABELS, "total", F.concat(F.lit(fixed.SUMMARY_PILLARS), "parts", F.lit(fixed.SUMMARY_TOPICS), counts, F.lit("。"), tail).alias("summary")
     )
 
 
 # --- reports ----------------------------------------------------------------------------------
 
 
-def first_kpis(kpis: DataFrame, keep: int) -> DataFrame:
-    """The first KPIs of each company in the order pillar, metric, document (a display limit)."""
+def first_kpis(kpis: DataFrame, keep: int | None = None) -> DataFrame:
+    """KPIs of each company numbered in the order pillar, metric, document; the first `keep` of them if a display limit is given."""
     order = Window.partitionBy("company").orderBy("pillar", "metric", "doc_name", "doc_idx", "seg_idx")
-    return kpis.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
+    numbered = kpis.withColumn("n", F.row_number().over(order))
+    return numbered if keep is None else numbered.where(F.col("n") <= keep)
 
 
 def _line(section: int, number: Column | int, text: Column) -> Column:
@@ -271,20 +386,19 @@ def _line(section: int, number: Column | int, text: Column) -> Column:
 
 
 def _join_lines(lines: DataFrame) -> DataFrame:
-    """Lines (company, l) as one text per company. Every section has a fixed limit, so a text has some hundred lines at most."""
+    """Lines (company, l) as one text per company; display limits of the caller bound it."""
     return lines.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["text"]), "\n").alias("markdown"))
 
 
-def outline(matrix: DataFrame, kpis: DataFrame, rules: RuleSet, keep: int = 8) -> DataFrame:
+def outline(matrix: DataFrame, kpis: DataFrame, rules: RuleSet, keep: int | None = None) -> DataFrame:
     """Report outline per company: sections by pillar with the status of each topic, first KPIs."""
     owners = companies(matrix)
-    head = ["# ESG 报告建议大纲", "## 1. 报告说明", "- 披露范围、边界、统计口径与时间区间", "- 关键假设、数据来源与第三方鉴证情况"]
-    fixed_lines = [_line(0, i, F.lit(t)) for i, t in enumerate(head)]
+    fixed_lines = [_line(0, i, F.lit(t)) for i, t in enumerate(fixed.OUTLINE_HEAD)]
     section = {p: i + 1 for i, p in enumerate(rules.pillars)}
     for pillar, label in rules.pillars.items():
         fixed_lines.append(_line(section[pillar], -1, F.lit(f"## {label}")))
         if not any(t.pillar == pillar for t in rules.topics):
-            fixed_lines.append(_line(section[pillar], 0, F.lit(f"- 建议补充 {label} 相关披露主题与证明材料")))
+            fixed_lines.append(_line(section[pillar], 0, F.lit(label.join(fixed.OUTLINE_EMPTY_PILLAR))))
     lines = owners.select("company", F.explode(F.array(*fixed_lines)).alias("l"))
     topic_text = F.concat(F.lit("- "), "label", F.lit("（"), S.lookup(fixed.STATUS_LABELS, "status"), F.lit("）"))
     numbers = F.create_map(*[x for p, n in section.items() for x in (F.lit(p), F.lit(n))])
@@ -295,7 +409,7 @@ def outline(matrix: DataFrame, kpis: DataFrame, rules: RuleSet, keep: int = 8) -
     shown = first_kpis(kpis, keep)
     kpi_text = F.concat(F.lit("- "), "metric", F.lit("："), S.number_text("value"), "unit", F.lit(" ("), "doc_name", F.lit(")"))
     kpi_lines = shown.select("company", _line(last, F.col("n"), kpi_text).alias("l"))
-    kpi_head = shown.select("company").distinct().select("company", _line(last, 0, F.lit("## 关键指标附表")).alias("l"))
+    kpi_head = shown.select("company").distinct().select("company", _line(last, 0, F.lit(fixed.OUTLINE_KPIS)).alias("l"))
     return _join_lines(lines.unionByName(topics).unionByName(kpi_head).unionByName(kpi_lines))
 
 
@@ -309,75 +423,68 @@ def recommendations(pillars: DataFrame, matrix: DataFrame, kpis: DataFrame) -> D
         .join(kpis.select("company").distinct().withColumn("__k", F.lit(True)), "company", "left")
     )
     texts = F.array_compact(F.array(
-        F.concat(F.lit("补充这些 ESG 支柱的材料："), "lost"),
-        F.when(F.size("recommended_kinds") > 0, F.concat(F.lit("建议优先补充这些文档类型："), F.array_join("recommended_kinds", "、"))),
-        F.when(F.col("__k").isNull(), "当前材料中缺少清晰可提取的 ESG 指标，建议补充 KPI 表或量化段落。"),
+        F.concat(F.lit(fixed.RECOMMEND_PILLARS), "lost"),
+        F.when(F.size("recommended_kinds") > 0, F.concat(F.lit(fixed.RECOMMEND_KINDS), F.array_join("recommended_kinds", "、"))),
+        F.when(F.col("__k").isNull(), fixed.RECOMMEND_KPIS),
     ))
     return joined.select("company", F.posexplode_outer(texts).alias("number", "recommendation")).where("number IS NOT NULL")
 
 
-def report_draft(items: DataFrame, kpis: DataFrame, links: DataFrame, chosen: DataFrame, rules: RuleSet, request: Column | None = None) -> DataFrame:
+def report_draft(
+    items: DataFrame, kpis: DataFrame, links: DataFrame, chosen: DataFrame, rules: RuleSet, request: Column | None = None,
+    kpi_rows: int | None = None, topic_rows: int | None = None, gap_rows: int | None = None, link_rows: int | None = None, sample_chars: int | None = None,
+) -> DataFrame:
     """Report draft per company: summary, pillars, KPI table, gaps, evidence index and word count.
 
-    `items` is the disclosure matrix, `links` the evidence links, `chosen` the standards.
+    `items` is the disclosure matrix, `links` the evidence links, `chosen` the standards. Everything is
+    shown unless a display limit is given.
     """
+    up_to = lambda df, column, most: df if most is None else df.where(F.col(column) <= most)
     need = S.length_requirement(request if request is not None else F.lit(""))
     is_range = F.rlike(request, F.lit(fixed.LENGTH_RANGE_PATTERN)) if request is not None else F.lit(False)
-    length = (
-        F.when(need["explicit"] & is_range, F.concat(need["lower"].cast("string"), F.lit("-"), need["upper"].cast("string"), F.lit(" 字")))
-        .when(need["explicit"], F.concat(F.lit("约 "), need["target"].cast("string"), F.lit(" 字")))
-        .otherwise("未识别客户指定字数，默认约 3000 字")
-    )
+    words = F.when(is_range, F.concat_ws("-", need["lower"], need["upper"])).otherwise(need["target"].cast("string"))
+    length = F.when(need["explicit"], F.concat(F.lit("篇幅要求 "), words, F.lit(" 字。"))).otherwise("")
     codes = chosen.groupBy("company").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", "code"))), lambda x: x["code"]), "、").alias("codes")
     )
-    shown = first_kpis(kpis, 12)
-    quoted = F.concat("metric", F.lit(" "), S.number_text("value"), "unit")
-    kpi_line = shown.where("n <= 6").groupBy("company").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", quoted.alias("q")))), lambda x: x["q"]), "；").alias("kpi_line")
-    )
-    facts = coverage_stats(items).join(codes, "company", "left").join(kpi_line, "company", "left")
-    has_kpi = F.col("kpi_line").isNotNull()
+    shown = first_kpis(kpis, kpi_rows)
+    counted = kpis.groupBy("company").agg(F.count(F.lit(1)).alias("kpi_count"), F.count_distinct("metric").alias("metric_count"))
+    facts = coverage_stats(items).join(codes, "company", "left").join(counted, "company", "left").na.fill(0, ["kpi_count", "metric_count"])
+    number = lambda c: F.col(c).cast("string")
     section = {p: i + 2 for i, p in enumerate(rules.pillars)}
     kpi_section, gap_section, link_section = len(section) + 2, len(section) + 3, len(section) + 4
+    has_kpi, heading = F.col("kpi_count") > 0, fixed.REPORT_HEADINGS
     head = [
-        _line(0, 0, F.lit("# ESG 报告草稿")), _line(0, 1, F.lit("")), _line(0, 2, F.lit("## 报告说明")),
-        _line(0, 3, F.concat(
-            F.lit("本报告草稿根据已上传材料自动生成，目标篇幅为"), length, F.lit("。当前披露基础参考 "), F.coalesce("codes", F.lit("GRI")),
-            F.lit("。对于材料中未出现或证据不足的信息，正文以“待补充”方式保留，不做事实编造。"),
-        )),
-        _line(1, 0, F.lit("")), _line(1, 1, F.lit("## 管理层摘要")),
+        _line(0, 0, F.lit(heading["title"])), _line(0, 1, F.lit("")), _line(0, 2, F.lit(heading["about"])),
+        _line(0, 3, F.concat(F.lit("草稿由材料汇总得出，标准："), F.coalesce("codes", F.lit("GRI")), F.lit("。"), length)),
+        _line(1, 0, F.lit("")), _line(1, 1, F.lit(heading["summary"])),
         _line(1, 2, F.concat(
-            F.lit("本期 ESG 披露材料已经覆盖环境、社会和治理三个维度中的部分主题。披露矩阵显示 covered "), F.col("covered").cast("string"), F.lit(" 项、weak "), F.col("weak").cast("string"),
-            F.lit(" 项、missing "), F.col("missing").cast("string"), F.lit(" 项。报告正式发布前，应优先补强 weak 和 missing 项的量化数据、统计口径和责任部门确认记录。"),
+            F.lit("主题共 "), number("total"), F.lit(" 个：covered "), number("covered"), F.lit("，weak "), number("weak"), F.lit("，missing "), number("missing"),
+            F.lit("。指标 "), number("metric_count"), F.lit(" 种，取值 "), number("kpi_count"), F.lit(" 条。"),
         )),
-        _line(1, 3, F.when(has_kpi, F.concat(F.lit("当前材料可直接引用的关键指标包括："), "kpi_line", F.lit("。"))).otherwise("当前材料中可直接引用的量化 KPI 较少，建议补充完整指标台账。")),
     ]
     for pillar, label in rules.pillars.items():
         head += [_line(section[pillar], -2, F.lit("")), _line(section[pillar], -1, F.lit(f"## {label}"))]
         if not any(t.pillar == pillar for t in rules.topics):
-            head.append(_line(section[pillar], 0, F.lit(f"当前材料中暂未形成稳定的{label}主题证据，建议补充相关政策、行动和 KPI。")))
+            head.append(_line(section[pillar], 0, F.lit("（规则中没有此支柱的主题）")))
     head += [
-        _line(kpi_section, -4, F.lit("")), _line(kpi_section, -3, F.lit("## 关键绩效指标")),
-        _line(kpi_section, -2, F.when(has_kpi, "| 指标 | 数值 | 单位 | 来源 |").otherwise("当前材料中尚未识别到可直接披露的 ESG KPI。")),
+        _line(kpi_section, -4, F.lit("")), _line(kpi_section, -3, F.lit(heading["kpis"])),
+        _line(kpi_section, -2, F.when(has_kpi, fixed.REPORT_KPI_HEADER).otherwise("（无）")),
         F.when(has_kpi, _line(kpi_section, -1, F.lit("| --- | ---: | --- | --- |"))),
-        _line(gap_section, -2, F.lit("")), _line(gap_section, -1, F.lit("## 数据缺口与后续动作")),
-        F.when(F.col("weak") + F.col("missing") == 0, _line(gap_section, 0, F.lit("当前矩阵未识别出明显缺口。正式发布前仍建议进行数据口径、边界和审批记录复核。"))),
-        _line(link_section, -2, F.lit("")), _line(link_section, -1, F.lit("## 证据索引")),
+        _line(gap_section, -2, F.lit("")), _line(gap_section, -1, F.lit(heading["gaps"])),
+        F.when(F.col("weak") + F.col("missing") == 0, _line(gap_section, 0, F.lit("（无）"))),
+        _line(link_section, -2, F.lit("")), _line(link_section, -1, F.lit(heading["evidence"])),
     ]
     lines = facts.select("company", F.explode_outer(F.array_compact(F.array(*head))).alias("l"))
 
     rank = F.row_number().over(Window.partitionBy("company", "pillar").orderBy("rule_idx"))
     numbers = F.create_map(*[x for p, n in section.items() for x in (F.lit(p), F.lit(n))])
-    status = F.col("status")
-    body = (
-        F.when(status == "covered", F.concat(F.lit("已上传材料对该主题提供了基础证据。"), F.when(
-            F.coalesce(S.strip("sample"), F.lit("")) != "", F.concat(F.lit("相关证据显示："), F.substring(S.strip("sample"), 1, 160))
-        ).otherwise("建议在正式报告中补充更完整的年度进展。")))
-        .when(status == "weak", F.concat(F.lit("该主题已有初步证据，但证据数量或量化口径仍偏弱。"), "next_action"))
-        .otherwise(F.concat(F.lit("当前材料尚未充分覆盖该主题。"), "next_action"))
-    )
-    topics = items.where(F.col("pillar").isin(list(section))).withColumn("n", rank).where("n <= 8").select(
+    sample = S.strip(F.coalesce("sample", F.lit("")))
+    quote = sample if sample_chars is None else F.substring(sample, 1, sample_chars)
+    state = S.lookup(fixed.STATUS_LABELS, "status")
+    body = F.concat_ws("\n", F.concat(F.lit("状态："), state), F.when(quote != "", F.concat(F.lit("> "), quote)), F.when(F.col("status") != "covered", F.col("next_action")))
+    ranked = up_to(items.where(F.col("pillar").isin(list(section))).withColumn("n", rank), "n", topic_rows)
+    topics = ranked.select(
         "company", F.struct(
             F.element_at(numbers, F.col("pillar")).alias("section"), F.col("n").cast("int").alias("number"), F.concat(F.lit("### "), "label", F.lit("\n"), body).alias("text")
         ).alias("l")
@@ -385,14 +492,14 @@ def report_draft(items: DataFrame, kpis: DataFrame, links: DataFrame, chosen: Da
     row = F.concat(
         F.lit("| "), F.concat_ws(" | ", "metric", S.number_text("value"), F.when(F.col("unit") == "", "-").otherwise(F.col("unit")), F.concat("doc_name", F.lit(" / "), "location")), F.lit(" |")
     )
-    kpi_rows = shown.select("company", _line(kpi_section, F.col("n"), row).alias("l"))
+    table_rows = shown.select("company", _line(kpi_section, F.col("n"), row).alias("l"))
     gap_rank = F.row_number().over(Window.partitionBy("company").orderBy("rule_idx"))
-    gaps = items.where("status <> 'covered'").withColumn("n", gap_rank).where("n <= 10").select(
+    gaps = up_to(items.where("status <> 'covered'").withColumn("n", gap_rank), "n", gap_rows).select(
         "company", _line(gap_section, F.col("n"), F.concat(F.lit("- "), "label", F.lit("："), "next_action")).alias("l")
     )
-    index = links.where("link_no <= 8").select(
-        "company", _line(link_section, F.col("link_no"), F.concat(F.lit("- "), "claim", F.lit("："), "document", F.lit(" / "), "location", F.lit("。"))).alias("l")
+    index = up_to(links, "link_no", link_rows).select(
+        "company", _line(link_section, F.col("link_no"), F.concat(F.lit("- "), "claim", F.lit("："), "document", F.lit(" / "), "location")).alias("l")
     )
-    no_links = companies(items).join(links.select("company").distinct(), "company", "left_anti").select("company", _line(link_section, 0, F.lit("当前没有形成稳定证据索引。")).alias("l"))
-    text = _join_lines(lines.unionByName(topics).unionByName(kpi_rows).unionByName(gaps).unionByName(index).unionByName(no_links))
+    no_links = companies(items).join(links.select("company").distinct(), "company", "left_anti").select("company", _line(link_section, 0, F.lit("（无）")).alias("l"))
+    text = _join_lines(lines.unionByName(topics).unionByName(table_rows).unionByName(gaps).unionByName(index).unionByName(no_links))
     return text.select("company", S.strip("markdown").alias("report"), S.word_count("markdown").alias("words"))

@@ -230,11 +230,10 @@ def sheet_role() -> Column:
 
 
 def layout_summary() -> Column:
-    return F.concat(
-        F.lit("识别表头位于第 "), F.col("header_row").cast("string"), F.lit(" 行（"), F.col("header_confidence"), F.lit("）。"),
-        F.lit("工作表类型推断为 "), F.col("sheet_role"), F.lit("。"),
-        F.lit("检测到 "), F.col("anchors").cast("string"), F.lit(" 个标签锚点和 "), F.col("zones").cast("string"), F.lit(" 个候选值位。"),
-    )
+    """Header row, role and counts of a sheet profile in words."""
+    before, row_end, confidence_end, role, stop, found, anchors, zones = (F.lit(t) for t in fixed.LAYOUT_SUMMARY)
+    number = lambda c: F.col(c).cast("string")
+    return F.concat(before, number("header_row"), row_end, F.col("header_confidence"), confidence_end, role, F.col("sheet_role"), stop, found, number("anchors"), anchors, number("zones"), zones)
 
 
 # --- rows as text -----------------------------------------------------------------------------

@@ -129,10 +129,10 @@ def role_warnings(roles: DataFrame) -> DataFrame:
     return roles.groupBy("request_id").agg(
         F.array_compact(
             F.array(
-                F.when(~F.bool_or("is_source"), "未能稳定识别源数据 workbook。"),
-                F.when(~F.bool_or("is_template"), "未能稳定识别待填模板 workbook。"),
-                F.when(overlap, "源数据和模板角色存在重叠，后续会继续按候选单元格审计。"),
-                F.when(F.bool_or(F.col("confidence") == "low"), "部分 workbook 角色置信度较低。"),
+                F.when(~F.bool_or("is_source"), fixed.ROLE_WARNINGS["no_source"]),
+                F.when(~F.bool_or("is_template"), fixed.ROLE_WARNINGS["no_template"]),
+                F.when(overlap, fixed.ROLE_WARNINGS["overlap"]),
+                F.when(F.bool_or(F.col("confidence") == "low"), fixed.ROLE_WARNINGS["low"]),
             )
         ).alias("warnings")
     )

@@ -245,7 +245,7 @@ def register(catalog: Catalog) -> None:
     )
     def report_outline(spark, folder):
         """Report outline per company."""
-        return C.outline(matrix(spark, folder), kpis(spark, folder), rules())
+        return C.outline(matrix(spark, folder), kpis(spark, folder), rules(), keep=8)
 
     @catalog.add(
         f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, phits AS ({_cases(PILLAR_WORDS)}), pl AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, plabel)),
@@ -265,4 +265,4 @@ def register(catalog: Catalog) -> None:
         """Report draft with word count per company."""
         m, k = matrix(spark, folder), kpis(spark, folder)
         items = C.disclosure_matrix(m, k, chosen(spark, folder))
-        return C.report_draft(items, k, C.evidence_links(m, k), chosen(spark, folder), rules())
+        return C.report_draft(items, k, C.evidence_links(m, k), chosen(spark, folder), rules(), kpi_rows=12, topic_rows=8, gap_rows=10, link_rows=8, sample_chars=160)

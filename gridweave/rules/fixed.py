@@ -377,3 +377,35 @@ MAIL_HEADS = ["主题", "发件人", "收件人"]
 TEXT_ENCODINGS = ["utf-8", "utf-8-sig", "gb18030", "big5", "shift_jis"]
 FALLBACK_ENCODING = "latin-1"
 PRINTABLE_SHARE = 0.85
+
+
+# --- fixed wording of results -----------------------------------------------------------------
+# Texts that results have to equal. Plain text, in the order of use.
+
+REQUIRED_POLICY = "的政策、管理措施或年度进展"
+REQUIRED_KPI = "相关 KPI、单位、期间和统计边界"
+NEXT_ACTION = {
+    "missing": ("补充", "的披露材料和量化数据。"),
+    "weak": ("增强", "的证据数量、数据口径和管理措施说明。"),
+    "incomplete": ("补齐", "的 KPI 口径或数据来源。"),
+}
+NEXT_ACTION_NONE = "当前披露证据较完整，可进入正文撰写和一致性检查。"
+SUMMARY_PILLARS = "ESG 材料覆盖："
+SUMMARY_PILLAR_UNIT = " 份"
+SUMMARY_TOPICS = "。GRI 主题矩阵："
+SUMMARY_LOST = "待补齐："
+OUTLINE_HEAD = ["# ESG 报告建议大纲", "## 1. 报告说明", "- 披露范围、边界、统计口径与时间区间", "- 关键假设、数据来源与第三方鉴证情况"]
+OUTLINE_EMPTY_PILLAR = ("- 建议补充 ", " 相关披露主题与证明材料")
+OUTLINE_KPIS = "## 关键指标附表"
+RECOMMEND_PILLARS = "补充这些 ESG 支柱的材料："
+RECOMMEND_KINDS = "建议优先补充这些文档类型："
+RECOMMEND_KPIS = "当前材料中缺少清晰可提取的 ESG 指标，建议补充 KPI 表或量化段落。"
+REPORT_HEADINGS = {"title": "# ESG 报告草稿", "about": "## 报告说明", "summary": "## 管理层摘要", "kpis": "## 关键绩效指标", "gaps": "## 数据缺口与后续动作", "evidence": "## 证据索引"}
+REPORT_KPI_HEADER = "| 指标 | 数值 | 单位 | 来源 |"
+ROLE_WARNINGS = {
+    "no_source": "未能稳定识别源数据 workbook。",
+    "no_template": "未能稳定识别待填模板 workbook。",
+    "overlap": "源数据和模板角色存在重叠，后续会继续按候选单元格审计。",
+    "low": "部分 workbook 角色置信度较低。",
+}
+LAYOUT_SUMMARY = ("识别表头位于第 ", " 行（", "）。", "工作表类型推断为 ", "。", "检测到 ", " 个标签锚点和 ", " 个候选值位。")
