@@ -355,8 +355,11 @@ def train_tagger(docs: DataFrame, sample: int = 1500, chars: int = 20_000) -> Ta
 
     Of a sampled text the first `chars` characters are used for training. All texts are tagged whole later.
     """
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.crc32(F.concat(F.lit("private:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order"), F.substring("text", 1, chars).alias("text"))
-    return fit_tagger(training_windows([r["text"] for r in rows.orderBy("order", "text").limit(sample).collect()]))
+    marked = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select(F.crc32(F.concat(F.lit("private:"), F.col("doc_id").cast("string"))).alias("order"), "doc_id")
+    # The ids are chosen first: of each task only ids go to the driver, and then the sampled texts.
+    chosen = marked.distinct().orderBy("order", "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", F.substring("text", 1, chars).alias("text")).toPandas()
+    return fit_tagger(training_windows(rows.sort_values(["order", "doc_id", "text"])["text"].tolist()))
 
 
 def find_private(docs: DataFrame, tagger: Tagger) -> DataFrame:
