@@ -249,10 +249,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: float
     names = sorted(voted.groupBy("feature").agg(F.sum("vote").alias("votes")).where(F.col("votes") >= least - 1e-9).select("feature").toPandas()["feature"])
     places = {f: i for i, f in enumerate(names)}
     found = rows.mapInArrow(partial(_sample_features, model=model, names=places), "toxic int, mark string, features array<int>")
-    given = found.select("mark", "toxic", "features").toPandas()
-    given["order"] = [f.tobytes() for f in given["features"]]
-    given = given.sort_values(["mark", "toxic", "order"])
-    weights, base = fit_features(names, given["mark"].tolist(), given["toxic"].tolist(), given["features"].tolist(), least)
+    given = found.select("mark", "toxic", "features").toArrow()
+    lists = given.column("features").combine_chunks()
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    texts = sorted(((mark, label, flat[a:b]) for mark, label, a, b in zip(given.column("mark").to_pylist(), given.column("toxic").to_pylist(), ends[:-1], ends[1:], strict=True)), key=lambda t: (t[0], t[1], t[2].tobytes()))
+    weights, base = fit_features(names, [t[0] for t in texts], [t[1] for t in texts], [t[2] for t in texts], least)
     return Scorer(model, weights, base)
 
 
