@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, token_counts, toxicity
+from gridweave.llm import bpe_codec, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
     return public_tokenizers.path(name)
 
-@CATALOG.add()
+@CATALOG.add(sql.SHARDS)
 def op6_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in 16 shards by jump consistent hashing, with gapless slots and the shard among 17."""
     return sharding.shard_rows(documents(spark, folder))
@@ -29,7 +29,7 @@ def op7_paragraph_sums(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, folder))
 
 
-@CATALOG.add()
+@CATALOG.add(sql.SECRETS)
 def op10_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, each content scanned once."""
     return secret_scan.secret_digest(documents(spark, folder))

@@ -78,7 +78,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str
         jump_hash(hashed, shards).alias("shard"),
         jump_hash(hashed, shards + 1).alias("grown_shard"),
     )
-    block = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks))
+    block = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string")).cast("binary")) % blocks
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     numbered = number_rows(rows, ["shard"], order, block, "__slot")
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", (F.col("__slot") - 1).alias("slot"), "grown_shard")
