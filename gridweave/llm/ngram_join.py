@@ -165,6 +165,16 @@ def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot:
             )
 
 
+def _shared(many: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+    """How many tokens each of the sets shares with one sorted set; no set is empty."""
+    if not many:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(many)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    starts = np.cumsum([0, *map(len, many[:-1])])
+    return np.add.reduceat(hit.astype(np.int64), starts)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs that share a prefix token under every order and then are as similar as asked.
 
@@ -176,22 +186,19 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np
             distinct = list(dict.fromkeys([*columns[0][0], *columns[1][0]]))
             sets = dict(zip(distinct, shingle_sets(distinct, words), strict=True))
             digests = {t: hashlib.blake2b(s.tobytes(), digest_size=16).digest() for t, s in sets.items()}
-            firsts: dict[tuple[str, int], np.ndarray] = {}
-
-            def first(text: str, order: int) -> np.ndarray:
-                if (text, order) not in firsts:
-                    firsts[text, order] = prefix(sets[text], hot, order, percent)
-                return firsts[text, order]
-
-            linked = []
-            for a, digest_a, b, digest_b in zip(*columns[0], *columns[1], strict=True):
-                good = digests[a] == digest_a and digests[b] == digest_b
-                good = good and all(np.isin(first(a, k), first(b, k), assume_unique=True).any() for k in range(1, len(ORDERS)))
-                if good:
-                    both = len(sets[a]) + len(sets[b])
-                    shared = both - len(np.union1d(sets[a], sets[b]))
-                    good = 100 * shared >= percent * (both - shared)
-                linked.append(good)
+            firsts = [{t: np.sort(prefix(s, hot, k, percent)) for t, s in sets.items()} for k in range(1, len(ORDERS))]
+            same: dict[str, list[int]] = {}
+            for i, (a, digest_a, b, digest_b) in enumerate(zip(*columns[0], *columns[1], strict=True)):
+                if digests[a] == digest_a and digests[b] == digest_b:
+                    same.setdefault(b, []).append(i)
+            linked = np.zeros(part.num_rows, bool)
+            for b, rows in same.items():  # all pairs of one text at once
+                at = np.array(rows)
+                for first in firsts:
+                    at = at[_shared([first[columns[0][0][i]] for i in at], first[b]) > 0]
+                shared = _shared([sets[columns[0][0][i]] for i in at], sets[b])
+                both = np.array([len(sets[columns[0][0][i]]) for i in at], np.int64) + len(sets[b])
+                linked[at[100 * shared >= percent * (both - shared)]] = True
             kept = part.filter(pa.array(linked, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
 
