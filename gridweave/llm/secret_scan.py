@@ -53,13 +53,14 @@ def unseen_blobs(versions: DataFrame, path: str, text: str, rule_version: str, l
     """blob and text, one row per content that `ledger` (blob, rule_version) does not have for this rule version.
 
     The row that stands for a content is chosen on addresses alone; texts move once, dealt by row, so that
-    many copies of one content meet in no task.
+    copies of one content under different paths meet in no task. Rows that are repeated whole meet where
+    they are dealt to, and one of them stays.
     """
     rows = versions.select(F.coalesce(F.col(path).cast("string"), F.lit("")).alias("__path"), blob_of(text).alias("blob"), whole_text(text).alias("text"))
     first = rows.groupBy("blob").agg(F.min("__path").alias("__path"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    return rows.join(first.hint("shuffle_hash"), ["blob", "__path"]).select("blob", "text")
+    return rows.join(first.hint("shuffle_hash"), ["blob", "__path"]).select("blob", "__path", "text").distinct().select("blob", "text")
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -234,6 +234,19 @@ def test_secrets_and_ledger(spark):
     assert clean[0] == "[assign] [assign]' x" and clean[1] == SECRETS[1] and clean[6] is None
 
 
+def test_secrets_of_repeated_rows_count_once(spark):
+    """Contents whose only rows are equal, or have no doc_id, are scanned once, so offsets hold."""
+    one, two = "token=abcdefgh and innocent words", "x secret: 'zyxwvuts' y password=hunter2hunter2 z"
+    df = spark.createDataFrame([(1, one)] * 2 + [(None, two)] * 3 + [(None, "plain")] * 2 + [(2, None), (2, "")], "doc_id bigint, text string")
+    assert secret_scan.unseen_blobs(df, "doc_id", "text", "1", None).count() == 4
+    got = secret_scan.secret_digest(df)
+    spans = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"(secret: '|password=)[a-z0-9]+", two))
+    want = [(1, 1, "assign:0:14")] * 2 + [(None, 2, spans)] * 3 + [(None, 0, "")] * 2 + [(2, 0, "")] * 2
+    assert by_row(got, "doc_id", "n_assign", "spans") == listed(want)
+    found, _ = secret_scan.scan_history(df)
+    assert by_row(secret_scan.redact_secrets(df, found), "text") == listed([("[assign] and innocent words",)] * 2 + [("x [assign]' y [assign] z",)] * 3 + [("plain",)] * 2 + [(None,), ("",)])
+
+
 def test_private_base_spans_equal_the_patterns():
     rng = random.Random(0)
     texts = ["".join(rng.choice("ab1.2@-+ (9)é") for _ in range(60)) for _ in range(800)] + ["x@y.z, 1.2.3.4.5 999.1.1.1 +1 (234) 555-6789 4111 1111 1111 1111", "", "9" * 5000]
