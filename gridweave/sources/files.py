@@ -10,6 +10,7 @@ from __future__ import annotations
 import email
 import email.policy
 from collections.abc import Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,27 +68,54 @@ def text_files(files: DataFrame) -> DataFrame:
 
 # --- HTML -------------------------------------------------------------------------------------
 
-# Named characters that pages use in running text; numeric ones are turned by rule.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€"}
-HIDDEN_BODIES = "(?is)(<(script|style)\\b[^>]*>).*?(</\\2\\s*>|$)"
+# Named characters that the SQL of `html_text` turns; `html_to_text` turns all that the standard names.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€"}
+# The rest of a tag up to its end, which is not inside a quoted value; runs are possessive, so a tag costs its length.
+TAG_END = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s>"'][^\s>]*+|=)*+>"""
+# What parts text nodes: script and style with their bodies (group 2), comments, declarations, tags.
+BETWEEN_NODES = (
+    rf"(?is)<(script|style)(?=[\s/>]){TAG_END}(?<!/>)(.*?)(?:</\1(?=[\s/>]){TAG_END}|\z)"
+    rf"|<!--(?:-?>|.*?(?:--!?>|\z))|<[!?][^>]*+>|</?[a-z]{TAG_END}|</(?![a-z])[^>]*+>"
+)
+REFERENCE = "&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+# Names that count without a semicolon as well, the longest first.
+OPEN_NAMES = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+# References to 128..159 mean the characters of Windows-1252.
+WINDOWS_1252 = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
 
 
 def html_to_text(html: Column, drop_script: bool = False) -> Column:
     """Text nodes of a page, trimmed, one space between them; as column expression.
 
-    Bodies of script and style are text unless dropped. Comments, declarations and tags part text nodes.
+    Bodies of script and style are text as they stand unless dropped. Comments, declarations and tags part text
+    nodes. Character references, named or by number, are read as HTML 5 does.
     """
     page = F.coalesce(html, F.lit(""))
-    if drop_script:
-        page = F.regexp_replace(page, HIDDEN_BODIES, "$1$3")
-    nodes = F.split(page, "(?s)<!--.*?-->|<!?/?[a-zA-Z][^>]*>")
-    kept = F.filter(F.transform(nodes, lambda n: S.strip(n)), lambda n: n != "")
-    text = F.array_join(kept, " ")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
-    text = F.aggregate(codes, text, lambda done, code: F.replace(done, F.concat(F.lit("&#"), code, F.lit(";")), _character(code.cast("int"))))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    nodes = F.transform(F.split(page, BETWEEN_NODES), lambda n: S.strip(_referred(n)))
+    if not drop_script:
+        bodies = F.transform(F.regexp_extract_all(page, F.lit(BETWEEN_NODES), F.lit(2)), lambda b: S.strip(b))
+        nodes = F.flatten(F.zip_with(nodes, bodies, lambda n, b: F.array(n, F.coalesce(b, F.lit("")))))
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
+
+
+def _referred(text: Column) -> Column:
+    """`text` with its character references turned, each once."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    turned = F.zip_with(F.split(text, REFERENCE), found, lambda gap, name: F.concat(gap, F.coalesce(_reference(name), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(turned, "")).otherwise(text)
+
+
+def _reference(name: Column) -> Column:
+    """The characters that `name` (what follows the ampersand) refers to; names that are not known stay as written."""
+    known = F.str_to_map(F.lit("\x02".join(f"{n}\x01{c}" for n, c in html5.items())), F.lit("\x02"), F.lit("\x01"))
+    begins = F.regexp_extract(name, OPEN_NAMES, 1)
+    named = F.coalesce(known[name], F.when(begins != "", F.concat(known[begins], F.substr(name, F.length(begins) + 1))), F.concat(F.lit("&"), name))
+    digits = F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).when(digits == "", F.lit(0)).otherwise(base.cast("int"))
+    unseen = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | ((code < 0x110000) & (code % 0x10000 >= 0xFFFE))
+    number = F.when(code.between(128, 159), F.substr(F.lit(WINDOWS_1252), code - 127, F.lit(1))).when(unseen, F.lit("")).otherwise(_character(code))
+    return F.when(F.startswith(name, F.lit("#")), number).when(name.isNotNull(), named)
 
 
 def _character(code: Column) -> Column:

@@ -1,6 +1,8 @@
 """Ranking, coverage, KPIs, reports, file sources and streams on small inputs."""
 
+import html
 import os
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -118,6 +120,29 @@ def test_html(make):
     assert as_set(files.html_text(odd, "id", "html"), "id", "text") == {(1, "a b€A&lt; c < d"), (2, "")}
 
 
+def test_html_references_are_those_of_the_standard(make):
+    texts = [
+        "&eacute;&rsquo;&ldquo;&times;", "&#x27;&#X1F600;&#39;&#8217;", "caf&eacute &copy 2024 &ampamp; AT&T", "&notit; &notin; &unknown; &;&#;&#x;", "&amp;lt; &amp;amp;eacute;",
+        "&#128;&#x99;&#0;&#xD800;&#99999999999;&#1;&#xFFFF;|", "&#0000065&#x00041", "a&nbsp;b", "&NotEqualTilde;&fjlig;", "&Tab;x&NewLine;",
+    ]
+    pages = make(list(enumerate(texts)), "id int, html string")
+    assert as_set(files.html_text(pages, "id", "html"), "id", "text") == {(i, html.unescape(t).strip()) for i, t in enumerate(texts)}
+    every = [(i, f"[&{name}]") for i, name in enumerate(html5)]
+    assert as_set(files.html_text(make(every, "id int, html string"), "id", "html"), "id", "text") == {(i, html.unescape(t)) for i, t in every}
+
+
+def test_html_tags_end_outside_quotes_and_script_bodies_are_raw(make):
+    rows = [
+        ('<a title="a > b">one</a> <img alt=\'x > y\'/>two', "one two", "one two"), ("<p it's>three<p class = \"a>b\" id=c=\"d>four", "three four", "three four"),
+        ('x<script type="a>b">if (a<b && c>d) { s = "<i>&eacute;</i>"; }</script>y', 'x if (a<b && c>d) { s = "<i>&eacute;</i>"; } y', "x y"),
+        ("<STYLE>a > b {}</style >after<!-- <script> -->shown", "a > b {} after shown", "after shown"), ("<?xml version='1'?><!DOCTYPE html>t<scripted>u</scripted>", "t u", "t u"), ("z<script>open", "z open", "z"),
+        ("<p " + " ".join(f'a{i}="{i}>"' for i in range(300)) + ">" + "long " * 20000 + "<script>" + "x<y>" * 20000 + "</script>", ("long " * 20000 + "x<y>" * 20000), ("long " * 20000).strip()),
+    ]
+    pages = make([(i, page) for i, (page, _, _) in enumerate(rows)], "id int, html string")
+    assert as_set(files.html_text(pages, "id", "html"), "id", "text") == {(i, kept) for i, (_, kept, _) in enumerate(rows)}
+    assert as_set(files.html_text(pages, "id", "html", drop_script=True), "id", "text") == {(i, shown) for i, (_, _, shown) in enumerate(rows)}
+
+
 def test_cells_and_sinks(spark, make, tmp_path):
     df = make([(1, "x", 2.5, True), (2, " ", None, False)], "id int, t string, v double, b boolean")
     cells = X.to_cells(df, F.lit("d"), F.lit("s"), F.col("id") + 1, ["t", "v", "b"])
