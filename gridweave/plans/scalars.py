@@ -442,7 +442,7 @@ def register(catalog: Catalog) -> None:
         SELECT conv_id, CAST(turn + 1 AS INTEGER) AS page, {Q.strip('text')} AS text FROM conversations JOIN c USING (conv_id) WHERE n = top + 1 AND conv_id % 5 <> 0"""
     )
     def page_split(spark, folder):
-        """Pages of a marked text per conversation; nothing where a page is missing (every fifth lacks its first)."""
+        """Pages of a marked text per conversation; nothing where a page of several is missing (every fifth lacks its first)."""
         talk = table(spark, folder, "conversations")
         marker = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("[page "), F.col("turn") + 1, F.lit("]"))).otherwise(
             F.concat(F.lit("[第 "), F.col("turn") + 1, F.lit(" 页]"))
@@ -453,9 +453,9 @@ def register(catalog: Catalog) -> None:
             F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["t"]), "\n").alias("text"),
             (F.max("turn") + 1).cast("int").alias("pages"),
         )
-        # Two expected pages at least, so that a text without markers is not taken as one page.
+        # A text of one expected page is that page, with or without a marker.
         split = S.split_pages(F.col("text"), F.lit(1), F.greatest(F.col("pages"), F.lit(1)))
-        return books.where("NOT (pages = 1 AND conv_id % 5 = 0)").select("conv_id", F.explode_outer(split).alias("page", "raw")).where("page IS NOT NULL").select(
+        return books.select("conv_id", F.explode_outer(split).alias("page", "raw")).where("page IS NOT NULL").select(
             "conv_id", "page", F.when(F.startswith("raw", F.lit("[page")), S.strip(F.regexp_replace("raw", r"^\[page 1\]\n", ""))).otherwise(F.col("raw")).alias("text")
         )
 

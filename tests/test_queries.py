@@ -48,5 +48,12 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_quantity" in text and "l_shipdate" not in text and text.count("Exchange hashpartitioning") == 1
 
 
+def test_page_split_keeps_conversations_of_one_page(spark, tmp_path):
+    rows = [(5, 0, "whole text"), (6, 0, "marked text"), (10, 0, "first"), (10, 1, "second"), (11, 0, "one"), (11, 1, "two")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in CATALOG.queries["page_split"](spark, str(tmp_path)).collect()}
+    assert got == {(5, 1, "[no page]\nwhole text"), (6, 1, "marked text"), (11, 1, "one"), (11, 2, "two")}
+
+
 def test_registry_lists_operators():
     assert len(OPERATORS) > 80 and "metrics.wide_metrics" in OPERATORS and all(f.__doc__ for f in OPERATORS.values() if f.__module__.startswith("gridweave.operators.fill"))
