@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity
+from gridweave.llm import bpe_codec, conversation_repair, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -78,3 +78,9 @@ def op2_bilstm_crf(spark: SparkSession, folder: str) -> DataFrame:
 def op8_prefix_orders_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are at least 85 % similar."""
     return ngram_join.link_documents(documents(spark, folder), words=4, percent=85)
+
+
+@CATALOG.add()
+def op13_hirschberg_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations, their faults, and the cheapest repair with its audit."""
+    return conversation_repair.repair_digest(spark.read.parquet(f"{folder}/conversations.parquet"))
