@@ -25,14 +25,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and files of this session.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; a folder set on the context (as
-    tests do) is taken as it is. Without either the call fails, as a folder of one machine would not
-    outlive it.
+    It is the one the cluster names in `spark.checkpoint.dir`; a folder set on the context (as tests do) is
+    taken as it is. Without either the call fails, as a folder of one machine would not outlive it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -41,6 +39,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
             folder = f"{context._jvm.java.lang.System.getProperty('java.io.tmpdir')}/gridweave-checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

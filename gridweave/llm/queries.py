@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, conversation_repair, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity
+from gridweave.llm import bpe_codec, conversation_repair, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity, warc_bundles
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -84,3 +84,9 @@ def op8_prefix_orders_join(spark: SparkSession, folder: str) -> DataFrame:
 def op13_hirschberg_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged conversations, their faults, and the cheapest repair with its audit."""
     return conversation_repair.repair_digest(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@CATALOG.add(sql.ARCHIVES)
+def op12_seekable_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as WARC records into seekable bundles and read back."""
+    return warc_bundles.archive_digest(spark.read.parquet(f"{folder}/pages.parquet"))

@@ -49,3 +49,11 @@ WITH found AS ({' UNION ALL '.join(_found(i, r.kind, r.pattern, r.group, r.least
   per_doc AS (SELECT doc_id, {_COUNTS}, string_agg({_SPAN}, ',' ORDER BY s, rank) FILTER (rank < {len(BASE_RULES)}) AS base, string_agg({_SPAN}, ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id)
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(coalesce(d.text, '')) AS blob
 FROM documents d LEFT JOIN per_doc USING (doc_id)"""
+
+# SHA-1 comes as 40 hexadecimal digits; each 10 of them are 8 digits to the base of 32.
+ARCHIVES = """
+WITH told AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * (i // 8)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN response END AS refers_to
+FROM told"""
