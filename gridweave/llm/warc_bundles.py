@@ -29,6 +29,7 @@ from gridweave.llm.common import settle, shared_folder
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+BUNDLES_A_TASK = 8
 WRITE_BYTES = 1 << 20
 LEVEL = 3
 # Fixed values of the seekable format: number of the skippable frame, mark of the footer.
@@ -262,7 +263,9 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
     Payloads are checked against length and digest; a record that does not hold fails.
     """
     paths = index.select("bundle").distinct()
-    return paths.mapInArrow(partial(_read, with_payload=with_payload), _RECORD_SQL)
+    # A path is a short row for much work: without a number of its own the exchange would end up in one task.
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), paths.count() // BUNDLES_A_TASK)
+    return paths.repartition(tasks).mapInArrow(partial(_read, with_payload=with_payload), _RECORD_SQL)
 
 
 def fetch_records(wanted: DataFrame) -> DataFrame:
