@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import bpe_codec, conversation_repair, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity, warc_bundles
+from gridweave.llm import bpe_codec, collocations, conversation_repair, fingerprints, mixing, ngram_join, private_data, repetition, secret_scan, sharding, sql, token_counts, toxicity, warc_bundles
 from gridweave.llm.common import documents
 from gridweave.plans.catalog import Catalog
 
@@ -90,3 +90,9 @@ def op13_hirschberg_repair(spark: SparkSession, folder: str) -> DataFrame:
 def op12_seekable_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written as WARC records into seekable bundles and read back."""
     return warc_bundles.archive_digest(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@CATALOG.add()
+def op11_count_automata(spark: SparkSession, folder: str) -> DataFrame:
+    """Collocations of two to five words per language, counted by weighted automata."""
+    return collocations.top_collocations(documents(spark, folder))
