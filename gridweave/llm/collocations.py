@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import settle, whole_text
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 RANGE_WORDS = 1 << 20
-BLOCK_PHRASES = 1 << 17
+BUCKET_WORDS = 1 << 18
+BLOCK_PHRASES = 1 << 15
 #: Every byte that ends a piece becomes a full stop.
 _STOPS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 
@@ -49,7 +51,7 @@ def pack_arrays(arrays: list[np.ndarray]) -> bytes:
     for a in map(_narrow, arrays):
         out.append(struct.pack("<BQ", a.itemsize, len(a)))
         out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
-    return zstandard.compress(b"".join(out), 1)
+    return zstandard.compress(b"".join(out), 3)
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
@@ -167,7 +169,7 @@ class CountTransducer:
         return rows, weights
 
 
-_BLOCKS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.binary()), ("coded", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("words", pa.binary()), ("coded", pa.binary())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
@@ -175,22 +177,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.
     held: dict[str, list[bytes]] = {}
     made = total = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(lang: str) -> pa.RecordBatch:
         nonlocal made
-        for lang, tokens in held.items():
-            flat = np.empty(len(tokens), object)
-            flat[:] = tokens
-            codes, distinct = pd.factorize(flat)
-            order = sorted(range(len(distinct)), key=lambda i: (distinct[i] != b".", distinct[i]))
-            rank = np.empty(len(distinct), np.int64)
-            rank[order] = np.arange(len(distinct))
-            coded = rank[codes]
-            counts = np.bincount(coded)[1:]
-            words = b"\n".join(distinct[i] for i in order[1:])
-            row = {"block": f"{TaskContext.get().partitionId()}-{made}", "lang": lang, "n_words": int(counts.sum()), "words": words, "coded": pack_arrays([counts, coded])}
-            made += 1
-            yield pa.RecordBatch.from_pylist([row], _BLOCKS)
-        held.clear()
+        tokens = held.pop(lang)
+        flat = np.empty(len(tokens), object)
+        flat[:] = tokens
+        codes, distinct = pd.factorize(flat)
+        order = sorted(range(len(distinct)), key=lambda i: (distinct[i] != b".", distinct[i]))
+        rank = np.empty(len(distinct), np.int64)
+        rank[order] = np.arange(len(distinct))
+        coded = rank[codes]
+        counts = np.bincount(coded)[1:]
+        words = b"\n".join(distinct[i] for i in order[1:])
+        row = {"block": f"{TaskContext.get().partitionId()}-{made}", "lang": lang, "n_words": int(counts.sum()), "n_distinct": len(counts), "words": words, "coded": pack_arrays([counts, coded])}
+        made += 1
+        return pa.RecordBatch.from_pylist([row], _BLOCKS)
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -200,19 +201,53 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.
                 held.setdefault(lang, []).extend(tokens)
                 total += len(tokens)
             if total >= block_words:
-                yield from flush()
-                total = 0
-    yield from flush()
+                largest = max(held, key=lambda k: len(held[k]))
+                total -= len(held[largest])
+                yield flush(largest)
+    for lang in list(held):
+        yield flush(lang)
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.string()), ("lang", pa.string()), ("at", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+def _word_messages(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The words of each block with their codes and counts, packed per bucket of the word."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("block", pa.string()), ("words", pa.binary()), ("numbers", pa.binary())])
     for batch in batches:
         for r in batch.to_pylist():
             counts = unpack_arrays(r["coded"])[0]
-            if len(counts):
-                words = r["words"].split(b"\n")
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(words)), pa.array([r["lang"]] * len(words)), pa.array(range(1, len(words) + 1), pa.int32()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts)], schema=schema)
+            words = np.array([*r["words"].split(b"\n"), None], object)[:-1] if len(counts) else np.zeros(0, object)
+            bucket = np.array([crc32(w) % buckets for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            rows = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                at = order[lo:hi]
+                rows.append({"lang": r["lang"], "bucket": int(bucket[at[0]]), "block": r["block"], "words": zstandard.compress(b"\n".join(words[at]), 3), "numbers": pack_arrays([at + 1, counts[at]])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _frequent(messages: pd.DataFrame, least: int) -> pd.DataFrame:
+    """Words of a bucket that all blocks together have often enough."""
+    codes, words = pd.factorize(np.array([w for m in messages["words"] for w in zstandard.decompress(m).split(b"\n")] + [None], object)[:-1])
+    sums = np.zeros(len(words), np.int64)
+    np.add.at(sums, codes, np.concatenate([unpack_arrays(m)[1] for m in messages["numbers"]]))
+    at = np.flatnonzero(sums >= least)
+    return pd.DataFrame({"lang": messages["lang"].iloc[0], "word": [words[i].decode() for i in at], "n": sums[at].tolist()}, dtype=object)
+
+
+def _replies(messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """To each block: codes and numbers of its frequent words of a bucket."""
+    out: dict[str, list] = {"block": [], "told": [], "total": []}
+    if len(messages) and len(known):
+        index = pd.Index([w.encode() for w in known["word"]], dtype=object)
+        numbers = known[["id", "before", "n_all"]].to_numpy(np.int64)
+        for block, words, packed in zip(messages["block"], messages["words"], messages["numbers"], strict=True):
+            found = index.get_indexer(pd.Index(zstandard.decompress(words).split(b"\n"), dtype=object))
+            at = np.flatnonzero(found >= 0)
+            if len(at):
+                out["block"].append(block)
+                out["told"].append(pack_arrays([unpack_arrays(packed)[0][at], *numbers[found[at]].T]))
+                out["total"].append(int(known["total"].iloc[0]))
+    return pd.DataFrame(out, dtype=object)
 
 
 def windows_of(coded: np.ndarray, longest: int) -> np.ndarray:
@@ -245,8 +280,9 @@ def _pieces(block: pd.DataFrame, known: pd.DataFrame, longest: int, range_words:
     if len(block) and len(known):
         counts, coded = unpack_arrays(block["coded"].iloc[0])
         ids, before, n = np.zeros(len(counts) + 1, np.int64), np.zeros(len(counts) + 1), np.zeros(len(counts) + 1)
-        at = known["at"].to_numpy()
-        ids[at], before[at], n[at] = known["id"].to_numpy(), known["before"].to_numpy(), known["n_all"].to_numpy()
+        for told in known["told"]:
+            at, *numbers = unpack_arrays(told)
+            ids[at], before[at], n[at] = numbers
         coded = np.where(ids[coded] != 0, coded, 0)
         rows, sums = distinct_rows(windows_of(coded, longest))
         ranges = np.floor(places(rows, before, n, float(known["total"].iloc[0])) / range_words).astype(np.int64)
@@ -394,11 +430,13 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5, block_wor
     vocabulary of frequent words, and (lang, n_words). All counts are exact. Empty tables give empty results.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    blocks = settle(rows.mapInArrow(partial(_blocks, block_words=block_words), "block string, lang string, n_words bigint, words binary, coded binary"))
-    occurring = blocks.mapInArrow(_block_words, "block string, lang string, at int, word string, n bigint")
-    known = vocabulary(occurring.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    named = occurring.join(known, ["lang", "word"]).select("block", "at", "id", F.col("before").cast("double").alias("before"), F.col("n_all").cast("double").alias("n_all"), "total")
-    pieces = blocks.select("block", "lang", "coded").groupBy("block").cogroup(named.groupBy("block")).applyInPandas(partial(_pieces, longest=longest, range_words=range_words), "lang string, range bigint, piece binary")
+    blocks = settle(rows.mapInArrow(partial(_blocks, block_words=block_words), "block string, lang string, n_words bigint, n_distinct bigint, words binary, coded binary"))
+    buckets = 1 + int(blocks.agg(F.sum("n_distinct")).first()[0] or 0) // BUCKET_WORDS
+    messages = blocks.mapInArrow(partial(_word_messages, buckets=buckets), "lang string, bucket bigint, block string, words binary, numbers binary")
+    frequent = messages.groupBy("lang", "bucket").applyInPandas(partial(_frequent, least=least), "lang string, word string, n bigint")
+    known = vocabulary(frequent).withColumn("bucket", F.crc32("word") % buckets)
+    replies = messages.groupBy("lang", "bucket").cogroup(known.groupBy("lang", "bucket")).applyInPandas(_replies, "block string, told binary, total bigint")
+    pieces = blocks.select("block", "lang", "coded").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(partial(_pieces, longest=longest, range_words=range_words), "lang string, range bigint, piece binary")
     counted = pieces.groupBy("lang", "range").applyInPandas(partial(_united, least=least, longest=longest), "lang string, phrase binary, n bigint")
     phrases = settle(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     return phrases, known, blocks.groupBy("lang").agg(F.sum("n_words").alias("n_words"))
