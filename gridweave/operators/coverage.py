@@ -20,31 +20,94 @@ from gridweave.rules.sets import RuleSet
 DOC_BLOCK = 4096
 
 
-# --- coverage ---------------------------------------------------------------------------------
+# --- facts ------------------------------------------------------------------------------------
+
+FACT = "struct<kind: string, rule: string, pillar: string, topic: string, value: double, unit: string>"
+
+
+def _fact(kind: str, rule: Column, **more: Column) -> Column:
+    return S.record(kind=F.lit(kind), rule=rule, **{c: more.get(c, F.lit(None).cast(t)) for c, t in (("pillar", "string"), ("topic", "string"), ("value", "double"), ("unit", "string"))})
 
 
-def document_hits(segments: DataFrame, table: dict[str, Sequence[str]], name: str) -> DataFrame:
-    """One row per document and rule with hits: number of segments and the first of them."""
-    names = S.labels_found("lower(text)", table)
-    hits = segments.select(
-        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "location", F.substring("text", 1, fixed.TOPIC_SAMPLE_CHARS).alias("sample"), F.explode_outer(names).alias(name)
+def segment_facts(
+    segments: DataFrame, rules: RuleSet, kinds: Sequence[str] = ("pillar", "topic", "kpi"), compat: bool = False, compat_first: bool = False
+) -> DataFrame:
+    """What the rules find in the segments, as rows of one schema: `kind` is pillar, topic or kpi, `rule` its name.
+
+    Each segment is read once: its text is lowered once, its numbers are cut out once and only where a KPI
+    keyword occurs. A row carries the place and the beginning of its segment, never the text. KPI rows have
+    pillar, topic, value and unit. `compat` reads numbers without thousands separators; `compat_first` always
+    gives a KPI the first topic. Null and empty texts give no rows.
+    """
+    found: list[Column] = []
+    if "pillar" in kinds:
+        found.append(F.transform(S.labels_found("__low", rules.pillar_keywords), lambda n: _fact("pillar", n)))
+    if "topic" in kinds:
+        found.append(F.transform(S.labels_found("__low", {t.topic: t.keywords for t in rules.topics}), lambda n: _fact("topic", n, topic=n)))
+    lowered = segments.where("text IS NOT NULL").withColumn("__low", F.lower("text"))
+    if "kpi" in kinds and rules.kpis:
+        table = {t.topic: [*t.keywords, *t.kpi_patterns] for t in rules.topics}
+        first_topic = F.lit(rules.topics[0].topic if rules.topics else None).cast("string")
+        topic = first_topic if compat_first or not table else F.try_element_at(S.labels_found("__low", table), F.lit(1))
+        any_hit = S.contains_any("__low", [w for k in rules.kpis for w in k.keywords])
+        lowered = lowered.withColumn("__numbers", F.when(any_hit, _kpi_numbers("text", compat)))
+        metrics: list[Column] = []
+        for i, kpi in enumerate(rules.kpis):
+            hit = S.contains_any("__low", kpi.keywords)
+            for other in rules.kpis[:i]:
+                if other.metric == kpi.metric:
+                    hit = hit & ~S.contains_any("__low", other.keywords)
+            best = _best_of(F.col("__numbers"), kpi.preferred_units)
+            metrics.append(F.when(hit, S.record(metric=F.lit(kpi.metric), pillar=F.lit(kpi.pillar), best=best)))
+        taken = F.filter(F.array_compact(F.array(*metrics)), lambda k: k["best"].isNotNull())
+        facts = F.transform(taken, lambda k: _fact("kpi", k["metric"], pillar=k["pillar"], topic=topic, value=k["best"]["value"], unit=k["best"]["unit"]))
+        found.append(F.when(F.size("__numbers") > 0, facts).otherwise(F.array().cast(f"array<{FACT}>")))
+    listed = F.concat(*[f.cast(f"array<{FACT}>") for f in found]) if found else F.array().cast(f"array<{FACT}>")
+    long = lowered.select(
+        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location",
+        F.substring("text", 1, max(fixed.KPI_EVIDENCE_CHARS, fixed.TOPIC_SAMPLE_CHARS)).alias("__begin"), F.explode_outer(listed).alias("fact"),
+    ).where("fact IS NOT NULL")
+    size = F.when(F.col("fact.kind") == "kpi", fixed.KPI_EVIDENCE_CHARS).when(F.col("fact.kind") == "topic", fixed.TOPIC_SAMPLE_CHARS).otherwise(0)
+    return long.select("company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", "fact.*", F.col("__begin").substr(F.lit(1), size).alias("excerpt"))
+
+
+def topic_facts(facts: DataFrame) -> DataFrame:
+    """Per company and topic in one aggregation: documents and segments with it, KPIs that have it, and its first sample."""
+    is_topic = F.col("kind") == "topic"
+    sample = F.struct(F.col("excerpt").alias("sample"), "location", "doc_name", "doc_id")
+    sums = facts.where(F.col("kind").isin("topic", "kpi") & F.col("topic").isNotNull()).groupBy("company", "topic").agg(
+        F.count_distinct(F.when(is_topic, F.col("doc_id"))).alias("documents"), F.count_if(is_topic).alias("evidence"), F.count_if(~is_topic).alias("kpis"),
+        F.min_by(sample, F.when(is_topic, F.struct("doc_idx", "seg_idx"))).alias("s"),
+    )
+    return sums.select(
+        "company", "topic", "documents", "evidence", "kpis", F.col("s.sample").alias("sample"), F.col("s.location").alias("sample_location"),
+        F.col("s.doc_name").alias("sample_document"), F.col("s.doc_id").alias("sample_doc_id"),
     )
-    return hits.where(F.col(name).isNotNull()).groupBy("company", name, "doc_id", "doc_idx", "doc_name").agg(
-        F.count(F.lit(1)).alias("evidence"), F.min_by(F.struct("sample", "location"), "seg_idx").alias("first")
+
+
+def kpi_facts(facts: DataFrame) -> DataFrame:
+    """The KPIs among the facts: metric, pillar, topic, value, unit and their place."""
+    return facts.where("kind = 'kpi'").select(
+        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.col("excerpt").alias("evidence"), "topic", F.col("rule").alias("metric"), "pillar", "value", "unit"
     )
 
 
+# --- coverage ---------------------------------------------------------------------------------
+
+
 def companies(documents: DataFrame) -> DataFrame:
     return documents.select("company").distinct()
 
 
-def pillar_coverage(segments: DataFrame, rules: RuleSet, owners: DataFrame | None = None) -> DataFrame:
+def pillar_coverage(segments: DataFrame, rules: RuleSet, owners: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Documents and segments per company and pillar; every pillar has a row.
 
-    `owners` (company) spares reading the segments a second time for the list of companies.
+    `owners` (company) spares reading the segments a second time for the list of companies, `facts` reading
+    them at all.
     """
-    counts = document_hits(segments, rules.pillar_keywords, "pillar").groupBy("company", "pillar").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("evidence").alias("evidence")
+    found = segment_facts(segments, rules, ["pillar"]) if facts is None else facts
+    counts = found.where("kind = 'pillar'").groupBy("company", F.col("rule").alias("pillar")).agg(
+        F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("evidence")
     )
     return every_rule(companies(segments if owners is None else owners), "pillar", list(rules.pillars), "pillar_idx").join(counts, ["company", "pillar"], "left").na.fill(0, ["documents", "evidence"]).withColumn(
         "label", S.lookup(rules.pillars, "pillar")
@@ -53,7 +116,7 @@ def pillar_coverage(segments: DataFrame, rules: RuleSet, owners: DataFrame | Non
 
 def pillar_documents(segments: DataFrame, rules: RuleSet) -> DataFrame:
     """Names of the documents of each pillar, one row each (a company may have any number)."""
-    return document_hits(segments, rules.pillar_keywords, "pillar").select("company", "pillar", "doc_name").distinct()
+    return segment_facts(segments, rules, ["pillar"]).select("company", F.col("rule").alias("pillar"), "doc_name").distinct()
 
 
 def every_rule(owners: DataFrame, name: str, names: Sequence[str], index: str) -> DataFrame:
@@ -63,29 +126,22 @@ def every_rule(owners: DataFrame, name: str, names: Sequence[str], index: str) -
 
 def topic_coverage(segments: DataFrame, rules: RuleSet) -> DataFrame:
     """Documents, segments and first sample per company and topic that occurs."""
-    hits = document_hits(segments, {t.topic: t.keywords for t in rules.topics}, "topic")
-    sample = F.struct("first.sample", "first.location", "doc_name", "doc_id")
-    covered = hits.groupBy("company", "topic").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("evidence").alias("evidence"), F.min_by(sample, "doc_idx").alias("s")
-    )
-    return covered.select(
-        "company", "topic", "documents", "evidence", F.col("s.sample").alias("sample"), F.col("s.location").alias("sample_location"),
-        F.col("s.doc_name").alias("sample_document"), F.col("s.doc_id").alias("sample_doc_id"),
-    )
+    return topic_facts(segment_facts(segments, rules, ["topic"])).drop("kpis")
 
 
-def topic_matrix(segments: DataFrame, rules: RuleSet, owners: DataFrame | None = None) -> DataFrame:
-    """Every topic of every company as covered, weak or missing (`owners` as in `pillar_coverage`)."""
-    facts = [
+def topic_matrix(segments: DataFrame | None, rules: RuleSet, owners: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Every topic of every company as covered, weak or missing, with the number of its KPIs (`owners`, `facts` as in `pillar_coverage`)."""
+    entries = [
         F.create_map(*[x for t in rules.topics for x in (F.lit(t.topic), value(t))])
         for value in (lambda t: F.lit(t.label), lambda t: F.lit(t.pillar), lambda t: F.lit(t.weak_threshold), lambda t: S.string_array(list(t.required_kinds)))
     ]
-    label, pillar, threshold, kinds = (F.try_element_at(m, F.col("topic")) for m in facts)
-    joined = every_rule(companies(segments if owners is None else owners), "topic", [t.topic for t in rules.topics], "rule_idx").join(topic_coverage(segments, rules), ["company", "topic"], "left")
-    status = F.when(F.col("documents").isNull(), "missing").when(F.col("evidence") < F.col("weak_threshold"), "weak").otherwise("covered")
+    label, pillar, threshold, kinds = (F.try_element_at(m, F.col("topic")) for m in entries)
+    found = topic_facts(segment_facts(segments, rules, ["topic"]) if facts is None else facts)
+    joined = every_rule(companies(segments if owners is None else owners), "topic", [t.topic for t in rules.topics], "rule_idx").join(found, ["company", "topic"], "left")
+    status = F.when(F.coalesce("documents", F.lit(0)) == 0, "missing").when(F.col("evidence") < F.col("weak_threshold"), "weak").otherwise("covered")
     return (
         joined.withColumns({"label": label, "pillar": pillar, "weak_threshold": threshold, "required_kinds": kinds})
-        .withColumn("status", status).na.fill(0, ["documents", "evidence"]).drop("weak_threshold")
+        .withColumn("status", status).na.fill(0, ["documents", "evidence", "kpis"]).drop("weak_threshold")
     )
 
 
@@ -103,131 +159,24 @@ def coverage_stats(matrix: DataFrame) -> DataFrame:
     )
 
 
-def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
-    """Reporting standards of each company, from its whole texts (or from `text` cut to a preview by the caller) and the request; the first one always applies."""
-    lowered = "lower(text)"
+def standard_codes(text: str, request: str | None = None) -> Column:
+    """Codes of the reporting standards that a whole text or the request names; the first one always applies."""
     always, *others = fixed.STANDARDS
-    found = S.labels_found(lowered, {code: words for code, _, _, words in others})
     asked = [code for code, _, _, words in others if any(w in (request or "").lower() for w in words)]
-    hits = documents.select("company", F.explode_outer(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
+    return F.concat(S.string_array([always[0], *asked]), S.labels_found(f"lower(coalesce({text}, ''))", {code: words for code, _, _, words in others}))
+
+
+def named_standards(hits: DataFrame) -> DataFrame:
+    """Name and priority of each (company, code)."""
     return hits.select(
         "company", "code", S.lookup({c: n for c, n, _, _ in fixed.STANDARDS}, "code").alias("name"),
         S.lookup({c: str(p) for c, _, p, _ in fixed.STANDARDS}, "code").cast("int").alias("priority"),
     )
 
 
-# --- KPIs -------------------------------------------------------------------------------------
-
-
-def best_number(text: str, preferred: Sequence[str], compat: bool = False) -> Column:
-    """The number a KPI takes from a text: preferred unit first, then any unit, then the lowest; years do not count."""
-    return _best_of(_kpi_numbers(text, compat), preferred)
-
-
-def _kpi_numbers(text: str, compat: bool) -> Column:
-    return F.filter(S.number_units(text, compat), lambda n: ~n["value"].between(*fixed.YEAR_RANGE))
-
-
-def _best_of(numbers: Column, preferred: Sequence[str]) -> Column:
-    units = list(preferred)
-
-    def rank(n: Column, i: Column) -> Column:
-        liked = n["unit"].isin(units) if units else F.lit(False)
-        cost = -(F.when(liked, 4).otherwise(0) + F.when(n["unit"] != "", 1).otherwise(0))
-        return S.record(cost=cost, value=n["value"], place=i, unit=n["unit"])
-
-    return F.array_min(F.transform(numbers, rank))
-
-
-def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, compat_first: bool = False) -> DataFrame:
-    """KPIs of each segment: metric, value, unit, source, evidence and topic.
-
-    Numbers are looked for only in segments with a keyword of the KPI. `compat` reads numbers without
-    thousands separators; `compat_first` always gives the first topic.
-    """
-    lowered = "lower(text)"
-    found: list[Column] = []
-    for i, kpi in enumerate(rules.kpis):
-        best = _best_of(F.col("__numbers"), kpi.preferred_units)
-        earlier = F.lit(False)
-        for other in rules.kpis[:i]:
-            if other.metric == kpi.metric:
-                earlier = earlier | S.contains_any(lowered, other.keywords)
-        hit = S.contains_any(lowered, kpi.keywords) & ~earlier
-        found.append(F.when(hit, S.record(metric=F.lit(kpi.metric), pillar=F.lit(kpi.pillar), best=best)))
-    first_topic = F.lit(rules.topics[0].topic if rules.topics else None)
-    table = {t.topic: [*t.keywords, *t.kpi_patterns] for t in rules.topics}
-    topic = first_topic if compat_first else F.try_element_at(S.labels_found(lowered, table), F.lit(1))
-    any_hit = S.contains_any(lowered, [w for k in rules.kpis for w in k.keywords])
-    # The numbers of a segment are read once for all KPIs.
-    hits = segments.where(any_hit).withColumn("__numbers", _kpi_numbers("text", compat)).select(
-        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.substring("text", 1, fixed.KPI_EVIDENCE_CHARS).alias("evidence"),
-        topic.alias("topic"), F.explode_outer(F.array_compact(F.array(*found))).alias("k"),
-    )
-    return hits.where("k.best IS NOT NULL").select(
-        *[c for c in hits.columns if c != "k"], "k.metric", "k.pillar", F.col("k.best.value").alias("value"), F.col("k.best.unit").alias("unit")
-    )
-
-
-# --- gaps -------------------------------------------------------------------------------------
-
-
-def disclosure_matrix(matrix: DataFrame, kpis: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Topic matrix with KPI status, required data, related standards and the next action.
-
-    `chosen`: output of `standards`; a company has five at most.
-    """
-    with_kpi = kpis.where("topic IS NOT NULL").select("company", "topic").distinct().withColumn("__k", F.lit(True))
-    codes = chosen.groupBy("company").agg(F.sort_array(F.collect_set("code")).alias("__codes"))
-    joined = matrix.join(with_kpi, ["company", "topic"], "left").join(codes, "company", "left")
-    label, status = F.col("label"), F.col("status")
-    no_kpi = F.col("__k").isNull()
-    required = F.array_distinct(F.concat(
-        "required_kinds",
-        F.when(status == "missing", F.array(F.concat(label, F.lit(fixed.REQUIRED_POLICY)))).otherwise(S.string_array([])),
-        F.when(no_kpi, F.array(F.concat(label, F.lit(fixed.REQUIRED_KPI)))).otherwise(S.string_array([])),
-    ))
-    related = F.array_compact(F.array(*[
-        F.when(
-            F.array_contains(F.coalesce("__codes", S.string_array([])), code) & (F.lit(True) if pillar is None else F.col("pillar") == pillar), F.lit(code)
-        )
-        for code, pillar in fixed.RELATED_STANDARDS.items()
-    ]))
-    state = F.when(status.isin("missing", "weak"), status).when(F.size("required_data") > 0, "incomplete")
-    action = F.coalesce(
-        *[F.when(state == name, F.concat(F.lit(verb), label, F.lit(rest))) for name, (verb, rest) in fixed.NEXT_ACTION.items()], F.lit(fixed.NEXT_ACTION_NONE)
-    )
-    return (
-        joined.withColumns({"label": label, "pillar": pillar, "weak_threshold": threshold, "required_kinds": kinds})
-        .withColumn("status", status).na.fill(0, ["documents", "evidence"]).drop("weak_threshold")
-    )
-
-
-def recommended_kinds(matrix: DataFrame) -> DataFrame:
-    """Kinds required by the weak and missing topics of each company (kinds come from the rules)."""
-    return matrix.where("status <> 'covered'").groupBy("company").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("required_kinds")))).alias("recommended_kinds")
-    )
-
-
-def coverage_stats(matrix: DataFrame) -> DataFrame:
-    """Topics by status per company."""
-    return matrix.groupBy("company").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in fixed.STATUS_LABELS], F.count(F.lit(1)).alias("total")
-    )
-
-
 def standards(documents: DataFrame, request: str | None = None) -> DataFrame:
     """Reporting standards of each company, from its whole texts (or from `text` cut to a preview by the caller) and the request; the first one always applies."""
-    lowered = "lower(text)"
-    always, *others = fixed.STANDARDS
-    found = S.labels_found(lowered, {code: words for code, _, _, words in others})
-    asked = [code for code, _, _, words in others if any(w in (request or "").lower() for w in words)]
-    hits = documents.select("company", F.explode_outer(F.concat(S.string_array([always[0], *asked]), found)).alias("code")).distinct()
-    return hits.select(
-        "company", "code", S.lookup({c: n for c, n, _, _ in fixed.STANDARDS}, "code").alias("name"),
-        S.lookup({c: str(p) for c, _, p, _ in fixed.STANDARDS}, "code").cast("int").alias("priority"),
-    )
+    return named_standards(documents.select("company", F.explode_outer(standard_codes("text", request)).alias("code")).distinct())
 
 
 # --- KPIs -------------------------------------------------------------------------------------
@@ -254,48 +203,26 @@ def _best_of(numbers: Column, preferred: Sequence[str]) -> Column:
 
 
 def extract_kpis(segments: DataFrame, rules: RuleSet, compat: bool = False, compat_first: bool = False) -> DataFrame:
-    """KPIs of each segment: metric, value, unit, source, evidence and topic.
-
-    Numbers are looked for only in segments with a keyword of the KPI. `compat` reads numbers without
-    thousands separators; `compat_first` always gives the first topic.
-    """
-    lowered = "lower(text)"
-    found: list[Column] = []
-    for i, kpi in enumerate(rules.kpis):
-        best = _best_of(F.col("__numbers"), kpi.preferred_units)
-        earlier = F.lit(False)
-        for other in rules.kpis[:i]:
-            if other.metric == kpi.metric:
-                earlier = earlier | S.contains_any(lowered, other.keywords)
-        hit = S.contains_any(lowered, kpi.keywords) & ~earlier
-        found.append(F.when(hit, S.record(metric=F.lit(kpi.metric), pillar=F.lit(kpi.pillar), best=best)))
-    first_topic = F.lit(rules.topics[0].topic if rules.topics else None)
-    table = {t.topic: [*t.keywords, *t.kpi_patterns] for t in rules.topics}
-    topic = first_topic if compat_first else F.try_element_at(S.labels_found(lowered, table), F.lit(1))
-    any_hit = S.contains_any(lowered, [w for k in rules.kpis for w in k.keywords])
-    # The numbers of a segment are read once for all KPIs.
-    hits = segments.where(any_hit).withColumn("__numbers", _kpi_numbers("text", compat)).select(
-        "company", "doc_id", "doc_idx", "doc_name", "seg_idx", "segment_id", "location", F.substring("text", 1, fixed.KPI_EVIDENCE_CHARS).alias("evidence"),
-        topic.alias("topic"), F.explode_outer(F.array_compact(F.array(*found))).alias("k"),
-    )
-    return hits.where("k.best IS NOT NULL").select(
-        *[c for c in hits.columns if c != "k"], "k.metric", "k.pillar", F.col("k.best.value").alias("value"), F.col("k.best.unit").alias("unit")
-    )
+    """KPIs of each segment: metric, value, unit, source, evidence and topic (options as in `segment_facts`)."""
+    return kpi_facts(segment_facts(segments, rules, ["kpi"], compat, compat_first))
 
 
 # --- gaps -------------------------------------------------------------------------------------
 
 
-def disclosure_matrix(matrix: DataFrame, kpis: DataFrame, chosen: DataFrame) -> DataFrame:
+def disclosure_matrix(matrix: DataFrame, kpis: DataFrame | None, chosen: DataFrame) -> DataFrame:
     """Topic matrix with KPI status, required data, related standards and the next action.
 
-    `chosen`: output of `standards`; a company has five at most.
+    `chosen`: output of `standards`; a company has five at most. Without `kpis` the matrix has to come from
+    facts that hold KPIs; its own counts decide then.
     """
-    with_kpi = kpis.where("topic IS NOT NULL").select("company", "topic").distinct().withColumn("__k", F.lit(True))
     codes = chosen.groupBy("company").agg(F.sort_array(F.collect_set("code")).alias("__codes"))
-    joined = matrix.join(with_kpi, ["company", "topic"], "left").join(codes, "company", "left")
+    if kpis is not None:
+        with_kpi = kpis.where("topic IS NOT NULL").select("company", "topic").distinct().withColumn("__k", F.lit(1))
+        matrix = matrix.join(with_kpi, ["company", "topic"], "left").withColumn("kpis", F.coalesce("__k", F.lit(0))).drop("__k")
+    joined = matrix.join(codes, "company", "left")
     label, status = F.col("label"), F.col("status")
-    no_kpi = F.col("__k").isNull()
+    no_kpi = F.col("kpis") == 0
     required = F.array_distinct(F.concat(
         "required_kinds",
         F.when(status == "missing", F.array(F.concat(label, F.lit(fixed.REQUIRED_POLICY)))).otherwise(S.string_array([])),
@@ -307,15 +234,14 @@ def disclosure_matrix(matrix: DataFrame, kpis: DataFrame, chosen: DataFrame) ->
         )
         for code, pillar in fixed.RELATED_STANDARDS.items()
     ]))
+    says = {state: F.concat(F.lit(before), label, F.lit(after)) for state, (before, after) in fixed.NEXT_ACTION.items()}
     action = (
-        F.when(status == "missing", F.concat(F.lit("补充"), label, F.lit("的披露材料和量化数据。")))
-        .when(status == "weak", F.concat(F.lit("增强"), label, F.lit("的证据数量、数据口径和管理措施说明。")))
-        .when(F.size("required_data") > 0, F.concat(F.lit("补齐"), label, F.lit("的 KPI 口径或数据来源。")))
-        .otherwise("当前披露证据较完整，可进入正文撰写和一致性检查。")
+        F.when(status == "missing", says["missing"]).when(status == "weak", says["weak"])
+        .when(F.size("required_data") > 0, says["incomplete"]).otherwise(fixed.NEXT_ACTION_NONE)
     )
     return (
         joined.withColumns({"kpi_status": F.when(no_kpi, "missing").otherwise("available"), "required_data": required, "related_standards": related})
-        .withColumn("next_action", action).drop("__k", "__codes")
+        .withColumn("next_action", action).drop("kpis", "__codes")
     )
 
 
@@ -371,6 +297,53 @@ def material_summary(pillars: DataFrame, matrix: DataFrame, rules: RuleSet) -> D
     )
 
 
+def kpi_summary(kpis: DataFrame, owners: DataFrame, keep: int | None = 5) -> DataFrame:
+    """One text per company: how many KPIs there are and the first `keep` of them; companies without KPIs say so."""
+    counted = kpis.groupBy("company").agg(F.count(F.lit(1)).alias("n_kpis"))
+    shown = first_kpis(kpis, keep).groupBy("company").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("metric", F.lit("="), S.number_text("value"), "unit").alias("t")))), lambda x: x["t"]), "；").alias("__said")
+    )
+    before, between, after = fixed.KPI_SUMMARY
+    said = F.concat(F.lit(before), F.col("n_kpis").cast("string"), F.lit(between), "__said", F.lit(after))
+    joined = owners.select("company").distinct().join(counted, "company", "left").join(shown, "company", "left")
+    return joined.select("company", F.coalesce("n_kpis", F.lit(0)).alias("n_kpis"), F.coalesce(said, F.lit(fixed.KPI_SUMMARY_NONE)).alias("summary"))
+
+
+EVIDENCE = ("company", "number", "title", "doc_id", "document", "location", "excerpt", "segment_id")
+
+
+def topic_evidence(matrix: DataFrame, keep: int | None = 5) -> DataFrame:
+    """The samples of the first `keep` topics of each company as evidence rows; topics without document or text give none."""
+    rows = matrix if keep is None else matrix.where(F.col("rule_idx") < keep)
+    excerpt = S.strip("sample")
+    told = rows.where((F.coalesce("sample_document", F.lit("")) != "") & (F.coalesce(excerpt, F.lit("")) != ""))
+    return told.select(
+        "company", F.col("rule_idx").cast("bigint").alias("number"), F.col("label").alias("title"), F.col("sample_doc_id").alias("doc_id"), F.col("sample_document").alias("document"),
+        F.coalesce(S.blank_to_null(S.strip("sample_location")), F.lit(fixed.NO_LOCATION)).alias("location"), excerpt.alias("excerpt"), F.lit(None).cast("string").alias("segment_id"),
+    )
+
+
+def kpi_evidence(kpis: DataFrame, keep: int | None = 5) -> DataFrame:
+    """The first `keep` KPIs of each company as evidence rows."""
+    return first_kpis(kpis, keep).select(
+        "company", F.col("n").cast("bigint").alias("number"), F.concat("metric", F.lit("："), S.number_text("value"), "unit").alias("title"), "doc_id",
+        F.coalesce(S.blank_to_null("doc_name"), F.lit(fixed.NO_DOCUMENT)).alias("document"), F.coalesce(S.blank_to_null("location"), F.lit(fixed.NO_LOCATION)).alias("location"),
+        F.coalesce("evidence", F.lit("")).alias("excerpt"), "segment_id",
+    )
+
+
+def request_stats(requests: DataFrame) -> DataFrame:
+    """Data requests by priority per company."""
+    return requests.groupBy("company").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("priority") == p).alias(p) for p in ("high", "medium")])
+
+
+def link_stats(links: DataFrame) -> DataFrame:
+    """Evidence links by support and by type per company."""
+    return links.groupBy("company").agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("support_level") == s).alias(s) for s in ("supported", "weak")], *[F.count_if(F.col("type") == t).alias(f"{t}_links") for t in ("topic", "kpi")]
+    )
+
+
 # --- reports ----------------------------------------------------------------------------------
 
 

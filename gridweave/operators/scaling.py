@@ -23,6 +23,21 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "l
     return rows.join(facts, list(keys), how)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write narrow rows that several later steps read, with a reliable checkpoint in `spark.checkpoint.dir`.
+
+    A folder set on the context is taken as it is. Without either a cluster gets an error, as a folder of one
+    machine would not outlive it; a local session takes its temporary folder.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
+        context.setCheckpointDir(folder or f"{context._jvm.java.lang.System.getProperty('java.io.tmpdir')}/gridweave-checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def running_total(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import scalars as S
 from gridweave.operators import coverage as C
 from gridweave.operators import texts as T
+from gridweave.operators.scaling import settle
 from gridweave.plans import sql as Q
 from gridweave.plans.catalog import Catalog, table
 from gridweave.plans.scalars import NUMBERED_LINE_SQL, numbered_line
@@ -134,8 +135,46 @@ def chosen(spark, folder):
     return C.standards(docs, "climate report")
 
 
+class Facts:
+    """What several parts of a report share: facts of the segments and companies with their standards.
+
+    Each table is read once for the facts (written down, as narrow rows, where several steps read them) and
+    once for the companies, which are a few rows each.
+    """
+
+    def __init__(self, spark, folder, *kinds, shared=True):
+        rows = table(spark, folder, "documents", "doc_id").select(F.col("source").alias("company"), "text")
+        named = rows.select("company", F.coalesce(F.trim("text") != "", F.lit(False)).alias("has_text"), F.explode_outer(C.standard_codes("text", "climate report")).alias("code"))
+        profile = settle(named.groupBy("company", "code").agg(F.max("has_text").alias("has_text")))
+        lines = table(spark, folder, "lineitem").select(F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("company"))
+        self.owners = profile.where("has_text").select("company").unionByName(lines).distinct()
+        self.chosen = C.named_standards(profile)
+        facts = C.segment_facts(segments(spark, folder), rules(), kinds)
+        self.rows = settle(facts) if shared else facts
+
+    @property
+    def matrix(self):
+        return C.topic_matrix(None, rules(), self.owners, self.rows)
+
+    @property
+    def kpis(self):
+        return C.kpi_facts(self.rows)
+
+    @property
+    def pillars(self):
+        return C.pillar_coverage(None, rules(), self.owners, self.rows)
+
+    @property
+    def items(self):
+        return C.disclosure_matrix(self.matrix, None, self.chosen)
+
+    @property
+    def links(self):
+        return C.evidence_links(self.matrix, self.kpis)
+
+
 def disclosure(spark, folder):
-    return C.disclosure_matrix(matrix(spark, folder), kpis(spark, folder), chosen(spark, folder))
+    return Facts(spark, folder, "topic", "kpi", shared=False).items
 
 
 def register(catalog: Catalog) -> None:
@@ -219,7 +258,7 @@ def register(catalog: Catalog) -> None:
     @catalog.add(f"WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, {links_sql} SELECT company, 'link_' || n AS link_id, type, claim, disclosure_id, document, location, support_level FROM links")
     def evidence_links(spark, folder):
         """Numbered claims with their evidence per company."""
-        return C.evidence_links(matrix(spark, folder), kpis(spark, folder)).select("company", "link_id", "type", "claim", "disclosure_id", "document", "location", "support_level")
+        return Facts(spark, folder, "topic", "kpi").links.select("company", "link_id", "type", "claim", "disclosure_id", "document", "location", "support_level")
 
     @catalog.add(
         f"""WITH {SEGMENTS}, {MATRIX}, phits AS ({_cases(PILLAR_WORDS)}), pl AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, plabel)),
@@ -231,8 +270,8 @@ def register(catalog: Catalog) -> None:
     )
     def material_summary(spark, folder):
         """Summary text per company."""
-        segs = segments(spark, folder)
-        return C.material_summary(C.pillar_coverage(segs, rules(), owners(spark, folder)), C.topic_matrix(segs, rules(), owners(spark, folder)), rules())
+        found = Facts(spark, folder, "pillar", "topic")
+        return C.material_summary(found.pillars, found.matrix, rules())
 
     @catalog.add(
         f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, kn AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY pillar, metric, doc_name, doc_id, seg_idx) AS n FROM kpis),
@@ -245,7 +284,8 @@ def register(catalog: Catalog) -> None:
     )
     def report_outline(spark, folder):
         """Report outline per company."""
-        return C.outline(matrix(spark, folder), kpis(spark, folder), rules(), keep=8)
+        found = Facts(spark, folder, "topic", "kpi")
+        return C.outline(found.matrix, found.kpis, rules(), keep=8)
 
     @catalog.add(
         f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, phits AS ({_cases(PILLAR_WORDS)}), pl AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{p}', '{l}')" for i, (p, l) in enumerate(PILLARS.items()))}) AS p(pillar_idx, pillar, plabel)),
@@ -257,12 +297,82 @@ def register(catalog: Catalog) -> None:
     )
     def recommendations(spark, folder):
         """Recommendations per company."""
-        segs = segments(spark, folder)
-        return C.recommendations(C.pillar_coverage(segs, rules(), owners(spark, folder)), C.topic_matrix(segs, rules(), owners(spark, folder)), C.extract_kpis(segs, rules()))
+        found = Facts(spark, folder, "pillar", "topic", "kpi")
+        return C.recommendations(found.pillars, found.matrix, found.kpis)
 
-    @catalog.add()
+    said = "metric || '{}' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || unit"
+    numbered_kpis = "kn AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY pillar, metric, doc_name, doc_id, seg_idx) AS n FROM kpis)"
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, comps AS (SELECT DISTINCT company FROM segs), {KPI_SQL}, {numbered_kpis},
+        t AS (SELECT company, count(*) AS c, string_agg({said.format('=')}, '；' ORDER BY n) FILTER (n <= 5) AS x FROM kn GROUP BY company)
+        SELECT company, coalesce(c, 0) AS n_kpis, CASE WHEN c IS NULL THEN '当前材料中尚未识别到可直接抽取的 ESG 指标。' ELSE '共识别 ' || c || ' 个 ESG 指标：' || x || '。' END AS summary FROM comps LEFT JOIN t USING (company)"""
+    )
+    def kpi_summary(spark, folder):
+        """How many KPIs each company has, and the first of them."""
+        found = Facts(spark, folder, "kpi")
+        return C.kpi_summary(found.kpis, found.owners)
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {MATRIX}, {KPI_SQL}, {numbered_kpis}
+        SELECT company, 'topic' AS kind, rule_idx::BIGINT AS number, label AS title, sample_document AS document, sample_location AS location, {Q.strip('sample')} AS excerpt, NULL::VARCHAR AS segment_id
+          FROM matrix WHERE rule_idx < 5 AND sample_document <> '' AND {Q.strip('sample')} <> ''
+        UNION ALL SELECT company, 'kpi', n, {said.format('：')}, doc_name, location, evidence, segment_id FROM kn WHERE n <= 5"""
+    )
+    def coverage_evidence(spark, folder):
+        """Evidence rows of the first topics and KPIs of each company."""
+        found = Facts(spark, folder, "topic", "kpi")
+        both = C.topic_evidence(found.matrix).withColumn("kind", F.lit("topic")).unionByName(C.kpi_evidence(found.kpis).withColumn("kind", F.lit("kpi")))
+        return both.select("company", "kind", "number", "title", "document", "location", "excerpt", "segment_id")
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {DISCLOSURE}, {links_sql},
+        q AS (SELECT company, count(*) AS requests, count(*) FILTER (status = 'missing') AS high, count(*) FILTER (status <> 'missing') AS medium FROM acts WHERE NOT (status = 'covered' AND has_kpi) GROUP BY company),
+        l AS (SELECT company, count(*) AS links, count(*) FILTER (support_level = 'supported') AS supported, count(*) FILTER (support_level = 'weak') AS weak, count(*) FILTER (type = 'topic') AS topic_links, count(*) FILTER (type = 'kpi') AS kpi_links FROM links GROUP BY company)
+        SELECT company, requests, high, medium, links, supported, weak, topic_links, kpi_links FROM q FULL JOIN l USING (company)"""
+    )
+    def gap_stats(spark, folder):
+        """Data requests by priority and evidence links by support per company."""
+        found = Facts(spark, folder, "topic", "kpi")
+        asked = C.request_stats(C.data_requests(found.items, rules())).withColumnRenamed("total", "requests")
+        return asked.join(C.link_stats(found.links).withColumnRenamed("total", "links"), "company", "full")
+
+    priorities = "CASE code " + " ".join(f"WHEN {Q.quote(c)} THEN {n}" for c, _, n, _ in fixed.STANDARDS) + " END"
+    heading = {k: Q.quote(v) for k, v in fixed.REPORT_HEADINGS.items()}
+    label_of = "CASE status " + " ".join(f"WHEN {Q.quote(k)} THEN {Q.quote(v)}" for k, v in fixed.STATUS_LABELS.items()) + " END"
+    sections = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {i + 2}" for i, p in enumerate(PILLARS)) + " END"
+    in_report = f"pillar IN ({', '.join(Q.quote(p) for p in PILLARS)})"
+    after = len(PILLARS) + 2
+    heads = " ".join(f"UNION ALL SELECT company, {i + 2}, -2, '' FROM comps UNION ALL SELECT company, {i + 2}, -1, {Q.quote('## ' + label)} FROM comps" for i, label in enumerate(PILLARS.values()))
+
+    @catalog.add(
+        f"""WITH {SEGMENTS}, {DISCLOSURE}, {links_sql}, {numbered_kpis},
+        cds AS (SELECT company, string_agg(code, '、' ORDER BY {priorities}, code) AS codes FROM stds GROUP BY company),
+        kc AS (SELECT company, count(*) AS kpi_count, count(DISTINCT metric) AS metric_count FROM kpis GROUP BY company),
+        f AS (SELECT company, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'weak') AS weak, count(*) FILTER (status = 'missing') AS missing, count(*) AS total FROM matrix GROUP BY company),
+        ft AS (SELECT f.*, coalesce(kpi_count, 0) AS kpi_count, coalesce(metric_count, 0) AS metric_count, codes FROM f LEFT JOIN kc USING (company) LEFT JOIN cds USING (company)),
+        tp AS (SELECT *, row_number() OVER (PARTITION BY company, pillar ORDER BY rule_idx) AS n FROM acts WHERE {in_report}),
+        gp AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY rule_idx) AS n FROM acts WHERE status <> 'covered'),
+        rl(company, s, n, x) AS (
+          SELECT company, 0, unnest([0, 1, 2, 3]), unnest([{heading['title']}, '', {heading['about']}, '草稿由材料汇总得出，标准：' || coalesce(codes, 'GRI') || '。']) FROM ft
+          UNION ALL SELECT company, 1, unnest([0, 1, 2]), unnest(['', {heading['summary']}, '主题共 ' || total || ' 个：covered ' || covered || '，weak ' || weak || '，missing ' || missing || '。指标 ' || metric_count || ' 种，取值 ' || kpi_count || ' 条。']) FROM ft
+          {heads}
+          UNION ALL SELECT company, {sections}, n, '### ' || label || chr(10) || '状态：' || {label_of} || CASE WHEN substr({Q.strip("coalesce(sample, '')")}, 1, 160) <> '' THEN chr(10) || '> ' || substr({Q.strip("coalesce(sample, '')")}, 1, 160) ELSE '' END || CASE WHEN status <> 'covered' THEN chr(10) || next_action ELSE '' END FROM tp WHERE n <= 8
+          UNION ALL SELECT company, {after}, unnest([-4, -3, -2]), unnest(['', {heading['kpis']}, CASE WHEN kpi_count > 0 THEN {Q.quote(fixed.REPORT_KPI_HEADER)} ELSE '（无）' END]) FROM ft
+          UNION ALL SELECT company, {after}, -1, '| --- | ---: | --- | --- |' FROM ft WHERE kpi_count > 0
+          UNION ALL SELECT company, {after}, n, '| ' || metric || ' | ' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || ' | ' || CASE WHEN unit = '' THEN '-' ELSE unit END || ' | ' || doc_name || ' / ' || location || ' |' FROM kn WHERE n <= 12
+          UNION ALL SELECT company, {after + 1}, unnest([-2, -1]), unnest(['', {heading['gaps']}]) FROM ft
+          UNION ALL SELECT company, {after + 1}, 0, '（无）' FROM ft WHERE weak + missing = 0
+          UNION ALL SELECT company, {after + 1}, n, '- ' || label || '：' || next_action FROM gp WHERE n <= 10
+          UNION ALL SELECT company, {after + 2}, unnest([-2, -1]), unnest(['', {heading['evidence']}]) FROM ft
+          UNION ALL SELECT company, {after + 2}, n, '- ' || claim || '：' || document || ' / ' || location FROM links WHERE n <= 8
+          UNION ALL SELECT company, {after + 2}, 0, '（无）' FROM ft WHERE company NOT IN (SELECT company FROM links)),
+        r AS (SELECT company, {Q.strip("string_agg(x, chr(10) ORDER BY s, n)")} AS report FROM rl GROUP BY company),
+        w AS (SELECT *, translate(report, '#*_>`-|[]()', '           ') AS t FROM r)
+        SELECT company, report, CAST(len(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fff}}]')) + len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*')) AS INTEGER) AS words FROM w"""
+    )
     def report_draft(spark, folder):
         """Report draft with word count per company."""
-        m, k = matrix(spark, folder), kpis(spark, folder)
-        items = C.disclosure_matrix(m, k, chosen(spark, folder))
-        return C.report_draft(items, k, C.evidence_links(m, k), chosen(spark, folder), rules(), kpi_rows=12, topic_rows=8, gap_rows=10, link_rows=8, sample_chars=160)
+        found = Facts(spark, folder, "topic", "kpi")
+        items = settle(found.items)
+        return C.report_draft(items, found.kpis, found.links, found.chosen, rules(), kpi_rows=12, topic_rows=8, gap_rows=10, link_rows=8, sample_chars=160)

@@ -390,6 +390,10 @@ NEXT_ACTION = {
     "incomplete": ("补齐", "的 KPI 口径或数据来源。"),
 }
 NEXT_ACTION_NONE = "当前披露证据较完整，可进入正文撰写和一致性检查。"
+KPI_SUMMARY = ("共识别 ", " 个 ESG 指标：", "。")
+KPI_SUMMARY_NONE = "当前材料中尚未识别到可直接抽取的 ESG 指标。"
+NO_LOCATION = "正文定位未标注"
+NO_DOCUMENT = "未命名文档"
 SUMMARY_PILLARS = "ESG 材料覆盖："
 SUMMARY_PILLAR_UNIT = " 份"
 SUMMARY_TOPICS = "。GRI 主题矩阵："
