@@ -5,8 +5,9 @@ context field (group value, column, group column, sheet) that the label names. A
 place means no match.
 
 No label is paired with all result rows of its job. The result rows are indexed by metric and by every
-subset of their context fields (16 at most, with a row count per entry); a label looks up the entries
-for the field values it names. The values themselves are found by an equi-join on exact substrings.
+subset of their context fields, in a fixed order of fields: a trie whose nodes hold row counts. A label walks
+down field by field: the nodes it has reached are joined with the values it names of the next field, and only
+nodes that exist go on. The values themselves are found by an equi-join on exact substrings.
 """
 
 from __future__ import annotations
@@ -82,7 +83,10 @@ def _entry_key(parts: Sequence[Column]) -> Column:
 
 
 def row_index(rows: DataFrame) -> DataFrame:
-    """Result rows by job, metric and subset of context fields: how many, and the first one."""
+    """Result rows by job, metric and node of the trie (the chosen fields in order): how many, and the first one.
+
+    All aggregates are numbers, so rows are combined by hash before they move.
+    """
     keys = []
     for size in range(len(FIELDS) + 1):
         for subset in combinations(FIELDS, size):
@@ -92,9 +96,9 @@ def row_index(rows: DataFrame) -> DataFrame:
             key = _entry_key([F.concat(F.lit(f + "="), F.col(_row_field(f))) for f in subset]) if subset else F.lit("")
             keys.append(F.when(present, key))
     return (
-        rows.select("job_id", "metric", "mapping_id", "map_idx", F.explode_outer(F.array_compact(F.array(*keys))).alias("entry"))
+        rows.select("job_id", "metric", F.col("map_idx").cast("bigint").alias("map_idx"), F.explode_outer(F.array_compact(F.array(*keys))).alias("entry"))
         .groupBy("job_id", "metric", "entry")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.min_by("mapping_id", "map_idx").alias("mapping_id"))
+        .agg(F.count(F.lit(1)).alias("row_count"), F.min("map_idx").alias("map_idx"))
     )
 
 
@@ -110,43 +114,35 @@ def named_values(labels: DataFrame, rows: DataFrame) -> DataFrame:
     return find_tokens(labels.select(*LABEL, "token"), "token", vocabulary, "word", ["job_id"]).select(*LABEL, "field", "field_value").distinct()
 
 
-def _extend(values: Column, weight: int):
-    """Each option once without and once with each of the values of a field."""
-
-    def extended(base: Column) -> Column:
-        def with_value(value: Column) -> Column:
-            entry = F.when(base["entry"] == "", value).otherwise(F.concat(base["entry"], F.lit("\x01"), value))
-            return F.named_struct(F.lit("entry"), entry, F.lit("weight"), base["weight"] + weight)
-
-        return F.array_append(F.transform(values, with_value), base)
-
-    return extended
-
-
 def match_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
     """The result row of each label, if there is exactly one with the best score.
 
     `labels`: output of `label_cells`. `rows`: job_id, mapping_id, map_idx, metric, group_value, column,
-    group_col, source_sheet. Matching is stateless: one result row may match several labels.
+    group_col, source_sheet. Matching is stateless: one result row may match several labels. The rows of a
+    label at any step are nodes that exist in the index, however many values it names.
     """
+    index = row_index(rows)
     named = named_values(labels, rows).groupBy(*LABEL).agg(
-        # A label names few values: at most one per substring of its text.
+        # A label names few values of a field: at most one per substring of its text.
         *[F.collect_list(F.when(F.col("field") == f, F.concat(F.col("field"), F.lit("="), F.col("field_value")))).alias(f"__{f}") for f in FIELDS]
     )
-    joined = labels.select(*LABEL, F.col("value_str").alias("label"), "hits").join(named, LABEL, "left")
-    options = F.array(F.struct(F.lit("").alias("entry"), F.lit(0).alias("weight")))
-    for f in FIELDS:
-        options = F.flatten(F.transform(options, _extend(F.coalesce(F.col(f"__{f}"), S.string_array([])), fixed.LABEL_CONTEXT_WEIGHTS[f])))
-    lookups = (
-        joined.select(*LABEL, "label", F.explode_outer("hits").alias("h"), options.alias("__options"))
-        .select(*LABEL, "label", "h.*", F.explode_outer("__options").alias("o"))
-        .where("exact OR o.weight > 0")
-        .select(*LABEL, "label", "metric", "o.entry", (F.col("points") + F.col("o.weight")).alias("score"))
-    )
-    found = attach(lookups, row_index(rows), ["job_id", "metric", "entry"], "inner")
-    levels = found.groupBy(*LABEL, "label", "score").agg(F.sum("row_count").alias("rows"), F.min("mapping_id").alias("mapping_id"))
-    best = levels.groupBy(*LABEL, "label").agg(F.max_by(F.struct("score", "rows", "mapping_id"), "score").alias("b"))
-    return best.where("b.rows = 1").select(*LABEL, "label", "b.mapping_id", "b.score")
+    arrays = [f"__{f}" for f in FIELDS]
+    begun = labels.select(*LABEL, F.col("value_str").alias("label"), "hits").join(named, LABEL, "left")
+    reached = begun.select(*LABEL, "label", *arrays, F.explode_outer("hits").alias("h")).select(*LABEL, "label", *arrays, "h.*", F.lit("").alias("entry"), F.lit(0).alias("weight"))
+    for field in FIELDS:
+        # Each node goes on as it is and once for each named value; what does not exist ends here.
+        steps = F.array_append(F.coalesce(f"__{field}", S.string_array([])), F.lit(None).cast("string"))
+        further = reached.withColumn("step", F.explode_outer(steps)).select(
+            *[c for c in reached.columns if c not in ("entry", "weight", "row_count", "map_idx", f"__{field}")],
+            F.when(F.col("step").isNull(), F.col("entry")).otherwise(_entry_key([F.nullif("entry", F.lit("")), F.col("step")])).alias("entry"),
+            (F.col("weight") + F.when(F.col("step").isNull(), 0).otherwise(fixed.LABEL_CONTEXT_WEIGHTS[field])).alias("weight"),
+        )
+        reached = attach(further, index, ["job_id", "metric", "entry"], "inner")
+    found = reached.where("exact OR weight > 0").withColumn("score", F.col("points") + F.col("weight"))
+    levels = found.groupBy(*LABEL, "label", "score").agg(F.sum("row_count").alias("rows"), F.min("map_idx").alias("map_idx"))
+    best = levels.groupBy(*LABEL, "label").agg(F.max(F.struct("score", "rows", "map_idx")).alias("b"))
+    first = best.where("b.rows = 1").select(*LABEL, "label", F.col("b.map_idx").alias("map_idx"), F.col("b.score").alias("score"))
+    return attach(first, rows.select("job_id", F.col("map_idx").cast("bigint").alias("map_idx"), "mapping_id"), ["job_id", "map_idx"], "inner").select(*LABEL, "label", "mapping_id", "score")
 
 
 def one_label_per_row(matches: DataFrame, keys: Sequence[str] = ("job_id", "mapping_id")) -> DataFrame:

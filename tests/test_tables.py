@@ -206,3 +206,18 @@ def test_scaling_helpers(make):
     assert as_set(scaling.find_keywords(texts, "t", words, "w", "id"), "id", "w", "hits") == {(1, "aa", 2), (1, "needle", 1)}
     found = scaling.find_tokens(make([(1, "项目001金额合计")], "id int, t string"), "t", make([("项目001",), ("金额",), ("项目002",), ("项目001金额合计合计",)], "w string"), "w", max_length=4)
     assert as_set(found, "w") == {("项目001",), ("金额",)}
+
+
+def test_a_label_with_many_named_values_walks_existing_nodes_only(spark, make):
+    """50 values of each of two fields in one label: one row has the named pair that no other row has."""
+    values = [f"v{i:02d}x" for i in range(50)]
+    rows = make(
+        [("j", f"m{i}", i, "sum", v, f"c{v}", "gg", "ss") for i, v in enumerate(values)] + [("j", "other", 99, "sum", "v00x", "elsewhere", "gg", "ss")],
+        "job_id string, mapping_id string, map_idx int, metric string, group_value string, column string, group_col string, source_sheet string",
+    )
+    text = "合计" + "".join(values[:1]) + "cv00x"
+    cells = make([("j", "s", 5, 1, text), ("j", "s", 6, 1, "合计" + "".join(values) + "".join(f"c{v}" for v in values))], "job_id string, sheet string, row_idx int, col_idx int, value_str string")
+    found = {r["row_idx"]: r["mapping_id"] for r in B.match_labels(B.label_cells(cells), rows).collect()}
+    assert found == {5: "m0"}  # the second label names 50 rows equally well
+    plan = B.match_labels(B.label_cells(cells), rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct(entry" not in plan
