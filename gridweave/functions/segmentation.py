@@ -51,12 +51,11 @@ def overlap_slices(text: Column, limit: int = fixed.SEGMENT_CHARS, overlap: int
     return _pieces(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(limit))))
 
 
+FOLD_RUN = 512
+
+
 def pack_sentences(parts: Column, limit: int = fixed.SEGMENT_CHARS) -> Column:
     """Sentences joined by a space as long as they fit into `limit`; one longer than that stays whole."""
-    start = F.struct(
-        string_array([]).alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("size")
-    )
-
     def step(acc: Column, sentence: Column) -> Column:
         full = acc["open"].isNotNull() & (acc["size"] + F.length(sentence) + 1 > limit)
         return F.struct(
@@ -67,10 +66,20 @@ def pack_sentences(parts: Column, limit: int = fixed.SEGMENT_CHARS) -> Column:
             F.when(full, F.length(sentence)).otherwise(acc["size"] + F.length(sentence) + 1).alias("size"),
         )
 
+    # Appending copies the array, so chunks are gathered in runs of FOLD_RUN sentences, and the runs are joined
+    # at the end: the work grows with the text and not with its square.
+    def run(acc: Column, i: Column) -> Column:
+        return let(
+            F.aggregate(F.slice(parts, i * FOLD_RUN + 1, F.lit(FOLD_RUN)), F.struct(string_array([]).alias("done"), acc["open"].alias("open"), acc["size"].alias("size")), step),
+            lambda part: F.struct(F.array_append(acc["runs"], part["done"]).alias("runs"), part["open"].alias("open"), part["size"].alias("size")),
+        )
+
     def finish(acc: Column) -> Column:
-        return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+        return F.concat(F.flatten(acc["runs"]), F.when(acc["open"].isNull(), string_array([])).otherwise(F.array(acc["open"])))
 
-    return F.aggregate(parts, start, step, finish)
+    runs = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / FOLD_RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+    begun = F.struct(F.array().cast("array<array<string>>").alias("runs"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("size"))
+    return F.aggregate(runs, begun, run, finish)
 
 
 def chunk_block(

@@ -62,23 +62,25 @@ def segment_kind(content: Column, second: Column, summary: Column) -> Column:
 def line_sections(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Lines with the section they belong to: a short line without sentence marks opens a section.
 
-    The section is carried forward inside the row of the document by a fold over its lines.
+    The lines are cut at the headings: each slice from one heading to the next has one section, so the work
+    grows with the number of lines. Null and empty texts have no lines.
     """
-    lines = S.text_lines(F.col(text))
     marks = "".join(fixed.HEADING_PUNCTUATION)
 
     def is_heading(line: Column) -> Column:
         return (F.length(line) <= fixed.HEADING_MAX_CHARS) & (F.length(F.translate(line, marks, "")) == F.length(line))
 
-    start = F.expr("struct(cast(null as string) AS section, cast(array() as array<string>) AS sections)")
+    cut = documents.select(key, S.text_lines(F.col(text)).alias("__lines"))
+    places = F.filter(F.transform("__lines", lambda line, i: F.when(is_heading(line), i)), lambda i: i.isNotNull())
+    placed = cut.withColumn("__heads", places)
+    n = F.size("__lines")
 
-    def step(acc: Column, line: Column) -> Column:
-        section = F.when(is_heading(line), line).otherwise(acc["section"])
-        return F.struct(section.alias("section"), F.array_append(acc["sections"], section).alias("sections"))
+    def stretch(at: Column, k: Column) -> Column:
+        until = F.coalesce(F.get("__heads", k + 1), n)
+        return F.array_repeat(F.get("__lines", at), until - at)
 
-    folded = documents.select(key, lines.alias("__lines")).select(
-        key, "__lines", F.aggregate("__lines", start, step, lambda acc: acc["sections"]).alias("__sections")
-    )
+    before = F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get("__heads", F.lit(0)), n))
+    folded = placed.select(key, "__lines", F.concat(before, F.flatten(F.transform("__heads", stretch))).alias("__sections"))
     pairs = F.arrays_zip(F.col("__lines").alias("line"), F.col("__sections").alias("section"))
     return folded.select(key, F.posexplode_outer(pairs).alias("line_idx", "p")).where("line_idx IS NOT NULL").select(key, "line_idx", "p.line", "p.section")
 

@@ -1,10 +1,11 @@
-"""Streams: document upsert into a snapshot table, running topic counts, runs that went stale."""
+"""Streams: document upsert into snapshot tables, running topic counts, runs that went stale."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +36,91 @@ def upsert_stream(incoming: DataFrame, snapshots: str, checkpoint: str, keys: Se
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# --- a snapshot in buckets --------------------------------------------------------------------
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose list of buckets is complete, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/buckets")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    done = [n for n in names if re.fullmatch("v[0-9]+", n) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/buckets/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def _bucket_list(spark: SparkSession, root: str, version: int | None) -> dict[int, int]:
+    """The version in which each bucket was written last: one entry per bucket at most."""
+    return {} if version is None else {r["bucket"]: r["version"] for r in spark.read.parquet(f"{root}/buckets/v{version}").collect()}
+
+
+def merge_buckets(batch: DataFrame, version: int, root: str, keys: Sequence[str], order: str, buckets: int = 64) -> None:
+    """Merge a batch into a snapshot in buckets of the keys: only buckets with a key of the batch are read and written.
+
+    The newest row of a key by `order` wins; `position` keeps the order of its first row. Rows go to
+    `data/v<version>`, then the list of buckets is written to `buckets/v<version>`; its completion commits the
+    version. A version that is merged again starts from the one before it and gives the same result. Null keys
+    count as empty text. The number of buckets of a snapshot stays as it began.
+    """
+    spark = batch.sparkSession
+    earlier = [v for v in _versions(spark, root) if v < version]
+    known = _bucket_list(spark, root, earlier[-1] if earlier else None)
+    filled = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    columns = [c for c in batch.columns if c != "position"]
+    bucket = F.pmod(F.xxhash64(*filled), F.lit(buckets)).cast("int")
+    arrived = batch.select(*columns, F.col(order).alias("position")).persist()
+    try:
+        touched = sorted(r[0] for r in arrived.select(bucket.alias("bucket")).distinct().collect())
+        if not touched:
+            return
+        old = [f"{root}/data/v{known[b]}/bucket={b}" for b in touched if b in known]
+        both = arrived.unionByName(spark.read.schema(arrived.schema).parquet(*old)) if old else arrived
+        named = [f.alias(f"__{k}") for f, k in zip(filled, keys, strict=True)]
+        newest = both.groupBy(*named).agg(F.max_by(F.struct(*columns), order).alias("__row"), F.min("position").alias("position")).select("__row.*", "position")
+        newest.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/data/v{version}")
+    finally:
+        arrived.unpersist()
+    listed = {**known, **dict.fromkeys(touched, version)}
+    spark.createDataFrame(sorted(listed.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/buckets/v{version}")
+
+
+def read_buckets(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest committed snapshot, or that of a version."""
+    versions = _versions(spark, root)
+    if not versions:
+        raise ValueError("the snapshot has no committed version")
+    listed = _bucket_list(spark, root, versions[-1] if version is None else version)
+    return spark.read.parquet(*[f"{root}/data/v{v}/bucket={b}" for b, v in sorted(listed.items())])
+
+
+def upsert_buckets(incoming: DataFrame, root: str, checkpoint: str, keys: Sequence[str], order: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the newest row per key of a stream in a snapshot in buckets (see `merge_buckets`)."""
+    merge = lambda batch, version: merge_buckets(batch, version, root, keys, order, buckets)
+    return incoming.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- exact running coverage -------------------------------------------------------------------
+
+
+def document_topics(documents: DataFrame, rules: RuleSet) -> DataFrame:
+    """Running number of segments per company, topic and document. The state is one number per such row, spread over all tasks."""
+    segments = with_segments(documents).select("company", "doc_id", F.explode_outer("segments").alias("text")).where("text IS NOT NULL")
+    topics = S.labels_found("lower(text)", {t.topic: t.keywords for t in rules.topics})
+    hits = segments.select("company", "doc_id", F.explode_outer(topics).alias("topic")).where("topic IS NOT NULL")
+    return hits.groupBy("company", "topic", "doc_id").agg(F.count(F.lit(1)).alias("evidence"))
+
+
+def coverage_stream(documents: DataFrame, rules: RuleSet, root: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the counts of `document_topics` in a snapshot in buckets; a batch rewrites the buckets of its documents only."""
+    return upsert_buckets(document_topics(documents, rules), root, checkpoint, ["company", "topic", "doc_id"], "evidence", buckets)
+
+
+def running_coverage(counts: DataFrame) -> DataFrame:
+    """Exact documents and segments per company and topic from the counts per document: a document that came in several batches counts once."""
+    return counts.groupBy("company", "topic").agg(F.sum("evidence").alias("evidence"), F.count(F.lit(1)).alias("documents"))
+
+
 def topic_counts(documents: DataFrame, rules: RuleSet) -> DataFrame:
     """Running number of segments and (approximate) documents per company and topic, for update or complete mode.
 
