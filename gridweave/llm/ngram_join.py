@@ -157,11 +157,12 @@ def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot:
         for part in _slices(batch):
             sets = shingle_sets(part.column("text").to_pylist(), words)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            marks = [hashlib.sha1(t.encode()).digest() for t in part.column("text").to_pylist()]
             firsts = [prefix(s, hot, 0, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = np.cumsum([0, *map(len, firsts)])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "prefix"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "text_sha1", "prefix"],
             )
 
 
@@ -209,7 +210,7 @@ def _near_size(a: str, b: str, percent: int):
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable over links) of each document.
+    """doc_id, n_shingles and component_id (the least doc_id reachable over links) of each document, with checksums of its set and text.
 
     Two documents link when the sets of their word n-grams are at least `percent` similar (Jaccard). Null
     text is empty; texts without words link with nothing. A row without doc_id cannot name a component: its
@@ -218,7 +219,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     hot = frequent_tokens(rows, words)
-    summary = settle(rows.mapInArrow(partial(_summaries, words=words, percent=percent, hot=hot), "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>"))
+    summary = settle(rows.mapInArrow(partial(_summaries, words=words, percent=percent, hot=hot), "doc_id bigint, n_shingles bigint, digest binary, text_sha1 binary, prefix array<bigint>"))
     named = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
     entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
@@ -255,18 +256,25 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     final = components(edges.unionByName(more))
 
     classes = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    result = summary.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    result = summary.select("doc_id", "n_shingles", "digest", "text_sha1").join(classes, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return result.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return result.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "digest", "text_sha1")
 
 
-def keep_one_of_each(docs: DataFrame, linked: DataFrame, key: str = "doc_id") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, linked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that name their component: one document of each group stays, the one with the least doc_id.
 
-    Rows without doc_id stay. Where a doc_id is repeated, one of its rows stays; only then are whole rows
-    grouped, as that sorts the texts.
+    Rows without doc_id stay. Rows that repeat a doc_id are decided one by one, by their texts: a text that
+    resembles nothing stays, whatever the other texts of its doc_id do. Of rows with one doc_id and one set the
+    least by all columns stays. Texts of one doc_id are not compared with each other.
     """
-    kept = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.join(kept.hint("shuffle_hash"), key, "left_semi")
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count() > 0
-    return (rows.dropDuplicates([key]) if repeated else rows).unionByName(docs.where(F.col(key).isNull()))
+    named = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key), F.col("digest").alias("__digest"), F.col("text_sha1").alias("__mark"))
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    without = docs.where(F.col(key).isNull())
+    if repeated.limit(1).count() == 0:
+        return docs.join(named.select(key).distinct().hint("shuffle_hash"), key, "left_semi").unionByName(without)
+    repeated = settle(repeated)
+    once = named.join(repeated, key, "left_anti").select(key).distinct()
+    again = docs.join(repeated, key, "left_semi").withColumn("__mark", F.unhex(F.sha1(whole_text(text))))
+    chosen = again.join(named.distinct(), [key, "__mark"]).groupBy(key, "__digest").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row")).select("__row.*")
+    return docs.join(once.hint("shuffle_hash"), key, "left_semi").unionByName(chosen).unionByName(without)

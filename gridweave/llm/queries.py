@@ -77,7 +77,7 @@ def op2_bilstm_crf(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.add()
 def op8_prefix_orders_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are at least 85 % similar."""
-    return ngram_join.link_documents(documents(spark, folder), words=4, percent=85)
+    return ngram_join.link_documents(documents(spark, folder), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 @CATALOG.add()

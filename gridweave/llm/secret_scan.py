@@ -34,11 +34,12 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA"),
     Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
 )
+# A scheme has 32 characters at most: an open end would try every start of a long run up to its end.
 MORE_RULES = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY"),
     Rule("forge", "gh[opsur]_[A-Za-z0-9]+", 0, 40, "gh[opsur]_"),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40, "eyJ"),
-    Rule("url", "[a-z][a-z0-9+.-]*://[^\\x20\\x09-\\x0D/:@]+:([^\\x20\\x09-\\x0D/@]+)@", 1, 4, "://"),
+    Rule("url", "[a-z][a-z0-9+.-]{0,31}://[^\\x20\\x09-\\x0D/:@]+:([^\\x20\\x09-\\x0D/@]+)@", 1, 4, "://"),
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"

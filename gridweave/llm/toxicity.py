@@ -42,6 +42,7 @@ AS_LETTER, AS_SIGN, REPEATED, DOUBLED, SET_APART = 1.0, 8.0, 1.0, 2.0, 0.5
 # U+00DF to U+00FF; what is left is one symbol.
 ALPHABET = 27 + 33 + 1
 CACHE_WORDS = 200_000
+SPACED_LETTERS = 12
 
 
 def symbol(char: str) -> int:
@@ -112,10 +113,14 @@ def lattice(word: str, halve: bool = True) -> list[list[tuple[str, float]]]:
 
 
 def restore(word: str, model: np.ndarray, halve: bool = True) -> str:
-    """The likeliest original of a word: the cheapest path through its lattice, each state two symbols of context."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest original of a word: the cheapest path through its lattice, each state two symbols of context.
+
+    Of paths of equal cost the one found first stays. Paths are chains of readings, so a word of any length
+    takes time in proportion to it.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(word, halve):
-        best: dict[tuple[int, int], tuple[float, str]] = {}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in states.items():
             for letters, channel in readings:
                 x, y, total = a, b, cost + channel
@@ -124,10 +129,15 @@ def restore(word: str, model: np.ndarray, halve: bool = True) -> str:
                     total += float(model[x, y, s])
                     x, y = y, s
                 held = best.get((x, y))
-                if held is None or total < held[0] or (total == held[0] and path + letters < held[1]):
-                    best[(x, y)] = (total, path + letters)
+                if held is None or total < held[0]:
+                    best[(x, y)] = (total, (path, letters))
         states = best
-    return min((cost + float(model[a, b, 0]), path) for (a, b), (cost, path) in states.items())[1]
+    path = min(((cost + float(model[a, b, 0]), (a, b), path) for (a, b), (cost, path) in states.items()), key=lambda f: f[:2])[2]
+    parts: list[str] = []
+    while path is not None:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def clean(text: str) -> str:
@@ -151,8 +161,12 @@ def readings_of(token: str, model: np.ndarray) -> tuple[str, ...]:
 
 
 def spaced_words(text: str) -> list[str]:
-    """Letters set apart by single spaces, joined, from each of them on."""
-    return [joined[i:] for run in SPACED.findall(text) for joined in [run.replace(" ", "")] for i in range(len(joined) - 2)]
+    """Letters set apart by single spaces, joined: from each of them on, SPACED_LETTERS of them at most.
+
+    Features of a word reach over eight letters, so a longer piece would add nothing but its own name; a run of
+    any length gives work in proportion to it.
+    """
+    return [joined[i : i + SPACED_LETTERS] for run in SPACED.findall(text) for joined in [run.replace(" ", "")] for i in range(len(joined) - 2)]
 
 
 def features_of(word: str) -> list[str]:

@@ -200,6 +200,52 @@ def test_ngram_join_with_repeated_and_missing_keys(docs):
     assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) == sorted({k for k, _ in TEXTS if k not in (None, 7)}) and sum(r["doc_id"] is None for r in kept) == 2
 
 
+def test_one_doc_id_with_two_texts_loses_neither(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a, "s"), (7, b, "s"), (3, a, "s"), (9, b + " more", "s"), (5, b, "t"), (5, b, "s")]
+    for take in (rows[:3], rows):
+        df = spark.createDataFrame(take, "doc_id bigint, text string, source string")
+        kept = {tuple(r) for r in ngram_join.keep_one_of_each(df, ngram_join.link_documents(df)).collect()}
+        assert kept == ({(3, a, "s"), (7, b, "s")} if take is not rows else {(3, a, "s"), (5, b, "s")})
+
+
+def test_restored_words_are_the_cheapest_of_all_paths():
+    rng = random.Random(12)
+    model = -np.log(np.random.default_rng(3).dirichlet(np.ones(toxicity.ALPHABET), (toxicity.ALPHABET,) * 2)).astype(np.float32)
+
+    def cost(path):
+        a = b = 0
+        total = sum(c for _, c in path)
+        for letter in "".join(r for r, _ in path):
+            s = toxicity.symbol(letter)
+            total += float(model[a, b, s])
+            a, b = b, s
+        return total + float(model[a, b, 0])
+
+    for _ in range(120):
+        word = "".join(rng.choice("ab1!@$0e.-ss") for _ in range(rng.randrange(1, 7)))
+        for halve in (True, False):
+            every = [[]]
+            for readings in toxicity.lattice(word, halve):
+                every = [p + [r] for p in every for r in readings]
+            got = toxicity.restore(word, model, halve)
+            assert abs(min(map(cost, every)) - min(cost(p) for p in every if "".join(r for r, _ in p) == got)) < 1e-3
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    import time
+
+    model = np.ones((toxicity.ALPHABET,) * 3, np.float32)
+    scorer = toxicity.Scorer(model, {"=bad": 1.0}, 0.0)
+    began = time.time()
+    toxicity._scores(["0 1 1 0 " * 2500 + "x", "9f" * 50_000], scorer, {})
+    assert time.time() - began < 60
+    df = spark.createDataFrame([(1, "see http://x.y/z " + "a" * 1_000_000), (2, "https://user:secretvalue1@host/")], "doc_id bigint, text string")
+    began = time.time()
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.secret_digest(df).collect()}
+    assert time.time() - began < 60 and "url:" in spans[2]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 199)]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
