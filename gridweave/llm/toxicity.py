@@ -35,6 +35,8 @@ SPACED = re.compile(r"(?<![^\s])[^\s](?: [^\s]){2,}(?![^\s])")
 ENDS = re.compile(r"^[\W_]+(?=[@$!|+(<€£][^\W_])|^[^\w@$!|+(<€£]+|^[\W_]+(?![^\W_])|[\W_]+$")
 PLAIN = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(.)\1")
+LONG_RUN = re.compile(r"(.)\1\1")
+SIGN_LETTERS = frozenset(c for c in SIGNS if c.isalpha())
 # Costs (negative logarithms) of the channel: a sign read as a letter or left alone, a letter repeated, letters set apart.
 AS_LETTER, AS_SIGN, REPEATED, DOUBLED, SET_APART = 1.0, 8.0, 1.0, 2.0, 0.5
 
@@ -155,8 +157,12 @@ def readings_of(token: str, model: np.ndarray) -> tuple[str, ...]:
     core = ENDS.sub("", token)
     if not core:
         return ()
-    if PLAIN.fullmatch(core) and not RUN.search(core) and core.isascii():
-        return (core,)
+    if PLAIN.fullmatch(core) and (core.isascii() or SIGN_LETTERS.isdisjoint(core)):
+        # Every letter has one reading: a lattice without runs has one path, and one with pairs only has two readings for pairs alone.
+        if not RUN.search(core):
+            return (core,)
+        if not LONG_RUN.search(core):
+            return tuple(dict.fromkeys((core, restore(core, model))))
     return tuple(dict.fromkeys((core, restore(core, model), restore(core, model, halve=False))))
 
 

@@ -232,6 +232,17 @@ def test_restored_words_are_the_cheapest_of_all_paths():
             assert abs(min(map(cost, every)) - min(cost(p) for p in every if "".join(r for r, _ in p) == got)) < 1e-3
 
 
+def test_plain_words_are_read_as_if_decoded():
+    model = -np.log(np.random.default_rng(5).dirichlet(np.ones(toxicity.ALPHABET), (toxicity.ALPHABET,) * 2)).astype(np.float32)
+    rng = random.Random(6)
+    for _ in range(1500):
+        word = "".join(rng.choice("abeéßüñøœs") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 7)))
+        core = toxicity.ENDS.sub("", word)
+        want = tuple(dict.fromkeys((core, toxicity.restore(core, model), toxicity.restore(core, model, halve=False)))) if core else ()
+        got = toxicity.readings_of(word, model)
+        assert got == want, word
+
+
 def test_long_runs_take_time_in_proportion(spark):
     import time
 
