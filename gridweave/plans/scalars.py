@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as S
@@ -257,15 +259,28 @@ def register(catalog: Catalog) -> None:
         mime = F.when(F.col("page_id") % 16 == 7, "application/msword").when(F.col("page_id") % 16 == 15, "application/ld+json")
         return table(spark, folder, "pages", "page_id").select("page_id", S.document_type(name, mime).alias("doc_type"))
 
-    def page_text_sql(html: str) -> str:
-        nodes = f"array_to_string(list_filter(list_transform(regexp_split_to_array({html}, '(?s)<!--.*?-->|<!?/?[a-zA-Z][^>]*>'), lambda n: {Q.strip('n')}), lambda n: n <> ''), ' ')"
-        for name, char in files.ENTITIES.items():
-            nodes = f"replace({nodes}, '&{name};', {Q.quote(char)})"
-        return f"replace({nodes}, '&amp;', '&')"
+    # The same rules for an engine without look-around: tags end outside quoted values, script and style bodies stand as
+    # they are, references are those of the HTML standard (names from the standard library's table).
+    tag_rest = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?>"""
+    raw = "|".join(rf"<{n}(?:[\s/]{tag_rest}|>)(.*?)(?:</{n}(?:[\s/]{tag_rest}|>)|\z)" for n in ("script", "style"))
+    between = Q.quote(rf"(?is){raw}|<!--.*?(?:-->|\z)|<[!?][^>]*>|</?[a-z]{tag_rest}|</[^a-z>][^>]*>")
+    names = "MAP([" + ", ".join(Q.quote(n) for n in html5) + "], [" + ", ".join(Q.quote(c) for c in html5.values()) + "])"
+    code = "CASE WHEN lower(substr(r, 2, 1)) = 'x' THEN CAST('0x' || regexp_extract(r, '^#[xX]0*([0-9a-fA-F]{1,7})', 1) AS BIGINT) ELSE CAST(regexp_extract(r, '^#0*([0-9]{1,7})', 1) AS BIGINT) END"
+    numbered = f"list_transform([{code}], lambda c: CASE WHEN c BETWEEN 128 AND 159 THEN substr({Q.quote(files.WINDOWS_1252)}, c - 127, 1) WHEN c BETWEEN 1 AND 8 OR c IN (11, 127) OR c BETWEEN 14 AND 31 THEN '' ELSE chr(CAST(c AS INTEGER)) END)[1]"
+    begins = f"regexp_extract(r, {Q.quote(files.OPEN_NAMES)}, 1)"
+    refers = f"CASE WHEN r[1] = '#' THEN {numbered} ELSE coalesce(m[r], CASE WHEN {begins} <> '' THEN m[{begins}] || substr(r, length({begins}) + 1) END, '&' || r) END"
+    reference = Q.quote("&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)")
+    referred = f"list_reduce(list_prepend('', flatten(list_transform(range(1, len(gaps) + 1), lambda i: [gaps[i], coalesce(said[i], '')]))), lambda x, y: x || y)"
 
     @catalog.add(
         f"""
-        WITH t AS (SELECT page_id, {page_text_sql("html")} AS t, {page_text_sql("regexp_replace(html, '(?is)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '' || chr(92) || '1' || chr(92) || '2', 'g')")} AS shown FROM pages)
+        WITH names AS MATERIALIZED (SELECT {names} AS m),
+        cut AS (SELECT page_id, regexp_split_to_array(coalesce(html, ''), {between}) AS nodes, regexp_extract_all(coalesce(html, ''), {between}, 1) AS b1, regexp_extract_all(coalesce(html, ''), {between}, 2) AS b2 FROM pages),
+        n AS (SELECT page_id, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS i FROM cut),
+        g AS (SELECT page_id, i, regexp_split_to_array(node, {reference}) AS gaps, list_transform(regexp_extract_all(node, {reference}, 1), lambda r: {refers}) AS said FROM n, names),
+        text AS (SELECT page_id, 2 * i AS i, {Q.strip(referred)} AS x, false AS body FROM g
+          UNION ALL SELECT page_id, 2 * i + 1, {Q.strip('b')}, true FROM (SELECT page_id, coalesce(x, '') || coalesce(y, '') AS b, i FROM (SELECT page_id, unnest(b1) AS x, unnest(b2) AS y, generate_subscripts(b1, 1) AS i FROM cut))),
+        t AS (SELECT page_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> ''), '') AS t, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (x <> '' AND NOT body), '') AS shown FROM text GROUP BY page_id)
         SELECT page_id, length(t) AS chars, md5(t) AS text_md5, length(shown) AS shown_chars, md5(shown) AS shown_md5, {Q.clip('shown', 220)} AS excerpt FROM t"""
     )
     def html_text(spark, folder):

@@ -68,8 +68,6 @@ def text_files(files: DataFrame) -> DataFrame:
 
 # --- HTML -------------------------------------------------------------------------------------
 
-# Named characters that the SQL of `html_text` turns; `html_to_text` turns all that the standard names.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€"}
 # The rest of a tag up to its end, which is not inside a quoted value; runs are possessive, so a tag costs its length.
 TAG_END = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=\s*+[^\s>"'][^\s>]*+|=)*+>"""
 # What parts text nodes: script and style with their bodies (group 2), comments, declarations, tags.
