@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as S
 from gridweave.operators import grid as G
+from gridweave.operators import metrics as M
 from gridweave.operators import roles as R
 from gridweave.plans import sql as Q
 from gridweave.plans.catalog import Catalog, table
@@ -184,6 +185,40 @@ def register(catalog: Catalog) -> None:
         """Filled cells and numbers per column; which columns are numeric."""
         return G.numeric_columns(G.records(*parts(spark, folder)))
 
+    low_header = f"lower({Q.strip('header')})"
+    alias = "coalesce(CASE " + " ".join(f"WHEN {low_header} IN ({', '.join(Q.quote(w.lower()) for w in [name, *words])}) THEN {Q.quote(name)}" for name, words in fixed.CALC_HEADER_ALIASES.items()) + f" END, {low_header})"
+    by_alias = " OR ".join(f"({alias} = {Q.quote(name)} AND {Q.contains_any('lower(request)', words)})" for name, words in fixed.CALC_HEADER_ALIASES.items())
+    named_columns = f"""cols AS (SELECT doc_id, sheet, col_idx, header, count(value_num) > 0 AS is_numeric FROM data GROUP BY doc_id, sheet, col_idx, header),
+        asked AS (SELECT request_id, c.*, ({low_header} <> '' AND contains(lower(request), {low_header})) OR {by_alias} AS named FROM cols c JOIN requests USING (doc_id))"""
+
+    def sheet_columns(spark, folder):
+        return G.numeric_columns(G.records(*parts(spark, folder))).select("doc_id", "sheet", "col_idx", "header", "is_numeric")
+
+    @catalog.add(f"WITH {CELLS}, {HEADER}, {NAMES} SELECT DISTINCT header, {alias} AS canonical FROM data")
+    def header_alias(spark, folder):
+        """Canonical name of every header."""
+        return sheet_columns(spark, folder).select("header").distinct().select("header", S.header_alias("header").alias("canonical"))
+
+    @catalog.add(
+        f"""WITH {CELLS}, {HEADER}, {NAMES}, {ROLE_REQUESTS}, {named_columns},
+        n AS (SELECT *, bool_or(named) OVER (PARTITION BY request_id, doc_id, sheet) AS one_named FROM asked WHERE is_numeric)
+        SELECT request_id, doc_id, sheet, col_idx, header FROM n WHERE named OR NOT one_named"""
+    )
+    def column_select(spark, folder):
+        """Numeric columns that each request names, or all of them."""
+        return M.select_columns(sheet_columns(spark, folder), role_requests(spark, folder).select("request_id", "doc_id", "request")).select("request_id", "doc_id", "sheet", "col_idx", "header")
+
+    @catalog.add(
+        f"""WITH {CELLS}, {HEADER}, {NAMES}, {ROLE_REQUESTS.replace("requests AS", "plain_requests AS")},
+        requests AS (SELECT request_id, doc_id, request || CASE WHEN request_id % 3 = 0 THEN ' 按单位' WHEN request_id % 3 = 1 THEN ' 按编号和单位' ELSE '' END AS request FROM plain_requests), {named_columns}
+        SELECT request_id, doc_id, sheet, arg_min(header, col_idx) AS group_col FROM asked WHERE NOT is_numeric AND named GROUP BY request_id, doc_id, sheet"""
+    )
+    def group_column(spark, folder):
+        """The column that each request wants groups of; some name one header, some two, some none."""
+        more = F.when(F.col("request_id") % 3 == 0, " 按单位").when(F.col("request_id") % 3 == 1, " 按编号和单位").otherwise("")
+        requests = role_requests(spark, folder).select("request_id", "doc_id", F.concat("request", more).alias("request"))
+        return M.group_column(sheet_columns(spark, folder), requests)
+
     @catalog.add(f"WITH {CELLS}, {HEADER}, {ANCHORS} SELECT doc_id, sheet, row_idx, col_idx, cell, label, metric FROM anchors")
     def label_anchors(spark, folder):
         """Metric labels of every sheet."""
