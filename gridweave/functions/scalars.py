@@ -507,19 +507,22 @@ def number_pattern(compat: bool = False) -> str:
 
 def number_units(text: Column | str, compat: bool = False) -> Column:
     """All numbers with their units as array<struct<value, unit>>, in text order."""
-    # One search: a unit has none of the characters of a number or of white space, so it is what stays when they are
-    # trimmed from the left.
-    number_chars, space = F.lit("0123456789., \t\n\x0b\f\r"), F.lit(" \t\n\x0b\f\r")
-
-    def parts(match: Column) -> Column:
-        unit = F.lower(F.ltrim(match, number_chars))
-        number = F.rtrim(F.substr(match, F.lit(1), F.length(match) - F.length(unit)), space)
-        return F.struct(
-            F.replace(number, F.lit(","), F.lit("")).cast("double").alias("value"),
-            F.when(unit.isin(fixed.COUNT_UNIT_WORDS), F.lit(fixed.COUNT_UNIT)).otherwise(unit).alias("unit"),
-        )
-
-    return F.transform(F.regexp_extract_all(_col(text), F.lit(number_pattern(compat)), 0), parts)
+    pattern = number_pattern(compat)
+    source = _col(text)
+    values = F.regexp_extract_all(source, F.lit(pattern), 1)
+    units = F.regexp_extract_all(source, F.lit(pattern), 2)
+
+    def unit_name(unit: Column) -> Column:
+        lowered = F.lower(unit)
+        return F.when(lowered.isin(fixed.COUNT_UNIT_WORDS), F.lit(fixed.COUNT_UNIT)).otherwise(lowered)
+
+    return F.transform(
+        F.arrays_zip(values.alias("number"), units.alias("unit")),
+        lambda pair: F.struct(
+            F.replace(pair["number"], F.lit(","), F.lit("")).cast("double").alias("value"),
+            unit_name(pair["unit"]).alias("unit"),
+        ),
+    )
 
 
 # --- merging, verdicts, pages -----------------------------------------------------------------
