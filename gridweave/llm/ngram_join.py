@@ -1,19 +1,22 @@
 """Similarity join of documents on word n-grams, by prefix filters under several token orders.
 
 Two sets as similar as asked share a token among the first few of each, under any order of all tokens. So
-candidates come from an index of such prefixes under one order, and must pass the same filter under further
-orders before their sets are compared. Frequent tokens come last in every order, which keeps shared
-passages out of the prefixes.
-
-Copies are one node. Nodes with a common prefix token are first compared along a chain, by size; what that
-links is one component, and then only nodes of different components are compared, each pair that passes
-the filters. So a group of near copies costs its size and not its square, and no link between components
-is lost.
+a pair has to share such a token under every order before its sets are compared. Frequent tokens come last
+in every order, which keeps shared passages out of the prefixes.
+
+Copies are one node. Nodes that share a prefix token under the first order meet in the bucket of that
+token's leader, the node with the least checksum; as most tokens of a group of near copies have the same
+leader, a node goes to few buckets. A bucket is dealt in blocks of bounded size. A block finds its
+candidates in an index of the prefixes, asks the further orders, compares the sets of what is left, skips
+what is connected already, and returns a forest of links. Where a bucket of several blocks still has
+several components, its blocks then meet two by two. No row is made per pair, and no link between
+components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,9 +32,10 @@ from gridweave.llm.common import settle, whole_text
 from gridweave.llm.components import components
 
 SLICE_CHARS = 1 << 20
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 HOT_TOKENS = 1 << 22
-SENT_IDS = 1 << 18
+BLOCK_WEIGHT = 1 << 21
+NODE_WEIGHT = 64
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -69,7 +73,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     lo, chars = 0, 0
-    lengths = pc.utf8_length(batch.column("text" if "text" in batch.schema.names else "text_a")).to_pylist()
+    lengths = pc.utf8_length(batch.column("text")).to_pylist()
     for i, n in enumerate(lengths):
         chars += n
         if chars >= SLICE_CHARS or i == len(lengths) - 1:
@@ -128,9 +132,10 @@ def frequent_tokens(docs: DataFrame, words: int, text: str = "text") -> np.ndarr
     Counts cover all documents. A block of documents sends each distinct token once, in two bytes mostly.
     """
     rows = docs.select(whole_text(text).alias("text"))
-    total = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
-    least = max(2, -(-int(total[1] or 0) // (6 * HOT_TOKENS)))  # six characters a word: about a token each
-    buckets = max(16, min(1 << 24, int(total[1] or 0) >> 18))
+    blank = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
+    total = rows.agg(F.sum(F.length("text")), F.sum(blank + 1)).first()
+    least = max(2, -(-int(total[1] or 0) // HOT_TOKENS))  # a text has at most one token more than blanks
+    buckets = max(16, min(1 << 24, int(total[0] or 0) >> 21))
     packed = rows.mapInArrow(partial(_token_counts, words=words, buckets=buckets), "bucket bigint, tokens binary, counts binary")
     found = packed.groupBy("bucket").applyInPandas(partial(_frequent, least=least, buckets=buckets), "hot binary").collect()
     return np.sort(np.frombuffer(b"".join(bytes(r["hot"]) for r in found), np.uint32))
@@ -153,107 +158,204 @@ def prefix(tokens: np.ndarray, hot: np.ndarray, order: int, percent: int) -> np.
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, arrays)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
+
     for batch in batches:
         for part in _slices(batch):
-            sets = shingle_sets(part.column("text").to_pylist(), words)
+            texts = part.column("text").to_pylist()
+            sets = shingle_sets(texts, words)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            marks = [hashlib.sha1(t.encode()).digest() for t in part.column("text").to_pylist()]
-            firsts = [prefix(s, hot, 0, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = np.cumsum([0, *map(len, firsts)])
+            keys = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
+            marks = [hashlib.sha1(t.encode()).digest() for t in texts]
+            firsts = [prefix(s, hot, 0, percent) if len(s) else s for s in sets]
+            late = [_is_hot(f, hot) for f in firsts]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "text_sha1", "prefix"],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), lists([f[~h] for f, h in zip(firsts, late, strict=True)]), lists([f[h] for f, h in zip(firsts, late, strict=True)])],
+                names=["doc_id", "n_shingles", "digest", "key", "text_sha1", "prefix", "hot_prefix"],
             )
 
 
-def _shared(many: list[np.ndarray], one: np.ndarray) -> np.ndarray:
-    """How many tokens each of the sets shares with one sorted set; no set is empty."""
-    if not many:
-        return np.zeros(0, np.int64)
-    flat = np.concatenate(many)
-    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
-    starts = np.cumsum([0, *map(len, many[:-1])])
-    return np.add.reduceat(hit.astype(np.int64), starts)
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The sets of wanted texts. A row whose text is another one's with the same doc_id has not the digest asked for, and goes."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for part in _slices(batch):
+            sets = shingle_sets(part.column("text").to_pylist(), words)
+            rows = []
+            for name, key, digest, tokens in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("digest").to_pylist(), sets, strict=True):
+                if digest not in seen and hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() == digest:
+                    seen.add(digest)
+                    rows.append((key, name, digest, tokens.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "name", "digest", "tokens"])
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other; no range is empty."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix token under every order and then are as similar as asked.
+def block_links(sets: list[np.ndarray], labels: np.ndarray, percent: int, hot: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of linked pairs that connect all that links in a block: a forest, given what `labels` says is connected.
 
-    A row whose text is another one's with the same doc_id does not have the digest of its node, and goes.
+    Candidates share a prefix token under every order; only then are their sets compared. No set is empty.
     """
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], labels[order].copy()
+    start = np.concatenate([[0], np.cumsum(size)])
+    distinct, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    late = _is_hot(distinct, hot)[codes]
+    first = size - -(-percent * size // 100) + 1
+    first_start = np.concatenate([[0], np.cumsum(first)])
+    inside = np.arange(len(codes)) - start[owner] < first[owner]
+    prefixes = [codes[np.lexsort((_mix(distinct * np.uint64(seed))[codes], late, owner))[inside]] for seed in ORDERS]
+    by_code = np.argsort(prefixes[0], kind="stable")
+    has = np.repeat(np.arange(len(size)), first)[by_code]
+    count = np.bincount(prefixes[0], minlength=len(distinct))
+    code_start = np.cumsum(count) - count
+    last = np.searchsorted(size, 100 * size // percent, side="right")
+    met, mark, links = np.zeros(len(size), bool), np.zeros(len(distinct), bool), []
+
+    def hits(mine: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        mark[mine] = True
+        found = np.add.reduceat(mark[flat[_ranges(starts, lengths)]], np.cumsum(lengths) - lengths, dtype=np.int64)
+        mark[mine] = False
+        return found
+
+    for i in range(len(size)):
+        own = prefixes[0][first_start[i] : first_start[i + 1]]
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        met[has[_ranges(code_start[own], count[own])]] = True
+        at = i + 1 + np.flatnonzero(met[i + 1 : last[i]])
+        met[:] = False
+        at = at[label[at] != label[i]]
+        for p in prefixes[1:]:
+            if len(at):
+                at = at[hits(p[first_start[i] : first_start[i + 1]], p, first_start[at], first[at]) > 0]
+        if not len(at):
+            continue
+        shared = hits(codes[start[i] : start[i + 1]], codes, start[at], size[at])
+        at = at[100 * shared >= percent * (size[i] + size[at] - shared)]
+        joined, which = np.unique(label[at], return_index=True)
+        if len(joined):
+            links.extend((int(order[i]), int(order[j])) for j in at[which])
+            label[np.isin(label, joined)] = label[i]
+    return links
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int, hot: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each block of rows sorted by block; small blocks are taken together."""
+
+    def flush(held: dict) -> pa.RecordBatch:
+        rows = list(held.values())
+        _, labels = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
+        found = block_links([np.frombuffer(r[2], np.uint64) for r in rows], labels, percent, hot) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([rows[pair[side]][0] for pair in found], pa.int64()) for side in (0, 1)], names=["u", "v"])
+
+    held, weight, now = {}, 0, None
     for batch in batches:
-        for part in _slices(batch):
-            columns = [(part.column(f"text_{c}").to_pylist(), part.column(f"digest_{c}").to_pylist()) for c in "ab"]
-            distinct = list(dict.fromkeys([*columns[0][0], *columns[1][0]]))
-            sets = dict(zip(distinct, shingle_sets(distinct, words), strict=True))
-            digests = {t: hashlib.blake2b(s.tobytes(), digest_size=16).digest() for t, s in sets.items()}
-            firsts = [{t: np.sort(prefix(s, hot, k, percent)) for t, s in sets.items()} for k in range(1, len(ORDERS))]
-            same: dict[str, list[int]] = {}
-            for i, (a, digest_a, b, digest_b) in enumerate(zip(*columns[0], *columns[1], strict=True)):
-                if digests[a] == digest_a and digests[b] == digest_b:
-                    same.setdefault(b, []).append(i)
-            linked = np.zeros(part.num_rows, bool)
-            for b, rows in same.items():  # all pairs of one text at once
-                at = np.array(rows)
-                for first in firsts:
-                    at = at[_shared([first[columns[0][0][i]] for i in at], first[b]) > 0]
-                shared = _shared([sets[columns[0][0][i]] for i in at], sets[b])
-                both = np.array([len(sets[columns[0][0][i]]) for i in at], np.int64) + len(sets[b])
-                linked[at[100 * shared >= percent * (both - shared)]] = True
-            kept = part.filter(pa.array(linked, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["u", "v"])
-
-
-def _near_size(a: str, b: str, percent: int):
-    a, b = (f"cast({c} as bigint)" for c in (a, b))
-    return (100 * F.expr(a) >= percent * F.expr(b)) & (100 * F.expr(b) >= percent * F.expr(a))
-
-
-def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+        columns = [batch.column(c).to_pylist() for c in ("leader", "block", "digest", "name", "label", "tokens")]
+        for leader, part, digest, name, label, tokens in zip(*columns, strict=True):
+            if (leader, part) != now and weight >= block:
+                yield flush(held)
+                held, weight = {}, 0
+            now = (leader, part)
+            if digest not in held:
+                held[digest] = (name, label, tokens)
+                weight += len(tokens) // 8 + NODE_WEIGHT
+    if held:
+        yield flush(held)
+
+
+def _buckets(nodes: DataFrame, percent: int) -> DataFrame:
+    """leader, key and n of the nodes that share a prefix token, and near sizes, with the leader or under its name.
+
+    A token that is not frequent has few nodes by its count: sorted by size they fall into runs between which
+    no two are near. A frequent one is aggregated per band of sizes and joined back, so that it can be split;
+    a node takes its own band and the next, as sizes that are near lie in one or two neighbouring bands.
+    """
+    by_size = Window.partitionBy("token").orderBy("n")
+    run = Window.partitionBy("token", "run")
+    few = nodes.select("key", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    few = few.withColumn("gap", (F.lit(percent) * F.col("n").cast("bigint") > F.lit(100) * F.lag("n").over(by_size).cast("bigint")).cast("int"))
+    few = few.withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(by_size))
+    few = few.withColumn("df", F.count(F.lit(1)).over(run)).withColumn("leader", F.min("key").over(run)).where("df > 1")
+    width = max(math.log(100 / percent), 1e-9) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width))
+    many = nodes.where(F.size("hot_prefix") > 0).select("key", F.col("n_shingles").cast("int").alias("n"), F.explode(F.array(band, band + 1)).alias("band"), "hot_prefix")
+    many = many.select("key", "n", "band", F.explode("hot_prefix").alias("token"))
+    leaders = many.groupBy("token", "band").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("leader")).where("df > 1").drop("df")
+    met = few.select("leader", "key", "n").unionByName(many.join(leaders, ["token", "band"]).select("leader", "key", "n"))
+    return met.groupBy("leader", "key").agg(F.max("n").alias("n"))
+
+
+def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """leader, block, key and label of pairs of blocks of those leaders whose nodes are still in several components.
+
+    A component of more than half a block has blocks of its own, which do not meet each other; smaller ones
+    are dealt to common blocks. Blocks without near sizes do not meet.
+    """
+    half = max(1, block // 2)
+    weighed = members.groupBy("leader", "label").agg(F.sum(F.col("n") + NODE_WEIGHT).alias("w")).withColumn("own", F.ceil(F.col("w") / half))
+    small = F.when(F.col("own") == 1, F.col("w"))
+    pool = weighed.groupBy("leader").agg(F.count(F.lit(1)).alias("labels"), F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(small), F.lit(0)) / half)).alias("pool")).where("labels > 1").drop("labels")
+    common = F.col("own") == 1
+    dealt = members.join(weighed.drop("w").join(pool, "leader"), ["leader", "label"])
+    dealt = dealt.withColumn("of", F.when(common, F.lit(None).cast("bigint")).otherwise(F.col("label")))
+    dealt = dealt.withColumn("part", F.when(common, F.pmod(F.xxhash64("label"), "pool")).otherwise(F.pmod(F.xxhash64("key"), "own")))
+    dealt = settle(dealt.withColumn("mark", F.xxhash64(F.coalesce("of", F.lit(0)), F.col("of").isNull(), "part")).select("leader", "key", "label", "n", "of", "mark"))
+    blocks = dealt.groupBy("leader", "mark").agg(F.max("of").alias("of"), F.min("n").alias("low"), F.max("n").alias("high"))
+    x, y = (blocks.select("leader", *[F.col(c).alias(f"{c}_{side}") for c in ("mark", "of", "low", "high")]) for side in "xy")
+    near = (F.lit(100) * F.col("high_x").cast("bigint") >= F.lit(percent) * F.col("low_y").cast("bigint")) & (F.lit(100) * F.col("high_y").cast("bigint") >= F.lit(percent) * F.col("low_x").cast("bigint"))
+    apart = F.coalesce(F.col("of_x") != F.col("of_y"), F.lit(True))
+    pairs = x.join(y, "leader").where((F.col("mark_x") <= F.col("mark_y")) & near & apart).withColumn("block", F.xxhash64("mark_x", "mark_y"))
+    sides = pairs.select("leader", "block", F.explode(F.array_distinct(F.array("mark_x", "mark_y"))).alias("mark"))
+    return dealt.select("leader", "key", "label", "mark").join(sides, ["leader", "mark"]).select("leader", "block", "key", "label")
+
+
+def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK_WEIGHT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over links) of each document, with checksums of its set and text.
 
     Two documents link when the sets of their word n-grams are at least `percent` similar (Jaccard). Null
     text is empty; texts without words link with nothing. A row without doc_id cannot name a component: its
     component is null and it links nothing. Rows that repeat a doc_id stand for one node if their texts have
-    one set; texts that differ share the node's name and links. An empty table gives an empty result.
+    one set; texts that differ share the node's name and links. An empty table gives an empty result. `block` bounds what
+    one task compares at a time, in tokens; the result does not depend on it.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     hot = frequent_tokens(rows, words)
-    summary = settle(rows.mapInArrow(partial(_summaries, words=words, percent=percent, hot=hot), "doc_id bigint, n_shingles bigint, digest binary, text_sha1 binary, prefix array<bigint>"))
+    summary = settle(rows.mapInArrow(partial(_summaries, words=words, percent=percent, hot=hot), "doc_id bigint, n_shingles bigint, digest binary, key bigint, text_sha1 binary, prefix array<bigint>, hot_prefix array<bigint>"))
     named = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    by_token = Window.partitionBy("token")
-    index = settle(entries.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df"))
-    digests = nodes.select("node", "digest")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of settled pairs (a, b)."""
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        # Only texts of the pairs need to move; their ids are sent around where they are few, else met by a shuffle.
-        few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
-        texts = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        named_pairs = pairs.join(digests.select(F.col("node").alias("a"), F.col("digest").alias("digest_a")), "a").join(digests.select(F.col("node").alias("b"), F.col("digest").alias("digest_b")), "b")
-        both = named_pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "digest_a", "digest_b", "text_a", "text_b").mapInArrow(partial(_verify, words=words, percent=percent, hot=hot), "u bigint, v bigint")
-
-    # First the chain of each token: neighbours in size, in an order that differs from token to token.
-    along = by_token.orderBy("n", F.xxhash64("token", "node"), "node")
-    chain = index.select("n", "node", *[F.lead(c).over(along).alias(f"next_{c}") for c in ("n", "node")]).where(F.col("next_node").isNotNull() & _near_size("n", "next_n", percent))
-    near = settle(chain.select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).where("a <> b").distinct())
-    edges = settle(verified(near))
-    grouped = components(edges)
-
-    # Then all pairs between components.
-    placed = settle(index.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    met = placed.select("token", "component").distinct()
-    apart = met.withColumnRenamed("component", "ca").join(met.withColumnRenamed("component", "cb"), "token").where("ca < cb")
-    left = placed.select("token", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
-    right = placed.select("token", F.col("component").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = apart.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(_near_size("na", "nb", percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    more = verified(settle(pairs.join(near, ["a", "b"], "left_anti")))
-    final = components(edges.unionByName(more))
+    prefixes = named.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "prefix", "hot_prefix")])
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("key").alias("key"))
+    members = settle(_buckets(prefixes, percent))
+    wanted = nodes.join(members.select("key").distinct(), "key").select(F.col("node").alias("doc_id"), "digest", "key")
+    sets = rows.join(wanted, "doc_id").mapInArrow(partial(_sets, words=words), "key bigint, name bigint, digest binary, tokens binary")
+    sets = settle(sets.dropDuplicates(["key", "digest"]))
+
+    def linked(dealt: DataFrame, label: str) -> DataFrame:
+        """Links inside the blocks of (leader, block, key), each block in one task."""
+        whole = dealt.join(sets, "key").select("leader", "block", "digest", "name", F.col(label).alias("label"), "tokens")
+        return whole.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(partial(_links, percent=percent, hot=hot, block=block), "u bigint, v bigint")
+
+    weights = members.groupBy("leader").agg(F.ceil(F.sum(F.col("n") + NODE_WEIGHT) / block).alias("blocks"))
+    dealt = members.join(weights, "leader")
+    one = F.array(F.pmod(F.xxhash64("leader", "key"), "blocks"))
+    everywhere = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)  # the leader, near to all, goes to each block
+    edges = settle(linked(dealt.select("leader", "key", F.explode(F.when(F.col("leader") == F.col("key"), everywhere).otherwise(one)).alias("block")), "name"))
+    final = components(edges)
+    large = dealt.where("blocks > 1").select("leader", "key", "n")
+    if large.limit(1).count():
+        placed = large.join(nodes.select("key", "node"), "key").join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        more = settle(linked(_block_pairs(placed.select("leader", "key", "label", "n"), percent, block), "label"))
+        final = components(edges.unionByName(more))
 
     classes = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     result = summary.select("doc_id", "n_shingles", "digest", "text_sha1").join(classes, "digest", "left")

@@ -172,7 +172,7 @@ def _groups(texts, words, percent):
     return {k: (len(sets[k]), h) for k, h in home.items()}
 
 
-def test_ngram_join_equals_brute_force(spark):
+def test_ngram_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(300)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -185,14 +185,41 @@ def test_ngram_join_equals_brute_force(spark):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             texts.append((len(texts), " ".join(words)))
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in texts], "doc_id bigint, text string, node string, n int")
-    for words, percent in ((4, 85), (5, 80)):
-        linked = ngram_join.link_documents(df, words, percent)
+    for words, percent, block, hot in ((4, 85, 1500, 1000), (4, 85, 700, 1 << 22), (3, 60, 1 << 21, 1000), (5, 80, 1 << 21, 1 << 22)):
+        monkeypatch.setattr(ngram_join, "HOT_TOKENS", hot)
+        linked = ngram_join.link_documents(df, words, percent, block=block)
         want = _groups(texts, words, percent)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in linked.collect()} == want
     kept = ngram_join.keep_one_of_each(df, linked)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({h for _, h in want.values()})
 
 
+def test_links_of_a_block_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for percent in (50, 80, 100):
+        base = [pool[rng.permutation(400)[: rng.integers(1, 60)]] for _ in range(6)]
+        sets = []
+        for _ in range(80):
+            s = base[rng.integers(6)]
+            sets.append(np.unique(np.concatenate([s[rng.random(len(s)) > 0.06], pool[rng.integers(0, 400, rng.integers(1, 4))]])))
+        labels = np.arange(80)
+        labels[7] = 3
+        hot = np.unique((pool[:100] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        found = ngram_join.block_links(sets, labels, percent, hot)
+        true = {(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert {(max(p), min(p)) for p in found} <= true and len(found) < 80
+
+        def home(pairs):
+            at = list(range(80))
+            for i, j in [*pairs, (7, 3)]:
+                x, y = sorted((at[i], at[j]))
+                at = [x if h == y else h for h in at]
+            return at
+
+        assert home(found) == home(true)
+
+
 def test_ngram_join_with_repeated_and_missing_keys(docs):
     got = {(r["doc_id"], r["component_id"]) for r in ngram_join.link_documents(docs).collect()}
     assert got == {(k, 6 if k == 7 else k) for k, _ in TEXTS}
