@@ -183,13 +183,14 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for part in _slices(batch):
             sets = shingle_sets(part.column("text").to_pylist(), words)
-            rows = []
-            for name, key, digest, tokens in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("digest").to_pylist(), sets, strict=True):
+            kept = []
+            for i, (digest, tokens) in enumerate(zip(part.column("digest").to_pylist(), sets, strict=True)):
                 if digest not in seen and hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() == digest:
                     seen.add(digest)
-                    rows.append((key, name, digest, tokens.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "name", "digest", "tokens"])
+                    kept.append(i)
+            mine = part.take(pa.array(kept, pa.int64()))
+            columns = [mine.column(c) for c in ("doc_id", "digest", "places")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=["name", "digest", "places", "tokens"])
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -336,25 +337,28 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     prefixes = named.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "prefix", "hot_prefix")])
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("key").alias("key"))
     members = settle(_buckets(prefixes, percent))
-    wanted = nodes.join(members.select("key").distinct(), "key").select(F.col("node").alias("doc_id"), "digest", "key")
-    sets = rows.join(wanted, "doc_id").mapInArrow(partial(_sets, words=words), "key bigint, name bigint, digest binary, tokens binary")
-    sets = settle(sets.dropDuplicates(["key", "digest"]))
 
-    def linked(dealt: DataFrame, label: str) -> DataFrame:
-        """Links inside the blocks of (leader, block, key), each block in one task."""
-        whole = dealt.join(sets, "key").select("leader", "block", "digest", "name", F.col(label).alias("label"), "tokens")
-        return whole.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(partial(_links, percent=percent, hot=hot, block=block), "u bigint, v bigint")
+    def linked(dealt: DataFrame) -> DataFrame:
+        """Links inside the blocks of (leader, block, key, label), each block in one task. A set goes from its text straight to its blocks."""
+        places = dealt.groupBy("key").agg(F.collect_list(F.struct("leader", "block", "label")).alias("places"))  # as many as prefix tokens at most
+        wanted = nodes.join(places, "key").select(F.col("node").alias("doc_id"), "digest", "places")
+        schema = "name bigint, digest binary, places array<struct<leader: bigint, block: bigint, label: bigint>>, tokens binary"
+        sets = rows.join(wanted, "doc_id").mapInArrow(partial(_sets, words=words), schema)
+        placed = sets.select(F.explode("places").alias("at"), "digest", "name", "tokens")
+        placed = placed.select("at.leader", "at.block", "digest", "name", F.coalesce("at.label", "name").alias("label"), "tokens")
+        return placed.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(partial(_links, percent=percent, hot=hot, block=block), "u bigint, v bigint")
 
     weights = members.groupBy("leader").agg(F.ceil(F.sum(F.col("n") + NODE_WEIGHT) / block).alias("blocks"))
     dealt = members.join(weights, "leader")
     one = F.array(F.pmod(F.xxhash64("leader", "key"), "blocks"))
     everywhere = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)  # the leader, near to all, goes to each block
-    edges = settle(linked(dealt.select("leader", "key", F.explode(F.when(F.col("leader") == F.col("key"), everywhere).otherwise(one)).alias("block")), "name"))
+    once = dealt.select("leader", "key", F.explode(F.when(F.col("leader") == F.col("key"), everywhere).otherwise(one)).alias("block"))
+    edges = settle(linked(once.withColumn("label", F.lit(None).cast("bigint"))))
     final = components(edges)
     large = dealt.where("blocks > 1").select("leader", "key", "n")
     if large.limit(1).count():
         placed = large.join(nodes.select("key", "node"), "key").join(final, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        more = settle(linked(_block_pairs(placed.select("leader", "key", "label", "n"), percent, block), "label"))
+        more = settle(linked(_block_pairs(placed.select("leader", "key", "label", "n"), percent, block)))
         final = components(edges.unionByName(more))
 
     classes = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
