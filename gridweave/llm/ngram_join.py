@@ -111,7 +111,13 @@ def _token_counts(batches: Iterator[pa.RecordBatch], words: int, buckets: int) -
         yield from flush(held)
 
 
-def _frequent(bucket: pd.DataFrame, least: int, buckets: int) -> pd.DataFrame:
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Eight levels per doubling of a count: at most 512, and each count up to 8 has its own."""
+    return np.floor(8 * np.log2(counts)).astype(np.int64)
+
+
+def _frequent(bucket: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Tokens of a bucket that two documents or more have, packed per level of their count."""
     width = -(-(1 << 32) // buckets)
     tokens, counts = [], []
     for packed, many in zip(bucket["tokens"], bucket["counts"], strict=True):
@@ -122,23 +128,31 @@ def _frequent(bucket: pd.DataFrame, least: int, buckets: int) -> pd.DataFrame:
         tokens.append(t)
         counts.append(n)
     distinct, back = np.unique(np.concatenate(tokens), return_inverse=True)
-    hot = distinct[np.bincount(back, np.concatenate(counts)) >= least] + int(bucket["bucket"].iloc[0]) * width
-    return pd.DataFrame({"hot": [hot.astype(np.uint32).tobytes()]})
+    count = np.bincount(back, np.concatenate(counts))
+    hot = (distinct[count > 1] + int(bucket["bucket"].iloc[0]) * width).astype(np.uint32)
+    level = _level(count[count > 1])
+    found = [(int(v), hot[level == v]) for v in np.unique(level)]
+    return pd.DataFrame({"level": [v for v, _ in found], "n": [len(t) for _, t in found], "hot": [t.tobytes() for _, t in found]})
 
 
 def frequent_tokens(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
-    """Low halves of the tokens that so many documents have that there can be HOT_TOKENS of them at most.
+    """Low halves of the most frequent tokens of two documents or more, HOT_TOKENS of them at most.
 
-    Counts cover all documents. A block of documents sends each distinct token once, in two bytes mostly.
+    Counts cover all documents. A block of documents sends each distinct token once, in two bytes mostly. The
+    least count is the lowest level of counts at which the tokens counted fit the bound.
     """
     rows = docs.select(whole_text(text).alias("text"))
-    blank = F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    total = rows.agg(F.sum(F.length("text")), F.sum(blank + 1)).first()
-    least = max(2, -(-int(total[1] or 0) // HOT_TOKENS))  # a text has at most one token more than blanks
-    buckets = max(16, min(1 << 24, int(total[0] or 0) >> 21))
+    total = rows.agg(F.sum(F.length("text"))).first()[0]
+    buckets = max(16, min(1 << 24, int(total or 0) >> 21))
     packed = rows.mapInArrow(partial(_token_counts, words=words, buckets=buckets), "bucket bigint, tokens binary, counts binary")
-    found = packed.groupBy("bucket").applyInPandas(partial(_frequent, least=least, buckets=buckets), "hot binary").collect()
-    return np.sort(np.frombuffer(b"".join(bytes(r["hot"]) for r in found), np.uint32))
+    found = settle(packed.groupBy("bucket").applyInPandas(partial(_frequent, buckets=buckets), "level bigint, n bigint, hot binary"))
+    room, least = HOT_TOKENS, 1 << 62
+    for level, n in sorted(found.groupBy("level").agg(F.sum("n")).collect(), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, level
+    chosen = found.where(F.col("level") >= least).select("hot").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r["hot"]) for r in chosen), np.uint32))
 
 
 def _is_hot(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
