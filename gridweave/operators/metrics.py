@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as S
+from gridweave.operators import exact
 from gridweave.operators.scaling import attach
 from gridweave.rules import fixed
 
@@ -157,14 +158,26 @@ def group_label(group: Column | str) -> Column:
     return F.coalesce(F.nullif(column.cast("string"), F.lit("")), F.lit(fixed.EMPTY_GROUP))
 
 
+def time_column(headers: Sequence[str]) -> str | None:
+    """The first header that is a month or a year, by itself or by an alias."""
+    alias_of = {w.lower(): c for c, ws in fixed.CALC_HEADER_ALIASES.items() for w in [c, *ws]}
+    return next((h for h in headers if alias_of.get(h.strip().lower(), h.strip().lower()) in fixed.TIME_HEADERS), None)
+
+
 def trend(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], order: str, time: Column, operations: Sequence[str]
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], order: str, time: Column | None, operations: Sequence[str]
 ) -> DataFrame:
     """Change of the last value against the one before, in row order, over rows that have a time value.
 
+    Where `time` is None the time column is the first month or year header of `df` that is no value column; a sheet
+    without one has no trend.
+
     yoy and mom are the same number. Only the last two rows per key and column leave the map side:
     `row_number <= 2` becomes a group limit below the shuffle.
     """
+    if time is None:
+        header = time_column([c for c in df.columns if c not in values])
+        time = F.lit(None).cast("string") if header is None else F.col(f"`{header}`")
     long = (
         df.where(time.isNotNull() & (time.cast("string") != ""))
         .select(
@@ -230,6 +243,12 @@ def value_metrics(values: DataFrame, keys: Sequence[str], scale: int | None = No
     )
 
 
+def reproducible_metrics(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`value_metrics` for values of any size and number of decimals, with the same bits for any order and partitions of rows."""
+    table = exact.sums(values, keys, "value", least={"min": "value", "row_start": "row_idx"}, most={"max": "value", "row_end": "row_idx"})
+    return table.where("count > 0").withColumn("avg", F.col("sum") / F.col("count"))
+
+
 def cross_sheet(values: DataFrame, scale: int | None = None) -> DataFrame:
     """Metrics per document and column over all its sheets, share of the document total, sheet names.
 

@@ -47,6 +47,22 @@ def register(catalog: Catalog) -> None:
         """Sum, average, extremes, count and row range of every number column of every sheet."""
         return M.value_metrics(line_values(table(spark, folder, "lineitem")), ["doc_id", "sheet", "column"], scale=SCALE)
 
+    # Thirds of prices use all 53 bits. In units of 2^-44 they are whole numbers, which 64 bits add up exactly.
+    @catalog.add(
+        """
+        WITH t AS (SELECT l_orderkey AS "key", l_linenumber AS row_idx, l_extendedprice / 3 * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS v FROM lineitem),
+        a AS (SELECT "key", CAST(CAST(sum(CAST(v * 17592186044416.0 AS BIGINT)) AS BIGINT) AS DOUBLE) / 17592186044416.0 AS s, count(v) AS n, min(v) AS mn, max(v) AS mx,
+                     min(row_idx) AS row_start, max(row_idx) AS row_end FROM t GROUP BY "key")
+        SELECT "key", s AS "sum", n AS "count", mn AS "min", mx AS "max", row_start, row_end, s / n AS "avg" FROM a"""
+    )
+    def calc_reproducible(spark, folder):
+        """Signed thirds of prices per order: sums by exponent bins, equal for any order of rows."""
+        sign = F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+        values = table(spark, folder, "lineitem").select(
+            F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("row_idx"), (F.col("l_extendedprice") / 3 * sign).alias("value")
+        )
+        return M.reproducible_metrics(values, ["key"])
+
     def grouped(spark, folder):
         df = table(spark, folder, "lineitem")
         keyed = df.select(
@@ -115,14 +131,14 @@ def register(catalog: Catalog) -> None:
         FROM p, (VALUES ('yoy'), ('mom')) AS x(metric) WHERE prev IS NOT NULL AND prev <> 0"""
     )
     def calc_trend(spark, folder):
-        """Change of the last month against the month before, per sheet and column."""
+        """Change of the last month against the month before, per sheet and column; the month is found by its header."""
         months = (
             table(spark, folder, "orders")
-            .groupBy(F.col("o_orderpriority").alias("sheet"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+            .groupBy(F.col("o_orderpriority").alias("sheet"), F.date_format("o_orderdate", "yyyy-MM").alias("月份"))
             .agg(S.exact_sum("o_totalprice", SCALE).alias("total"), F.count(F.lit(1)).cast("double").alias("orders"))
         )
         values = {"total": F.col("total"), "orders": F.col("orders")}
-        return M.trend(months, ["sheet"], values, "month", F.col("month"), ["yoy", "mom"])
+        return M.trend(months, ["sheet"], values, "月份", None, ["yoy", "mom"])
 
     @catalog.add(
         f"""
