@@ -1,13 +1,17 @@
-"""Streams: document upsert into snapshot tables, running topic counts, runs that went stale."""
+"""Streams: document upsert into snapshot tables, running topic counts, runs that went stale, jobs to resume."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridweave.functions import scalars as S
 from gridweave.operators.sets import upsert
@@ -141,3 +145,82 @@ def stale_sessions(events: DataFrame, key: str, time: str, timeout: str, latenes
     return watched.groupBy(F.col(key), F.session_window(F.col(time), timeout).alias("run")).agg(
         F.max(time).alias("last_seen"), F.count(F.lit(1)).alias("events")
     ).select(key, F.col("run.start").alias("run_start"), F.col("run.end").alias("run_end"), "last_seen", "events")
+
+
+# --- jobs to resume, by timers ----------------------------------------------------------------
+
+WATCH_STATE = "status string, seen bigint, rank bigint, shown string"
+WATCH_LOG = "job_id string, state string, seen bigint, rank bigint"
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in `spark.checkpoint.dir`; without that setting only a local master has one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
+        base = context._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["seen", "rank"], kind="stable").drop_duplicates("job_id", keep="last")
+
+
+def _newest_of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The newest row per job of each Arrow batch, so that a job with very many heartbeats sends one row per batch."""
+    for frame in frames:
+        yield _newest(frame)
+
+
+def _watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    """One job: its newest status and heartbeat are the state; what changes about it goes to the log."""
+    status, seen, rank, shown = state.get if state.exists else (None, None, None, "active")
+    if not state.hasTimedOut:
+        for frame in frames:
+            last = _newest(frame).iloc[0]
+            if seen is None or (last["seen"], last["rank"]) >= (seen, rank):
+                status, seen, rank = last["status"], int(last["seen"]), int(last["rank"])
+    now, due = state.getCurrentWatermarkMs(), seen // 1000 + timeout_ms
+    running = status == "running"
+    verdict = "queued" if status == "queued" else "overdue" if running and (state.hasTimedOut or due < now) else "active"
+    state.update((status, seen, rank, verdict))
+    if running and verdict == "active":
+        state.setTimeoutTimestamp(max(due, now + 1))
+    if verdict != shown:
+        yield pd.DataFrame({"job_id": [key[0]], "state": [verdict], "seen": [seen], "rank": [rank]})
+
+
+def watch_jobs(events: DataFrame, timeout_ms: int, lateness: str) -> DataFrame:
+    """A log of jobs that become `queued`, `overdue` (running, and no heartbeat for the timeout) or `active` again, while the stream runs.
+
+    `events`: job_id, status, time (timestamp), rank (a number that orders rows of one time). The newest row of
+    a job counts. Each running job has an event-time timer at its last heartbeat plus the timeout, and a
+    heartbeat moves it; it fires when the watermark (newest time less `lateness`) has passed it, so a job is overdue
+    by the clock of the data. Rows older than the watermark are late and are left out by Spark. Rows without a job
+    or a time are no heartbeat of anything and are left out. The state is one row per job. Log: job_id (text), state,
+    seen (microseconds), rank.
+    """
+    named = events.where("job_id IS NOT NULL AND time IS NOT NULL").select(
+        F.col("job_id").cast("string").alias("job_id"), F.coalesce("status", F.lit("")).alias("status"),
+        F.unix_micros(F.col("time").cast("timestamp")).alias("seen"), F.coalesce(F.col("rank"), F.lit(0)).cast("bigint").alias("rank"),
+    )
+    newest = named.mapInPandas(_newest_of_task, named.schema)
+    timed = newest.withColumn("time", F.timestamp_micros("seen")).withWatermark("time", lateness)
+    return timed.groupBy("job_id").applyInPandasWithState(
+        partial(_watch, timeout_ms=timeout_ms), WATCH_LOG, WATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def jobs_to_resume(log: DataFrame) -> DataFrame:
+    """job_id, state and seen of the jobs whose last entry in the log of `watch_jobs` is queued or overdue."""
+    order = F.struct("seen", "rank", (F.col("state") == "overdue").cast("int"))
+    last = log.groupBy("job_id").agg(F.max_by(F.struct("state", "seen"), order).alias("last")).select("job_id", "last.*")
+    return last.where("state <> 'active'").select("job_id", "state", F.timestamp_micros("seen").cast("timestamp_ntz").alias("seen"))
+
+
+def watch_into(events: DataFrame, path: str, checkpoint: str, timeout_ms: int, lateness: str) -> StreamingQuery:
+    """Append the log of `watch_jobs` to Parquet files; every row goes out once."""
+    log = watch_jobs(events, timeout_ms, lateness)
+    return log.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
