@@ -20,7 +20,7 @@ KEYWORDS = ["find", "the", "license", "apache", "and", "src1/docs"]
 def documents(spark, folder):
     """Documents with name, type, kinds and segments."""
     df = table(spark, folder, "documents", "doc_id").select(
-        "doc_id", F.col("doc_id").alias("doc_idx"), F.col("source").alias("company"), "text", F.concat("lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("doc_name"),
+        "doc_id", F.col("doc_id").alias("doc_idx"), F.col("source").alias("company"), "lang", "text", F.concat("lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("doc_name"),
         F.lit("text").alias("doc_type"),
     )
     return T.with_segments(df.withColumn("kinds", T.infer_kinds("doc_name", "doc_type", "text", kinds=DEMO_KINDS)))
@@ -55,6 +55,30 @@ def scored(spark, folder):
     return T.score_documents(documents(spark, folder), G.request_keywords(F.lit(REQUEST)))
 
 
+# Places of segments: four to a page in English documents, rows in the others, a sheet for every third, a section for every fifth.
+SECTION = "CASE WHEN seg_idx % 5 = 0 THEN 'License ' || company END"
+SHEET = "CASE WHEN seg_idx % 3 = 0 THEN lang WHEN seg_idx % 3 = 1 THEN '' END"
+PLACED_SCORES = (
+    SCORES.replace("' ' || s.text)", f"coalesce(' ' || {SECTION}, '') || coalesce(' ' || nullif({SHEET}, ''), '') || ' ' || s.text)")
+    .replace("seg_idx, s.text, lower(", "seg_idx, s.text, lang, lower(")
+    .replace("AS INTEGER)\n     +", f"AS INTEGER) + CASE WHEN lang = 'en' THEN 20 ELSE 30 END + CASE WHEN nullif({SHEET}, '') IS NOT NULL THEN 40 ELSE 0 END\n     +")
+)
+
+
+def placed(spark, folder):
+    """Documents whose segments have places."""
+    docs = documents(spark, folder)
+    english = F.col("lang") == "en"
+
+    def place(text, i):
+        return S.record(
+            section=F.when(i % 5 == 0, F.concat(F.lit("License "), "company")), sheet=F.when(i % 3 == 0, F.col("lang")).when(i % 3 == 1, ""),
+            page=F.when(english, F.floor(i / 4) + 1), row_start=F.when(~english | F.col("lang").isNull(), i * 10),
+        )
+
+    return docs.withColumn("places", F.transform("segments", place))
+
+
 def budget_sql(documents_kept: int, per_document: int, total: int) -> str:
     return f"""
       top AS (SELECT r.* FROM ranked r JOIN comp USING (company) WHERE doc_rank <= {documents_kept} AND (hits > 0 OR best = 0)),
@@ -140,6 +164,15 @@ def register(catalog: Catalog) -> None:
         long = scored(spark, folder).select("doc_id", F.explode_outer("scored").alias("s")).where("s IS NOT NULL")
         return long.select("doc_id", "s.seg_idx", "s.points", F.array_join("s.matched", ",").alias("matched"))
 
+    @catalog.add(
+        f"WITH {DOCS.replace('AS company, text,', 'AS company, lang, text,')}, {SEGMENTS}, {PLACED_SCORES} SELECT doc_id, seg_idx, points, array_to_string(matched, ',') AS matched FROM kept"
+    )
+    def segment_score_places(spark, folder):
+        """The same for segments with sections, sheets, pages and rows, which are searched and add to the score."""
+        scores = T.score_documents(placed(spark, folder), G.request_keywords(F.lit(REQUEST)))
+        long = scores.select("doc_id", F.explode_outer("scored").alias("s")).where("s IS NOT NULL")
+        return long.select("doc_id", "s.seg_idx", "s.points", F.array_join("s.matched", ",").alias("matched"))
+
     @catalog.add(f"WITH {DOCS}, {SEGMENTS}, {SCORES} SELECT doc_id, company, hits, points, segs AS segments_kept FROM doc_scores")
     def doc_rank(spark, folder):
         """Rank keys of every document for a request: keywords matched, best score."""

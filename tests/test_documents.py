@@ -189,3 +189,13 @@ def test_upsert_keeps_place(make):
     old = make([("a", None, 1), ("b", "s", 2)], "name string, source string, seq int")
     new = make([("a", "", 3), ("c", "s", 4)], "name string, source string, seq int")
     assert as_set(A.upsert(old, new, ["name", "source"], "seq"), "name", "seq", "position") == {("a", 3, 1), ("b", 2, 2), ("c", 4, 4)}
+
+
+def test_places_of_segments_are_searched_and_add_to_the_score(spark, make):
+    schema = "doc_name string, doc_type string, kinds array<string>, segments array<string>, places array<struct<section: string, sheet: string, page: int, row_start: int>>"
+    places = [("Water use", "S1", 3, None), (None, "", None, 7), None]
+    df = make([("d", "text", [], ["one", "two", "three", "four"], places)], schema)
+    got = {s["seg_idx"]: s["points"] for s in T.score_documents(df, S.string_array(["zzz"])).collect()[0]["scored"]}
+    assert got == {0: 180 + 20 + 40, 1: 172 + 30, 2: 164, 3: 156}
+    hit = T.score_documents(df, S.string_array(["water"])).collect()[0]["scored"]
+    assert [(s["seg_idx"], s["points"]) for s in hit] == [(0, 180 + 60 + 500)]
