@@ -63,7 +63,8 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, free))
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(p) <= 255 for p in m.groups() if len(p) < 4300) and max(map(len, m.groups())) < 4300:
+            # Leading zeros, however many, do not count; without them a part has three digits at most.
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (g.lstrip("0") for g in m.groups())):
                 found.append((1, m.start(), m.end()))
         for m in CARD.finditer(text):
             digits = re.sub("[ -]", "", m.group())
@@ -379,5 +380,10 @@ def private_digest(found: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        # The lambda has one parameter: Spark would fill a second one with the place in the array.
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

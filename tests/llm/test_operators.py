@@ -345,6 +345,21 @@ def test_private_base_spans_equal_the_patterns():
         assert sorted(private_data.base_spans(t)) == sorted(want)
 
 
+def test_private_digest_counts_each_kind(make):
+    zeros = "0" * 5000
+    rows = [
+        (1, "write to a.b@c.org"), (2, "x@y.de, z@y.de and 1.2.3.4"), (3, f"{zeros}1.2.3.{zeros}"), (4, "4111 1111 1111 1111 or +1 (222) 333-4444"),
+        (5, f"1.2.3.{zeros}256"), (6, None), (None, "q@r.st"),
+    ]
+    spans = {1: ["email:9:18"], 2: ["email:0:6", "email:8:14", "ip:19:26"], 3: ["ip:0:10006"], 4: ["card:0:19", "phone:23:40"], 5: [], 6: [], None: ["email:0:6"]}
+    docs = make(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in private_data.private_digest(private_data.find_private(docs, private_data.train_tagger(docs))).collect()}
+    for key, want in spans.items():
+        counts = [sum(s.startswith(f"{k}:") for s in want) for k in private_data.KINDS]
+        assert [got[key][f"n_{k}"] for k in private_data.KINDS] == counts
+        assert got[key]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     h = private_data.HIDDEN
