@@ -148,11 +148,14 @@ def find_keywords(
         )
 
     start = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("free"), F.col("__size").alias("size"))
-    begun = grams.join(words, "__gram").where(F.startswith(F.col("__window"), F.substring(F.lower(F.col(keyword)), 1, carried)))
-    whole = texts.select(key, lowered.alias("__text"))
-    long = begun.where(size > carried).join(whole, key).where(F.substring(F.col("__text"), F.col("__at") + 1, size) == F.lower(F.col(keyword))).drop("__text")
+    # Rows unnested from a few are underestimated; the hint keeps them from being broadcast.
+    begun = grams.hint("merge").join(words, "__gram").where(F.startswith(F.col("__window"), F.substring(F.lower(F.col(keyword)), 1, carried)))
+    whole = texts.select(F.col(key).alias("__key"), lowered.alias("__text"))
+    # Only places of long keywords meet the text; the others pass through, so positions are unnested once.
+    placed = begun.join(whole, (F.col(key) == F.col("__key")) & (size > carried), "left")
+    verified = (size <= carried) | (F.substring(F.col("__text"), F.col("__at") + 1, size) == F.lower(F.col(keyword)))
     return (
-        begun.where(size <= carried).unionByName(long)
+        placed.where(verified)
         .groupBy(key, *vocabulary.columns)
         .agg(F.sort_array(F.collect_list("__at")).alias("__all"), F.max(size).alias("__size"))
         .select(key, *vocabulary.columns, F.aggregate("__all", start, next_hit, lambda acc: acc["hits"]).alias("hits"))

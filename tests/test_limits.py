@@ -45,6 +45,14 @@ def test_long_keywords_are_found(make):
     assert {(r.id, r.keyword, r.hits) for r in found.where(F.length("keyword") > 64).collect()} == {(1, long, 2)}
 
 
+def test_positions_of_texts_are_never_broadcast(make):
+    texts = make([(1, "hot bolt hot bolt of"), (2, None), (None, "bolt")], "id int, text string")
+    found = scaling.find_keywords(texts, "text", make([("bolt",), ("hot bolt",), ("b" * 70,)], "keyword string"), "keyword", "id")
+    assert {(r.id, r.keyword, r.hits) for r in found.collect()} == {(1, "bolt", 2), (1, "hot bolt", 2), (None, "bolt", 1)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [__gram" in plan and "BroadcastHashJoin [__gram" not in plan and plan.count("posexplode") == 1
+
+
 def test_rules_of_any_size():
     words = tuple(f"word{i}" for i in range(3000))
     assert len(RuleSet({"p": "P"}, {"p": []}, (Topic("t", "T", "p", words),), (Kpi("k", "p", ("k",)),)).topics[0].keywords) == 3000
