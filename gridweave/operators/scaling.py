@@ -6,6 +6,7 @@ functions here give the same result with bounded tasks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +24,11 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "l
     return rows.join(facts, list(keys), how)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write narrow rows that several later steps read, with a reliable checkpoint in `spark.checkpoint.dir`.
+def _checkpoint_folder(df: DataFrame) -> str:
+    """The folder of `spark.checkpoint.dir`, or the one that is set on the context.
 
-    A folder set on the context is taken as it is. Without either a cluster gets an error, as a folder of one
-    machine would not outlive it; a local session takes its temporary folder.
+    Without either a cluster gets an error, as a folder of one machine would not outlive it; a local session
+    takes its temporary folder.
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -35,9 +36,25 @@ def settle(df: DataFrame) -> DataFrame:
         if not folder and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
         context.setCheckpointDir(folder or f"{context._jvm.java.lang.System.getProperty('java.io.tmpdir')}/gridweave-checkpoints")
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write narrow rows that several later steps read, with a reliable checkpoint in `spark.checkpoint.dir`."""
+    _checkpoint_folder(df)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write rows that several later steps read in part: by column and compressed, in the same folder as checkpoints.
+
+    Meant for rows that are aggregated or ranked afterwards; as they are compressed, the planner takes them for few.
+    """
+    folder = f"{_checkpoint_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def running_total(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], block: Column, value: Column, name: str
 ) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from gridweave.functions import scalars as S
 from gridweave.operators import grid as G
 from gridweave.operators import metrics as M
-from gridweave.operators import scaling
+from gridweave.operators import coverage, scaling
+from gridweave.plans.catalog import table
+from gridweave.plans.coverage import segments
 from gridweave.rules.sets import Kpi, RuleSet, Topic
 
 
@@ -64,3 +66,29 @@ def test_a_hot_key_is_joined_and_numbered_right(spark):
     assert scaling.attach(rows, facts, ["k"]).where("k = -1 AND n = 18000").count() == 18000
     numbered = scaling.number_rows(rows, ["k"], [F.col("id")], scaling.row_block("id", 500), "n")
     assert numbered.where("k = -1").agg(F.max("n"), F.count_distinct("n")).first()[:] == (18000, 18000)
+
+
+def test_spread_tables_are_not_put_together_by_their_bytes(spark):
+    folder = "/root/testdata/sf0.001"
+    assert table(spark, folder, "documents", "doc_id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_line_items_are_made_unique_without_a_second_shuffle(spark):
+    plan = segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2  # documents and line items, each dealt once
+
+
+def test_compact_facts_count_kpis_and_keep_the_samples(make):
+    rows = [("c", f"d{i}", i, f"n{i}", i % 3, "s", "l", kind, rule, None, topic, 1.0, "", f"x{i}") for i in range(50) for kind, rule, topic in (("kpi", "k", "t"), ("kpi", "k", None), ("topic", "t", "t"), ("pillar", "p", None))]
+    facts = make(rows, "company string, doc_id string, doc_idx int, doc_name string, seg_idx int, segment_id string, location string, kind string, rule string, pillar string, topic string, value double, unit string, excerpt string")
+    compact = coverage.compact_facts(facts)
+    assert {(r.topic, r.n) for r in compact.where("kind = 'kpi'").collect()} == {("t", 50), (None, 50)}
+    for form in (facts, compact):
+        assert [tuple(r) for r in coverage.topic_facts(form).collect()] == [("c", "t", 50, 50, 50, "x0", "l", "n0", "d0")]
+    matrix = make([("c", "t", 0, "T", "covered", "n0", "l", "x0")], "company string, topic string, rule_idx int, label string, status string, sample_document string, sample_location string, sample string")
+    numbered = coverage.evidence_links(matrix, coverage.kpi_facts(facts.withColumn("pillar", F.lit("p"))))
+    want = [("c", 101, 101, 0, 1, 100)]
+    assert [tuple(r) for r in coverage.link_stats(numbered).collect()] == want
+    assert [tuple(r) for r in coverage.link_stats(coverage.counted_links(matrix, compact)).collect()] == want
+    first = coverage.first_links(matrix, coverage.kpi_facts(facts.withColumn("pillar", F.lit("p"))), 2).collect()
+    assert sorted((r.link_id, r.document) for r in first) == [("link_1", "n0"), ("link_2", "n0")]
