@@ -27,7 +27,7 @@ def _values(rows) -> str:
 def header_pairs(spark, folder):
     """One pair of header lists per customer."""
     lists = F.array(*[S.string_array(h) for h in TARGET_HEADERS])
-    return table(spark, folder, "customer").select(
+    return table(spark, folder, "customer", "c_custkey").select(
         F.col("c_custkey").alias("pair_id"), S.string_array(SOURCE_HEADERS).alias("source_headers"),
         F.element_at(lists, (F.col("c_custkey") % 4 + 1).cast("int")).alias("target_headers"),
     )
