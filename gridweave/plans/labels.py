@@ -22,7 +22,7 @@ METRICS = ["sum", "avg", "max"]
 
 def part_cells(spark, folder):
     """Cells of the templates: a label per part in column 1, values beside some of them, a title on top."""
-    part = table(spark, folder, "part")
+    part = table(spark, folder, "part", "p_partkey")
     key, brand = F.col("p_partkey"), F.col("p_brand")
     text = (
         F.when(key % 6 == 0, F.concat(brand, F.lit("价格合计"))).when(key % 6 == 1, F.concat(brand, F.lit(" 尺寸 平均值"))).when(key % 6 == 2, "合计")
