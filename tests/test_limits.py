@@ -10,6 +10,7 @@ from gridweave.functions import scalars as S
 from gridweave.operators import grid as G
 from gridweave.operators import metrics as M
 from gridweave.operators import coverage, scaling
+from gridweave.plans import filling, labels, load
 from gridweave.plans.catalog import table
 from gridweave.plans.coverage import segments
 from gridweave.rules.sets import Kpi, RuleSet, Topic
@@ -92,3 +93,10 @@ def test_compact_facts_count_kpis_and_keep_the_samples(make):
     assert [tuple(r) for r in coverage.link_stats(coverage.counted_links(matrix, compact)).collect()] == want
     first = coverage.first_links(matrix, coverage.kpi_facts(facts.withColumn("pillar", F.lit("p"))), 2).collect()
     assert sorted((r.link_id, r.document) for r in first) == [("link_1", "n0"), ("link_2", "n0")]
+
+
+def test_work_on_small_tables_is_dealt(spark):
+    folder, parts = "/root/testdata/sf0.001", 4 * spark.sparkContext.defaultParallelism
+    assert filling.header_pairs(spark, folder).rdd.getNumPartitions() >= parts
+    assert labels.part_cells(spark, folder).rdd.getNumPartitions() >= parts
+    assert "hashpartitioning(p_partkey" in load().queries["grid_roundtrip"](spark, folder)._jdf.queryExecution().executedPlan().toString()
