@@ -100,3 +100,9 @@ def test_work_on_small_tables_is_dealt(spark):
     assert filling.header_pairs(spark, folder).rdd.getNumPartitions() >= parts
     assert labels.part_cells(spark, folder).rdd.getNumPartitions() >= parts
     assert "hashpartitioning(p_partkey" in load().queries["grid_roundtrip"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_cut_before_they_are_dealt(spark):
+    plan = load().queries["evidence_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.rindex("Exchange hashpartitioning(doc_id"):]
+    assert "regexp_replace" not in read and "split(" not in read
