@@ -98,6 +98,10 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             at += 256
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, path), path)
+
+
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of each whole text: doc_id, ids; no begin or end is added, special strings become their ids.
 
@@ -114,9 +118,20 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, path=path), "doc_id bigint, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`decode_ids` of `encode_documents` in one Python worker per task.
+
+    Two operators in a row would hold two workers per task, each with a vocabulary, and ids would go to the JVM
+    and back; idle workers stay with the executor and are used in turn by all that follows.
+    """
+    check_file(path)
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
+    return rows.mapInArrow(partial(_round_trip, path=path), "doc_id bigint, ids array<int>, decoded string")
+
+
 def codec_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the checksums of ids and decoded text."""
-    both = decode_ids(encode_documents(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -75,6 +75,16 @@ def test_codec_equals_the_library(docs):
     assert by_row(bpe_codec.codec_digest(docs, public.path("word_bpe_49k.json")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == listed(want)
 
 
+def test_codec_takes_one_python_worker_per_task(docs):
+    # Each further one would stay with the executor, and later stages would use all of them in turn.
+    plan = bpe_codec.codec_digest(docs, public.path("word_bpe_49k.json"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    path = public.path("word_bpe_49k.json")
+    apart = bpe_codec.decode_ids(bpe_codec.encode_documents(docs, path), path)
+    columns = ("doc_id", F.col("ids").cast("string").alias("ids"), "decoded")
+    assert sorted(map(str, bpe_codec.round_trip(docs, path).select(*columns).collect())) == sorted(map(str, apart.select(*columns).collect()))
+
+
 def test_long_and_short_words_merge_alike():
     merges = bpe.load(public.path("byte_bpe_50k.json"))
     rng = random.Random(2)
