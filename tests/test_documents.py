@@ -12,7 +12,7 @@ from gridweave.operators import coverage as C
 from gridweave.operators import sets as A
 from gridweave.operators import texts as T
 from gridweave.rules import fixed
-from gridweave.rules.sets import default_rules
+from gridweave.rules.sets import Kpi, RuleSet, Topic, default_rules
 from gridweave.sources import cells as X
 from gridweave.sources import files, sinks
 from gridweave.streaming import jobs
@@ -199,3 +199,18 @@ def test_places_of_segments_are_searched_and_add_to_the_score(spark, make):
     assert got == {0: 180 + 20 + 40, 1: 172 + 30, 2: 164, 3: 156}
     hit = T.score_documents(df, S.string_array(["water"])).collect()[0]["scored"]
     assert [(s["seg_idx"], s["points"]) for s in hit] == [(0, 180 + 60 + 500)]
+
+
+def test_counted_kpis_are_those_with_a_number_that_is_no_year(make):
+    texts = ["rate 5%", "rate 2020", "rate 2020 and 2021", "rate 2020, then 7 times", "rate 1,950 and 1899", "rate", "5%", "rate 2,100", "rate 2100.5", None, ""]
+    rows = [(i, "c", i, i, "d", 0, "s", "l", t) for i, t in enumerate(texts)]
+    segments = make(rows, "id long, company string, doc_id long, doc_idx long, doc_name string, seg_idx int, segment_id string, location string, text string").drop("id")
+    rules = RuleSet({"p": "P"}, {"p": ["rate"]}, (Topic("t", "T", "p", ("then",), (), ("rate",), 1),), (Kpi("m", "p", ("rate",), ("%",)), Kpi("m", "p", ("rat",), ()), Kpi("n", "p", ("then",), ())))
+    for compat in (False, True):
+        full = C.segment_facts(segments, rules, compat=compat)
+        told = [tuple(r) for r in full.select("doc_id", "kind", "rule", "pillar", "topic").collect()]
+        counted = C.segment_facts(segments, rules, compat=compat, values=False)
+        assert sorted(map(str, told)) == sorted(str(tuple(r)) for r in counted.select("doc_id", "kind", "rule", "pillar", "topic").collect())
+        plan = counted.where("kind = 'kpi'")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and "array_min" not in plan  # no unit and no best number is looked for
+    assert [r[0] for r in C.segment_facts(segments, rules, ["kpi"], values=False).where("rule = 'm'").orderBy("doc_id").select("doc_id").collect()] == [0, 3, 4, 8]
