@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import scalars as S
 from gridweave.operators import fill as L
+from gridweave.operators.scaling import store
 from gridweave.plans import sql as Q
 from gridweave.plans.catalog import Catalog, table
 
@@ -177,6 +178,11 @@ def candidate_audit(spark, folder):
     return L.write_candidates(actions(spark, folder), grid_cells(spark, folder), merged, layouts)
 
 
+def shared_audit(spark, folder, *columns: str):
+    """Columns of the audit for queries that read it several times: its joins run once, and not side by side in one task."""
+    return store(candidate_audit(spark, folder).select(*columns))
+
+
 def register(catalog: Catalog) -> None:
     @catalog.add(
         f"SELECT c_custkey AS pair_id, s AS source_header, t AS target_header, c AS target_col, score::DOUBLE AS score FROM customer JOIN (VALUES {_values(EXPECTED)}) AS e(v, s, t, c, score) ON c_custkey % 4 = v"
@@ -441,8 +447,10 @@ def register(catalog: Catalog) -> None:
     )
     def audit_union(spark, folder):
         """Manual and automatic audits as one, with the joint mode of each job."""
-        audit = candidate_audit(spark, folder).select("job_id", "mapping_id", "field", "status", "decision_source")
+        audit = shared_audit(spark, folder, "job_id", "status", "decision_source")
         manual = audit.where("decision_source = 'manual'").withColumn("mode", F.lit("manual_mapping"))
         auto = audit.where("decision_source = 'auto'").withColumn("mode", F.lit("label_value"))
         union, modes = L.audit_union(manual, auto, ["job_id"])
-        return union.drop("mode").join(modes, "job_id").groupBy("job_id", "status", "mode").agg(F.count(F.lit(1)).alias("n"))
+        # Counted before the join, so that a row per job and status meets its mode.
+        counts = union.groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(modes, "job_id").select("job_id", "status", "mode", "n")

@@ -48,6 +48,14 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_quantity" in text and "l_shipdate" not in text and text.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["audit_union"])
+def test_a_shared_audit_is_worked_out_once(spark, con, name):
+    # What decides on the writes (a low priority asks for confirmation) was read anew wherever the audit was read.
+    assert "o_orderpriority" not in plan(spark, name)
+    good, text = check.compare(CATALOG.queries[name](spark, FOLDER), con, CATALOG.sql[name])
+    assert good, text
+
+
 def test_page_split_keeps_conversations_of_one_page(spark, tmp_path):
     rows = [(5, 0, "whole text"), (6, 0, "marked text"), (10, 0, "first"), (10, 1, "second"), (11, 0, "one"), (11, 1, "two")]
     spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
