@@ -504,15 +504,16 @@ def fill_report(audit: DataFrame, rows: DataFrame) -> DataFrame:
     plain = audit.where("status <> 'result_sheet_created'").select(
         "job_id", "mapping_id", "status", F.col("sheet").alias("target_sheet"), F.col("cell").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
     )
-    created = audit.where("status = 'result_sheet_created'").groupBy("job_id").agg(F.max("sheet").alias("__sheet"))
-    seen = audit.select("job_id").distinct()
-    numbered = number_rows(rows, ["job_id"], [F.col("map_idx")], row_block("map_idx"), "__n")
-    listed = attach(numbered, created, ["job_id"], "inner").select(
-        "job_id", F.lit("").alias("mapping_id"), F.lit("result_sheet_written").alias("status"), F.col("__sheet").alias("target_sheet"),
-        S.a1_encode("__n + 1", "result_col").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
+    made = F.coalesce(F.col("status") == "result_sheet_created", F.lit(False))
+    jobs = audit.groupBy("job_id").agg(F.max(made).alias("__made"), F.max(F.when(made, F.col("sheet"))).alias("__sheet"))
+    # Rows of jobs that are told by their audit alone go before the others are numbered: a job stays whole.
+    open_rows = attach(rows, jobs, ["job_id"]).where(F.coalesce("__made", F.lit(True)))
+    numbered = number_rows(open_rows, ["job_id"], [F.col("map_idx")], row_block("map_idx"), "__n")
+    listed = F.col("__made").isNotNull()
+    untold = numbered.select(
+        "job_id", F.when(listed, "").otherwise(F.concat(F.lit("row_"), F.col("__n").cast("string"))).alias("mapping_id"),
+        F.when(listed, "result_sheet_written").otherwise("not_written").alias("status"),
+        F.when(listed, F.col("__sheet")).otherwise("").alias("target_sheet"),
+        F.when(listed, S.a1_encode("__n + 1", "result_col")).otherwise("").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
     )
-    lost = numbered.join(seen, "job_id", "left_anti").select(
-        "job_id", F.concat(F.lit("row_"), F.col("__n").cast("string")).alias("mapping_id"), F.lit("not_written").alias("status"),
-        F.lit("").alias("target_sheet"), F.lit("").alias("target_cell"), "metric", F.col("value").cast("string").alias("value"),
-    )
-    return plain.unionByName(listed).unionByName(lost)
+    return plain.unionByName(untold)

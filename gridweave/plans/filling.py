@@ -351,7 +351,8 @@ def register(catalog: Catalog) -> None:
     )
     def finished_jobs(spark, folder):
         """Audit of each job; a job without any write gets a result sheet."""
-        return L.finish_jobs(candidate_audit(spark, folder), table(spark, folder, "customer").select(F.col("c_custkey").alias("job_id")))
+        audit = shared_audit(spark, folder, "job_id", "mapping_id", "sheet", "cell", "status", "value")
+        return L.finish_jobs(audit, table(spark, folder, "customer").select(F.col("c_custkey").alias("job_id")))
 
     @catalog.add(
         f"""WITH {CANDIDATES}, {GRID}, {WRITES},
@@ -365,7 +366,8 @@ def register(catalog: Catalog) -> None:
     def fill_report(spark, folder):
         """Report rows of each job; jobs without a write have a result sheet (even) or nothing (odd)."""
         customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("job_id"))
-        done = L.finish_jobs(candidate_audit(spark, folder), customer.where("job_id % 2 = 0")).where("status <> 'result_sheet_created' OR job_id % 2 = 0")
+        shared = shared_audit(spark, folder, "job_id", "mapping_id", "sheet", "cell", "status", "value")
+        done = L.finish_jobs(shared, customer.where("job_id % 2 = 0")).where("status <> 'result_sheet_created' OR job_id % 2 = 0")
         rows = candidates(spark, folder).select("job_id", "mapping_id", "map_idx", "metric", "value", F.lit(7).alias("result_col"))
         audit = done.join(rows.select("job_id", "mapping_id", "metric"), ["job_id", "mapping_id"], "left")
         return L.fill_report(audit, rows)
@@ -380,8 +382,8 @@ def register(catalog: Catalog) -> None:
     )
     def fill_validate(spark, folder):
         """Written cells compared with a re-read grid in which some cells are missing or changed."""
-        audit = candidate_audit(spark, folder)
         target = ["job_id", "sheet", "row_idx", "col_idx"]
+        audit = shared_audit(spark, folder, *target, "mapping_id", "map_idx", "cell", "field", "status", "value")
         changed = F.when(F.col("job_id") % 4 == 0, "lost").when(F.col("job_id") % 4 == 1, F.concat("value", F.lit(".0"))).otherwise(F.col("value"))
         output = (
             audit.where("field = 'result' AND status = 'written' AND job_id % 5 <> 0").withColumn("value_str", changed)

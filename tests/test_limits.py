@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import scalars as S
 from gridweave.operators import grid as G
 from gridweave.operators import metrics as M
-from gridweave.operators import coverage, scaling
+from gridweave.operators import coverage, fill, scaling
 from gridweave.plans import filling, labels, load
 from gridweave.plans.catalog import table
 from gridweave.plans.coverage import segments
@@ -106,3 +106,19 @@ def test_texts_are_not_cut_before_they_are_dealt(spark):
     plan = load().queries["evidence_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     read = plan[plan.rindex("Exchange hashpartitioning(doc_id"):]
     assert "regexp_replace" not in read and "split(" not in read
+
+
+def test_only_rows_of_jobs_without_audit_are_numbered(make):
+    audit = make(
+        [("p", "map_1", "T", "B1", "written", "1", "sum"), ("m", None, "R", None, "result_sheet_created", None, None), ("b", "map_1", "T", "B2", "written", "1", "avg"),
+         ("b", None, "R", None, "result_sheet_created", None, None), ("e", None, None, None, "result_sheet_created", None, None), ("n", "map_1", "T", "B3", None, "1", "sum")],
+        "job_id string, mapping_id string, sheet string, cell string, status string, value string, metric string",
+    )
+    rows = make([(j, i, "sum", f"{i}", 7) for j in ("p", "m", "b", "e", "n", "l") for i in (3, 70000)], "job_id string, map_idx int, metric string, value string, result_col int")
+    report = fill.fill_report(audit, rows)
+    told = [("p", "map_1", "written", "T", "B1", "sum", "1"), ("b", "map_1", "written", "T", "B2", "avg", "1")]
+    listed = [(j, "", "result_sheet_written", s, f"G{n + 1}", "sum", v) for j, s in (("m", "R"), ("b", "R"), ("e", None)) for n, v in ((1, "3"), (2, "70000"))]
+    lost = [(j, f"row_{n}", "not_written", "", "", "sum", v) for j in ("l",) for n, v in ((1, "3"), (2, "70000"))]
+    assert sorted(map(str, map(tuple, report.collect()))) == sorted(map(str, told + listed + lost))
+    # Blocks are added up once and numbered once; before, both were done for listed and for lost rows.
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2

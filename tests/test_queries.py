@@ -48,7 +48,7 @@ def test_scans_read_only_what_they_need(spark):
     assert "l_quantity" in text and "l_shipdate" not in text and text.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("name", ["audit_union"])
+@pytest.mark.parametrize("name", ["audit_union", "fill_report", "finished_jobs", "fill_validate"])
 def test_a_shared_audit_is_worked_out_once(spark, con, name):
     # What decides on the writes (a low priority asks for confirmation) was read anew wherever the audit was read.
     assert "o_orderpriority" not in plan(spark, name)
