@@ -38,6 +38,8 @@ SYMBOLS = 95 + 3
 HIDDEN = 8
 TAGS = 1 + len(KINDS)
 WINDOW, MARGIN, LANES = 256, 16, 2048
+# More than the rounding of the sums along a window can come to.
+ROUNDING = 0.25
 
 
 def luhn(digits: str) -> bool:
@@ -113,7 +115,7 @@ class Tagger:
             state, cell = np.zeros((h, lanes), np.float32), np.zeros((h, lanes), np.float32)
             gates, pulled = np.empty((4 * h, lanes), np.float32), np.empty((4 * h, lanes), np.float32)
             for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-                np.take(table, x[t], axis=1, out=pulled)
+                np.take(table, x[t], axis=1, out=pulled, mode="clip")  # the default mode copies by way of a buffer
                 np.matmul(recur, state, out=gates)
                 gates += pulled
                 np.tanh(gates, out=gates)
@@ -126,28 +128,52 @@ class Tagger:
                 np.tanh(cell, out=state)
                 state *= gates[2 * h : 3 * h]
                 emissions[t] += out @ state
-        score = emissions[0].copy()
-        back = np.empty((steps, TAGS, lanes), np.uint8)
+        tags = np.zeros((steps, lanes), np.uint8)
         moves = self.transitions.astype(np.float32)
-        for t in range(1, steps):
-            best = score[0] + moves[0][:, None]
-            came = back[t]
-            came[:] = 0
-            for k in range(1, TAGS):
-                other = score[k] + moves[k][:, None]
-                better = other > best
-                np.copyto(best, other, where=better)
-                np.copyto(came, np.uint8(k), where=better)
-            best += emissions[t]
-            score = best
-        tags = np.empty((steps, lanes), np.uint8)
-        each = np.arange(lanes)
-        tags[-1] = score.argmax(axis=0)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][tags[t], each]
+        some = _in_doubt(emissions, moves)
+        if len(some):
+            tags[:, some] = _best_path(emissions[:, :, some], moves)
         return tags
 
 
+def _in_doubt(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Lanes whose best path may have a tag other than 0: all but those in which no stretch of tags gains what it costs.
+
+    A stretch costs the moves into and out of it, one of them at an end of the window, none if it fills the window.
+    """
+    stay, into, out_of = (m.max() - moves[0, 0] for m in (moves[1:, 1:], moves[0, 1:], moves[1:, 0]))
+    gains = emissions[:, 1:].max(axis=1) - emissions[:, 0] + max(0.0, stay)
+    stretch = best = gains[0]
+    for gain in gains[1:]:
+        stretch = np.maximum(stretch, 0) + gain
+        best = np.maximum(best, stretch)
+    return np.flatnonzero((best + max(into, out_of, into + out_of) > -ROUNDING) | (gains.sum(axis=0) > -ROUNDING))
+
+
+def _best_path(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Viterbi: emissions (time, tags, lanes) and transitions -> tags (time, lanes)."""
+    steps, _, lanes = emissions.shape
+    score = emissions[0].copy()
+    back = np.empty((steps, TAGS, lanes), np.uint8)
+    for t in range(1, steps):
+        best = score[0] + moves[0][:, None]
+        came = back[t]
+        came[:] = 0
+        for k in range(1, TAGS):
+            other = score[k] + moves[k][:, None]
+            better = other > best
+            np.copyto(best, other, where=better)
+            np.copyto(came, np.uint8(k), where=better)
+        best += emissions[t]
+        score = best
+    tags = np.empty((steps, lanes), np.uint8)
+    each = np.arange(lanes)
+    tags[-1] = score.argmax(axis=0)
+    for t in range(steps - 1, 0, -1):
+        tags[t - 1] = back[t][tags[t], each]
+    return tags
+
+
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss (negative log likelihood per window) and gradients on a batch: symbols and tags (time, lanes)."""
     steps, lanes = x.shape
@@ -291,6 +317,9 @@ PLAUSIBLE = {
     3: lambda s: 7 <= len(re.sub("[^0-9]", "", s)) <= 15 and len(s) <= 24,
 }
 
+# What a span needs to pass: an at sign, a digit, or "at" as a word of its own, of which one end may be that of the span.
+EVIDENCE = re.compile(r"[0-9@]|at(?:\b|(?<!\wat))")
+
 
 def more_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     """Spans of the decoded tags that pass a test of their kind and touch no span of the patterns."""
@@ -308,29 +337,48 @@ def more_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     return out
 
 
-def tag_texts(texts: list[str], tagger: Tagger) -> list[np.ndarray]:
-    """Tags of whole texts, from overlapping windows."""
+def tag_texts(texts: list[str], tagger: Tagger, evidence: re.Pattern[str] | None = None) -> list[np.ndarray]:
+    """Tags of whole texts, from overlapping windows.
+
+    With `evidence` every run of tags that holds a match of it is found whole: the windows with a match are
+    decoded, and from there on each neighbour that a run of tags leads into. The tags of the others stay 0.
+    """
     lengths = [len(t) for t in texts]
     flat = symbols_of("".join(texts))
     first = np.cumsum([0, *lengths])
     stride = WINDOW - 2 * MARGIN
-    windows = [(i, at) for i, n in enumerate(lengths) for at in range(0, max(1, n - 2 * MARGIN), stride) if n]
-    # Windows of like length share a matrix, so short texts are not filled up to the full window.
-    sizes = np.array([min(WINDOW, lengths[i] - at) for i, at in windows], np.int64)
+    windows = np.array([(i, at, min(WINDOW, n - at)) for i, n in enumerate(lengths) for at in range(0, max(1, n - 2 * MARGIN), stride) if n], np.int64).reshape(-1, 3)
+    of, at, sizes = windows.T
+    begin = first[of] + at
+    # What a window decides: up to the next one's part, so the parts of all windows cover the texts without a gap.
+    low = begin + np.where(at > 0, MARGIN, 0)
+    high = begin + sizes - np.where(at + sizes < np.array(lengths, np.int64)[of], MARGIN, 0)
     tags = np.zeros(len(flat), np.uint8)
-    order = np.argsort(sizes, kind="stable")
-    for lo in range(0, len(order), LANES):
-        some = order[lo : lo + LANES]
-        steps = int(sizes[some].max())
-        begin = np.array([first[windows[k][0]] + windows[k][1] for k in some])
-        time = np.arange(steps)[:, None]
-        inside = time < sizes[some]
-        x = np.where(inside, flat[np.minimum(begin + time, len(flat) - 1)], 95)
-        decoded = tagger.tags(x)
-        from_edge = np.array([windows[k][1] > 0 for k in some]) * MARGIN
-        to_edge = np.array([windows[k][1] + sizes[k] < lengths[windows[k][0]] for k in some]) * MARGIN
-        own = inside & (time >= from_edge) & (time < sizes[some] - to_edge)
-        tags[(begin + time)[own]] = decoded[own]
+
+    def decode(chosen: np.ndarray) -> None:
+        # Windows of like length share a matrix, so short texts are not filled up to the full window.
+        order = chosen[np.argsort(sizes[chosen], kind="stable")]
+        for lo in range(0, len(order), LANES):
+            some = order[lo : lo + LANES]
+            place = begin[some] + np.arange(int(sizes[some].max()))[:, None]
+            x = np.where(place < begin[some] + sizes[some], flat[np.minimum(place, len(flat) - 1)], 95)
+            decoded = tagger.tags(x)
+            own = (place >= low[some]) & (place < high[some])
+            tags[place[own]] = decoded[own]
+
+    wanted, done = np.ones(len(windows), bool), np.zeros(len(windows), bool)
+    if evidence is not None:
+        met = np.array([(start + m.start(), start + m.end() - 1) for start, text in zip(first, texts, strict=False) for m in evidence.finditer(text)], np.int64)
+        wanted[:] = False
+        wanted[np.searchsorted(low, met.ravel(), side="right") - 1] = True
+    while wanted.any():
+        decode(np.flatnonzero(wanted))
+        done |= wanted
+        inner = of[1:] == of[:-1]
+        wanted[:] = False
+        wanted[:-1] |= inner & done[1:] & (tags[low[1:]] > 0)
+        wanted[1:] |= inner & done[:-1] & (tags[low[1:] - 1] > 0)
+        wanted &= ~done
     return [tags[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
@@ -343,7 +391,7 @@ def _find(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.Reco
             chars += len(text)
             if chars >= WINDOW * LANES or i == len(texts) - 1:
                 rows = []
-                for t, tags in zip(texts[lo : i + 1], tag_texts(texts[lo : i + 1], tagger), strict=True):
+                for t, tags in zip(texts[lo : i + 1], tag_texts(texts[lo : i + 1], tagger, EVIDENCE), strict=True):
                     base = base_spans(t)
                     spans = [(*s, True) for s in base] + [(*s, False) for s in more_spans(t, tags, base)]
                     rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in sorted(spans)])

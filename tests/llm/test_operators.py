@@ -415,6 +415,50 @@ def test_windows_are_joined_on_the_whole_text():
         assert private_data.tag_texts([t, "yx"], marked)[0].tolist() == [int(c == "x") for c in t]
 
 
+def test_windows_without_evidence_are_not_decoded_and_give_the_same_spans(monkeypatch):
+    rng = random.Random(4)
+    read: list[int] = []
+
+    class Counted(private_data.Tagger):
+        def tags(self, x):
+            read.append(x.shape[1])
+            return super().tags(x)
+
+    def text(n):
+        words = ["the", "that", "on", "ing", "attend", "look", "so", "dot", "be.", "at", "@", "7", "10.1.2.3", "555-123-4567", "a at b dot de", "x@y. z"]
+        return " ".join(rng.choices(words, [40, 2, 40, 40, 2, 40, 40, 2, 8, 1, 1, 1, 1, 1, 1, 1], k=n))
+
+    texts = [text(rng.choice([1, 5, 60, 400, 900])) for _ in range(40)] + ["", "th" + "at." * 300, "on " * 400 + "@." + " on" * 400, *["on ing so be. " * 200] * 8]
+    h, weights = private_data.HIDDEN, np.random.default_rng(6)
+    for bias in (0.0, 2.0, 4.0):  # tags nearly everywhere, so that runs lead over many windows, and now and then
+        shapes = [(2, private_data.SYMBOLS, 4 * h), (2, h, 4 * h), (2 * h, private_data.TAGS), private_data.TAGS, (private_data.TAGS,) * 2]
+        tagger = Counted(*[weights.normal(0, 1.0, s).astype(np.float32) for s in shapes])
+        tagger.bias[0] += bias
+        tagger.transitions[np.diag_indices(private_data.TAGS)] += 2
+        monkeypatch.undo()
+        quick = private_data.tag_texts(texts, tagger, private_data.EVIDENCE)
+        some = sum(read)
+        read.clear()
+        monkeypatch.setattr(private_data, "_in_doubt", lambda emissions, moves: np.arange(emissions.shape[2]))
+        whole = private_data.tag_texts(texts, tagger)
+        for t, a, b in zip(texts, quick, whole, strict=True):
+            assert private_data.more_spans(t, a, []) == private_data.more_spans(t, b, [])
+        assert some <= sum(read) and (bias < 4 or some < 0.8 * sum(read))
+        read.clear()
+
+
+def test_evidence_is_in_every_span_that_passes():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice(["at", "dot", ".", "@", " ", "x", "é", "_", "1", "4", "-"]) for _ in range(rng.randint(2, 16)))
+        start, end = sorted(rng.sample(range(len(text) + 1), 2))
+        tags = np.zeros(len(text), np.uint8)
+        for kind in range(len(private_data.KINDS)):
+            tags[start:end] = kind + 1
+            if private_data.more_spans(text, tags, []):
+                assert any(start <= m.start() and m.end() <= end for m in private_data.EVIDENCE.finditer(text))
+
+
 def test_toxicity_restores_and_holds_out(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(400)]
