@@ -48,7 +48,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     merges = bpe.load(path)
     cut = regex.compile(PATTERN).findall
     special = regex.compile("|".join(map(regex.escape, merges.specials)))
-    known: dict[str, list[int]] = {}
+    known: dict[str, int] = {}  # places of words in `table`, which has their ids
+    kind = pa.list_(pa.int32())
+    table = pa.array([], kind)
 
     def words_of(text: str) -> list[str]:
         if "<|" not in text:
@@ -71,18 +73,22 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
     for batch in batches:
         for part in slices(batch):
-            texts = [words_of(t) for t in part.column("text").to_pylist()]
+            # Copies of a text are encoded once.
+            distinct = part.column("text").dictionary_encode()
+            texts = [words_of(t) for t in distinct.dictionary.to_pylist()]
             new = set(chain.from_iterable(texts)).difference(known)
             if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
+                known, table = {}, table[:0]
                 new = set(chain.from_iterable(texts))
             ordered = list(new)
-            for word, ids in zip(ordered, merges.encode([w.encode() for w in ordered]), strict=True):
-                known[word] = ids.tolist()
-            for word, i in merges.specials.items():
-                known[word] = [i]
-            ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            encoded = [[merges.specials[w]] if w in merges.specials else ids for w, ids in zip(ordered, merges.encode([w.encode() for w in ordered]), strict=True)]
+            known.update(zip(ordered, range(len(table), len(table) + len(ordered)), strict=True))
+            table = pa.concat_arrays([table, pa.array(encoded, kind)])
+            ends = np.cumsum([0, *map(len, texts)])
+            places = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int32, ends[-1])
+            of_words = table.take(pa.array(places))
+            of_texts = pa.ListArray.from_arrays(pa.array(of_words.offsets.to_numpy()[ends]), of_words.values)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), of_texts.take(distinct.indices)], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import WORD, settle, word_count
@@ -153,8 +153,12 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     """
     taken = mix_sources(docs, key=key, text=text, **settings).select(F.col("doc_id").alias("__key"), "size", F.explode("copies").alias("__ranges")).where(F.col("__key").isNotNull())
     met = docs.join(taken, F.col(key) == F.col("__key"))
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    parts = F.transform("__ranges", lambda r: F.array_join(F.slice(words, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")), " "))
+
+    def joined(words: Column) -> Column:
+        return F.array_join(F.transform("__ranges", lambda r: F.array_join(F.slice(words, (r["low"] + 1).cast("int"), (r["high"] - r["low"]).cast("int")), " ")), " ")
+
+    # The words are the variable of a lambda: in place of it the text would be cut anew for each range.
+    parts = F.transform(F.array(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), joined)[0]
     whole = F.aggregate("__ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["high"] - r["low"]) == F.col("size")
-    mixed = met.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(parts, " "))).select(*docs.columns)
+    mixed = met.withColumn(text, F.when(whole, F.col(text)).otherwise(parts)).select(*docs.columns)
     return mixed.unionByName(docs.where(F.col(key).isNull()))

@@ -56,18 +56,21 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     flat[:] = [w for ws in cut for w in ws]
     codes, distinct = pd.factorize(flat)
     hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)[codes] if len(flat) else np.zeros(0, np.uint64)
+
+    def grams(h: np.ndarray, n: int) -> np.ndarray:
+        s = np.full(len(h) - n + 1, np.uint64(n))
+        for i in range(n):
+            s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+        return s
+
+    # All texts at once; the n-grams that reach over the end of a text are left out.
+    full = grams(hashed, words) if len(hashed) >= words else hashed[:0]
     out, at = [], 0
     for ws in cut:
-        h = hashed[at : at + len(ws)]
+        s = full[at : at + len(ws) - words + 1] if len(ws) >= words else grams(hashed[at : at + len(ws)], len(ws)) if ws else hashed[:0]
         at += len(ws)
-        n = min(words, len(ws))
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        s = np.full(len(ws) - n + 1, np.uint64(n))
-        for i in range(n):
-            s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[i : len(ws) - n + 1 + i])
-        out.append(np.unique(s))
+        s = np.sort(s)
+        out.append(s[np.diff(s, prepend=~s[:1]) != 0])
     return out
 
 
@@ -158,17 +161,23 @@ def frequent_tokens(docs: DataFrame, words: int, text: str = "text") -> np.ndarr
 def _is_hot(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     if not len(hot):
         return np.zeros(len(tokens), bool)
+    # In their order, as neighbours are then found close to each other.
     low = (tokens & _LOW).astype(np.uint32)
-    return hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+    order = np.argsort(low)
+    low = low[order]
+    found = np.empty(len(tokens), bool)
+    found[order] = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+    return found
+
 
+def prefix(tokens: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set under the first order, those that are not frequent and those that are.
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under an order; a set at least `percent` similar has one of them in its own prefix."""
+    A set at least `percent` similar has one of them in its own prefix."""
     n = len(tokens)
-    keys = _mix(tokens * np.uint64(ORDERS[order]))
-    late = _is_hot(tokens, hot)
-    size = n - -(-percent * n // 100) + 1
-    return tokens[np.lexsort((keys, late))[:size]]
+    first = np.lexsort((_mix(tokens * np.uint64(ORDERS[0])), late))[: n - -(-percent * n // 100) + 1]
+    late = late[first]
+    return tokens[first[~late]], tokens[first[late]]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -183,10 +192,10 @@ def _summaries(batches: Iterator[pa.RecordBatch], words: int, percent: int, hot:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
             marks = [hashlib.sha1(t.encode()).digest() for t in texts]
-            firsts = [prefix(s, hot, 0, percent) if len(s) else s for s in sets]
-            late = [_is_hot(f, hot) for f in firsts]
+            late = np.split(_is_hot(np.concatenate(sets), hot), np.cumsum([len(s) for s in sets])[:-1])
+            firsts = [prefix(s, h, percent) if len(s) else (s, s) for s, h in zip(sets, late, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), lists([f[~h] for f, h in zip(firsts, late, strict=True)]), lists([f[h] for f, h in zip(firsts, late, strict=True)])],
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), lists([f[0] for f in firsts]), lists([f[1] for f in firsts])],
                 names=["doc_id", "n_shingles", "digest", "key", "text_sha1", "prefix", "hot_prefix"],
             )
 

@@ -14,7 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 from unicodedata import is_normalized, normalize
 
 import numpy as np
@@ -32,6 +32,8 @@ SIGNS = {
 APART = set(".-_*~'’·:/\\,")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 SPACED = re.compile(r"(?<![^\s])[^\s](?: [^\s]){2,}(?![^\s])")
+# The end of every match of SPACED; as it begins with a blank, it is looked for at blanks only.
+SPACED_END = re.compile(r" [^\s] [^\s](?![^\s])")
 ENDS = re.compile(r"^[\W_]+(?=[@$!|+(<€£][^\W_])|^[^\w@$!|+(<€£]+|^[\W_]+(?![^\W_])|[\W_]+$")
 PLAIN = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(.)\1")
@@ -76,10 +78,9 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     The table is bounded by the alphabet (227 thousand entries), whatever the corpus; it is added up on the
     executors. Trigrams back off to bigrams and symbols by interpolation.
     """
-    rows = docs.select(whole_text(text).alias("text")).mapInArrow(_count_trigrams, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(whole_text(text).alias("text")).mapInArrow(_count_trigrams, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     three = np.zeros(ALPHABET**3)
-    for row in rows:
-        three[row["gram"]] = row["n"]
+    three[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     three = three.reshape((ALPHABET,) * 3)
     two, one = three.sum(axis=0), three.sum(axis=(0, 1))
     p1 = (one + 1) / (one.sum() + ALPHABET)
@@ -88,11 +89,10 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def lattice(word: str, halve: bool = True) -> list[list[tuple[str, float]]]:
+def lattice(word: str, halve: bool = True) -> Iterator[list[tuple[str, float]]]:
     """Readings of each place of a word with their costs: letters, pairs of letters, or nothing.
 
     `halve` says whether a pair of equal letters may stand for one."""
-    out: list[list[tuple[str, float]]] = []
     i, n = 0, len(word)
     while i < n:
         c = word[i]
@@ -101,17 +101,16 @@ def lattice(word: str, halve: bool = True) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if c in APART and 0 < i and j < n:
-            out.append([("", SET_APART * run), (c, AS_SIGN)])
+            yield [("", SET_APART * run), (c, AS_SIGN)]
         else:
             readings = [(r, AS_LETTER) for r in SIGNS.get(c, "")] + [(c, AS_SIGN if c in SIGNS or not c.isalpha() else 0.0)]
             if run == 1:
-                out.append(readings)
+                yield readings
             else:
                 once = [(r, cost + (REPEATED if run > 2 else DOUBLED)) for r, cost in readings]
                 twice = [(r + r, cost + (REPEATED if run > 2 else 0.0)) for r, cost in readings]
-                out.append(once + twice if halve or run > 2 else twice)
+                yield once + twice if halve or run > 2 else twice
         i = j
-    return out
 
 
 def restore(word: str, model: np.ndarray, halve: bool = True) -> str:
@@ -172,6 +171,8 @@ def spaced_words(text: str) -> list[str]:
     Features of a word reach over eight letters, so a longer piece would add nothing but its own name; a run of
     any length gives work in proportion to it.
     """
+    if not SPACED_END.search(text):
+        return []
     return [joined[i : i + SPACED_LETTERS] for run in SPACED.findall(text) for joined in [run.replace(" ", "")] for i in range(len(joined) - 2)]
 
 
@@ -188,8 +189,32 @@ class Scorer:
     weights: dict[str, float]
     base: float
 
+    @cached_property
+    def beginnings(self) -> frozenset[str]:
+        """The first four letters of all features with a weight; a word has those that begin as it does itself."""
+        return frozenset(f[1:5] for f in self.weights)
+
+    @cached_property
+    def begun(self) -> frozenset[str]:
+        return frozenset(b[:n] for b in self.beginnings for n in range(5))
+
+    def may_bring(self, core: str) -> bool:
+        """Whether a path through the lattice of a word begins as a feature with a weight does. Nearly no word has one, and only these are restored."""
+        if core[:4] in self.beginnings:
+            return True
+        if core.isascii() and core.isalpha() and not RUN.search(core):
+            return False
+        paths = {""}
+        for readings in lattice(core):
+            paths = {(p + letters)[:4] for p in paths for letters, _ in readings} & self.begun
+            if not paths:
+                return False
+        return not paths.isdisjoint(self.beginnings)
+
     def features(self, token: str) -> tuple[str, ...]:
         """The features with a weight that a token brings."""
+        if not self.may_bring(token if token.isascii() and token.isalpha() else ENDS.sub("", token)):
+            return ()
         return tuple({f for reading in readings_of(token, self.model) for f in features_of(reading) if f in self.weights})
 
     def score(self, found: set[str]) -> float:
@@ -211,14 +236,15 @@ def fit_features(
         return {}, (math.log(99.0) if labels and labels[0] else -math.log(99.0))
     y, sizes = np.array(labels, float), Counter(marks)
     votes = np.array([1 / sizes[m] for m in marks])
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    column = np.concatenate(features).astype(np.int64)
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    column = np.concatenate(features).astype(np.int32, copy=False)
     toxic = np.bincount(column, (votes * y)[row], len(names))
     harmless = np.bincount(column, (votes * (1 - y))[row], len(names))
     used = np.flatnonzero((toxic >= least) & (toxic >= precision * (toxic + harmless)))
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[used] = np.arange(len(used))
-    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
     toxic, harmless = toxic[used], harmless[used]
     w, b = np.zeros(len(used)), math.log((votes @ y + 0.5) / (votes @ (1 - y) + 0.5))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)

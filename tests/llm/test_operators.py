@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,68 @@ def test_windows_are_joined_on_the_whole_text():
         assert private_data.tag_texts([t, "yx"], marked)[0].tolist() == [int(c == "x") for c in t]
 
 
+def test_words_are_restored_only_where_a_feature_with_a_weight_can_begin(monkeypatch):
+    rng = random.Random(12)
+    model = np.random.default_rng(12).random((toxicity.ALPHABET,) * 3).astype(np.float32)
+    words = ["".join(rng.choice("abelost01$.-éо") for _ in range(rng.randint(1, 9))) for _ in range(1500)] + ["hello", "helo", "b.a.d", "aaabbb", "...", "1", ""]
+    weights = {f: rng.random() for w in rng.sample(words, 60) for r in toxicity.readings_of(w, model) for f in toxicity.features_of(r)}
+    scorer = toxicity.Scorer(model, weights, 0.0)
+    want = [{f for r in toxicity.readings_of(w, model) for f in toxicity.features_of(r) if f in weights} for w in words]
+    asked: list[str] = []
+    restore = toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda word, *a, **b: asked.append(word) or restore(word, *a, **b))
+    assert [set(scorer.features(w)) for w in words] == want
+    assert any(want) and toxicity.Scorer(model, {"=zzzz": 1.0}, 0.0).features("hello") == ()
+    assert "hello" not in asked or any(f[1:5] in ("hell", "helo") for f in weights)
+    texts = ["a b c d", "ab c d e f", "a b", "x  y z", "a\tb c d", " i a m ", "one t w o. three"]
+    monkeypatch.setattr(toxicity, "SPACED_END", re.compile(""))
+    assert (every := [toxicity.spaced_words(t) for t in texts]) and monkeypatch.undo() is None
+    assert [toxicity.spaced_words(t) for t in texts] == every and every[0] == ["abcd", "bcd"]
+
+
+def test_copies_are_encoded_once(monkeypatch):
+    cut: list[str] = []
+    normalise = bpe_codec.normalise
+    monkeypatch.setattr(bpe_codec, "normalise", lambda text: cut.append(text) or normalise(text))
+    texts = ["the same words", "other words <|endoftext|>", "", "the same words", "the same words", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    got = [r for b in bpe_codec._encode(iter([batch]), public.path("word_bpe_49k.json")) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(6)) and got[0]["ids"] == got[3]["ids"] == got[4]["ids"] != got[1]["ids"] and got[2]["ids"] == []
+    assert cut.count("the same words") == 1
+
+
+def test_words_of_a_part_are_cut_once_for_all_its_ranges(docs):
+    plan = mixing.mixed_documents(docs.drop("size").withColumn("source", F.lit("a"))).where("doc_id is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan.count("array(regexp_extract_all") == 1
+
+
+def test_texts_without_a_gate_are_not_dealt_for_scanning(spark):
+    df = spark.createDataFrame([(i, "plain words") for i in range(50)] + [(99, "token=abcdefgh"), (100, None)], "doc_id bigint, text string")
+    found, ledger = secret_scan.scan_history(df)
+    assert [r["kind"] for r in found.collect()] == ["assign"] and ledger.count() == 3
+    # The texts are read once, and filtered before they are dealt.
+    plan = secret_scan.scan_history(df)[0]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("LogicalRDD" in line for line in plan) == 1
+    assert any(line.lstrip(" :+-").startswith("Filter") and "RLIKE" in line for line in plan[[i for i, line in enumerate(plan) if "Aggregate [blob" in line][-1] + 1 :])
+
+
+def test_frequent_tokens_are_looked_up_once_per_slice(monkeypatch):
+    asked: list[int] = []
+    is_hot = ngram_join._is_hot
+    monkeypatch.setattr(ngram_join, "_is_hot", lambda tokens, hot: asked.append(len(tokens)) or is_hot(tokens, hot))
+    texts = [" ".join(random.Random(i).choices("abcdefgh", k=30)) for i in range(40)] + ["", "a", "a b c"]
+    sets = ngram_join.shingle_sets(texts, 4)
+    hot = np.unique(np.concatenate(sets[:20]) & ngram_join._LOW).astype(np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    rows = next(ngram_join._summaries(iter([batch]), 4, 80, hot)).to_pylist()
+    assert asked == [sum(map(len, sets))]
+    for tokens, row in zip(sets, rows, strict=True):
+        late = {int(t) & 0xFFFFFFFF for t in tokens} & set(hot.tolist())
+        first = sorted((t for t in tokens), key=lambda t: (int(t) & 0xFFFFFFFF in late, int(ngram_join._mix(np.array([t], np.uint64) * np.uint64(ngram_join.ORDERS[0]))[0])))[: len(tokens) - -(-80 * len(tokens) // 100) + 1 if len(tokens) else 0]
+        assert {np.uint64(x % 2**64) for x in row["prefix"] + row["hot_prefix"]} == set(first)
+        assert {x % 2**64 & 0xFFFFFFFF for x in row["hot_prefix"]} <= late
+
+
 def test_windows_without_evidence_are_not_decoded_and_give_the_same_spans(monkeypatch):
     rng = random.Random(4)
     read: list[int] = []
