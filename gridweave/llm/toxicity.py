@@ -189,31 +189,34 @@ class Scorer:
     weights: dict[str, float]
     base: float
 
-    @cached_property
-    def beginnings(self) -> frozenset[str]:
-        """The first four letters of all features with a weight; a word has those that begin as it does itself."""
-        return frozenset(f[1:5] for f in self.weights)
-
     @cached_property
     def begun(self) -> frozenset[str]:
-        return frozenset(b[:n] for b in self.beginnings for n in range(5))
+        """What the features with a weight begin with."""
+        return frozenset(f[1:n] for f in self.weights for n in range(1, len(f) + 1))
 
     def may_bring(self, core: str) -> bool:
-        """Whether a path through the lattice of a word begins as a feature with a weight does. Nearly no word has one, and only these are restored."""
-        if core[:4] in self.beginnings:
-            return True
-        if core.isascii() and core.isalpha() and not RUN.search(core):
-            return False
+        """Whether a path through the lattice of a word has a feature with a weight. Nearly no word has one, and only these are restored."""
         paths = {""}
         for readings in lattice(core):
-            paths = {(p + letters)[:4] for p in paths for letters, _ in readings} & self.begun
+            paths = {p + letters for p in paths for letters, _ in readings}
+            # A reading has two letters at most.
+            if any("^" + p in self.weights or "^" + p[:-1] in self.weights for p in paths):
+                return True
+            paths &= self.begun
             if not paths:
                 return False
-        return not paths.isdisjoint(self.beginnings)
+        return any("=" + p in self.weights for p in paths)
 
     def features(self, token: str) -> tuple[str, ...]:
         """The features with a weight that a token brings."""
-        if not self.may_bring(token if token.isascii() and token.isalpha() else ENDS.sub("", token)):
+        core = token if token.isalpha() else ENDS.sub("", token)
+        if core.isalpha() and (core.isascii() or SIGN_LETTERS.isdisjoint(core)):
+            # All readings begin alike if there is no pair of letters in the beginning, and without any pair there is one reading.
+            if core[:4] not in self.begun and not RUN.search(core[:4]):
+                return ()
+            if not RUN.search(core):
+                return tuple(f for f in features_of(core) if f in self.weights)
+        if core not in self.begun and not self.may_bring(core):
             return ()
         return tuple({f for reading in readings_of(token, self.model) for f in features_of(reading) if f in self.weights})
 
